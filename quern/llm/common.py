@@ -174,3 +174,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """A 128-bit key of a row from its id and its text; rows equal in both are one row."""
     return [F.xxhash64(F.lit(1), F.col(id_col)).alias("_k1"), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col)).alias("_k2")]
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches to Python workers at 4 MB, so that long texts don't add up in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
