@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontam, html_text, langid, packing, quality, sharding
+from quern.llm import chat, decontam, html_text, langid, lm, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents"), _fold(7) != 2)
+    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -62,7 +68,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op7_packing, op8_virtual_slots, op9_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_backoff_lm, op7_packing, op8_virtual_slots, op9_decontaminate, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
