@@ -168,12 +168,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more, and lets Spark drop the shuffle files of finished jobs."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """A 128-bit key of a row from its id and its text; rows equal in both are one row."""
-    return [F.xxhash64(F.lit(1), F.col(id_col)).alias("_k1"), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col)).alias("_k2")]
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Columns k1, k2, never null, that tell rows apart by id and text; rows equal in both are one row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    k1 = F.col(id_col).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(id_col)
+    return [F.coalesce(k1, F.lit(-(2**63) + 1)).alias("k1"), F.hash(F.lit(7), F.col(text_col), F.col(id_col)).alias("k2")]
 
 
 def arrow_batches(spark: SparkSession) -> None:

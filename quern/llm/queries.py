@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontam, html_text, langid, lm, minhash, packing, quality, sharding
+from quern.llm import chat, decontam, html_text, langid, lm, minhash, packing, quality, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -73,7 +78,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_backoff_lm, op5_minhash, op7_packing, op8_virtual_slots, op9_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_backoff_lm, op5_minhash, op6_substring_dedup, op7_packing, op8_virtual_slots, op9_decontaminate, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
