@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import NON_ALNUM, pieces, stored, words
+from quern.llm.common import NON_ALNUM, arrow_batches, pieces, stored, words
 
 #: Bytes of item text in one broadcast block.
 ITEM_BYTES = 8 << 20
 #: Bytes of document text in one index shard (a longer document is a shard of its own).
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 _SHARD = "shard bigint, ids array<{id}>, lengths array<bigint>, terms binary, counts binary, gaps binary"
 _FOUND = "shard bigint, at int, id {id}, n_words bigint, hits array<struct<s:bigint,e:bigint>>, items array<string>"
@@ -70,6 +70,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=["shard", "ids", "lengths", "terms", "counts", "gaps"],
             )
 
+    arrow_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return stored(picked.mapInArrow(build, schema), "index")
 
