@@ -15,12 +15,17 @@ ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,54 +36,85 @@ SEQUENCE = 4096
 #: Pieces that one room holds on average, at most.
 ROOM = 1 << 16
 #: Distinct words whose token ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _PIECES = [("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint")]
 
 
-class Tokens:
+#: Text before the vocabulary: the tokenizer file's own split, and the letters for which lower case is the whole normal form.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 letters for themselves, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Tokens(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer splits at white space before anything else, so the ids of a text
-    are those of its words one after another; words seen before are not encoded again.
+    are those of its words one after another; words seen before are not encoded
+    again. New words of plain Latin letters are split here and only their parts go
+    to the vocabulary; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.encoder = Tokenizer.from_file(path)
         added = self.encoder.get_added_tokens_decoder()
-        self.mark_id = min(added)
-        self.mark = added[self.mark_id].content
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode() for w in new]
-        plain = [t for t in texts if self.mark not in t]
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            ids = np.array(self.encoder.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            begin = 0
-            for t, end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=True):
-                self.known[t.encode()] = ids[begin:end].tobytes()
-                begin = end + 1
-        for t in texts:
-            if self.mark in t:
-                self.known[t.encode()] = np.array(self.encoder.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        self.special = [t.content for t in added.values()]
+        self.tokenize = self.encoder.model.tokenize
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        spec = json.loads(Path(path).read_text())
+        # the short way holds for this kind of file only
+        self.short = [n["type"] for n in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == _SPLIT.pattern
+
+    def _part(self, p: str) -> bytes:
+        ids = self.parts.get(p)
+        if ids is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            text = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[p] = _packed([t.id for t in self.tokenize(text)])
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        t = word.decode()
+        if "<" in t and any(x in t for x in self.special):
+            ids = self._whole(t)
+        elif self.short and t.isascii() and t.isalpha():
+            ids = self._part(t.lower())
+        elif self.short and _PLAIN.match(t):
+            ids = b"".join([self._part(p) for p in _SPLIT.findall(t.lower())])
+        else:
+            ids = self._whole(t)
+        self[word] = ids
+        return ids
+
+    def _whole(self, t: str) -> bytes:
+        return _packed(self.encoder.encode(t, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
+        if self.short and b"<|" not in text:
+            text = text.lower()  # of ASCII letters, which the tokenizer lowers too: fewer different words
         found = text.split()  # at the ASCII space characters, which the tokenizer drops
         out = []
-        for a in range(0, len(found), REMEMBERED // 2):
-            part = found[a : a + REMEMBERED // 2]
-            new = [w for w in set(part) if w not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(part))
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, part)))
+        for a in range(0, len(found), REMEMBERED):
+            if len(self) > REMEMBERED:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, found[a : a + REMEMBERED])))
         return b"".join(out)
 
 
