@@ -210,11 +210,13 @@ def _step(t: pa.Table, window: int) -> pa.RecordBatch:
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(k1, k2, s, e): word ranges of keyed documents (id, k1, k2, text) inside repeated windows."""
     every = stored(anchors(docs, window, gram), "anchors")
-    counted = every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that both sides of the join are plain exchanges and a hot anchor's rows can be split
+    counted = stored(every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "recurring")
     known = every.join(counted, "a")
     lists = [F.collect_set(F.when(c, F.col("at"))).alias(n) for n, c in (("cold", F.col("n") <= hot), ("warm", F.col("n") > hot))]
     flags = stored(known.groupBy("k1", "k2").agg(*lists), "flags")
     discard(every)
+    discard(counted)
 
     def flagged(name: str) -> DataFrame:
         some = flags.where(F.size(name) > 0).select("k1", "k2", F.col(name).alias("flags"))
@@ -224,7 +226,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     sent = flagged("cold").mapInArrow(lambda b: _passages(b, window, gram), "a bigint, k1 bigint, k2 int, start int, passage binary")
     out = sent.repartition("a").sortWithinPartitions("a").mapInArrow(lambda b: _located(b, window), spans)
     if flags.where(F.size("warm") > 0).take(1):
-        each = stored(flagged("warm").mapInArrow(lambda b: _hashes(b, window, gram), "h bigint, k1 bigint, k2 int, start int"), "windows")
+        # read by the count and by the join: both take the texts from the exchange that the other steps use
+        each = flagged("warm").mapInArrow(lambda b: _hashes(b, window, gram), "h bigint, k1 bigint, k2 int, start int")
         twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         out = out.unionByName(each.join(twice, "h").select("k1", "k2", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
     return out
