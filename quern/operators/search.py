@@ -105,7 +105,7 @@ def parse(query: str):
 
     def adjacent():
         found = [primary()]
-        while isinstance(peek(), Term) or peek() == "(":
+        while isinstance(peek(), Term) and isinstance(found[-1], Term):
             found.append(primary())
         long = [x for x in found if not (isinstance(x, Term) and len(x.text) < 3)]
         if not long:

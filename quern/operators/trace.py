@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def sources(links: DataFrame, turns: DataFrame) -> DataFrame:
     """Links (memory_id, turn_id) with their turns (turn_id, started_at, prompt, ...), by time; prompts cut to 200."""
     cut = [F.substring("prompt_text", 1, 200).alias("prompt_text")] if "prompt_text" in turns.columns else []
-    rest = [c for c in turns.columns if c not in ("prompt_text", "turn_id")]
+    rest = [c for c in turns.columns if c not in ("prompt_text", "turn_id", "memory_id", "ordinal")]
     order = Window.partitionBy("memory_id").orderBy("started_at", "turn_id")
-    return links.select("memory_id", "turn_id").distinct().join(turns, "turn_id").withColumn("ordinal", F.row_number().over(order)).select("memory_id", "turn_id", "ordinal", *rest, *cut)
+    return links.select("memory_id", "turn_id").distinct().join(turns.select("turn_id", *rest, *(["prompt_text"] if cut else [])), "turn_id").withColumn("ordinal", F.row_number().over(order)).select("memory_id", "turn_id", "ordinal", *rest, *cut)
 
 
 def neighbours(memories: DataFrame, before: int = 3, after: int = 3) -> DataFrame:

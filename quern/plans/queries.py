@@ -248,7 +248,7 @@ def search_browse(spark, d):
 
 @query
 def search_fts_match(spark, d):
-    tree = search.parse('(inther OR "the onre") tion NOT title:the')
+    tree = search.parse('(inther OR "the onre") AND tion NOT title:the')
     return _mem(spark, d).where(search.predicate(tree, COLUMNS)).select("id")
 
 
