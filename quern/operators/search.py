@@ -206,11 +206,14 @@ def by_ids(memories: DataFrame, ids: list[int]) -> DataFrame:
     return memories.where(F.col("id").isin(*ids)).orderBy(F.col("last_turn_at").desc(), "id")
 
 
-def semantic(vectors: DataFrame, query: list[float], candidates: DataFrame | None = None) -> DataFrame:
-    """Rank (id, sem_rank, cosine) of vectors (id, embedding) above the least cosine; rows without a vector drop out."""
+def semantic(vectors: DataFrame, query: list[float], candidates: DataFrame | None = None, limit: int = CANDIDATES + RECENT) -> DataFrame:
+    """Rank (id, sem_rank, cosine) of the nearest vectors (id, embedding) above the least cosine; rows without a vector drop out.
+
+    The nearest are found by a distributed top-k, and only those are ranked in one task.
+    """
     rows = vectors if candidates is None else vectors.join(candidates.select("id").distinct(), "id", "left_semi")
     scored = rows.select("id", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("cosine")).where(F.col("cosine") > LEAST_COSINE)
-    return scored.withColumn("sem_rank", F.row_number().over(Window.orderBy(F.col("cosine").desc(), "id")))
+    return scored.orderBy(F.col("cosine").desc(), "id").limit(limit).withColumn("sem_rank", F.row_number().over(Window.orderBy(F.col("cosine").desc(), "id")))
 
 
 def fused(text: DataFrame, meaning: DataFrame, limit: int = 20) -> DataFrame:

@@ -128,13 +128,13 @@ SQL = {
     "recent_ids": f"WITH {MEM} SELECT id FROM v_mem WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 30 DAY ORDER BY last_turn_at DESC, id LIMIT 200",
     "pinned_memories": f"WITH {MEM} SELECT id, title, last_turn_at FROM v_mem WHERE state = 'active' AND is_pinned ORDER BY last_turn_at DESC, id LIMIT 20",
     "get_by_ids": f"WITH {MEM} SELECT id, title, state, memory_type, last_turn_at FROM v_mem WHERE id IN (3, 5, 8, 13, 21, 999999)",
-    "vector_topk": f"WITH {_SEM.format(where='')} SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS sem_rank, round(cosine, 6) AS cosine FROM sem WHERE cosine > 0.2",
+    "vector_topk": f"WITH {_SEM.format(where='')} SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS sem_rank, round(cosine, 6) AS cosine FROM sem WHERE cosine > 0.2 ORDER BY sem.cosine DESC, id LIMIT 250",
     "rrf_fusion": f"""WITH {MEM}, {_bm25(['ther'])}, ft AS (SELECT id, row_number() OVER (ORDER BY is_pinned DESC, round(bm25, 6), id) AS r FROM (SELECT * FROM hits WHERE state = 'active' ORDER BY is_pinned DESC, bm25, id LIMIT 50)),
-      {_SEM.format(where='')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2), {_RRF}
+      {_SEM.format(where='')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2 ORDER BY cosine DESC, id LIMIT 250), {_RRF}
       SELECT id, round(score, 6) AS score, match_source FROM f ORDER BY f.score DESC, fr NULLS LAST, sr, id LIMIT 20""",
     "hybrid_search": f"""WITH {MEM}, {_bm25(['inther'])}, ft AS (SELECT id, row_number() OVER (ORDER BY is_pinned DESC, bm25, id) AS r FROM (SELECT * FROM hits WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 25 DAY ORDER BY is_pinned DESC, bm25, id LIMIT 50)),
       near AS (SELECT id FROM v_mem WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 25 DAY ORDER BY last_turn_at DESC, id LIMIT 200),
-      {_SEM.format(where='WHERE e.vec_id IN (SELECT id FROM ft UNION SELECT id FROM near)')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2), {_RRF}
+      {_SEM.format(where='WHERE e.vec_id IN (SELECT id FROM ft UNION SELECT id FROM near)')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2 ORDER BY cosine DESC, id LIMIT 250), {_RRF}
       SELECT id, round(score, 6) AS score, match_source, title FROM (SELECT * FROM f ORDER BY score DESC, fr NULLS LAST, sr, id LIMIT 20) JOIN v_mem USING (id)""",
     "trace_neighbors": f"""WITH {MEM} SELECT id, repo, coalesce(array_to_string(list(id) OVER (PARTITION BY repo ORDER BY id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ','), '') AS ids_before,
       coalesce(array_to_string(list(id) OVER (PARTITION BY repo ORDER BY id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), ','), '') AS ids_after FROM v_mem WHERE state = 'active'""",
