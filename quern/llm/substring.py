@@ -236,15 +236,12 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
     """Per row: the id (or the columns to keep), n_words, n_removed and ``kept_text``: the words that stay, joined by spaces."""
     arrow_batches(docs.sparkSession)
-    names = list(dict.fromkeys(keep or [id_col]))
-    keyed = docs.select(F.col(id_col).alias("id"), *row_key(docs, id_col, text_col), F.col(text_col).alias("text"))
+    names = [c for c in dict.fromkeys(keep or [id_col]) if c != text_col]
+    # one form of the rows for every step, so that the texts are exchanged once
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("id"), *row_key(docs, id_col, text_col), F.col(text_col).alias("text"))
     spans = repeated(keyed, window, gram, hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    if names == [id_col]:
-        whole, carried = keyed, [("id", docs.schema[id_col].dataType)]
-    else:
-        whole = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"))
-        carried = [("rest", whole.schema["rest"].dataType)]
-    schema = T.StructType([*(T.StructField(n, t) for n, t in carried), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    with_text = text_col in (keep or [])
+    schema = T.StructType([keyed.schema["id"], *[T.StructField("text", T.StringType())] * with_text, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def remove(batches):
         for batch, texts in pieces(batches, "text"):
@@ -258,7 +255,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n.append(len(part))
                 gone.append(len(part) - int(stay.sum()))
                 kept.append(b" ".join(part if not gone[-1] else [part[i] for i in np.flatnonzero(stay).tolist()]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(carried[0][0]), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+            arrays = [batch.column("id"), *[batch.column("text")] * with_text, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    out = whole.join(spans, ["k1", "k2"], "left").select(carried[0][0], "text", "spans").mapInArrow(remove, schema)
-    return out.withColumnRenamed("id", id_col) if names == [id_col] else out.select("rest.*", "n_words", "n_removed", "kept_text")
+    out = keyed.join(spans, ["k1", "k2"], "left").select("id", "text", "spans").mapInArrow(remove, schema)
+    return out.select(*[F.col("text" if c == text_col else f"id.`{c}`").alias(c) for c in keep or [id_col]], "n_words", "n_removed", "kept_text")
