@@ -164,4 +164,12 @@ SQL = {
       SELECT 'documents-embeddings', count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'orders-customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
     "diagnose_stats": f"""{TURNS}, {MEM}, {JOBS}, {TOPICS} SELECT 'turns' AS metric, count(*) AS n FROM turns UNION ALL SELECT 'memories', count(*) FROM v_mem UNION ALL SELECT 'pinned', count(*) FROM v_mem WHERE is_pinned
       UNION ALL SELECT 'pending_jobs', count(*) FROM v_jobs WHERE state = 'pending' UNION ALL SELECT 'topics', count(*) FROM v_topics""",
+    "turns_by_ids": f"{TURNS} SELECT session_id || '#' || turn_no AS turn_id, started_at FROM turns WHERE turn_no % 4 = 1",
+    "session_turns": f"{TURNS} SELECT session_id || '#' || turn_no AS turn_id, turn_no AS seq, ended FROM turns WHERE session_id = '7' ORDER BY turn_no DESC LIMIT 5",
+    "turn_events": f"{ATTR} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS event_seq, hook FROM t WHERE session_id = '7' AND turn_no = 2",
+    "turn_event_counts": f"{TURNS} SELECT session_id, turn_no, n_events AS n FROM turns",
+    "topic_lookup": f"WITH {TOPICS} SELECT scope_key, canonical_label, memory_count FROM v_topics WHERE scope_key = 'Brand#2' AND canonical_label = 'small ring'",
+    "turns_with_memory": f"{TURNS} SELECT CASE WHEN ended = 'stopped' AND turn_no % 2 = 0 THEN 'archived' ELSE ended END AS ended, ended = 'stopped' AS has_memory, count(*) AS n FROM turns GROUP BY 1, 2",
+    "observation_text": f"WITH {MEM} SELECT id, concat_ws(chr(10), nullif(title, ''), nullif(repo, ''), CASE WHEN id % 2 = 0 THEN memory_type || '; ' || state END, nullif(topic, '')) AS search_text FROM v_mem",
+    "vector_codec": "SELECT vec_id AS id, true AS same, 4 * len(embedding) AS n_bytes FROM embeddings",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import artifacts, context, ingest, jobs, memory, search, topics, trace
+from quern.operators import artifacts, context, ingest, jobs, lookup, memory, search, topics, trace
 from quern.sources import fixtures, provider
 
 COLUMNS = ["title", "summary"]
@@ -452,3 +452,56 @@ def diagnose_stats(spark, d):
     for df, n in ((m, "memories"), (m.where("is_pinned"), "pinned"), (j.where("state = 'pending'"), "pending_jobs"), (_topics(spark, d), "topics")):
         out = out.unionByName(one(df, n))
     return out
+
+
+def _turn_rows(spark, d) -> DataFrame:
+    t = ingest.turns(_turned(spark, d))
+    return t.withColumn("turn_id", F.concat_ws("#", "session_id", F.col("turn_no").cast("string"))).withColumn("seq", F.col("turn_no").cast("long"))
+
+
+@query
+def turns_by_ids(spark, d):
+    t = _turn_rows(spark, d)
+    asked = t.where("turn_no % 4 = 1").select("turn_id")
+    return lookup.turns_by_ids(t, asked.unionByName(asked)).select("turn_id", "started_at")
+
+
+@query
+def session_turns(spark, d):
+    return lookup.turns_of_session(_turn_rows(spark, d), "7", 5).select("turn_id", "seq", "ended")
+
+
+@query
+def turn_events(spark, d):
+    return lookup.events_of_turn(ingest.event_sequence(_turned(spark, d)), "7", 2).select("event_id", F.col("event_seq").cast("long").alias("event_seq"), "hook")
+
+
+@query
+def turn_event_counts(spark, d):
+    return lookup.event_counts(_turned(spark, d)).select("session_id", F.col("turn_no").cast("long").alias("turn_no"), "n")
+
+
+@query
+def topic_lookup(spark, d):
+    return lookup.topic_by_scope(_topics(spark, d), "Brand#2", "small ring").select("scope_key", "canonical_label", "memory_count")
+
+
+@query
+def turns_with_memory(spark, d):
+    t = _turn_rows(spark, d)
+    flagged = lookup.with_memory_flag(t, t.where("ended = 'stopped'").select("turn_id"))
+    return lookup.moved(flagged, t.where("ended = 'stopped' and turn_no % 2 = 0").select("turn_id"), "ended", "archived").groupBy("ended", "has_memory").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def observation_text(spark, d):
+    m = _mem(spark, d)
+    facts = F.when(F.col("id") % 2 == 0, F.array("memory_type", "state")).otherwise(F.array().cast("array<string>"))
+    return m.select("id", lookup.observation_text(F.col("title"), F.col("repo"), facts, F.array("topic")).alias("search_text"))
+
+
+@query
+def vector_codec(spark, d):
+    v = _vectors(spark, d)
+    back = lookup.vector_from_bytes(lookup.vector_to_bytes(F.col("embedding")))
+    return v.select("id", (back == F.col("embedding")).alias("same"), F.octet_length(lookup.vector_to_bytes(F.col("embedding"))).cast("long").alias("n_bytes"))

@@ -88,7 +88,10 @@ def replies(rows: DataFrame, prompt: Column, provider: Provider, system: str = S
 
         return pa.array([one(p) for p in prompts.to_pylist()], pa.string())
 
-    return rows.withColumn("reply", parsed_reply(ask(prompt), schema))
+    # the condition always holds; it keeps the prompt, which may hold lambdas, out of the call's own projection
+    asked = rows.withColumn("_asked", F.when(F.monotonically_increasing_id() >= 0, prompt))
+    said = asked.withColumn("_said", ask.asNondeterministic()(F.col("_asked")))  # asked once, wherever the reply is read
+    return said.withColumn("reply", parsed_reply(F.col("_said"), schema)).drop("_asked", "_said")
 
 
 def embedded(rows: DataFrame, text: Column, dimensions: int = 384) -> DataFrame:
