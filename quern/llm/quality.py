@@ -75,11 +75,16 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         covered.cast("long").alias("_rep"),
         F.size(F.filter("_h", lambda h: h.isin(*[F.xxhash64(F.lit(w)) for w in stops]))).alias("_stop"),
     )
+
+    def computed(x: Column) -> Column:
+        """Keeps a later filter on this measure from being copied, with all that it needs, below the projections."""
+        return F.when(F.monotonically_increasing_id() >= 0, x)
+
     n, n_lines = F.col("_n").cast("double"), F.size("_lines")
     dup = n_lines - F.size(F.array_distinct("_lines"))
     out = {
-        "n_words": F.col("_n").cast("long"), "word_chars": F.col("_chars"), "n_symbols": F.col("_symbols"),
-        "n_dup_lines": dup.cast("long"), "n_repeat_words": F.col("_rep"),
+        "n_words": computed(F.col("_n").cast("long")), "word_chars": F.col("_chars"), "n_symbols": F.col("_symbols"),
+        "n_dup_lines": dup.cast("long"), "n_repeat_words": computed(F.col("_rep")),
         "mean_word_chars": _ratio(F.col("_chars"), n), "symbol_word_ratio": _ratio(F.col("_symbols"), n),
         "stop_word_ratio": _ratio(F.col("_stop"), n), "dup_line_ratio": _ratio(dup, n_lines), "repeat_word_ratio": _ratio(F.col("_rep"), n),
     }
