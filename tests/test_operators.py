@@ -221,3 +221,25 @@ def test_store(spark, tmp_path, mem):
     assert {r.metric: r.n for r in s.diagnose().collect()} == {"turns": 1, "memories": 6, "pinned": 2, "pending_jobs": 0, "topics": 0}
     s.views()
     assert spark.sql("select count(*) as n from memories where is_pinned").first().n == 2
+
+
+def test_lists_and_lookups(spark):
+    from quern.operators import lookup
+
+    t = spark.createDataFrame([(1, "s", 1, at(5)), (2, "s", 2, at(3)), (3, "r", 1, at(4))], "turn_id bigint, session_id string, seq bigint, started_at timestamp_ntz")
+    asked = spark.createDataFrame([(1,), (1,), (2,), (None,), (77,)], "turn_id bigint")
+    assert [r.turn_id for r in lookup.turns_by_ids(t, asked).collect()] == [2, 1] and [r.turn_id for r in lookup.turns_of_session(t, "s", 1).collect()] == [2]
+    links = spark.createDataFrame([(9, 2, 2), (9, 1, 1), (8, 3, 1)], "memory_id bigint, turn_id bigint, ordinal bigint")
+    assert [r.turn_id for r in lookup.links_of_memory(links, 9).collect()] == [1, 2]
+    flagged = {r.turn_id: r.has_memory for r in lookup.with_memory_flag(t, links.where("memory_id = 9")).collect()}
+    assert flagged == {1: True, 2: True, 3: False}
+    v = spark.createDataFrame([(1, [0.5, -1.25]), (2, None)], "id int, e array<float>")
+    assert [r.x for r in v.select("id", lookup.vector_from_bytes(lookup.vector_to_bytes(F.col("e"))).alias("x")).orderBy("id").collect()] == [[0.5, -1.25], None]
+
+
+def test_text_queries_hold_at_scale_edges(spark, mem):
+    """Empty tables give no rows, whatever the operator."""
+    none = mem.limit(0)
+    assert search.full_text(none, "auth", ["title"]).count() == 0 and search.recent(none).count() == 0 and search.pinned(none).count() == 0
+    e = spark.createDataFrame([], EVENTS)
+    assert ingest.turns(ingest.attributed(e)).count() == 0 and artifacts.artifacts(ingest.attributed(e)).count() == 0 and ingest.sessions(e).count() == 0
