@@ -80,6 +80,8 @@ def test_quality(spark, docs, rows, none):
     assert quality.apply_rules(none).count() == 0
     clash = docs.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("extra", F.lit(None).cast("string"))
     assert by_id(quality.apply_rules(clash))[24].n_words == 700
+    odd = docs.withColumns({c: F.lit("mine") for c in ("_t", "_W", "_n", "fails")})
+    assert by_id(quality.apply_rules(odd))[24][:] and by_id(quality.apply_rules(odd))[24]["_t"] == "mine"
 
 
 def test_quality_plan_is_native(docs):
@@ -104,7 +106,7 @@ def test_language(spark, tiny):
 def test_language_edges(spark, docs, none, rows):
     model = langid.train(docs)
     assert model.languages == ["en", "fr"]
-    got = by_id(langid.predict(docs.withColumn("score", F.lit("x")), model))
+    got = by_id(langid.predict(docs.withColumn("score", F.lit("x")).withColumn("_text", F.lit(1)), model))
     assert {i for i, r in got.items() if r.lang_pred == "und"} == {8, 9, 10}
     assert langid.predict(none, model).count() == 0
     empty = langid.train(none)
