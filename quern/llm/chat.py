@@ -6,60 +6,66 @@ first k turns is the hash of the k-turn prefix, so prefix hashes need running
 aggregates only. A conversation stays if no longer one has its full hash among
 its prefixes (left anti-join); of equal ones the smallest id stays.
 
-The running aggregate is taken in chunks of turn numbers and carried over by
-chunk totals, so one conversation with very many turns is spread over tasks.
+Only hashes are shuffled to find the maximal conversations; texts move once, to be
+joined. The running aggregate is taken in chunks of turn numbers and carried over
+by chunk totals, so one conversation with very many turns is spread over tasks.
 
 Repeated rows (equal id, turn, role and text) count once. Turns are ordered by
-turn, role, text, null turns first; null role and text render as empty, yet null
-and empty differ in the hash. A null conversation id is a conversation like any
-other. Extra columns are ignored.
+turn, role and a hash of the text, nulls first; null role and text render as empty,
+yet null and empty differ in the hash. A null conversation id is a conversation
+like any other. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turn numbers that one chunk of the running aggregate spans.
 CHUNK = 256
 
 
-def _turns(rows: DataFrame) -> DataFrame:
-    """Each distinct turn with its place (from 1) in its conversation and the hash of the prefix that it ends."""
-    distinct = rows.groupBy(F.col("conv_id").alias("conv"), "turn", "role", "text").agg(F.lit(1).alias("_one"))
-    chunked = distinct.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
-    inside = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    counted = chunked.withColumn("at", F.row_number().over(inside))
-    before = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counted.groupBy("conv", "chunk").agg(F.max("at").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = counted.alias("t").join(sizes.alias("s"), F.expr("t.conv <=> s.conv and t.chunk = s.chunk")).select("t.conv", "t.chunk", "t.turn", "t.role", "t.text", (F.col("t.at") + F.col("s.skip")).alias("at"))
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+def _content(k: int) -> Column:
+    """Hash of a turn's role and text; a null differs from an empty text."""
     nulls = F.col("role").isNull().cast("int") + 2 * F.col("text").isNull().cast("int")
-    hashed = placed.withColumns({f"h{k}": F.xxhash64(F.lit(k), "at", nulls, role, F.lit("\0"), text) for k in (1, 2)})
+    return F.xxhash64(F.lit(k), nulls, F.coalesce("role", F.lit("")), F.lit("\0"), F.coalesce("text", F.lit("")))
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """Each distinct turn's place (from 1) in its conversation and the hash (p1, p2) of the prefix that it ends."""
+    turns = rows.select(F.col("conv_id").alias("conv"), "turn", "role", _content(1).alias("c1"), _content(2).alias("c2")).distinct()
+    chunked = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(2**62))))
+    inside = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "c1", "c2")
+    before = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counted = chunked.withColumn("i", F.row_number().over(inside)).select("conv", "chunk", "i", "c1", "c2")
+    sizes = counted.groupBy("conv", "chunk").agg(F.max("i").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    same = F.expr("t.conv <=> s.conv and t.chunk = s.chunk")
+    placed = counted.alias("t").join(sizes.alias("s"), same).select("t.conv", "t.chunk", "t.c1", "t.c2", (F.col("t.i") + F.col("s.skip")).alias("at"))
+    hashed = placed.select("conv", "chunk", "at", *[F.xxhash64("at", f"c{k}").alias(f"h{k}") for k in (1, 2)])
     run = Window.partitionBy("conv", "chunk").orderBy("at")
-    within = hashed.withColumns({f"p{k}": F.expr(f"bit_xor(h{k})").over(run) for k in (1, 2)})
+    within = hashed.select("conv", "chunk", "at", *[F.expr(f"bit_xor(h{k})").over(run).alias(f"p{k}") for k in (1, 2)])
     totals = hashed.groupBy("conv", "chunk").agg(*[F.expr(f"bit_xor(h{k})").alias(f"x{k}") for k in (1, 2)])
-    carried = totals.withColumns({f"x{k}": F.coalesce(F.expr(f"bit_xor(x{k})").over(before), F.lit(0).cast("long")) for k in (1, 2)})
-    joined = within.alias("t").join(carried.alias("c"), F.expr("t.conv <=> c.conv and t.chunk = c.chunk"))
-    return joined.select("t.conv", "t.at", "t.role", "t.text", *[F.col(f"t.p{k}").bitwiseXOR(F.col(f"c.x{k}")).alias(f"p{k}") for k in (1, 2)])
+    carried = totals.select("conv", "chunk", *[F.coalesce(F.expr(f"bit_xor(x{k})").over(before), F.lit(0).cast("long")).alias(f"x{k}") for k in (1, 2)])
+    return within.alias("t").join(carried.alias("s"), same).select("t.conv", "t.at", *[F.col(f"t.p{k}").bitwiseXOR(F.col(f"s.x{k}")).alias(f"p{k}") for k in (1, 2)])
 
 
-def maximal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conversation id and length of each maximal conversation, all placed turns)."""
-    turns = _turns(rows)
-    # the full hash of a conversation is that of its last turn, so the longest prefix has it
-    whole = turns.groupBy("conv").agg(F.max(F.struct("at", "p1", "p2")).alias("e")).select("conv", F.col("e.at").alias("n_turns"), "e.p1", "e.p2")
+def maximal(rows: DataFrame) -> DataFrame:
+    """conv, n_turns and n_equal (conversations equal to it) of each maximal conversation."""
+    found = prefixes(rows)
+    # the full hash of a conversation is that of its last turn, which the longest prefix has
+    whole = found.groupBy("conv").agg(F.max(F.struct("at", "p1", "p2")).alias("e")).select("conv", F.col("e.at").alias("n_turns"), "e.p1", "e.p2")
     longest = whole.groupBy("n_turns", "p1", "p2").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_equal"))
-    lengths = whole.select(F.col("conv").alias("c2"), F.col("n_turns").alias("n2"))
-    proper = turns.join(lengths, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("at") < F.col("n2"))).groupBy("at", "p1", "p2").agg(F.lit(1).alias("_one")).select(F.col("at").alias("n_turns"), "p1", "p2")
-    return longest.join(proper, ["n_turns", "p1", "p2"], "left_anti"), turns
+    ends = whole.select(F.col("conv").alias("c2"), F.col("n_turns").alias("n2"))
+    proper = found.join(ends, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("at") < F.col("n2"))).select(F.col("at").alias("n_turns"), "p1", "p2").distinct()
+    return longest.join(proper, ["n_turns", "p1", "p2"], "left_anti").select("conv", "n_turns", "n_equal")
 
 
 def render(rows: DataFrame) -> DataFrame:
     """One row for each maximal conversation: its turns as ``<|role|>\\ntext<|end|>\\n``, joined in order."""
-    kept, turns = maximal(rows)
-    k = kept.select(F.col("conv").alias("c2"), "n_turns", "n_equal")
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    mine = turns.join(k, F.col("conv").eqNullSafe(F.col("c2"))).select("conv", "n_turns", "n_equal", F.struct("at", line.alias("line")).alias("x"))
-    out = mine.groupBy("conv", "n_turns", "n_equal").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "").alias("rendered"))
-    return out.select(F.col("conv").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.col("n_equal").cast("long").alias("n_copies"), "rendered")
+    kept = maximal(rows)
+    mine = rows.select("conv_id", "turn", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("conv")))
+    # a set drops repeated rows; its order is that of the places
+    turns = F.sort_array(F.collect_set(F.struct("turn", "role", _content(1).alias("c1"), _content(2).alias("c2"), "text")))
+    line = lambda x: F.concat(F.lit("<|"), F.coalesce(x["role"], F.lit("")), F.lit("|>\n"), F.coalesce(x["text"], F.lit("")), F.lit("<|end|>\n"))
+    out = mine.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.first("n_equal").alias("n_copies"), turns.alias("turns"))
+    return out.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), F.array_join(F.transform("turns", line), "").alias("rendered"))
