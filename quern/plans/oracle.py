@@ -94,7 +94,7 @@ SQL = {
     "redact_text": "SELECT doc_id, 'a [REDACTED] b [REDACTED] <private>open ' || lang AS redacted FROM documents",
     "redact_json": """SELECT event_id, '{"<private>k</private>":"a[REDACTED]b","n":[' || event_id || ',"[REDACTED]"],"p":' || replace(props, ': ', ':') || '}' AS redacted FROM events""",
     "payload_bytes": "SELECT doc_id, strlen(text) AS n_bytes FROM documents",
-    "turn_artifacts": f"{_TOOLS} SELECT session_id, turn_no, coalesce(a1.v, '') AS tool_names, coalesce(a2.v, '') AS files_touched, coalesce(a3.v, '') AS commands, coalesce(a4.v, '') AS error_signals, 0 AS n_facts, event_count, total_payload_bytes {_ARTS}",
+    "turn_artifacts": f"{_TOOLS} SELECT session_id, turn_no, coalesce(a1.v, '') AS tool_names, coalesce(a2.v, '') AS files_touched, coalesce(a3.v, '') AS commands, coalesce(a4.v, '') AS error_signals, CAST(0 AS BIGINT) AS n_facts, event_count, total_payload_bytes {_ARTS}",
     "turn_prompts": f"""{_TOOLS} SELECT session_id, turn_no, 'Prompt: ' || session_id || chr(10) || 'Tools: ' || coalesce(a1.p, 'none') || chr(10) || 'Files: ' || coalesce(a2.p, 'none') || chr(10)
       || 'Commands: ' || coalesce(a3.p, 'none') || chr(10) || 'Errors: ' || coalesce(a4.p, 'none') AS prompt {_ARTS}""",
     "scope_key": f"WITH {MEM} SELECT id, CASE WHEN repo IS NOT NULL THEN CASE WHEN id % 5 = 0 THEN '/r/' ELSE '/' END || repo WHEN id % 3 <> 0 THEN 'cwd:' || cwd_scope ELSE '__global__' END AS scope FROM v_mem",
@@ -156,7 +156,7 @@ SQL = {
     "jobs_by_state": f"WITH {JOBS} SELECT id, priority, available_at FROM v_jobs WHERE state = 'succeeded' ORDER BY priority, available_at, id LIMIT 50",
     "embedding_text": f"""WITH {MEM} SELECT id, concat_ws(chr(10), nullif(title, ''), nullif(substr(summary, 41, 60), ''), CASE WHEN id % 2 = 0 THEN nullif(repo, '') END, CASE WHEN id % 3 = 0 THEN memory_type || ', ' || state END) AS embedding_text FROM v_mem""",
     "reply_defaults": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 't' || doc_id ELSE 'Untitled turn' END AS title, CASE doc_id % 4 WHEN 1 THEN 's' ELSE '' END AS summary, CAST(NULL AS VARCHAR) AS learned, CASE doc_id % 4 WHEN 3 THEN 'n' END AS next_steps,
-      CASE doc_id % 4 WHEN 0 THEN 'bugfix' ELSE 'change' END AS memory_type, CASE doc_id % 4 WHEN 3 THEN 'x,y' ELSE '' END AS concepts, CASE doc_id % 4 WHEN 0 THEN 't' || doc_id WHEN 1 THEN 'c ' || lang WHEN 3 THEN 'x' ELSE 'Untitled turn' END AS topic_candidate, CASE doc_id % 4 WHEN 0 THEN 0.9 ELSE 0.5 END AS confidence_score FROM documents""",
+      CASE doc_id % 4 WHEN 0 THEN 'bugfix' ELSE 'change' END AS memory_type, CASE doc_id % 4 WHEN 3 THEN 'x,y' ELSE '' END AS concepts, CASE doc_id % 4 WHEN 0 THEN 't' || doc_id WHEN 1 THEN 'c ' || lang WHEN 3 THEN 'x' ELSE 'Untitled turn' END AS topic_candidate, CAST(CASE doc_id % 4 WHEN 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence_score FROM documents""",
     "claimable_turns": f"{TURNS} SELECT session_id || '#' || turn_no AS turn_id FROM turns WHERE ended <> 'open' AND turn_no % 3 <> 0",
     "upsert_latest": f"WITH {EVENTS} SELECT session_id, tool_name, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tool_name ORDER BY ts DESC, event_id DESC) AS r FROM v_events) WHERE r = 1",
     "sparse_update": f"WITH {MEM} SELECT id, CASE WHEN id % 4 = 0 THEN '' ELSE title END AS title, CASE WHEN id % 6 = 0 THEN 'new' ELSE repo END AS repo FROM v_mem",
