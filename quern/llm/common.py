@@ -7,6 +7,7 @@ blocks are cut at separators, so a text of any length gives the same words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -137,9 +138,20 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches, column: str, most: int = 4 * BLOCK):
     """Batches cut so that a piece holds at most ``most`` bytes of text, or one row."""
-    for batch in batches:
+    for k, batch in enumerate(batches):
+        if k % 4 == 3:
+            give_back()
         n = batch.num_rows
         if not n:
             continue

@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """The stored sketch of each row: class key, set size, bands and 8-bit signature (null for an empty set)."""
 
     def run(batches):
-        for batch, texts in pieces(batches, "text", 1 << 20):
+        for batch, texts in pieces(batches, "text", 1 << 19):
             sets = shingle_sets(texts, size)
             sig = superminhash(sets)
             bands = band_keys(sig).astype(np.int64)
