@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import arrow_batches
+
 #: HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -241,5 +243,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    arrow_batches(pages.sparkSession)
     picked = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return picked.mapInArrow(run, f"page_id {ids}, url {urls}, text string, n_chars bigint")

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.common import arrow_batches, give_back
+
 BUCKETS = 1 << 14
 #: Most labelled texts that the classifier is fitted on, chosen by a hash of the text.
 SAMPLE = 4000
@@ -81,9 +83,9 @@ class Model:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled texts: counts per language are summed over the executors."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    # only hashes are sorted; the texts below the cut-off hash are read where they are
+    # only hashes are sorted, each once, so that copies don't fill the sample; the texts up to the last hash are read where they are
     keyed = rows.withColumn("_h", F.xxhash64("text"))
-    cut = keyed.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    cut = keyed.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
     if cut is None:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
     chosen = keyed.where(F.col("_h") <= cut).dropDuplicates(["_h", "lang"]).select("text", "lang")
@@ -111,13 +113,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or the columns to keep) with ``lang_pred`` and ``score``."""
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         m = shared.value
-        for batch in batches:
-            pairs = [m.predict(t.as_py()) for t in batch.column("_text")]
+        for k, batch in enumerate(batches):
+            if k % 4 == 3:
+                give_back()
+            pairs = [m.predict(t.as_py()) for t in batch.column("__langid_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__langid_text")).mapInArrow(run, schema)
