@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from quern.llm.common import NON_ALNUM, arrow_batches, pieces, stored, words
 
 #: Bytes of item text in one broadcast block.
-ITEM_BYTES = 8 << 20
+ITEM_BYTES = 1 << 20
 #: Bytes of document text in one index shard (a longer document is a shard of its own).
 SHARD_BYTES = 1 << 19
 
