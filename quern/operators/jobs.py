@@ -17,9 +17,10 @@ from quern.functions.text import backoff
 def enqueued(jobs: DataFrame, new: DataFrame) -> DataFrame:
     """The new jobs to add: a key seen before, in any state, blocks its job type for good; a null key never does."""
     first = Window.partitionBy("job_type", "dedupe_key").orderBy("id")
-    once = new.withColumn("_r", F.row_number().over(first)).where("_r = 1 or dedupe_key is null").drop("_r")
+    free, keyed = new.where("dedupe_key is null"), new.where("dedupe_key is not null")  # apart: null keys would be one large group
+    once = keyed.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     seen = jobs.where("dedupe_key is not null").select("job_type", "dedupe_key").distinct()
-    return once.join(seen, ["job_type", "dedupe_key"], "left_anti").select(*new.columns)
+    return once.join(seen, ["job_type", "dedupe_key"], "left_anti").select(*new.columns).unionByName(free)
 
 
 def due(jobs: DataFrame, as_of, slots: int) -> DataFrame:

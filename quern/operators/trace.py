@@ -14,12 +14,27 @@ def sources(links: DataFrame, turns: DataFrame) -> DataFrame:
     return links.select("memory_id", "turn_id").distinct().join(turns.select("turn_id", *rest, *(["prompt_text"] if cut else [])), "turn_id").withColumn("ordinal", F.row_number().over(order)).select("memory_id", "turn_id", "ordinal", *rest, *cut)
 
 
-def neighbours(memories: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
-    """For every memory at once: the ids just before and after it in its repository (null is one of its own)."""
-    order = Window.partitionBy("repo").orderBy("id")
+def neighbours(memories: DataFrame, before: int = 3, after: int = 3, chunk: int = 1 << 16) -> DataFrame:
+    """For every memory at once: the ids just before and after it in its repository (null is one of its own).
+
+    Windows run over chunks of ids, so a very large repository is spread over tasks;
+    the ids at the ends of the chunks nearby complete those at a chunk's edge.
+    """
     live = memories.where("state = 'active'") if "state" in memories.columns else memories
-    ids = lambda a, b: F.collect_list("id").over(order.rowsBetween(a, b))
-    return live.select("id", "repo", ids(-before, -1).alias("ids_before"), ids(1, after).alias("ids_after"))
+    rows = live.select("id", "repo", F.floor(F.col("id") / chunk).alias("_chunk"))
+    order = Window.partitionBy("repo", "_chunk").orderBy("id")
+    near = lambda a, b: F.collect_list("id").over(order.rowsBetween(a, b))
+    inside = rows.select("id", "repo", "_chunk", near(-before, -1).alias("_b"), near(1, after).alias("_a"))
+    ids = F.sort_array(F.collect_list("id"))  # of one chunk
+    ends = rows.groupBy("repo", "_chunk").agg(F.slice(ids, 1, after).alias("_first"), F.slice(F.reverse(ids), 1, before).alias("_last"))
+    # a chunk has at least one id, so as many chunks as ids are enough
+    line = Window.partitionBy("repo").orderBy("_chunk")
+    nearby = lambda c, a, b: F.flatten(F.collect_list(c).over(line.rowsBetween(a, b)))
+    edges = ends.select("repo", "_chunk", F.sort_array(nearby("_last", -before, -1)).alias("_p"), F.sort_array(nearby("_first", 1, after)).alias("_n"))
+    both = inside.alias("i").join(edges.alias("e"), F.expr("i.repo <=> e.repo and i._chunk = e._chunk"))
+    all_before, all_after = F.concat("e._p", "i._b"), F.concat("i._a", "e._n")
+    tail = F.slice(all_before, F.greatest(F.size(all_before) - before + 1, F.lit(1)), before)
+    return both.select("i.id", "i.repo", tail.alias("ids_before"), F.slice(all_after, 1, after).alias("ids_after"))
 
 
 def trace(memories: DataFrame, links: DataFrame, turns: DataFrame, memory_id: int, before: int = 3, after: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

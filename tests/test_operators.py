@@ -243,3 +243,15 @@ def test_text_queries_hold_at_scale_edges(spark, mem):
     assert search.full_text(none, "auth", ["title"]).count() == 0 and search.recent(none).count() == 0 and search.pinned(none).count() == 0
     e = spark.createDataFrame([], EVENTS)
     assert ingest.turns(ingest.attributed(e)).count() == 0 and artifacts.artifacts(ingest.attributed(e)).count() == 0 and ingest.sessions(e).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1 << 16])
+def test_neighbours_over_chunks(spark, chunk):
+    from quern.operators import trace
+
+    rows = [(i, "r" if i % 3 else None) for i in (0, 1, 2, 3, 5, 8, 13, 14, 15, 16, 40, 41, 99, 100)]
+    got = {r.id: (r.ids_before, r.ids_after) for r in trace.neighbours(spark.createDataFrame(rows, "id bigint, repo string"), chunk=chunk).collect()}
+    for i, repo in rows:
+        same = [k for k, x in rows if x == repo]
+        at = same.index(i)
+        assert got[i] == (same[max(0, at - 3) : at], same[at + 1 : at + 4])
