@@ -65,28 +65,30 @@ class Block:
         self.path, self.bad, self.text, self.linked = path, bad, text, linked
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+def _furniture(tag: str, attributes: str) -> int:
+    """2: furniture by element or role; 1: by a word of its class or id; 0: none."""
     if tag in FURNITURE:
-        return True
+        return 2
     if "=" not in attributes:
-        return False
+        return 0
+    marked = 0
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role":
             if value.strip() in ROLES:
-                return True
+                return 2
         elif name == "aria-hidden":
             if value == "true":
-                return True
+                return 2
         elif tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_TOKENS.findall(value)):
-            return True
-    return False
+            marked = 1
+    return marked
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order, with white space turned into single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label in the path, furniture
+    stack: list[tuple[str, str, int]] = []  # tag, label in the path, furniture
     parts: list[str] = []
     linked = 0
 
@@ -96,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             text = _GAP.sub(" ", "".join(parts)).strip()
             if text:
                 path = tuple(label for tag, label, _ in stack if tag not in INLINE)
-                out.append(Block(path, any(bad for *_, bad in stack), text, linked))
+                out.append(Block(path, max((bad for *_, bad in stack), default=0), text, linked))
             parts.clear()
         linked = 0
 
@@ -204,11 +206,13 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by line feeds."""
     if not page:
         return ""
-    found = [b for b in blocks(page) if not b.bad]
-    if not found:
-        return ""
-    chosen = content_paths(found)
-    if not chosen:
+    every = blocks(page)
+    for worst in (0, 1):  # if words of classes exclude all content, they mean something else on this page
+        found = [b for b in every if b.bad <= worst]
+        chosen = content_paths(found) if found else set()
+        if chosen:
+            break
+    else:
         return ""
     for tag in ("article", "main"):  # a marked article that holds content is the container
         inside = [p for p in chosen if tag in p]

@@ -346,6 +346,10 @@ def test_html():
     assert html_text.main_text(page + body) == "Head & co\nFirst, one.\nSecond two, three <x>.\nS."
     plain = "<body><div class=menu><a>a</a></div><div class=content><h2>Title</h2><p>" + "Some text, with marks. " * 9 + "</p><p>Short.</p><p>" + "More text, and more. " * 9 + "</p></div><div class=footer>x</div></body>"
     assert html_text.main_text(plain).split("\n")[::2] == ["Title", "Short."]
+    marked = "<body><nav>m</nav><div class='page with-sidebar'><p>" + "Some text, with marks. " * 5 + "</p><p>End.</p></div></body>"
+    assert html_text.main_text(marked).endswith("\nEnd.")
+    parts = "<body><article><header><p>By me, today.</p></header><section><p>" + "One, two. " * 9 + "</p></section><ul><li>Item, a.</li></ul><div class=comments><p>" + "No, never. " * 30 + "</p></div><blockquote><p>Quote.</p></blockquote></article></body>"
+    assert html_text.main_text(parts).split("\n")[1:] == ["Item, a.", "Quote."]
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
     assert html_text.main_text("<p>" * 50_000 + "x, y." + "<" * 1000).startswith("x, y.")
 
