@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import SPACE, Words, arrow_batches, discard, pieces, row_key, stored, windows, words
+from quern.llm.common import SPACE, Words, arrow_batches, discard, give_back, pieces, row_key, stored, windows, words
 
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor that are gathered in one shard step, at most.
 HOT = 1 << 15
+#: Bytes of passages that one automaton step holds, or one anchor's.
+STEP_BYTES = 2 << 20
 
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -187,13 +189,14 @@ def _located(batches, window: int):
     for batch in batches:
         t = pa.Table.from_batches([batch])
         held = pa.concat_tables([held, t]) if held is not None else t
-        if held.nbytes < 4 << 20:
+        if held.nbytes < STEP_BYTES:
             continue
         a = held.column("a").to_numpy()
         cut = int(np.searchsorted(np.cumsum(np.diff(a, prepend=a[0]) != 0), int((np.diff(a) != 0).sum())))
         if cut:
             yield _step(held.slice(0, cut), window)
             held = held.slice(cut)
+            give_back()
     if held is not None and held.num_rows:
         yield _step(held, window)
 
