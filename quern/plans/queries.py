@@ -109,7 +109,7 @@ def stream_turns(spark, d):
 
 @query
 def redact_text(spark, d):
-    tagged = F.concat(F.lit("a <private>"), F.substring("text", 1, 30), F.lit("</PRIVATE> b <Private>x\ny</private> <private>open "), F.col("lang"))
+    tagged = F.concat(F.lit("a <private>"), F.col("text"), F.lit("</PRIVATE> b <Private>x\ny</private> <private>open "), F.col("lang"))
     return fixtures.table(spark, d, "documents").select("doc_id", X.strip_private(tagged).alias("redacted"))
 
 
