@@ -395,7 +395,7 @@ def embedding_text(spark, d):
     m = _mem(spark, d)
     learned = F.when(F.col("id") % 2 == 0, F.col("repo")).otherwise("")
     concepts = F.when(F.col("id") % 3 == 0, F.array("memory_type", "state")).otherwise(F.array().cast("array<string>"))
-    return m.select("id", X.embedding_text(F.col("title"), F.substring("summary", 41, 60), learned, concepts).alias("embedding_text"))
+    return m.select("id", X.embedding_text(F.col("title"), F.col("summary"), learned, concepts).alias("embedding_text"))
 
 
 @query

@@ -20,3 +20,8 @@ def test_redaction_reaches_tags_behind_the_first_characters(spark, long_texts):
     got = {r.doc_id: r.redacted for r in QUERIES["redact_text"](spark, long_texts).collect()}
     assert got[0] == "a [REDACTED] tail\n[REDACTED] end " + "y" * 200 + "</PRIVATE> b [REDACTED] <private>open en"
     assert got[1] == "a [REDACTED] b [REDACTED] <private>open fr"
+
+
+def test_embedding_text_has_the_whole_summary(spark, long_texts):
+    got = {r.id: r.embedding_text for r in QUERIES["embedding_text"](spark, long_texts).collect()}
+    assert got == {0: "\n".join([LONG[:40], LONG, "decision, active"]), 1: "short\nshort"}
