@@ -18,6 +18,8 @@ from quern.functions.text import ascii_lower, cosine, reciprocal_rank
 K1, B = 1.2, 0.75
 RRF_K, LEAST_COSINE = 60, 0.2
 CANDIDATES, RECENT = 50, 200
+#: Ranges that a ranking of a whole table is cut into, at most, and the rows from which another range is worth it.
+RANGES, RANGE = 64, 1024
 
 
 def filtered(memories: DataFrame, kind: str | None = None, repo: str | None = None, cwd: str | None = None, days: float | None = None, as_of=None) -> DataFrame:
@@ -206,14 +208,37 @@ def by_ids(memories: DataFrame, ids: list[int]) -> DataFrame:
     return memories.where(F.col("id").isin(*ids)).orderBy(F.col("last_turn_at").desc(), "id")
 
 
-def semantic(vectors: DataFrame, query: list[float], candidates: DataFrame | None = None, limit: int = CANDIDATES + RECENT) -> DataFrame:
-    """Rank (id, sem_rank, cosine) of the nearest vectors (id, embedding) above the least cosine; rows without a vector drop out.
+def semantic(vectors: DataFrame, query: list[float], candidates: DataFrame | None = None) -> DataFrame:
+    """Rank (id, sem_rank, cosine) of every vector (id, embedding) above the least cosine; rows without a vector drop out.
 
-    The nearest are found by a distributed top-k, and only those are ranked in one task.
+    Candidates are a bounded list, ranked in one task. A whole table is cut into ranges
+    that are ranked each on its own, from the number of rows in the ranges before.
     """
     rows = vectors if candidates is None else vectors.join(candidates.select("id").distinct(), "id", "left_semi")
     scored = rows.select("id", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("cosine")).where(F.col("cosine") > LEAST_COSINE)
-    return scored.orderBy(F.col("cosine").desc(), "id").limit(limit).withColumn("sem_rank", F.row_number().over(Window.orderBy(F.col("cosine").desc(), "id")))
+    order = [F.col("cosine").desc(), F.col("id")]
+    bounds = _bounds(scored) if candidates is None else []
+    if not bounds:
+        return scored.withColumn("sem_rank", F.row_number().over(Window.orderBy(*order)))
+    kind = scored.schema["id"].dataType
+    ends = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).cast(kind).alias("i")) for c, i in bounds])
+    passed = F.filter(ends, lambda b: (b["c"] > F.col("cosine")) | ((b["c"] == F.col("cosine")) & (b["i"] < F.col("id"))))
+    dealt = scored.withColumn("_range", F.size(passed))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_range").select("id", "cosine", (F.col("_before") + place).alias("sem_rank"))
+
+
+def _bounds(scored: DataFrame) -> list[tuple]:
+    """Ends of the ranges of (id, cosine), by falling cosine and id: at most ``RANGES`` of about ``RANGE`` rows or more, from a sample by hash. Ranks don't depend on it."""
+    n = scored.count()
+    ranges = min(RANGES, -(-n // RANGE))
+    if ranges < 2:
+        return []
+    some = scored.where("id is not null").where(F.pmod(F.xxhash64("id", "cosine"), F.lit(max(1, n // (64 * RANGES)))) == 0)
+    seen = sorted({(r["cosine"], r["id"]) for r in some.select("id", "cosine").collect()}, key=lambda x: (-x[0], x[1]))
+    return seen if len(seen) < ranges else [seen[len(seen) * k // ranges] for k in range(1, ranges)]
 
 
 def fused(text: DataFrame, meaning: DataFrame, limit: int = 20) -> DataFrame:
