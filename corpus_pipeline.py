@@ -42,9 +42,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontam.search(decontam.build_index(docs), table(spark, sf_dir, "benchmark"))
-    leaked = found.where(F.col("n_hit") > 0).select(F.col("id").alias("_id")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_id"]), "left_anti")
+    row = F.struct(F.col("doc_id"), F.xxhash64("text").alias("key"))  # an id may be null or have several texts
+    found = decontam.search(decontam.build_index(docs.select(row.alias("row"), "text"), "row"), table(spark, sf_dir, "benchmark"))
+    leaked = found.where(F.col("n_hit") > 0).select(F.col("id.doc_id").alias("_id"), F.col("id.key").alias("_key")).distinct()
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_id"]) & (F.xxhash64(docs["text"]) == leaked["_key"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def _class_key(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The stored sketch of each row: class key, set size, bands and 8-bit signature (null for an empty set)."""
+    """The stored sketch of each row: class key, set size, bands and 8-bit signature (null for an empty set), with a hash of the text."""
 
     def run(batches):
         for batch, texts in pieces(batches, "text", 1 << 19):
@@ -127,14 +127,15 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                     pa.array([_class_key(s) if f else None for s, f in zip(sets, full)], pa.binary()),
                     pa.array([b.tobytes() if f else None for b, f in zip(bands, full)], pa.binary()),
                     pa.array([b.tobytes() if f else None for b, f in zip(short, full)], pa.binary()),
+                    batch.column("text_key"),
                 ],
-                names=["id", "n_shingles", "node", "bands", "sig"],
+                names=["id", "n_shingles", "node", "bands", "sig", "text_key"],
             )
 
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return stored(picked.mapInArrow(run, f"id {kind}, n_shingles bigint, node binary, bands binary, sig binary"), "sketches")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return stored(picked.mapInArrow(run, f"id {kind}, n_shingles bigint, node binary, bands binary, sig binary, text_key bigint"), "sketches")
 
 
 def _paired(rows: DataFrame, count: Column, *keys: str) -> DataFrame:
@@ -267,7 +268,7 @@ def verified(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, s
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """Per row: id, n_shingles, class key, component_id (smallest id reachable) and kept."""
+    """Per row: id, n_shingles, class key, component_id (smallest id reachable) and kept; root, the component's own key, and a hash of the text."""
     rows = sketches(docs, id_col, text_col, size)
     classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     near = stored(neighbours(classes, similarity), "near")
@@ -275,17 +276,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     links = stored(verified(docs, families, id_col, text_col, size, similarity), "links")
     joined = components(links).join(classes.select("node", "rep"), "node")
     least = joined.groupBy("root").agg(F.min("rep").alias("_least"))
-    named = classes.select("node", "rep").join(joined.select("node", "root"), "node", "left").join(least, "root", "left").select("node", F.coalesce("_least", "rep").alias("_component"))
+    named = classes.select("node", "rep").join(joined.select("node", "root"), "node", "left").join(least, "root", "left").select("node", F.coalesce("_least", "rep").alias("_component"), F.coalesce("root", "node").alias("root"))
     out = rows.drop("bands", "sig").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("_component"))
-    return out.select("id", "n_shingles", "node", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "n_shingles", "node", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "root", "text_key")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, and of rows equal in id and text one."""
+    """The rows of ``docs`` that stay: one document of each group, and of rows equal in id and text one.
+
+    Rows go by id and text, so other texts of an id that goes, or of no id, stay.
+    """
     found = groups(docs, id_col, text_col, size, similarity)
-    dropped = found.where(~F.col("kept")).select(F.col("id").alias("_id")).distinct()
-    stay = docs.join(dropped, docs[id_col].eqNullSafe(dropped["_id"]), "left_anti")
-    if found.groupBy("id").count().where("count > 1").take(1):
-        stay = stay.dropDuplicates([id_col, text_col])
-    return stay
+    dropped = found.where(~F.col("kept")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    again = bool(found.groupBy("id").count().where("count > 1").take(1))
+    if again:  # several texts may bear the id of their group: one of them stays
+        named = found.where("kept and node is not null")
+        first = named.groupBy("root").agg(F.min("text_key").alias("_first"))
+        dropped = dropped.unionByName(named.join(first, "root").where("text_key <> _first").select(F.col("id").alias("_id"), F.col("text_key").alias("_key")))
+    dropped = dropped.distinct()
+    stay = docs.join(dropped, docs[id_col].eqNullSafe(dropped["_id"]) & (F.xxhash64(docs[text_col]) == dropped["_key"]), "left_anti")
+    return stay.dropDuplicates([id_col, text_col]) if again else stay
