@@ -194,10 +194,10 @@ def discard(df: DataFrame) -> None:
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """Columns k1, k2, never null, that tell rows apart by id and text; rows equal in both are one row."""
+    """Columns k1, k2, never null, that tell rows apart by id and text, null ids by 96 bits of their texts; rows equal in both are one row."""
     kind = docs.schema[id_col].dataType.simpleString()
     k1 = F.col(id_col).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(id_col)
-    return [F.coalesce(k1, F.lit(-(2**63) + 1)).alias("k1"), F.hash(F.lit(7), F.col(text_col), F.col(id_col)).alias("k2")]
+    return [F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(k1).alias("k1"), F.hash(F.lit(7), F.col(text_col), F.col(id_col)).alias("k2")]
 
 
 def arrow_batches(spark: SparkSession) -> None:

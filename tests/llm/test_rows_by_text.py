@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from quern.llm import minhash
+from quern.llm import common, minhash
 
 WORDS = ["".join(random.Random(k).choice("abcdefgh") for _ in range(6)) for k in range(500)]
 
@@ -43,3 +46,9 @@ def test_leaks_of_null_and_repeated_ids(spark, tmp_path):
     leaked = [(i, f"{prose(20, 24)} {item}") for i in (None, 3, 6)]
     docs = spark.createDataFrame(clean + leaked, "doc_id bigint, text string")
     assert rows(pipeline.benchmark_leaks(spark, docs, str(tmp_path))) == sorted(clean, key=str)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_keys_tell_many_texts_without_id_apart(spark, kind):
+    docs = spark.range(400_000).select(F.lit(None).cast(kind).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert docs.select(*common.row_key(docs, "doc_id", "text")).distinct().count() == 400_000
