@@ -19,6 +19,9 @@ from quern.llm import decontam, langid, minhash, packing, substring
 from quern.llm.common import stored
 from quern.llm.queries import table, tokenizer_path
 
+#: Words of a shingle in the near-duplicate stage, which no query's contract binds.
+SHINGLE = 5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter or without a clearly likeliest language."""
@@ -28,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return minhash.deduplicated(docs)
+    """Keeps one document of each group of near duplicates: sets of ``SHINGLE`` words, similarity 0.8."""
+    return minhash.deduplicated(docs, size=SHINGLE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

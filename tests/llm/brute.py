@@ -30,12 +30,12 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), failed
 
 
-def near(docs):
-    """id -> (set size, smallest id reachable)."""
+def near(docs, size=4):
+    """id -> (set size, smallest id reachable), by sets of runs of ``size`` words."""
     sets = {}
     for i, t in docs:
         w = words(t, low=True)
-        sets[i] = frozenset(zip(w, w[1:], w[2:], w[3:])) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(zip(*(w[k:] for k in range(size)))) if len(w) >= size else frozenset([tuple(w)] if w else [])
     up = {i: i for i in sets}
 
     def find(x):

@@ -28,7 +28,7 @@ def test_language(stages):
 
 def test_near_duplicates(stages):
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    assert ids(stages[2]) == {i for i, (_, c) in brute.near(rows).items() if c == i}
+    assert ids(stages[2]) == {i for i, (_, c) in brute.near(rows, 5).items() if c == i}
 
 
 def test_repeated_passages(stages):
