@@ -1,7 +1,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -119,32 +119,91 @@ def test_language_edges(spark, docs, none, rows):
         langid.CHARS = long
 
 
+def backoff(split, trained):
+    """A trie of seen n-grams with failure arcs, of plain dictionaries: state -> {word: (weight, next state)}, state -> (weight, shorter state)."""
+    count = Counter()
+    for i, w in split.items():
+        if i in trained:
+            s = ["^", *w]
+            for k in range(1, len(s)):
+                count.update(tuple(s[j : k + 1]) for j in range(max(0, k - 2), k + 1))
+            count["^",] += 1
+    floor = sum(n for g, n in count.items() if len(g) == 1 and g != ("^",)) + len([g for g in count if len(g) == 1 and g != ("^",)]) + 1
+    seen = lambda g: (count[g] - lm.DISCOUNT) / count[g[:-1]] if len(g) > 1 else (count[g] + 1) / floor
+    arcs, fail = defaultdict(dict), {}
+    states = [(), *(g for g in count if len(g) < 3)]
+    for g in count:
+        if g != ("^",):
+            to = g[-2:]
+            while to and to not in count:
+                to = to[1:]
+            arcs[g[:-1]][g[-1]] = (seen(g), to)
+    for h in states:
+        if h and arcs[h]:
+            left = 1 - sum(p for p, _ in arcs[h].values())
+            fail[h] = (left / (1 - sum(seen((*h[1:], x)) for x in arcs[h])), h[1:])
+    return arcs, fail, floor
+
+
+def walk(arcs, fail, floor, w):
+    state, p = ("^",) if ("^",) in fail else (), 0.0
+    for x in w:
+        while x not in arcs[state] and state:
+            weight, state = fail[state]
+            p += math.log10(weight)
+        weight, state = arcs[state].get(x, (1 / floor, ()))
+        p += math.log10(weight)
+    return p
+
+
 def test_lm(spark, docs, rows):
     train = F.col("doc_id") % 7 != 2
     got = by_id(lm.score(docs, train), "id")
-    count = Counter()
-    pairs = Counter()
-    split = {i: [*brute.words(t, low=True), None] for i, t, *_ in rows}
-    for i, w in split.items():
-        if i % 7 != 2:
-            count.update(w)
-            pairs.update(zip(["^", *w], w))
-    total, known = sum(count.values()), len(count)
-    starts = sum(i % 7 != 2 for i in split)
+    split = {i: [*brute.words(t, low=True), "$"] for i, t, *_ in rows}
+    arcs, fail, floor = backoff(split, {i for i in split if i % 7 != 2})
+    words = {x: p for x, (p, _) in arcs[()].items()}
+    total = sum(len(w) for i, w in split.items() if i % 7 != 2)
     for i, w in split.items():
-        p = [(count[x] + 1) / (total + known + 1) for x in w]
-        h = [starts, *(count[x] for x in w[:-1])]
-        model = sum(math.log10((pairs[a, b] + lm.MU * q) / (n + lm.MU)) for a, b, n, q in zip(["^", *w], w, h, p))
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), total)
-        assert math.isclose(r.base_score, sum(map(math.log10, p)), rel_tol=1e-9) and math.isclose(r.score, model, rel_tol=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in words for x in w), total)
+        assert math.isclose(r.base_score, sum(math.log10(words.get(x, 1 / floor)) for x in w), rel_tol=1e-9)
+        assert math.isclose(r.score, walk(arcs, fail, floor, w), rel_tol=1e-9)
 
 
 def test_lm_is_a_distribution():
-    word, pair = np.array([3, 1, 0.0]), np.array([2, 1, 0.0])
-    a = lm.Automaton(4, 2, 5.0)  # two known words and the unknown one
-    root, path = a.traverse(word, np.full(3, 3.0), pair)
-    assert math.isclose((10**root).sum(), 1) and math.isclose((10**path).sum(), 1)
+    split = {k: [*prose(60, 90 + k).split(), "$"] for k in range(4)}
+    arcs, fail, floor = backoff(split, set(split))
+    known = [*arcs[()], "unknown"]
+    for h in [*list(fail)[:40], ()]:
+        p = 0.0
+        for x in known:
+            state, q = h, 1.0
+            while x not in arcs[state] and state:
+                weight, state = fail[state]
+                q *= weight
+            p += q * arcs[state].get(x, (1 / floor, ()))[0]
+        assert math.isclose(p, 1)
+
+
+@pytest.mark.parametrize("segment", [3, 7, 512])
+def test_lm_segments_carry_the_state(segment):
+    r = random.Random(segment)
+    first = np.array([0, 40, 41, 90, 600])
+    ids = np.array([r.randrange(9 if k < 90 else 12) for k in range(600)])
+    ids[first[1:] - 1] = 12
+    grams = lm.Grams(np.arange(13, dtype=np.uint64) + np.uint64(7), ids, first)
+    c1, c2, c3 = grams.counts(np.array([True, False, True, False]))
+    assert (c2 == 0).any() and (c3[grams.place3[100:]] > 0).any()
+    one, many = lm.Automaton(grams, c1, c2, c3, 2).traverse(10**6), lm.Automaton(grams, c1, c2, c3, 2).traverse(segment)
+    assert all(np.array_equal(a, b) for a, b in zip(one[:2], many[:2]))
+    assert sorted(zip(*map(list, one[2:]))) == sorted(zip(*map(list, many[2:])))
+
+
+def test_lm_repeated_and_null_ids(spark):
+    text = [prose(50, 77), prose(80, 78), None, ""]
+    table = spark.createDataFrame([(1, text[0], 5), (1, text[0], 5), (None, text[1], 6), (None, text[2], 7), (1, text[3], 8), (2, text[1], 9)], "doc_id bigint, text string, n_tokens int")
+    got = sorted((str(r.id), r.n_tokens, r.train_tokens) for r in lm.score(table, F.lit(True)).collect())
+    assert got == sorted([("1", 51, 266), ("1", 51, 266), ("None", 81, 266), ("None", 1, 266), ("1", 1, 266), ("2", 81, 266)])
 
 
 def test_lm_blocks_agree(spark, docs, none):
