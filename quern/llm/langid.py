@@ -2,9 +2,12 @@
 
 ``train`` counts the hashed n-grams (1 to 4 characters, lower-cased) of a bounded
 sample of labelled texts into a matrix of ``BUCKETS`` rows, with Laplace
-smoothing. The matrix has a fixed size, so it is broadcast. ``predict`` scores
-Arrow batches of whole texts: the sparse n-gram counts of each text times the
-log-probability matrix. ``score`` is the posterior of the predicted language.
+smoothing. The matrix has a fixed size, so it is broadcast. ``predict`` turns the
+texts of an Arrow batch into one sparse matrix of n-gram counts (text, bucket, count)
+and multiplies it by the log-probabilities, language by language, in double
+precision. A text is counted in spans of ``CHARS`` characters from its begin, so
+its result depends on nothing else in the batch and memory is bounded at any length.
+``score`` is the posterior of the predicted language.
 
 Null text, and text without a letter, get ``und`` with score 0. Without labelled
 rows every text is ``und``. Ties go to the language first in order. Rows with a
@@ -14,6 +17,8 @@ pass through; those named ``lang_pred`` or ``score`` are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -28,35 +33,51 @@ BUCKETS = 1 << 14
 SAMPLE = 4000
 ORDERS = (1, 2, 3, 4)
 ALPHA = 0.5
-#: Characters that one numpy block holds.
+#: Characters of one span of a text, and of the spans counted at once.
 CHARS = 1 << 18
 
 _LETTER = regex.compile(r"\p{L}")
 
 
-def features(text: str) -> np.ndarray:
-    """The bucket of every n-gram of a lower-cased text, in blocks' order."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out, x = [], np.zeros(len(codes), np.uint64)
+def sparse_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """N-gram counts of whole texts as (text, bucket, count), sorted, some spans at a time.
+
+    An n-gram belongs to the span in which it begins; spans carry the characters
+    after them that their last n-grams need.
+    """
+    low = [t.lower() for t in texts]
+    held, size = [], 0
+    for i, t in enumerate(low):
+        for a in range(0, len(t), CHARS):
+            n = min(CHARS, len(t) - a)
+            if held and size + n > CHARS:
+                yield _counted(low, held)
+                held, size = [], 0
+            held.append((i, a, n))
+            size += n
+    if held:
+        yield _counted(low, held)
+
+
+def _counted(low: list[str], spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [low[i][a : a + n + ORDERS[-1] - 1] for i, a, n in spans]
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(p) for p in parts])
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.repeat(np.arange(len(parts), dtype=np.uint32), sizes) * np.uint32(BUCKETS)
+    left = np.where(at < np.repeat([n for *_, n in spans], sizes), np.repeat(sizes, sizes) - at, 0)  # 0: begins in the next span
+    keys, x = [], np.zeros(len(codes), np.uint64)
     for n in ORDERS:
         if len(codes) < n:
             break
         x = x[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
         # the upper bits of a multiplicative hash
-        out.append(((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _counts(text: str) -> np.ndarray:
-    """N-gram counts of a whole text, block by block; blocks overlap so that no n-gram is lost or counted twice."""
-    total = np.zeros(BUCKETS)
-    for a in range(0, max(len(text), 1), CHARS):
-        b = min(len(text), a + CHARS)
-        total += np.bincount(features(text[a : min(len(text), b + ORDERS[-1] - 1)]), minlength=BUCKETS)
-        if b < len(text):
-            tail = text[b : b + ORDERS[-1] - 1]
-            total -= np.bincount(features(tail), minlength=BUCKETS)
-    return total
+        bucket = ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).astype(np.uint32)
+        keys.append((row[: len(x)] + bucket)[left[: len(x)] >= n])
+    ordered = np.sort(np.concatenate(keys))
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    key = ordered[new]
+    return np.array([i for i, *_ in spans])[key // BUCKETS], (key % BUCKETS).astype(np.int64), np.diff(new, append=len(ordered))
 
 
 class Model:
@@ -65,19 +86,25 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, docs: np.ndarray):
         self.languages = languages
         p = counts + ALPHA
-        self.logp = np.log(p / p.sum(axis=1, keepdims=True)).T.astype(np.float32).copy() if languages else np.zeros((BUCKETS, 0), np.float32)
+        self.logp = np.log(p / p.sum(axis=1, keepdims=True)) if languages else np.zeros((0, BUCKETS))
         self.prior = np.log((docs + 1) / (docs.sum() + len(languages))) if languages else np.zeros(0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
-            return "und", 0.0
-        if len(text) <= CHARS:
-            total = self.prior + self.logp[features(text)].sum(axis=0, dtype=np.float64)
-        else:
-            total = self.prior + _counts(text) @ self.logp.astype(np.float64)
-        e = np.exp(total - total.max())
-        k = int(np.argmax(total))
-        return self.languages[k], float(e[k] / e.sum())
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """(language, posterior) of each text."""
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if not self.languages:
+            return names, scores
+        known = [k for k, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+        total = np.tile(self.prior, (len(known), 1))
+        for row, bucket, count in sparse_counts([texts[k] for k in known]):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            for j, logp in enumerate(self.logp):
+                total[row[first], j] += np.add.reduceat(logp[bucket] * count, first)
+        best = total.argmax(axis=1) if len(known) else []
+        posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if len(known) else []
+        for k, j, p in zip(known, best, posterior):
+            names[k], scores[k] = self.languages[j], float(p)
+        return names, scores
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -94,11 +121,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                sums[lang] = sums.get(lang, 0) + _counts(text)
+            texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
+            for lang in langs.tolist():
                 docs[lang] = docs.get(lang, 0) + 1
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([docs[k] for k in sums], pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "docs", "counts"])
+            for row, bucket, count_ in sparse_counts(texts):
+                for lang in set(langs[row]):
+                    mine = langs[row] == lang
+                    sums[lang] = sums.get(lang, np.zeros(BUCKETS)) + np.bincount(bucket[mine], count_[mine], BUCKETS)
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(list(docs)), pa.array(list(docs.values()), pa.int64()), pa.array([sums.get(k, np.zeros(BUCKETS)).tobytes() for k in docs], pa.binary())], names=["lang", "docs", "counts"])
 
     total: dict[str, list] = {}
     parts = chosen.repartition(4, F.xxhash64("text")).mapInArrow(count, "lang string, docs bigint, counts binary")
@@ -122,7 +153,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         for k, batch in enumerate(batches):
             if k % 4 == 3:
                 give_back()
-            pairs = [m.predict(t.as_py()) for t in batch.column("__langid_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], names=[*names, "lang_pred", "score"])
+            langs, scores = m.predict(batch.column("__langid_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__langid_text")).mapInArrow(run, schema)

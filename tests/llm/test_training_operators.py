@@ -111,10 +111,41 @@ def test_language_edges(spark, docs, none, rows):
     assert langid.predict(none, model).count() == 0
     empty = langid.train(none)
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
-    text = prose(4000, 50)
-    long, langid.CHARS = langid.CHARS, 1000
+
+
+def plain_buckets(text):
+    """Bucket counts of the n-grams of a text, one by one."""
+    low, count = text.lower(), Counter()
+    for n in langid.ORDERS:
+        for k in range(len(low) - n + 1):
+            x = 0
+            for j, c in enumerate(low[k : k + n]):
+                x = (x * 0x100000001B3 + ord(c) + j + 1) % 2**64
+            count[(x * 0x9E3779B97F4A7C15) % 2**64 >> 50] += 1
+    return count
+
+
+@pytest.mark.parametrize("chars", [5, 64, 1 << 18])
+def test_language_equals_plain_naive_bayes(spark, chars):
+    long, langid.CHARS = langid.CHARS, chars
     try:
-        assert np.array_equal(langid._counts(text), np.bincount(langid.features(text), minlength=langid.BUCKETS))
+        texts = [(prose(90, 50 + k) + " ÄÉİ" * (k % 3), ("en", "fr", "de")[k % 3]) for k in range(12)] + [("a", "en"), ("ß", "de"), (prose(9, 80), None)]
+        model = langid.train(spark.createDataFrame(texts, "text string, lang string"))
+        counts, docs = {k: Counter() for k in ("de", "en", "fr")}, Counter(k for _, k in texts if k)
+        for t, k in texts:
+            if k:
+                counts[k] += plain_buckets(t)
+        asked = ["ab", "x", prose(70, 99), prose(3, 98) + "É", texts[0][0], texts[1][0], "12", None]
+        names, scores = model.predict(asked)
+        assert model.predict(asked[3:4]) == (names[3:4], scores[3:4])
+        for t, name, score in zip(asked[:6], names, scores):
+            post = {}
+            for k, c in counts.items():
+                size = sum(c.values()) + langid.BUCKETS * langid.ALPHA
+                post[k] = math.log((docs[k] + 1) / (sum(docs.values()) + 3)) + sum(n * math.log((c[b] + langid.ALPHA) / size) for b, n in plain_buckets(t).items())
+            best = max(sorted(post), key=post.get)
+            assert name == best and math.isclose(score, 1 / sum(math.exp(x - post[best]) for x in post.values()), rel_tol=1e-9)
+        assert names[6:] == ["und", "und"]
     finally:
         langid.CHARS = long
 
