@@ -134,6 +134,14 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
@@ -175,22 +183,29 @@ def work_folder(spark: SparkSession) -> str:
     return base
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: lineage ends there."""
+    """``df`` written as a table in the shared folder and read back: lineage ends there, and the shuffle files of the write go."""
     spark = df.sparkSession
     path = f"{work_folder(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a stored table that nothing reads any more, and lets Spark drop the shuffle files of finished jobs."""
+    """Deletes a stored table that nothing reads any more."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
