@@ -7,13 +7,17 @@
 2. ``neighbours``: classes that share a band of four values meet in buckets. A
    bucket's members are compared by whole signatures; those that might reach the
    similarity (six standard deviations of slack) are united, and only the star of
-   each union is emitted, never all pairs. Larger buckets are cut into blocks, and
-   every pair of blocks is one task, so nothing is skipped and tasks stay bounded.
+   each union is emitted, never all pairs.
 3. ``verified``: the unions are grouped into families; members travel once, with
    their text, to their family, where pairs not yet united are compared on full
-   shingle sets. Large families are cut into pairs of blocks as well.
+   shingle sets.
 4. Components of the confirmed links, over the whole table; smallest id is kept.
 
+A bucket or family of more than ``MEET`` members is cut into blocks. Members meet in
+their block, and then the smallest of each union of each block meet. Only groups that
+are not one union by then send their members to every pair of blocks, where those of
+one union are not compared, so every pair is compared or united and tasks stay bounded.
+
 32 bands of 4 values find a pair of similarity 0.8 with probability 1 - 5e-8.
 
 Null text and text without words: an empty set, linked with nothing. Fewer words
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import arrow_batches, mix, pieces, stored, windows, words
+from quern.llm.common import arrow_batches, distinct, mix, pieces, stored, windows, words
 from quern.llm.components import UnionFind, components
 
 VALUES, ROWS = 128, 4
@@ -50,7 +54,7 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndar
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= size:
-            out.append(np.unique(runs[a : b - size + 1]))
+            out.append(distinct(runs[a : b - size + 1]))
         else:
             out.append(windows(w.hash[a:b], b - a) ^ np.uint64(b - a) if b > a else np.zeros(0, np.uint64))
     return out
@@ -138,13 +142,37 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return stored(picked.mapInArrow(run, f"id {kind}, n_shingles bigint, node binary, bands binary, sig binary, text_key bigint"), "sketches")
 
 
-def _paired(rows: DataFrame, count: Column, *keys: str) -> DataFrame:
-    """Rows dealt to the pairs of blocks of their group: one pair for a small group."""
-    blocks = F.when(F.col(count) > MEET, F.ceil(F.col(count) / (MEET // 2))).otherwise(1).cast("int")
+def _dealt(rows: DataFrame, key: str, pairs: bool) -> DataFrame:
+    """Rows (key, node, union, _n members in the group, ...) dealt to blocks of their group, or to all pairs of blocks that they are in."""
+    blocks = F.when(F.col("_n") > MEET, F.ceil(F.col("_n") / (MEET // 2 if pairs else MEET))).otherwise(1).cast("int")
     dealt = rows.withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
-    other = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    met = other.withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j")).drop("_j", "_nb", "_b", count)
-    return met.repartition(*keys, "_lo", "_hi").sortWithinPartitions(*keys, "_lo", "_hi", "node")
+    other = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)) if pairs else F.col("_b"))
+    met = other.withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j")).drop("_j", "_nb", "_b", "_n")
+    return met.repartition(key, "_lo", "_hi").sortWithinPartitions(key, "_lo", "_hi", "node")
+
+
+def _united(rows: DataFrame, key: str, large: bool, meet) -> DataFrame:
+    """Stars (u, v) of the members (node, key, _n, ...) that ``meet`` links in their groups; ``large``: some group has more than ``MEET``."""
+    links = "u binary, v binary"
+    alone = rows.withColumn("union", F.col("node"))
+    if not large:
+        return _dealt(alone, key, False).mapInArrow(meet, links).distinct()
+    alone = stored(alone, "members")
+    stars = stored(_dealt(alone, key, False).mapInArrow(meet, links).distinct(), "stars")
+    for last in (False, True):
+        known = components(stars).select("node", F.col("root").alias("_root"))
+        some = alone.where(F.col("_n") > MEET).join(known, "node", "left").withColumn("union", F.coalesce("_root", "union")).drop("_root")
+        if last:  # groups that are still more than one union
+            apart = some.groupBy(key).agg(F.min("union").alias("_u"), F.max("union").alias("_v")).where("_u <> _v").select(key)
+            rest = some.join(apart, key, "left_semi")
+        else:  # the smallest of each union in each group
+            least = some.groupBy(key, "union").agg(F.min("node").alias("node"))
+            rest = some.join(least, [key, "union", "node"], "left_semi")
+            sizes = least.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            rest = rest.drop("_n").join(sizes, key)
+        more = _dealt(rest.select(*alone.columns), key, last or False).mapInArrow(meet, links)
+        stars = stored(stars.unionByName(more).distinct(), "stars")
+    return stars
 
 
 def _runs(batches, *keys: str):
@@ -176,11 +204,14 @@ def _labels(t: pa.Table, keys) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _unite(label: np.ndarray, sig: np.ndarray, least: int, confirm=None, mates: np.ndarray | None = None) -> UnionFind:
+def _unite(label: np.ndarray, union: list[bytes], sig: np.ndarray, least: int, confirm=None) -> UnionFind:
     """Unites rows of one label whose signatures agree in ``least`` places (and that ``confirm``), pair by pair, skipping united pairs."""
     n = len(label)
     sets = UnionFind(n)
-    root = np.arange(n)
+    first: dict[tuple, int] = {}
+    for x, at in enumerate(zip(label.tolist(), union)):
+        sets.union(first.setdefault(at, x), x)
+    root = np.array([sets.find(x) for x in range(n)])
     lag = 1
     while lag < n:
         i = np.flatnonzero(label[lag:] == label[:-lag])
@@ -226,32 +257,43 @@ def neighbours(classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     def meet(batches):
         for t, label in _runs(batches, "band"):
-            yield _stars(t, _unite(label, _signatures(t), least))
+            yield _stars(t, _unite(label, t.column("union").to_pylist(), _signatures(t), least))
 
     banded = classes.select("node", "bands").mapInArrow(explode, "band bigint, node binary")
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
     members = banded.join(shared, "band").join(classes.select("node", "sig"), "node")
-    return _paired(members, "_n", "band").mapInArrow(meet, "u binary, v binary").distinct()
+    return _united(members, "band", bool(shared.where(F.col("_n") > MEET).take(1)), meet)
 
 
 def verified(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """Stars (u, v) of confirmed links. families: node, root, rep (id of a document of the class), sig."""
+    """Stars (u, v) of confirmed links. families: node, root, rep and text_key (id and hash of a text of the class), sig."""
     p = similarity / 100
     least = int(VALUES * p - 6 * (VALUES * p * (1 - p)) ** 0.5)
     counts = families.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    member = families.join(counts, "root")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(member, texts["rep"].eqNullSafe(member["rep"])).select("root", "node", "sig", "text", "_n")
+    member = families.join(counts, "root").withColumnRenamed("text_key", "_key")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).where("text is not null")
+    rows = texts.join(member, (F.col("text_key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("rep"))).select("root", "node", "sig", "text", "_n")
+    schema = rows.schema
+
+    def once(batches):
+        """One of the rows that are equal in id and text: the join leaves them next to each other."""
+        last = None
+        for batch in batches:
+            node = batch.column("node").to_pylist()
+            new = [a != b for a, b in zip(node, [last, *node])]
+            last = node[-1] if node else last
+            yield batch.filter(pa.array(new, pa.bool_()))
 
     def meet(batches):
         for t, label in _runs(batches, "root"):
+            # of copies in several tasks one counts, and of equal hashes the text of the class
+            node = t.column("node").to_pylist()
+            new = np.array([a != b for a, b in zip(node, [None, *node])]) | (np.diff(label, prepend=-1) != 0)
+            t, label = t.filter(pa.array(new)), label[new]
             sets = []
             for a in range(0, t.num_rows, 256):
                 sets += shingle_sets([x.encode() for x in t.column("text").slice(a, 256).to_pylist()], size)
-            # an id may stand for several texts: only that of the class counts
-            node = t.column("node").to_pylist()
-            mine = np.array([len(s) > 0 and _class_key(s) == x for s, x in zip(sets, node)], bool)
-            where = np.flatnonzero(mine)
+            where = np.flatnonzero([len(s) > 0 and _class_key(s) == x for s, x in zip(sets, t.column("node").to_pylist())])
             sets = [sets[i] for i in where]
 
             def linked(x: int, y: int) -> bool:
@@ -262,17 +304,19 @@ def verified(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, s
                 return 100 * both >= similarity * (len(a) + len(b) - both)
 
             t = t.take(pa.array(where))
-            yield _stars(t, _unite(label[where], _signatures(t), least, linked))
+            yield _stars(t, _unite(label[where], t.column("union").to_pylist(), _signatures(t), least, linked))
 
-    return _paired(rows, "_n", "root").mapInArrow(meet, "u binary, v binary").distinct()
+    return _united(rows.mapInArrow(once, schema), "root", bool(counts.where(F.col("_n") > MEET).take(1)), meet)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Per row: id, n_shingles, class key, component_id (smallest id reachable) and kept; root, the component's own key, and a hash of the text."""
     rows = sketches(docs, id_col, text_col, size)
-    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    least_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("_least")
+    named = rows.where("node is not null").groupBy("node").agg(least_row, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = stored(named.select("node", F.col("_least.id").alias("rep"), "_least.text_key", "bands", "sig"), "classes")
     near = stored(neighbours(classes, similarity), "near")
-    families = components(near).join(classes.select("node", "rep", "sig"), "node")
+    families = components(near).join(classes.select("node", "rep", "text_key", "sig"), "node")
     links = stored(verified(docs, families, id_col, text_col, size, similarity), "links")
     joined = components(links).join(classes.select("node", "rep"), "node")
     least = joined.groupBy("root").agg(F.min("rep").alias("_least"))
