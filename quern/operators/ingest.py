@@ -1,17 +1,35 @@
-"""Turn attribution in batch: hook events become turns by windows over each session.
+"""Turn attribution in batch: hook events become turns by running aggregates over each session.
 
 Columns: event_id, ts, session_id, hook, tool_name, payload_json. Events of a
-session are ordered by (ts, event_id). Everything is one shuffle by session.
+session are ordered by (ts, event_id). The running aggregates are taken in chunks of
+``CHUNK`` and carried over by one row for each chunk, so a session with a large share
+of all events is spread over tasks; events without a session take no part in them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import skipped, trim
 
 PROMPT, TOOL, STOP = "userPromptSubmit", "postToolUse", "stop"
+#: Span of time in which events of a session are numbered together.
+CHUNK = "HOUR"
+
+
+def disposed(empty: Column, is_open: Column, skip: list[str] | None = None) -> Column:
+    """What becomes of an event; the first that holds: empty prompt, skipped tool, no session, other hook, no open turn."""
+    hook = F.col("hook")
+    return (
+        F.when((hook == PROMPT) & empty, "ignored_empty")
+        .when((hook == TOOL) & skipped(F.col("tool_name"), skip or []), "skipped")
+        .when(F.col("session_id").isNull(), "no_session")
+        .when(hook == PROMPT, "accepted")
+        .when(~F.coalesce(hook.isin(TOOL, STOP), F.lit(False)), "ignored")
+        .when(is_open, "accepted")
+        .otherwise("no_open_turn")
+    )
 
 
 def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str | None = None) -> DataFrame:
@@ -23,29 +41,34 @@ def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str
     """
     hook = F.col("hook")
     empty = (trim(F.coalesce(F.col(prompt_col), F.lit(""))) == "") if prompt_col else F.lit(False)
-    prompt = (hook == PROMPT) & ~empty & F.col("session_id").isNotNull()
-    stop = hook == STOP
-    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    prompt = (hook == PROMPT) & ~empty
+    marker = F.when(prompt, True).when(hook == STOP, False)
+    known = events.where("session_id is not null").withColumn("_chunk", F.date_trunc(CHUNK, "ts"))
+    order = Window.partitionBy("session_id", "_chunk").orderBy("ts", "event_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marker = F.when(prompt, True).when(stop, False)
-    seen = events.withColumn("_open", F.coalesce(F.last(marker, ignorenulls=True).over(before), F.lit(False)))
-    numbered = seen.withColumn("turn_no", F.sum(prompt.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    disposition = (
-        F.when((hook == PROMPT) & empty, "ignored_empty")
-        .when(F.col("session_id").isNull(), "no_session")
-        .when(hook == PROMPT, "accepted")
-        .when(~hook.isin(TOOL, STOP), "ignored")
-        .when((hook == TOOL) & skipped(F.col("tool_name"), skip or []), "skipped")
-        .when(F.col("_open"), "accepted")
-        .otherwise("no_open_turn")
-    )
-    return numbered.withColumn("disposition", disposition).withColumn("turn_no", F.when(F.col("disposition") == "accepted", F.col("turn_no"))).drop("_open")
+    inside = known.withColumn("_open", F.last(marker, ignorenulls=True).over(before)).withColumn("_n", F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("ts", "event_id")
+    totals = known.groupBy("session_id", "_chunk").agg(F.max_by(marker, F.when(marker.isNotNull(), place)).alias("_last"), F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).alias("_prompts"))
+    earlier = Window.partitionBy("session_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("session_id", "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_was"), F.coalesce(F.sum("_prompts").over(earlier), F.lit(0)).alias("_base"))
+    joined = inside.alias("i").join(carried.alias("c"), F.expr("i.session_id = c.session_id and i._chunk <=> c._chunk")).select("i.*", "c._was", "c._base")
+    seen = joined.select(*events.columns, F.coalesce("_open", "_was", F.lit(False)).alias("_open"), (F.col("_n") + F.col("_base")).cast("long").alias("turn_no"))
+    none = events.where("session_id is null").select(*events.columns, F.lit(False).alias("_open"), F.lit(None).cast("long").alias("turn_no"))
+    disposition = disposed(empty, F.col("_open"), skip)
+    out = seen.unionByName(none).withColumn("disposition", disposition)
+    return out.withColumn("turn_no", F.when(F.col("disposition") == "accepted", F.col("turn_no"))).drop("_open")
 
 
 def event_sequence(turned: DataFrame) -> DataFrame:
-    """Gapless number, from 1, of each attached event in its turn."""
-    order = Window.partitionBy("session_id", "turn_no").orderBy("ts", "event_id")
-    return turned.where("turn_no is not null").withColumn("event_seq", F.row_number().over(order))
+    """Gapless number, from 1, of each attached event in its turn: numbered by chunks of time, as one turn may be long."""
+    rows = turned.where("turn_no is not null").withColumn("_chunk", F.date_trunc(CHUNK, "ts"))
+    order = Window.partitionBy("session_id", "turn_no", "_chunk").orderBy("ts", "event_id")
+    sizes = rows.groupBy("session_id", "turn_no", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("session_id", "turn_no").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sizes.select("session_id", "turn_no", "_chunk", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
+    same = F.expr("i.session_id = c.session_id and i.turn_no = c.turn_no and i._chunk <=> c._chunk")
+    numbered = rows.withColumn("_r", F.row_number().over(order)).alias("i").join(carried.alias("c"), same)
+    return numbered.select(*[F.col(f"i.{c}") for c in turned.columns], (F.col("i._r") + F.col("c._base")).cast("long").alias("event_seq"))
 
 
 def turns(turned: DataFrame) -> DataFrame:

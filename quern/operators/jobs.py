@@ -8,12 +8,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import backoff
 
 
+#: First priority and attempts of a job.
+PRIORITY, ATTEMPTS = 100, 5
+
+
+def turn_jobs(turns: DataFrame, as_of) -> DataFrame:
+    """A job to summarise each turn (turn_id)."""
+    return _made(turns, "summarize_turn", "turn", "turn_id", F.concat(F.lit("turn:"), F.col("turn_id").cast("string")), as_of)
+
+
+def memory_jobs(memories: DataFrame, as_of) -> DataFrame:
+    """A job to find the topic of each memory (id)."""
+    return _made(memories, "normalize_topic", "memory", "id", F.concat(F.lit("topic:mem:"), F.col("id").cast("string")), as_of, "memory_id")
+
+
+def threshold_jobs(crossed: DataFrame, as_of) -> DataFrame:
+    """A job to summarise each topic (topic) that reached a number of memories (memory_count)."""
+    key = F.concat(F.lit("summary:topic:"), F.col("topic").cast("string"), F.lit(":count:"), F.col("memory_count").cast("string"))
+    return _made(crossed, "summarize_topic", "topic", "topic", key, as_of, "topic_id")
+
+
+def merged_jobs(merged: DataFrame, as_of) -> DataFrame:
+    """A job to summarise each topic (topic_id) anew after a merge (merged_id)."""
+    key = F.concat(F.lit("summary:topic:"), F.col("topic_id").cast("string"), F.lit(":merge:"), F.col("merged_id").cast("string"))
+    return _made(merged, "summarize_topic", "topic", "topic_id", key, as_of)
+
+
+def cluster_jobs(clusters: DataFrame, as_of) -> DataFrame:
+    """A job to merge each cluster (topic, dedupe_key)."""
+    return _made(clusters, "merge_cluster_to_memory", "topic", "topic", F.col("dedupe_key"), as_of, "topic_id")
+
+
+def _made(rows: DataFrame, kind: str, entity: str, id_col: str, key: Column, as_of, name: str | None = None) -> DataFrame:
+    return rows.select(
+        F.lit(kind).alias("job_type"), key.alias("dedupe_key"), F.lit(entity).alias("entity_type"), F.col(id_col).cast("string").alias("entity_id"), F.to_json(F.struct(F.col(id_col).alias(name or id_col))).alias("payload_json"),
+        F.lit("pending").alias("state"), F.lit(PRIORITY).alias("priority"), F.lit(0).alias("attempts"), F.lit(ATTEMPTS).alias("max_attempts"), F.lit(as_of).cast("timestamp_ntz").alias("available_at"),
+    ).distinct()
+
+
 def enqueued(jobs: DataFrame, new: DataFrame) -> DataFrame:
     """The new jobs to add: a key seen before, in any state, blocks its job type for good; a null key never does."""
     first = Window.partitionBy("job_type", "dedupe_key").orderBy("id")

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import embedding_text, match_form, scope_key
-from quern.operators import memory, topics
+from quern.operators import jobs, memory, topics
+from quern.operators.numbering import numbered as in_order
 from quern.sources import provider as P
 from quern.sources.store import Store
 
@@ -22,34 +23,35 @@ SUMMARY_REPLY = "summary string, unresolved_summary string"
 
 
 def numbered(rows: DataFrame, table: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows with new ids after those of a table.
+    """Fixed rows with new ids after those of a table, in the order given."""
+    return in_order(rows, key, order, table.agg(F.max(key)).first()[0] or 0)
 
-    Rows are counted in ranges of their order, so no task numbers the whole batch.
-    """
-    start = table.agg(F.max(key)).first()[0] or 0
-    keyed = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(256)))
-    sizes = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # 256 rows at most
-    before = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_at")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return keyed.withColumn("_r", inside).join(F.broadcast(before), "_part").withColumn(key, F.col("_r") + F.col("_at") + start).drop("_part", "_r", "_at")
 
+def enqueue(store: Store, rows: DataFrame) -> None:
+    """Appends the jobs whose key is new, with ids in order of their keys."""
+    known = store.read("jobs")
+    new = _kept(store, "new-jobs", jobs.enqueued(known, rows.withColumn("id", F.lit(0).cast("long"))).drop("id"))
+    store.append("jobs", numbered(new, known, "id", ["job_type", "dedupe_key", "entity_id"]))
 
-def summarise_turns(store: Store, provider: P.Provider, embed: bool = True) -> None:
-    """A memory, a link and a vector for every closed turn without a memory."""
+
+def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only: DataFrame | None = None, language: str = "en") -> DataFrame:
+    """A memory, a link and a vector for every closed turn (of some turn_ids) without a memory; returns the new memories' ids."""
     turns, links, memories = store.read("turns"), store.read("memory_turn_links"), store.read("memories")
-    todo = memory.claimable(turns, links).join(store.read("turn_artifacts"), "turn_id", "left")
+    todo = memory.claimable(turns if only is None else turns.join(only.select("turn_id").distinct(), "turn_id", "left_semi"), links).join(store.read("turn_artifacts"), "turn_id", "left")
     none = F.array().cast("array<string>")
     prompt = P.turn_prompt(F.col("prompt_text"), *[F.coalesce(c, none) for c in ("tool_names", "files_touched", "commands", "error_signals")])
-    asked = P.replies(todo.select("turn_id", "repo", "cwd", "started_at", F.coalesce("stopped_at", "last_event_at").alias("ended_at"), prompt.alias("_prompt")), F.col("_prompt"), provider).drop("_prompt")
+    asked = P.replies(todo.select("turn_id", "repo", "cwd", "started_at", F.coalesce("stopped_at", "last_event_at").alias("ended_at"), prompt.alias("_prompt")), F.col("_prompt"), provider, P.SYSTEM[language]).drop("_prompt")
+    asked = _kept(store, "summaries-of-turns", asked)  # provider replies are fixed once
     made = memory.from_replies(asked).withColumn("memory_kind", F.lit("turn")).withColumn("state", F.lit("active")).withColumn("is_pinned", F.lit(False)).withColumn("source_turn_count", F.lit(1).cast("long"))
     made = numbered(made.withColumnsRenamed({"cwd": "cwd_scope", "started_at": "first_turn_at", "ended_at": "last_turn_at"}), memories, "id", ["first_turn_at", "turn_id"])
-    new = _kept(store, "new-memories", made)  # provider replies are fixed once
+    new = _kept(store, "new-memories", made)
     store.append("memories", new.drop("turn_id"))
     store.append("memory_turn_links", new.select(F.col("id").alias("memory_id"), "turn_id", F.lit(1).cast("long").alias("ordinal"), F.lit("source").alias("role")))
     if embed:
         text = embedding_text(F.col("title"), F.col("summary"), F.col("learned"), F.col("concepts"))
         vectors = P.embedded(new.select("id", text.alias("_text")).where("trim(_text) <> ''"), F.col("_text"))
         store.append("memory_embeddings", vectors.select("id", F.lit("hashed-trigrams").alias("model"), F.lit(384).alias("dimensions"), "embedding"))
+    return new.select("id")
 
 
 def _kept(store: Store, name: str, rows: DataFrame) -> DataFrame:
@@ -61,19 +63,22 @@ def _kept(store: Store, name: str, rows: DataFrame) -> DataFrame:
     return store.spark.read.schema(rows.schema).parquet(path)
 
 
-def normalise_topics(store: Store, provider: P.Provider, as_of) -> DataFrame:
-    """A topic for every active memory without one; returns the links that reach a summary threshold."""
+def normalise_topics(store: Store, provider: P.Provider, as_of, only: DataFrame | None = None, language: str = "en") -> DataFrame:
+    """A topic for every active memory (of some ids) without one; returns the links that reach a summary threshold."""
     memories, known = store.read("memories"), store.read("topics")
     todo = memories.where("state = 'active' and topic_id is null and memory_kind = 'turn'").select(
         F.col("id").alias("memory_id"), scope_key(F.col("repo"), F.col("cwd_scope")).alias("scope_key"), "repo", "title", F.col("topic_candidate").alias("candidate")
     ).where("candidate is not null")
+    if only is not None:
+        todo = todo.join(only.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi")
     live = known.where("status = 'active'")
     hits = topics.matched(todo, live)
     misses = hits.where("topic_id is null").select("memory_id", "scope_key", "candidate")
     listed = live.withColumn("_r", F.row_number().over(Window.partitionBy("scope_key").orderBy(F.col("last_active_at").desc(), "topic_id"))).where("_r <= 30").groupBy("scope_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "canonical_label", "aliases"))), lambda t: F.struct(t["canonical_label"].alias("canonical_label"), t["aliases"].alias("aliases"))).alias("_known"))
     ask = misses.join(listed, "scope_key", "left")
-    prompt = F.concat(F.lit("Candidate: "), "candidate", F.lit("\nTopics:\n"), F.coalesce(P.topic_choices(F.col("_known")), F.lit("(none)")))
-    replies = P.replies(ask.select("memory_id", "scope_key", "candidate", prompt.alias("_prompt")), F.col("_prompt"), provider, "Choose an equal topic or keep the candidate; answer in JSON.", TOPIC_REPLY)
+    say = P.PROMPTS[language]
+    prompt = F.concat(F.lit(say["candidate"]), "candidate", F.lit(say["topics"]), F.coalesce(P.topic_choices(F.col("_known")), F.lit("(none)")))
+    replies = P.replies(ask.select("memory_id", "scope_key", "candidate", prompt.alias("_prompt")), F.col("_prompt"), provider, say["normalise"], TOPIC_REPLY)
     replies = _kept(store, "replies", replies.drop("_prompt"))
     # a candidate spelt in several ways within one batch is one new topic
     first = Window.partitionBy("scope_key", match_form(F.col("candidate"))).orderBy("memory_id")
@@ -84,7 +89,10 @@ def normalise_topics(store: Store, provider: P.Provider, as_of) -> DataFrame:
     links = _kept(store, "topic-links", links)
     merged = topics.upserted(known.select("scope_key", "canonical_label", "memory_count", "aliases", "status", "last_active_at"), links)
     keep = known.select("scope_key", "canonical_label", "topic_id", "repo", "summary", "unresolved_summary")
-    joined = merged.join(keep, ["scope_key", "canonical_label"], "left")
+    # a new topic lies in the repository of the first memory that names it
+    place = links.join(todo.select("memory_id", F.col("repo").alias("_repo")), "memory_id").groupBy("scope_key", "canonical_label").agg(F.min_by("_repo", "memory_id").alias("_repo"))
+    joined = merged.join(keep, ["scope_key", "canonical_label"], "left").join(place, ["scope_key", "canonical_label"], "left").withColumn("repo", F.when(F.col("topic_id").isNull(), F.col("_repo")).otherwise(F.col("repo"))).drop("_repo")
+    joined = _kept(store, "topics-linked", joined)
     new = numbered(joined.where("topic_id is null").drop("topic_id"), known, "topic_id", ["scope_key", "canonical_label"])
     store.write("topics", joined.where("topic_id is not null").unionByName(new))
     ids = store.read("topics").select("scope_key", "canonical_label", F.col("topic_id").alias("_topic"))
@@ -94,7 +102,7 @@ def normalise_topics(store: Store, provider: P.Provider, as_of) -> DataFrame:
     return topics.crossings(now).join(linked.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
 
 
-def summarise_topics(store: Store, provider: P.Provider, only: DataFrame | None = None) -> None:
+def summarise_topics(store: Store, provider: P.Provider, only: DataFrame | None = None, language: str = "en") -> None:
     """Summaries of topics (topic_id) from their 20 newest active memories; a useless reply changes nothing."""
     known = store.read("topics")
     rows = store.read("memories").withColumnRenamed("topic_id", "topic").where("topic is not null")
@@ -102,21 +110,26 @@ def summarise_topics(store: Store, provider: P.Provider, only: DataFrame | None
     ask = known.where("status <> 'archived'").join(items, F.col("topic_id") == F.col("topic"))
     if only is not None:
         ask = ask.join(only.select("topic_id").distinct(), "topic_id", "left_semi")
-    prompt = F.concat(F.lit("Topic: "), "canonical_label", F.lit("\n"), P.numbered(F.col("_items")))
-    said = P.replies(ask.select("topic_id", prompt.alias("_prompt")), F.col("_prompt"), provider, "Summarise a topic in JSON.", SUMMARY_REPLY)
+    say = P.PROMPTS[language]
+    prompt = F.concat(F.lit(say["topic"]), "canonical_label", F.lit("\n"), P.numbered(F.col("_items"), say))
+    said = P.replies(ask.select("topic_id", prompt.alias("_prompt")), F.col("_prompt"), provider, say["summarise"], SUMMARY_REPLY)
     store.write("topics", topics.summary_patch(known, _kept(store, "summaries", said.select("topic_id", "reply.summary", "reply.unresolved_summary"))))
 
 
-def merge_clusters(store: Store, provider: P.Provider) -> DataFrame:
-    """One merged memory for the oldest turn memories of each topic that has three; returns the topics to summarise."""
+def merge_clusters(store: Store, provider: P.Provider, only: DataFrame | None = None, language: str = "en") -> DataFrame:
+    """One merged memory for the oldest turn memories of each topic (of some topic_ids) that has three; returns (topic_id, merged_id) of those to summarise."""
     memories, links, turns = store.read("memories"), store.read("memory_turn_links"), store.read("turns")
     labels = store.read("topics").select(F.col("topic_id").alias("topic"), "canonical_label")
     turn_memories = memories.where("memory_kind = 'turn' and topic_id is not null").withColumn("topic", F.col("topic_id"))
+    if only is not None:
+        turn_memories = turn_memories.join(only.select("topic_id").distinct(), "topic_id", "left_semi")
     chosen = topics.merge_candidates(turn_memories)
     items = chosen.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct(F.col("last_turn_at"), "id", "title", "summary", "learned", "next_steps"))).alias("_items"))
     ask = topics.merged(chosen).join(items, "topic").join(labels, "topic")
-    prompt = F.concat(F.lit("Topic: "), "canonical_label", F.lit("\n"), P.numbered(F.reverse("_items")))
-    asked = P.replies(ask.select("topic", "canonical_label", "repo", "cwd_scope", "first_turn_at", "last_turn_at", "source_turn_count", prompt.alias("_prompt")), F.col("_prompt"), provider, "Merge memories into one in JSON.").drop("_prompt")
+    say = P.PROMPTS[language]
+    prompt = F.concat(F.lit(say["topic"]), "canonical_label", F.lit("\n"), P.numbered(F.reverse("_items"), say))
+    asked = P.replies(ask.select("topic", "canonical_label", "repo", "cwd_scope", "first_turn_at", "last_turn_at", "source_turn_count", prompt.alias("_prompt")), F.col("_prompt"), provider, say["merge"]).drop("_prompt")
+    asked = _kept(store, "merge-replies", asked)
     made = memory.from_replies(asked, title="Merged memory", scores=(0.7, 0.8, 0.0)).withColumn("topic_candidate", F.col("canonical_label"))
     made = numbered(made.withColumnRenamed("topic", "topic_id"), memories, "id", ["topic_id"]).withColumns({"memory_kind": F.lit("merged"), "state": F.lit("active"), "is_pinned": F.lit(False)})
     new = _kept(store, "merged", made.drop("canonical_label"))
@@ -127,4 +140,49 @@ def merge_clusters(store: Store, provider: P.Provider) -> DataFrame:
     gone = _kept(store, "superseded", sources.select(F.col("memory_id").alias("id")))
     store.write("memories", memory.superseded(memories, gone).unionByName(new, allowMissingColumns=True))
     store.append("memory_turn_links", fresh_links)
-    return new.select("topic_id")
+    return new.select("topic_id", F.col("id").alias("merged_id"))
+
+
+def register(runner: jobs.Runner, store: Store, provider: P.Provider, as_of, language: str = "en") -> None:
+    """The four handlers: each runs its stage for the entities of the leased jobs and enqueues what follows."""
+
+    def handled(stage):
+        def handler(mine: DataFrame) -> DataFrame:
+            ids = mine.select("id", F.col("entity_id").cast("long").alias("entity"))
+            if not ids.take(1):
+                return ids.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+            try:
+                stage(ids)
+            except Exception as e:  # whatever fails, the jobs are tried again later
+                return ids.select("id", F.lit(False).alias("ok"), F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"))
+            return ids.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+
+        return handler
+
+    def turn(ids: DataFrame) -> None:
+        enqueue(store, jobs.memory_jobs(summarise_turns(store, provider, only=ids.select(F.col("entity").alias("turn_id")), language=language), as_of))
+
+    def topic(ids: DataFrame) -> None:
+        crossed = normalise_topics(store, provider, as_of, ids.select(F.col("entity").alias("id")), language)
+        enqueue(store, jobs.threshold_jobs(crossed, as_of))
+        rows = store.read("memories").where("memory_kind = 'turn' and topic_id is not null").withColumn("topic", F.col("topic_id"))
+        touched = rows.join(ids.select(F.col("entity").alias("id")), "id", "left_semi").select("topic").distinct()
+        enqueue(store, jobs.cluster_jobs(topics.merged(topics.merge_candidates(rows.join(touched, "topic", "left_semi"))), as_of))
+
+    def summary(ids: DataFrame) -> None:
+        summarise_topics(store, provider, ids.select(F.col("entity").alias("topic_id")), language)
+
+    def merge(ids: DataFrame) -> None:
+        enqueue(store, jobs.merged_jobs(merge_clusters(store, provider, ids.select(F.col("entity").alias("topic_id")), language), as_of))
+
+    for kind, stage in (("summarize_turn", turn), ("normalize_topic", topic), ("summarize_topic", summary), ("merge_cluster_to_memory", merge)):
+        runner.register(kind, handled(stage))
+
+
+def run_jobs(store: Store, runner: jobs.Runner, as_of) -> int:
+    """One step of the runner over the stored queue; returns the number of jobs that were leased."""
+    before = store.read("jobs")
+    after = _kept(store, "jobs-after", runner.step(before, as_of))
+    added = store.read("jobs").join(before.select("id"), "id", "left_anti")  # by the handlers
+    store.write("jobs", after.unionByName(added))
+    return after.alias("a").join(before.alias("b"), "id").where("a.state <> b.state").count()

@@ -22,6 +22,18 @@ from quern.operators.memory import REPLY
 
 SYSTEM = {"en": "Summarise one turn of a coding session as a JSON object.", "zh": "将一轮编码会话总结为 JSON 对象。"}
 
+#: What the other calls say, by language.
+PROMPTS = {
+    "en": {
+        "candidate": "Candidate: ", "topics": "\nTopics:\n", "topic": "Topic: ", "learned": "Learned", "next": "Next",
+        "normalise": "Choose an equal topic or keep the candidate; answer in JSON.", "summarise": "Summarise a topic in JSON.", "merge": "Merge memories into one in JSON.",
+    },
+    "zh": {
+        "candidate": "候选主题：", "topics": "\n已有主题：\n", "topic": "主题：", "learned": "收获", "next": "下一步",
+        "normalise": "选择等价的已有主题，否则保留候选；以 JSON 回答。", "summarise": "用 JSON 总结一个主题。", "merge": "将多条记忆合并为一条，以 JSON 回答。",
+    },
+}
+
 
 class Provider(Protocol):
     def compress(self, system: str, prompt: str) -> str: ...
@@ -54,12 +66,12 @@ def turn_prompt(prompt: Column, tools: Column, files: Column, commands: Column,
     )
 
 
-def numbered(items: Column) -> Column:
+def numbered(items: Column, say: dict[str, str] = PROMPTS["en"]) -> Column:
     """Items (title, summary, learned, next_steps) as numbered lines: at most 20, fields cut to 160 and 120 characters."""
 
     def line(x: Column, i: Column) -> Column:
         extra = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f" | {name}: "), F.substring(c, 1, 120))).otherwise("")
-        return F.concat((i + 1).cast("string"), F.lit(". "), x["title"], F.lit(": "), F.substring(x["summary"], 1, 160), extra("Learned", x["learned"]), extra("Next", x["next_steps"]))
+        return F.concat((i + 1).cast("string"), F.lit(". "), x["title"], F.lit(": "), F.substring(x["summary"], 1, 160), extra(say["learned"], x["learned"]), extra(say["next"], x["next_steps"]))
 
     return F.array_join(F.transform(F.slice(items, 1, 20), line), "\n")
 

@@ -1,7 +1,9 @@
-"""A store of the nine tables: immutable Parquet snapshots, one current version a table.
+"""A store of tables: immutable Parquet folders, and numbered manifests that name those of a version.
 
-A write goes to a new folder and then moves the table's pointer, so readers see the
-old rows or the new ones, never a mixture. There is one writer at a time.
+A write or append puts its rows into a new folder and then a new manifest beside the
+older ones by a rename; the manifest with the largest number counts. Readers see the
+old rows or the new ones, never a mixture or nothing, also after a crash in between.
+An append writes its own rows only. There is one writer at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ SCHEMAS = {
     "memories": "id bigint, memory_kind string, repo string, cwd_scope string, topic_id bigint, topic_candidate string, title string, summary string, request string, investigated string, learned string, completed string, next_steps string, memory_type string, importance_score double, confidence_score double, unresolved_score double, files_touched array<string>, concepts array<string>, source_turn_count bigint, is_pinned boolean, state string, first_turn_at timestamp_ntz, last_turn_at timestamp_ntz",
     "memory_turn_links": "memory_id bigint, turn_id bigint, ordinal bigint, role string",
     "memory_embeddings": "id bigint, model string, dimensions int, embedding array<float>",
+    "memory_lengths": "id bigint, dl bigint",
+    "memory_trigrams": "tri string, id bigint",
+    "quarantine": "event_id bigint, session_id string, hook string, tool_name string, disposition string, ts timestamp_ntz",
+    "error_log": "at timestamp_ntz, context string, message string",
     "jobs": "id bigint, job_type string, dedupe_key string, entity_type string, entity_id string, payload_json string, state string, priority int, attempts int, max_attempts int, available_at timestamp_ntz, leased_at timestamp_ntz, lease_owner string, last_error string",
 }
 KEYS = {"session_refs": "session_id", "turns": "turn_id", "turn_events": "event_id", "turn_artifacts": "turn_id", "topics": "topic_id", "memories": "id", "memory_embeddings": "id", "jobs": "id"}
@@ -33,32 +39,50 @@ class Store:
         self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.base))
 
-    def _pointer(self, table: str):
-        return self._path(f"{self.base}/{table}.current")
+    def _manifests(self, table: str) -> list[str]:
+        """The manifests of a table, the current one last."""
+        found = self._fs.globStatus(self._path(f"{self.base}/{table}.v*"))
+        return sorted(f.getPath().getName() for f in found or [])
+
+    def parts(self, table: str) -> list[str]:
+        """The folders of the current version, in order of writing."""
+        found = self._manifests(table)
+        return [r[0] for r in self.spark.read.text(f"{self.base}/{found[-1]}", wholetext=False).collect()] if found else []
 
     def read(self, table: str) -> DataFrame:
         """The current rows; an empty table before the first write."""
-        pointer = self._pointer(table)
-        if not self._fs.exists(pointer):
+        parts = self.parts(table)
+        if not parts:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        version = self.spark.read.text(pointer.toString()).first()[0]
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.base}/{table}/{version}")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.base}/{table}/{p}" for p in parts])
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        """Makes ``rows``, which may derive from the current ones, the table."""
-        version = uuid.uuid4().hex
+    def _put(self, table: str, rows: DataFrame) -> str:
+        """Writes rows into a new folder, which nothing names yet."""
+        part = uuid.uuid4().hex
         columns = self.spark.createDataFrame([], SCHEMAS[table])
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns.schema])
-        shaped.write.parquet(f"{self.base}/{table}/{version}")
-        temporary = self._path(f"{self.base}/{table}.{version}")
-        out = self._fs.create(temporary, True)
-        out.write(version.encode())
+        shaped.write.parquet(f"{self.base}/{table}/{part}")
+        return part
+
+    def _name(self, table: str, parts: list[str]) -> None:
+        """Makes folders the table by a new manifest."""
+        found = self._manifests(table)
+        number = int(found[-1].rsplit(".v", 1)[1]) + 1 if found else 0
+        temporary = self._path(f"{self.base}/_{table}.{uuid.uuid4().hex}")
+        out = self._fs.create(temporary, False)
+        out.write("\n".join(parts).encode())
         out.close()
-        self._fs.delete(self._pointer(table), False)
-        self._fs.rename(temporary, self._pointer(table))
+        if not self._fs.rename(temporary, self._path(f"{self.base}/{table}.v{number:012d}")):
+            raise OSError(f"another writer moved {table} to version {number}")
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        """Makes ``rows``, which may derive from the current ones, the table."""
+        self._name(table, [self._put(table, rows)])
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(rows, allowMissingColumns=True))
+        """Adds rows; those before stay where they are."""
+        part = self._put(table, rows)
+        self._name(table, [*self.parts(table), part])
 
     def get(self, table: str, key) -> DataFrame:
         """The row of a primary key."""

@@ -4,7 +4,8 @@ State per session: whether a turn is open, its number, and how many events it ha
 Within a micro-batch a session's events are ordered by (ts, event_id); across
 batches they count in order of arrival, so files have to arrive in time order for
 results equal to those of the batch operator. There is no timeout: a late event is
-one without an open turn.
+one without an open turn. Events without a session need no state and pass beside the
+machine; blank prompts and skipped tools change nothing, as in batch.
 """
 
 from __future__ import annotations
@@ -17,38 +18,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from quern.operators.ingest import PROMPT, STOP, TOOL
+from quern.functions.text import strip_private, strip_private_json, trim
+from quern.operators.ingest import PROMPT, STOP, disposed
 
-EVENTS = "event_id bigint, ts timestamp_ntz, session_id string, hook string, tool_name string, payload_json string"
+EVENTS = "event_id bigint, ts timestamp_ntz, session_id string, hook string, tool_name string, prompt string, payload_json string"
 OUT = "session_id string, event_id bigint, hook string, turn_no int, event_seq int, disposition string"
 
 
 class TurnMachine(StatefulProcessor):
-    def __init__(self, skip: tuple[str, ...] = ()):
-        self.skip = skip
+    """Takes events with ``said``: what becomes of them if a turn is open."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = [StructField("open", BooleanType()), StructField("turn_no", IntegerType()), StructField("events", IntegerType())]
         self.state = handle.getValueState("turn", StructType(fields))
 
-    def _skipped(self, tool) -> bool:
-        return isinstance(tool, str) and any(tool.startswith(p[:-1]) if p.endswith("*") else tool == p for p in self.skip)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         is_open, turn, events = self.state.get() if self.state.exists() else (False, 0, 0)
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         out = []
-        for event_id, hook, tool in zip(batch["event_id"], batch["hook"], batch["tool_name"]):
-            if hook == PROMPT:
-                is_open, turn, events, what = True, turn + 1, 1, "accepted"
-            elif hook not in (TOOL, STOP):
-                what = "ignored"
-            elif hook == TOOL and self._skipped(tool):
-                what = "skipped"
-            elif not is_open:
+        for event_id, hook, what in zip(batch["event_id"], batch["hook"], batch["said"]):
+            if what == "accepted" and hook == PROMPT:
+                is_open, turn, events = True, turn + 1, 1
+            elif what == "accepted" and not is_open:
                 what = "no_open_turn"
-            else:
-                events, what, is_open = events + 1, "accepted", hook != STOP
+            elif what == "accepted":
+                events, is_open = events + 1, hook != STOP
             mine = what == "accepted"
             out.append((key[0], event_id, hook, turn if mine else None, events if mine else None, what))
         self.state.update((bool(is_open), int(turn), int(events)))
@@ -60,11 +54,18 @@ class TurnMachine(StatefulProcessor):
 
 
 def attribute_stream(events: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """A stream (or batch) of events of schema ``EVENTS`` with turn numbers; sets the RocksDB state store."""
+    """A stream (or batch) of events with turn numbers and dispositions; sets the RocksDB state store.
+
+    A ``prompt`` column, where there is one, tells blank prompts.
+    """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.streams.active  # noqa: B018  starts the coordinator of the state stores, which a batch needs too
-    return events.where("session_id is not null").groupBy("session_id").transformWithStateInPandas(TurnMachine(skip), OUT, "append", "none")
+    blank = trim(F.coalesce("prompt", F.lit(""))) == "" if "prompt" in events.columns else F.lit(False)
+    said = events.select("event_id", "ts", "session_id", "hook", disposed(blank, F.lit(True), list(skip)).alias("said"))
+    none = said.where("session_id is null").select("session_id", "event_id", "hook", F.lit(None).cast("int").alias("turn_no"), F.lit(None).cast("int").alias("event_seq"), F.col("said").alias("disposition"))
+    machine = said.where("session_id is not null").groupBy("session_id").transformWithStateInPandas(TurnMachine(), OUT, "append", "none")
+    return machine.unionByName(none)
 
 
 def run_files(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1, skip: tuple[str, ...] = ()) -> None:
@@ -74,8 +75,13 @@ def run_files(spark: SparkSession, source: str, target: str, checkpoint: str, fi
     query.awaitTermination()
 
 
+RAW = "event_id bigint, ts timestamp_ntz, session_id string, hook_event_name string, tool_name string, prompt string, cwd string"
+
+
 def accept(raw: DataFrame) -> DataFrame:
-    """Raw hook records (JSON text in ``value``) as events; a record that is no JSON or has no session is left out."""
-    schema = "event_id bigint, ts timestamp_ntz, session_id string, hook_event_name string, tool_name string, prompt string, tool_input string, tool_response string"
-    r = raw.select(F.from_json("value", schema).alias("r"), "value").where("r.session_id is not null")
-    return r.select("r.event_id", "r.ts", "r.session_id", F.col("r.hook_event_name").alias("hook"), "r.tool_name", F.col("value").alias("payload_json"))
+    """Raw hook records (JSON text in ``value``) as events, private spans redacted before anything else sees them.
+
+    Records without a session stay, to be quarantined; one that is no JSON object has no hook and is ignored.
+    """
+    r = raw.select(F.from_json("value", RAW).alias("r"), strip_private_json(F.col("value")).alias("payload_json"))
+    return r.select("r.event_id", "r.ts", "r.session_id", F.col("r.hook_event_name").alias("hook"), "r.tool_name", strip_private(F.col("r.prompt")).alias("prompt"), "r.cwd", "payload_json")

@@ -7,7 +7,7 @@ from quern.streaming import attribution
 
 def test_stream_equals_batch(spark, tiny, tmp_path):
     """Four files in time order, with a stop and a restart from the checkpoint after two."""
-    events = fixtures.events(spark, tiny)
+    events = fixtures.events(spark, tiny).withColumn("prompt", F.when(F.col("event_id") % 13 != 0, "text").otherwise(" ")).withColumn("session_id", F.when(F.col("event_id") % 50 != 0, F.col("session_id")))
     bounds = events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
     part = sum((F.col("event_id") > b).cast("int") for b in bounds)
     source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
@@ -16,10 +16,12 @@ def test_stream_equals_batch(spark, tiny, tmp_path):
         if k in (1, 3):
             attribution.run_files(spark, source, target, check)
     got = spark.read.schema(attribution.OUT).parquet(target).select("event_id", "turn_no", "disposition")
-    want = ingest.attributed(events).selectExpr("event_id", "cast(turn_no as int) as turn_no", "disposition")
+    want = ingest.attributed(events, prompt_col="prompt").selectExpr("event_id", "cast(turn_no as int) as turn_no", "disposition")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def test_accept(spark):
-    raw = spark.createDataFrame([('{"event_id":1,"session_id":"s","hook_event_name":"stop"}',), ("broken",), ('{"event_id":2}',)], "value string")
-    assert [(r.event_id, r.hook) for r in attribution.accept(raw).collect()] == [(1, "stop")]
+    raw = spark.createDataFrame([('{"event_id":1,"session_id":"s","hook_event_name":"stop"}',), ("broken",), ('{"event_id":2,"prompt":"a <private>b</private>"}',)], "value string")
+    got = [(r.event_id, r.session_id, r.hook, r.prompt) for r in attribution.accept(raw).collect()]
+    assert got == [(1, "s", "stop", None), (None, None, None, None), (2, None, None, "a [REDACTED]")]
+    assert "<private>" not in str(attribution.accept(raw).select("payload_json").collect())
