@@ -1,11 +1,13 @@
-"""The query surface: one function for each tool, over a store."""
+"""The query surface: one function for each tool, over a store, and a dispatcher by name."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import scope_key
 from quern.operators import context, search, topics, trace
+from quern.sources.provider import embedded
 from quern.sources.store import Store
 
 TEXT_COLUMNS = ["title", "summary", "request", "investigated", "learned", "completed", "next_steps", "concepts_text", "files_text"]
@@ -17,8 +19,39 @@ def searchable(memories: DataFrame) -> DataFrame:
     return memories.withColumn("concepts_text", F.to_json(F.coalesce("concepts", F.array().cast("array<string>")))).withColumn("files_text", F.to_json(F.coalesce("files_touched", F.array().cast("array<string>"))))
 
 
-def search_memories(store: Store, query: str, as_of, kind: str | None = None, repo: str | None = None, days: float = 90, limit: int = 20, query_vector: list[float] | None = None) -> DataFrame:
-    hits = search.hybrid(searchable(store.read("memories")), store.read("memory_embeddings"), query, query_vector, TEXT_COLUMNS, kind, repo, days, limit, as_of)
+def refresh_index(store: Store, changed: DataFrame | None = None) -> None:
+    """Brings the text index up to date: for new memories by an append, for changed ids (id) by replacing their rows."""
+    known = store.read("memory_lengths").select("id")
+    memories = searchable(store.read("memories"))
+    todo = memories.join(known if changed is None else known.join(changed.select("id"), "id", "left_anti"), "id", "left_anti")
+    index = search.text_index(todo, TEXT_COLUMNS)
+    for table, rows, key in (("memory_trigrams", index.postings.repartitionByRange("tri").sortWithinPartitions("tri"), "tri"), ("memory_lengths", index.lengths, "id")):
+        if changed is None:
+            store.append(table, rows)
+        else:
+            old = store.read(table).join(changed.select("id").distinct(), "id", "left_anti")
+            store.write(table, old.unionByName(rows).repartitionByRange(key).sortWithinPartitions(key))
+
+
+def _index(store: Store) -> search.TextIndex | None:
+    """The index, if it covers every memory."""
+    if not store.parts("memory_lengths"):
+        return None
+    lengths = store.read("memory_lengths")
+    stale = store.read("memories").select("id").join(lengths.select("id"), "id", "left_anti").take(1)
+    return None if stale else search.TextIndex(lengths, store.read("memory_trigrams"))
+
+
+def query_embedding(store: Store, query: str) -> list[float]:
+    """The vector of a query: one row through the provider's embedding."""
+    return list(embedded(store.spark.createDataFrame([(query,)], "text string"), F.col("text")).first()["embedding"])
+
+
+def search_memories(store: Store, query: str, as_of, kind: str | None = None, repo: str | None = None, days: float = 90, limit: int = 20, query_vector: list[float] | None = None, by_meaning: bool = True) -> DataFrame:
+    """Full text and meaning, fused; the query is embedded here unless its vector is given."""
+    if query_vector is None and by_meaning:
+        query_vector = query_embedding(store, query)
+    hits = search.hybrid(searchable(store.read("memories")), store.read("memory_embeddings"), query, query_vector, TEXT_COLUMNS, kind, repo, days, limit, as_of, like_columns=LIKE_COLUMNS, index=_index(store))
     return hits.select("id", "title", "memory_type", "topic_id", F.date_format("last_turn_at", "yyyy-MM-dd").alias("date"), "is_pinned", "match_source", "source_turn_count")
 
 
@@ -53,3 +86,45 @@ def health(store: Store) -> DataFrame:
     from quern.operators.jobs import stats
 
     return stats(store.read("jobs"))
+
+
+#: What a search reply points to, by language.
+HINTS = {"en": "get_memories shows the details", "zh": "get_memories 获取详情"}
+
+
+def _rows(df: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def _scope(store: Store, repo: str | None, cwd: str | None) -> str | None:
+    if not repo and not cwd:
+        return None
+    return store.spark.range(1).select(scope_key(F.lit(repo).cast("string"), F.lit(cwd).cast("string")).alias("s")).first()["s"]
+
+
+def call(store: Store, name: str, args: dict, as_of, language: str = "en") -> dict:
+    """The reply of a tool by name, as plain values; an unknown tool or a missing argument gives an ``error``. Every reply is a bounded list."""
+    if name not in ("search", "get_memories", "trace_memory", "topics", "pin_memory"):
+        return {"error": f"unknown tool: {name}"}
+    needed = {"search": "query", "get_memories": "ids", "trace_memory": "memory_id", "pin_memory": "memory_id"}.get(name)
+    if needed and args.get(needed) is None:
+        return {"error": f"{name} needs {needed}"}
+    if name == "search":
+        found = _rows(search_memories(store, args["query"], as_of, args.get("type"), args.get("repo"), args.get("days") or 90, args.get("limit") or 20))
+        return {"results": found, "total": len(found), "hint": HINTS[language]}
+    if name == "get_memories":
+        found = _rows(get_memories(store, [int(i) for i in args["ids"]]))
+        return {"memories": found, "total": len(found)}
+    if name == "trace_memory":
+        one, turns, near = trace_memory(store, args["memory_id"], args.get("before") or 3, args.get("after") or 3)
+        memory = _rows(one)
+        if not memory:
+            return {"error": f"no memory {args['memory_id']}"}
+        return {"memory": memory[0], "source_turns": _rows(turns), "neighbors": _rows(near.select("id", "title", "last_turn_at"))}
+    if name == "topics":
+        found = _rows(list_topics(store, _scope(store, args.get("repo"), args.get("cwd")), args.get("limit") or 20))
+        return {"topics": found, "total": len(found)}
+    if not get_memories(store, [args["memory_id"]]).take(1):
+        return {"error": f"no memory {args['memory_id']}"}
+    pin_memory(store, args["memory_id"], args.get("pinned", True))
+    return {"ok": True, "memory_id": args["memory_id"], "pinned": args.get("pinned", True)}

@@ -37,8 +37,8 @@ def filtered(memories: DataFrame, kind: str | None = None, repo: str | None = No
 
 
 def like(memories: DataFrame, query: str, columns: list[str], limit: int = 20) -> DataFrame:
-    """Rows where a column contains the query, A-Z in either case; ``%`` and ``_`` are wildcards. Pinned and recent ones come first."""
-    pattern = F.lit("%" + "".join(c.lower() if "A" <= c <= "Z" else c for c in query) + "%")
+    """Rows where a column contains the query, A-Z in either case; ``%`` and ``_`` are wildcards, a backslash is itself. Pinned and recent ones come first."""
+    pattern = F.lit("%" + "".join(c.lower() if "A" <= c <= "Z" else c for c in query).replace("\\", "\\\\") + "%")
     rows = memories
     if query:
         rows = rows.where(reduce(Column.__or__, [F.call_function("like", ascii_lower(F.coalesce(c, F.lit(""))), pattern) for c in columns]))
@@ -167,17 +167,58 @@ def _count(term: Term, columns: list[str]) -> Column:
     return reduce(Column.__add__, [F.coalesce(F.regexp_count(F.lower(c), F.lit(quoted)), F.lit(0)) for c in ([term.column] if term.column else columns)])
 
 
-def bm25(memories: DataFrame, query: str, columns: list[str]) -> DataFrame:
+@dataclass
+class TextIndex:
+    """Trigram index over some columns: ``lengths`` (id, dl) of every memory and ``postings`` (tri, id)."""
+
+    lengths: DataFrame
+    postings: DataFrame
+
+    def candidates(self, terms: list[Term]) -> DataFrame:
+        """Ids of the rows that have all trigrams of one of the terms: a superset of those with the term."""
+        found = None
+        for t in terms:
+            low = t.text.lower()
+            grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+            some = self.postings.where(F.col("tri").isin(*grams)).groupBy("id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(grams)).select("id")
+            found = some if found is None else found.unionByName(some)
+        return found.distinct()
+
+
+def _length(columns: list[str]) -> Column:
+    """Number of trigrams of a row."""
+    return reduce(Column.__add__, [F.greatest(F.coalesce(F.length(c), F.lit(0)) - 2, F.lit(0)) for c in columns])
+
+
+def text_index(memories: DataFrame, columns: list[str]) -> TextIndex:
+    """The index of memories. Trigrams are taken inside one column, in lower case, each once for a row."""
+
+    def grams(c: str) -> Column:
+        low = F.lower(F.coalesce(c, F.lit("")))
+        return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3))).otherwise(F.array().cast("array<string>"))
+
+    postings = memories.select("id", F.explode(F.array_distinct(F.concat(*[grams(c) for c in columns]))).alias("tri"))
+    return TextIndex(memories.select("id", _length(columns).cast("long").alias("dl")), postings.select("tri", "id"))
+
+
+def bm25(memories: DataFrame, query: str, columns: list[str], index: TextIndex | None = None) -> DataFrame:
     """Every row that matches, of any state, with its ``bm25`` (lower is better).
 
     A row's length is its number of trigrams. Row count, mean length and document
-    frequencies come from one aggregate over all rows, which yields a single row.
+    frequencies come from one aggregate over all rows, which yields a single row; with
+    an index only the rows that have a term's trigrams are read.
     """
     tree = parse(query)
     terms = _terms(tree)
-    size = reduce(Column.__add__, [F.greatest(F.coalesce(F.length(c), F.lit(0)) - 2, F.lit(0)) for c in columns])
-    counted = memories.withColumn("_dl", size.cast("double")).withColumns({f"_f{k}": _count(t, columns) for k, t in enumerate(terms)})
-    stats = counted.agg(F.count(F.lit(1)).alias("_N"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_f{k}") > 0).cast("long")).alias(f"_n{k}") for k in range(len(terms))])
+    total = [F.count(F.lit(1)).alias("_N"), F.avg("_dl").alias("_avg")]
+    seen = [F.sum((F.col(f"_f{k}") > 0).cast("long")).alias(f"_n{k}") for k in range(len(terms))]
+    if index is not None and terms:
+        rows = memories.join(index.candidates(terms), "id", "left_semi")
+        lengths = index.lengths.select(F.col("dl").cast("double").alias("_dl"))
+    else:
+        rows, lengths = memories, None
+    counted = rows.withColumn("_dl", _length(columns).cast("double")).withColumns({f"_f{k}": _count(t, columns) for k, t in enumerate(terms)})
+    stats = counted.agg(*total, *seen) if lengths is None else lengths.agg(*total).crossJoin(counted.agg(*seen))  # one row each
     score = F.lit(0.0)
     for k in range(len(terms)):
         idf = F.greatest(F.log((F.col("_N") - F.col(f"_n{k}") + 0.5) / (F.col(f"_n{k}") + 0.5)), F.lit(1e-6))
@@ -187,11 +228,11 @@ def bm25(memories: DataFrame, query: str, columns: list[str]) -> DataFrame:
     return hits.select(*memories.columns, score.alias("bm25"))
 
 
-def full_text(memories: DataFrame, query: str, columns: list[str], limit: int = 20, like_columns: list[str] | None = None, **filters) -> DataFrame:
+def full_text(memories: DataFrame, query: str, columns: list[str], limit: int = 20, like_columns: list[str] | None = None, index: TextIndex | None = None, **filters) -> DataFrame:
     """The search entry: short queries use LIKE, others BM25 over all rows, then the filters. Pinned rows come first."""
     if len(query) < 3:
         return like(filtered(memories, **filters), query, like_columns or columns, limit)
-    return filtered(bm25(memories, query, columns), **filters).orderBy(F.col("is_pinned").desc(), "bm25", "id").limit(limit)
+    return filtered(bm25(memories, query, columns, index), **filters).orderBy(F.col("is_pinned").desc(), "bm25", "id").limit(limit)
 
 
 def recent(memories: DataFrame, limit: int = RECENT, **filters) -> DataFrame:
@@ -254,18 +295,23 @@ def ranked(hits: DataFrame, by: list[Column]) -> DataFrame:
     return hits.withColumn("fts_rank", F.row_number().over(Window.orderBy(*by)))
 
 
-def hybrid(memories: DataFrame, vectors: DataFrame, query: str, query_vector: list[float] | None, columns: list[str], kind: str | None = None, repo: str | None = None, days: float | None = 90, limit: int = 20, as_of=None, strict_type: bool = False) -> DataFrame:
+def hybrid(
+    memories: DataFrame, vectors: DataFrame, query: str, query_vector: list[float] | None, columns: list[str], kind: str | None = None, repo: str | None = None, days: float | None = 90, limit: int = 20,
+    as_of=None, strict_type: bool = False, like_columns: list[str] | None = None, index: TextIndex | None = None,
+) -> DataFrame:
     """Full text (50) and vectors over those and the 200 most recent, fused. Without a query vector: full text alone.
 
-    The type restricts the full-text side only, unless ``strict_type``.
+    The type restricts the full-text side only, unless ``strict_type``. The text
+    candidates, 50 ids at most, are found once.
     """
-    found = full_text(memories, query, columns, CANDIDATES, kind=kind, repo=repo, days=days, as_of=as_of)
+    found = full_text(memories, query, columns, CANDIDATES, like_columns, index, kind=kind, repo=repo, days=days, as_of=as_of)
     order = [F.col("is_pinned").desc(), F.col("bm25") if "bm25" in found.columns else F.col("last_turn_at").desc(), F.col("id")]
-    text = ranked(found, order).select("id", "fts_rank")
+    listed = ranked(found, order).select("id", F.col("fts_rank").cast("int").alias("fts_rank"))
+    text = memories.sparkSession.createDataFrame(listed.collect(), listed.schema)  # CANDIDATES rows at most
     near = recent(memories, RECENT, repo=repo, days=days, as_of=as_of).select("id")
     meaning = semantic(vectors, query_vector, text.select("id").unionByName(near)) if query_vector is not None else text.where("false").select("id", F.col("fts_rank").alias("sem_rank"))
     top = fused(text, meaning, limit)
-    out = top.join(memories, "id")
+    out = memories.join(F.broadcast(top), "id")  # ``limit`` rows
     if strict_type and kind:
         out = out.where(F.col("memory_type") == kind)
     return out.orderBy(F.col("score").desc(), F.col("fts_rank").asc_nulls_last(), "sem_rank", "id")

@@ -41,13 +41,14 @@ def _times(term: str, column: str) -> str:
     return f"len(list_filter(range(1, greatest(length({column}) - {n - 2}, 1)), lambda i: substr(lower({column}), i, {n}) = '{term}'))"
 
 
-def _bm25(terms: list[str], source: str = "v_mem") -> str:
-    """Rows of ``hits``: every memory with all terms, and its rank."""
-    f = ", ".join(f"{_times(t, 'title')} + {_times(t, 'summary')} AS f{k}" for k, t in enumerate(terms))
+def _bm25(terms: list, source: str = "v_mem", columns: tuple = ("title", "summary"), op: str = "AND") -> str:
+    """Rows of ``hits``: every memory with all terms (or, with OR, one), and its rank. A term is a text or (column, text)."""
+    f = ", ".join(" + ".join(_times(t, f"coalesce({c}, '')") for c in columns) + f" AS f{k}" if isinstance(t, str) else f"{_times(t[1], t[0])} AS f{k}" for k, t in enumerate(terms))
+    dl = " + ".join(f"greatest(coalesce(length({c}), 0) - 2, 0)" for c in columns)
     agg = ", ".join(f"sum(CASE WHEN f{k} > 0 THEN 1 ELSE 0 END) AS n{k}" for k in range(len(terms)))
     score = " + ".join(f"greatest(ln((N - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / av))" for k in range(len(terms)))
-    every = " AND ".join(f"f{k} > 0" for k in range(len(terms)))
-    return f"""c AS (SELECT *, greatest(length(title) - 2, 0) + greatest(length(summary) - 2, 0) AS dl, {f} FROM {source}),
+    every = f" {op} ".join(f"f{k} > 0" for k in range(len(terms)))
+    return f"""c AS (SELECT *, {dl} AS dl, {f} FROM {source}),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS N, avg(dl) AS av, {agg} FROM c),
 hits AS (SELECT c.*, -({score}) AS bm25 FROM c, st WHERE {every})"""
 
@@ -78,6 +79,41 @@ a3 AS (SELECT session_id, turn_no, string_agg(c, '|' ORDER BY rn) AS v, string_a
 a4 AS (SELECT session_id, turn_no, string_agg(e, '|' ORDER BY rn) AS v, string_agg(CASE WHEN rn <= 3 THEN e END, '; ' ORDER BY rn) AS p FROM er WHERE rn <= 10 GROUP BY 1, 2)"""
 _ARTS = "FROM st LEFT JOIN a1 USING (session_id, turn_no) LEFT JOIN a2 USING (session_id, turn_no) LEFT JOIN a3 USING (session_id, turn_no) LEFT JOIN a4 USING (session_id, turn_no)"
 
+_FULL = """v_full AS (SELECT *, topic AS request, cwd_scope AS investigated, 'Other' || chr(92) || memory_type AS learned, repo AS completed, 'then THE ' || topic AS next_steps, '["' || memory_type || '"]' AS concepts_text, '["/' || topic || '.py"]' AS files_text FROM v_mem)"""
+_NINE = ("title", "summary", "request", "investigated", "learned", "completed", "next_steps", "concepts_text", "files_text")
+_FOUR = ("title", "summary", "learned", "concepts_text")
+
+
+def _like(pattern: str) -> str:
+    return " OR ".join(f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '{pattern}'" for c in _FOUR)
+
+
+_RAW = f"""WITH {EVENTS}, raw AS (SELECT event_id, ts, CASE WHEN event_id % 50 <> 0 THEN session_id END AS session_id, hook, tool_name, hook = 'userPromptSubmit' AND event_id % 13 = 0 AS blank FROM v_events)"""
+_STREAM = f"""{_RAW}, live AS (SELECT *, hook = 'userPromptSubmit' AND NOT blank AS p FROM raw WHERE session_id IS NOT NULL),
+o AS (SELECT *, sum(CASE WHEN p THEN 1 ELSE 0 END) OVER w AS tn, coalesce(last_value(CASE WHEN p THEN 1 WHEN hook = 'stop' THEN 0 END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS op
+  FROM live WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CASE WHEN blank THEN 'ignored_empty' WHEN tool_name = 'click' THEN 'skipped' WHEN p OR op = 1 THEN 'accepted' ELSE 'no_open_turn' END AS disposition FROM o)
+SELECT event_id, session_id, hook, CASE WHEN disposition = 'accepted' THEN CAST(tn AS BIGINT) END AS turn_no, CASE WHEN disposition = 'accepted' THEN row_number() OVER (PARTITION BY session_id, tn, disposition ORDER BY ts, event_id) END AS event_seq, disposition FROM s
+UNION ALL SELECT event_id, NULL, hook, NULL, NULL, CASE WHEN blank THEN 'ignored_empty' WHEN tool_name = 'click' THEN 'skipped' ELSE 'no_session' END FROM raw WHERE session_id IS NULL"""
+
+_BYTES = 4000
+_CONTEXT = f"""WITH RECURSIVE {MEM}, {TOPICS},
+pins AS (SELECT id, '- **#M' || id || '** ' || title AS line, row_number() OVER (ORDER BY last_turn_at DESC, id) AS n FROM v_mem WHERE state = 'active' AND is_pinned ORDER BY n LIMIT 10),
+labels AS (SELECT '- **' || canonical_label || '** (' || memory_count || ' memories)' AS line, row_number() OVER (ORDER BY last_active_at DESC, scope_key, canonical_label) AS n FROM v_topics ORDER BY n LIMIT 8),
+head AS (SELECT (SELECT chr(10) || '## 📌 Pinned Memories' || chr(10) || string_agg(line, chr(10) ORDER BY n) FROM pins) AS p, (SELECT chr(10) || '## Active Topics' || chr(10) || string_agg(line, chr(10) ORDER BY n) FROM labels) AS t),
+h1 AS (SELECT CASE WHEN 16 + strlen(p) + 1 < {_BYTES} THEN p END AS p, t FROM head), h2 AS (SELECT p, t, 16 + coalesce(strlen(p) + 1, 0) AS u FROM h1),
+h3 AS (SELECT p, CASE WHEN u + strlen(t) + 1 < {_BYTES} THEN t END AS t, u FROM h2), h4 AS (SELECT p, t, u + coalesce(strlen(t) + 1, 0) AS u FROM h3),
+listed AS (SELECT * FROM v_mem WHERE state = 'active' ORDER BY is_pinned DESC, last_turn_at DESC, id LIMIT 20),
+items AS (SELECT row_number() OVER (ORDER BY is_pinned DESC, last_turn_at DESC, id) AS n, '- #M' || id || ' [' || memory_type || '] ' || title || ' (' || strftime(last_turn_at, '%Y-%m-%d') || ')' AS line,
+  CASE WHEN trim(regexp_replace(summary, '\\s+', ' ', 'g')) <> '' THEN '  ' || substr(trim(regexp_replace(summary, '\\s+', ' ', 'g')), 1, 160) END AS extra FROM listed WHERE id NOT IN (SELECT id FROM pins)),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, '' AS text, CAST(20 AS BIGINT) AS size, {_BYTES} - u - 200 AS room FROM h4
+  UNION ALL SELECT i.n, f.text || chr(10) || i.line || CASE WHEN f.size + strlen(i.line) + 1 + strlen(i.extra) + 1 <= f.room THEN chr(10) || i.extra ELSE '' END,
+    CAST(f.size + strlen(i.line) + 1 + CASE WHEN f.size + strlen(i.line) + 1 + strlen(i.extra) + 1 <= f.room THEN strlen(i.extra) + 1 ELSE 0 END AS BIGINT), f.room FROM fold f JOIN items i ON i.n = f.n + 1 WHERE f.size + strlen(i.line) + 1 <= f.room),
+r AS (SELECT p, t, u, (SELECT chr(10) || '## Recent Memories' || text FROM fold WHERE text <> '' ORDER BY n DESC LIMIT 1) AS r FROM h4),
+k AS (SELECT p, t, r, CASE WHEN u + coalesce(strlen(r) + 1, 0) + strlen(hint) + 17 + 2 < {_BYTES} THEN hint END AS h FROM r, (SELECT chr(10) || '---' || chr(10) || '💡 search finds memories | get_memories shows details | trace_memory shows sources | topics lists topics' AS hint)),
+c AS (SELECT unnest([concat_ws(chr(10), '<memory-context>', p, t, r, h, '</memory-context>'), concat_ws(chr(10), '<memory-context>', p, t, r, '</memory-context>'), concat_ws(chr(10), '<memory-context>', p, t, '</memory-context>')]) AS context, unnest([1, 2, 3]) AS n FROM k)
+SELECT context, strlen(context) AS n_bytes FROM c WHERE strlen(context) <= {_BYTES} ORDER BY n LIMIT 1"""
+
 SQL = {
     "turn_attribution": f"{ATTR} SELECT event_id, session_id, hook, turn_no, disposition FROM t",
     "turn_rollup": f"{TURNS} SELECT session_id, turn_no, started_at, last_event_at, n_events, tool_event_count, payload_bytes, ended FROM turns",
@@ -128,19 +164,38 @@ SQL = {
     "recent_ids": f"WITH {MEM} SELECT id FROM v_mem WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 30 DAY ORDER BY last_turn_at DESC, id LIMIT 200",
     "pinned_memories": f"WITH {MEM} SELECT id, title, last_turn_at FROM v_mem WHERE state = 'active' AND is_pinned ORDER BY last_turn_at DESC, id LIMIT 20",
     "get_by_ids": f"WITH {MEM} SELECT id, title, state, memory_type, last_turn_at FROM v_mem WHERE id IN (3, 5, 8, 13, 21, 999999)",
-    "vector_topk": f"WITH {_SEM.format(where='')} SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS sem_rank, round(cosine, 6) AS cosine FROM sem WHERE cosine > 0.2 ORDER BY sem.cosine DESC, id LIMIT 250",
+    "vector_topk": f"WITH {_SEM.format(where='')} SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS sem_rank, round(cosine, 6) AS cosine FROM sem WHERE cosine > 0.2",
     "rrf_fusion": f"""WITH {MEM}, {_bm25(['ther'])}, ft AS (SELECT id, row_number() OVER (ORDER BY is_pinned DESC, round(bm25, 6), id) AS r FROM (SELECT * FROM hits WHERE state = 'active' ORDER BY is_pinned DESC, bm25, id LIMIT 50)),
-      {_SEM.format(where='')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2 ORDER BY cosine DESC, id LIMIT 250), {_RRF}
+      {_SEM.format(where='')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2), {_RRF}
       SELECT id, round(score, 6) AS score, match_source FROM f ORDER BY f.score DESC, fr NULLS LAST, sr, id LIMIT 20""",
     "hybrid_search": f"""WITH {MEM}, {_bm25(['inther'])}, ft AS (SELECT id, row_number() OVER (ORDER BY is_pinned DESC, bm25, id) AS r FROM (SELECT * FROM hits WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 25 DAY ORDER BY is_pinned DESC, bm25, id LIMIT 50)),
       near AS (SELECT id FROM v_mem WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 25 DAY ORDER BY last_turn_at DESC, id LIMIT 200),
-      {_SEM.format(where='WHERE e.vec_id IN (SELECT id FROM ft UNION SELECT id FROM near)')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2 ORDER BY cosine DESC, id LIMIT 250), {_RRF}
+      {_SEM.format(where='WHERE e.vec_id IN (SELECT id FROM ft UNION SELECT id FROM near)')}, sr AS (SELECT id, row_number() OVER (ORDER BY cosine DESC, id) AS r FROM sem WHERE cosine > 0.2), {_RRF}
       SELECT id, round(score, 6) AS score, match_source, title FROM (SELECT * FROM f ORDER BY score DESC, fr NULLS LAST, sr, id LIMIT 20) JOIN v_mem USING (id)""",
     "trace_neighbors": f"""WITH {MEM} SELECT id, repo, coalesce(array_to_string(list(id) OVER (PARTITION BY repo ORDER BY id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ','), '') AS ids_before,
       coalesce(array_to_string(list(id) OVER (PARTITION BY repo ORDER BY id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), ','), '') AS ids_after FROM v_mem WHERE state = 'active'""",
     "trace_sources": f"{TURNS} SELECT session_id AS memory_id, session_id || '#' || turn_no AS turn_id, row_number() OVER (PARTITION BY session_id ORDER BY started_at) AS ordinal, started_at FROM turns",
-    "trace_one": f"""WITH {MEM}, o AS (SELECT repo FROM v_mem WHERE id = 100) SELECT 100 AS id, 'memory' AS part UNION ALL SELECT * FROM (SELECT id, 'neighbour' FROM v_mem WHERE state = 'active' AND id < 100 AND repo IS NOT DISTINCT FROM (SELECT repo FROM o) ORDER BY id DESC LIMIT 3)
-      UNION ALL SELECT * FROM (SELECT id, 'neighbour' FROM v_mem WHERE state = 'active' AND id > 100 AND repo IS NOT DISTINCT FROM (SELECT repo FROM o) ORDER BY id LIMIT 3)""",
+    "trace_one": f"""{TURNS}, {MEM}, o AS (SELECT repo FROM v_mem WHERE id = 100) SELECT 100 AS id, 'memory' AS part, NULL AS detail UNION ALL SELECT * FROM (SELECT id, 'neighbour', NULL FROM v_mem WHERE state = 'active' AND id < 100 AND repo IS NOT DISTINCT FROM (SELECT repo FROM o) ORDER BY id DESC LIMIT 3)
+      UNION ALL SELECT * FROM (SELECT id, 'neighbour', NULL FROM v_mem WHERE state = 'active' AND id > 100 AND repo IS NOT DISTINCT FROM (SELECT repo FROM o) ORDER BY id LIMIT 3)
+      UNION ALL SELECT CAST(session_id AS BIGINT) * 100000 + turn_no, 'turn', substr(repeat(session_id || '#' || turn_no || ' ', 60), 1, 200) FROM turns WHERE session_id = '100'""",
+    "memory_links": f"{TURNS} SELECT CAST(session_id AS BIGINT) AS memory_id, CAST(session_id AS BIGINT) * 100000 + turn_no AS turn_id, row_number() OVER (ORDER BY started_at) AS ordinal FROM turns WHERE session_id = '7'",
+    "search_columns": f"""WITH {MEM}, {_FULL}, {_bm25(['ther', ('learned', 'bugfix'), ('files_text', 'rc3.p')], 'v_full', _NINE, 'OR')} SELECT id, round(bm25, 6) AS bm25 FROM hits
+      WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 40 DAY ORDER BY is_pinned DESC, hits.bm25, id LIMIT 40""",
+    "search_indexed": f"WITH {MEM}, {_FULL}, {_bm25(['inther', 'onth'], 'v_full', _NINE)} SELECT id, round(bm25, 6) AS bm25 FROM hits",
+    "search_short": f"WITH {MEM}, {_FULL} SELECT id, last_turn_at FROM v_full WHERE state = 'active' AND memory_type = 'feature' AND ({_like('%x_%')}) ORDER BY is_pinned DESC, last_turn_at DESC, id LIMIT 40",
+    "search_backslash": f"WITH {MEM}, {_FULL} SELECT id, is_pinned FROM v_full WHERE state = 'active' AND repo = 'src3' AND ({' OR '.join(f'contains(lower({c}), {chr(39)}r{chr(92)}{chr(39)})' for c in _FOUR)}) ORDER BY is_pinned DESC, last_turn_at DESC, id LIMIT 40",
+    "ingest_redacted": f"""{_RAW}, q AS (SELECT *, CASE WHEN blank THEN '  ' WHEN hook = 'userPromptSubmit' THEN 'ask [REDACTED] ' || event_id END AS prompt FROM raw)
+      SELECT event_id, ts, session_id, hook, prompt, prompt AS kept_prompt, CASE WHEN hook = 'postToolUse' THEN 'x[REDACTED]' || tool_name END AS kept_response FROM q""",
+    "stream_quarantine": _STREAM,
+    "turns_continued": f"{ATTR} SELECT event_id, session_id, turn_no AS seq, disposition FROM t WHERE ts >= TIMESTAMP '2024-01-15'",
+    "jobs_from_turns": f"""{TURNS}, n AS (SELECT CAST(session_id AS BIGINT) * 100000 + turn_no AS turn_id FROM turns WHERE ended <> 'open')
+      SELECT 'summarize_turn' AS job_type, 'turn:' || turn_id AS dedupe_key, 'turn' AS entity_type, CAST(turn_id AS VARCHAR) AS entity_id, '{{"turn_id":' || turn_id || '}}' AS payload_json, 'pending' AS state, 100 AS priority, 0 AS attempts, 5 AS max_attempts FROM n WHERE turn_id % 5 <> 0""",
+    "jobs_from_topics": f"""WITH {CLUSTER}, m AS (SELECT topic, 'merge:topic:' || topic || ':' || string_agg(id, ',' ORDER BY rn) AS k, count(*) AS n FROM v_cl WHERE n >= 3 AND rn <= 6 GROUP BY topic)
+      SELECT 'normalize_topic' AS job_type, 'topic:mem:' || id AS dedupe_key, CAST(id AS VARCHAR) AS entity_id, '{{"memory_id":' || id || '}}' AS payload_json FROM v_cl
+      UNION ALL SELECT 'summarize_topic', 'summary:topic:' || topic || ':count:' || rn, topic, '{{"topic_id":"' || topic || '"}}' FROM v_cl WHERE rn IN (3, 5, 10, 20)
+      UNION ALL SELECT 'merge_cluster_to_memory', k, topic, '{{"topic_id":"' || topic || '"}}' FROM m UNION ALL SELECT 'summarize_topic', 'summary:topic:' || topic || ':merge:' || n, topic, '{{"topic_id":"' || topic || '"}}' FROM m""",
+    "memory_ids": f"{TURNS} SELECT session_id, turn_no, started_at, 1000 + row_number() OVER (ORDER BY started_at, session_id, turn_no) AS id FROM turns",
+    "context_text": _CONTEXT,
     "context_recent_budget": f"""WITH {MEM}, l AS (SELECT id, last_turn_at, '- #M' || id || ' [' || memory_type || '] ' || title || ' (' || strftime(last_turn_at, '%Y-%m-%d') || ')' AS line FROM v_mem WHERE state = 'active' ORDER BY last_turn_at DESC, id LIMIT 50)
       SELECT id, line, total_bytes FROM (SELECT id, line, CAST(20 + sum(strlen(line) + 1) OVER (ORDER BY last_turn_at DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes FROM l) WHERE total_bytes <= 2000""",
     "context_pinned_lines": f"WITH {MEM} SELECT id, '- **#M' || id || '** ' || title || CASE WHEN id % 20 = 0 AND title <> '' THEN ' → _' || title || '_' ELSE '' END AS line FROM v_mem WHERE state = 'active' AND is_pinned ORDER BY last_turn_at DESC, id LIMIT 10",
@@ -154,7 +209,7 @@ SQL = {
     "jobs_reclaim": f"WITH {JOBS} SELECT id, CASE WHEN state = 'leased' THEN 'pending' ELSE state END AS state FROM v_jobs",
     "jobs_stats": f"WITH {JOBS} SELECT state, count(*) AS n FROM v_jobs GROUP BY 1",
     "jobs_by_state": f"WITH {JOBS} SELECT id, priority, available_at FROM v_jobs WHERE state = 'succeeded' ORDER BY priority, available_at, id LIMIT 50",
-    "embedding_text": f"""WITH {MEM} SELECT id, concat_ws(chr(10), nullif(title, ''), nullif(substr(summary, 41, 60), ''), CASE WHEN id % 2 = 0 THEN nullif(repo, '') END, CASE WHEN id % 3 = 0 THEN memory_type || ', ' || state END) AS embedding_text FROM v_mem""",
+    "embedding_text": f"""WITH {MEM} SELECT id, concat_ws(chr(10), nullif(title, ''), nullif(summary, ''), CASE WHEN id % 2 = 0 THEN nullif(repo, '') END, CASE WHEN id % 3 = 0 THEN memory_type || ', ' || state END) AS embedding_text FROM v_mem""",
     "reply_defaults": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 't' || doc_id ELSE 'Untitled turn' END AS title, CASE doc_id % 4 WHEN 1 THEN 's' ELSE '' END AS summary, CAST(NULL AS VARCHAR) AS learned, CASE doc_id % 4 WHEN 3 THEN 'n' END AS next_steps,
       CASE doc_id % 4 WHEN 0 THEN 'bugfix' ELSE 'change' END AS memory_type, CASE doc_id % 4 WHEN 3 THEN 'x,y' ELSE '' END AS concepts, CASE doc_id % 4 WHEN 0 THEN 't' || doc_id WHEN 1 THEN 'c ' || lang WHEN 3 THEN 'x' ELSE 'Untitled turn' END AS topic_candidate, CAST(CASE doc_id % 4 WHEN 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence_score FROM documents""",
     "claimable_turns": f"{TURNS} SELECT session_id || '#' || turn_no AS turn_id FROM turns WHERE ended <> 'open' AND turn_no % 3 <> 0",

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import api
 from quern.functions import text as X
-from quern.operators import artifacts, context, ingest, jobs, lookup, memory, search, topics, trace
+from quern.operators import artifacts, context, ingest, jobs, lookup, memory, numbering, search, topics, trace
+from quern.plans import writepath
 from quern.sources import fixtures, provider
+from quern.streaming import attribution
 
 COLUMNS = ["title", "summary"]
 #: The moment that queue queries take as now.
@@ -101,12 +104,75 @@ def quarantine_counts(spark, d):
 @query
 def stream_turns(spark, d):
     """The streaming state machine over the table as one batch."""
-    from quern.streaming.attribution import attribute_stream
+    out = attribution.attribute_stream(fixtures.events(spark, d))
+    return out.select("event_id", "session_id", "hook", F.col("turn_no").cast("long").alias("turn_no"), F.col("event_seq").cast("long").alias("event_seq"), "disposition")
+
+
+def _raw(spark, d) -> DataFrame:
+    """Raw hook records as JSON text: some without a session, some blank prompts, private spans in all."""
+    e = fixtures.events(spark, d)
+    i = F.col("event_id")
+    said = F.when(F.col("hook") == "userPromptSubmit", F.when(i % 13 == 0, "  ").otherwise(F.concat(F.lit("ask <private>k</private> "), i.cast("string"))))
+    fields = F.struct(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.when(i % 50 != 0, F.col("session_id")).alias("session_id"), F.col("hook").alias("hook_event_name"), "tool_name", said.alias("prompt"),
+        F.when(F.col("hook") == "postToolUse", F.concat(F.lit("x<PRIVATE>y\n</private>"), F.col("tool_name"))).alias("tool_response"),
+    )
+    return e.select(F.to_json(fields).alias("value"))
+
 
-    out = attribute_stream(fixtures.events(spark, d))
+@query
+def ingest_redacted(spark, d):
+    """Raw records as events: no private span is left."""
+    e = attribution.accept(_raw(spark, d))
+    return e.select("event_id", "ts", "session_id", "hook", "prompt", F.get_json_object("payload_json", "$.prompt").alias("kept_prompt"), F.get_json_object("payload_json", "$.tool_response").alias("kept_response"))
+
+
+@query
+def stream_quarantine(spark, d):
+    """The streaming state machine over raw records, with those that it sets aside."""
+    out = attribution.attribute_stream(attribution.accept(_raw(spark, d)), ("click",))
     return out.select("event_id", "session_id", "hook", F.col("turn_no").cast("long").alias("turn_no"), F.col("event_seq").cast("long").alias("event_seq"), "disposition")
 
 
+@query
+def turns_continued(spark, d):
+    """A second batch of events, given the turns of the first."""
+    e = fixtures.events(spark, d).withColumn("prompt", F.col("payload_json")).withColumn("cwd", F.lit("/w"))
+    half = F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'")
+    done = ingest.turns(ingest.attributed(e.where(F.col("ts") < half), prompt_col="prompt"))
+    turns = done.select("session_id", F.col("turn_no").alias("seq"), F.when(F.col("ended") == "open", "open").otherwise("closed").alias("state"))
+    return writepath.continued(e.where(F.col("ts") >= half), turns).select("event_id", "session_id", F.col("seq").cast("long").alias("seq"), "disposition")
+
+
+@query
+def jobs_from_turns(spark, d):
+    """A job for every turn that a stop or the next prompt closed, whose key is new."""
+    t = ingest.turns(_turned(spark, d)).where("ended <> 'open'").select((F.col("session_id").cast("long") * 100000 + F.col("turn_no")).alias("turn_id"))
+    new = jobs.turn_jobs(t, NOW).withColumn("id", F.lit(0).cast("long"))
+    known = new.where("cast(entity_id as bigint) % 5 = 0")
+    return jobs.enqueued(known, new).select("job_type", "dedupe_key", "entity_type", "entity_id", "payload_json", "state", "priority", "attempts", "max_attempts")
+
+
+@query
+def jobs_from_topics(spark, d):
+    """Jobs that follow from memories, thresholds, clusters and merges."""
+    c = _cluster(spark, d)
+    crossed = topics.crossings(c.select("topic", F.col("id").alias("memory_id"), F.col("first_turn_at").alias("linked_at")))
+    clusters = topics.merged(topics.merge_candidates(c))
+    made = [jobs.memory_jobs(c, NOW), jobs.threshold_jobs(crossed, NOW), jobs.cluster_jobs(clusters, NOW), jobs.merged_jobs(clusters.select(F.col("topic").alias("topic_id"), F.col("source_turn_count").alias("merged_id")), NOW)]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out.select("job_type", "dedupe_key", "entity_id", "payload_json")
+
+
+@query
+def memory_ids(spark, d):
+    """Ids of new memories follow the time of their turns."""
+    t = ingest.turns(_turned(spark, d)).select("session_id", F.col("turn_no").cast("long").alias("turn_no"), "started_at")
+    return numbering.numbered(t, "id", ["started_at", "session_id", "turn_no"], 1000)
+
+
 @query
 def redact_text(spark, d):
     tagged = F.concat(F.lit("a <private>"), F.col("text"), F.lit("</PRIVATE> b <Private>x\ny</private> <private>open "), F.col("lang"))
@@ -269,6 +335,41 @@ def search_results(spark, d):
     return hits.select("id", "title", "memory_type", F.date_format("last_turn_at", "yyyy-MM-dd").alias("date"), "is_pinned", F.lit("fts").alias("match_source"))
 
 
+def _searchable(spark, d) -> DataFrame:
+    """Memories with all nine text columns."""
+    text = {
+        "request": F.col("topic"), "investigated": F.col("cwd_scope"), "learned": F.concat(F.lit("Other\\"), "memory_type"), "completed": F.col("repo"),
+        "next_steps": F.concat(F.lit("then THE "), "topic"), "concepts_text": F.concat(F.lit('["'), "memory_type", F.lit('"]')), "files_text": F.concat(F.lit('["/'), "topic", F.lit('.py"]')),
+    }
+    return _mem(spark, d).withColumns(text)
+
+
+@query
+def search_columns(spark, d):
+    """Full text and its rank over all nine columns."""
+    m = search.full_text(_searchable(spark, d), 'ther OR learned:bugfix OR files_text:"rc3.p"', api.TEXT_COLUMNS, 40, as_of=_as_of(spark, d), days=40)
+    return m.select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query
+def search_indexed(spark, d):
+    """The same by a trigram index."""
+    m = _searchable(spark, d)
+    found = search.bm25(m, "inther AND onth", api.TEXT_COLUMNS, search.text_index(m, api.TEXT_COLUMNS))
+    return found.select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query
+def search_short(spark, d):
+    """Under three characters: LIKE over four of the columns."""
+    return search.full_text(_searchable(spark, d), "X_", api.TEXT_COLUMNS, 40, api.LIKE_COLUMNS, kind="feature").select("id", "last_turn_at")
+
+
+@query
+def search_backslash(spark, d):
+    return search.full_text(_searchable(spark, d), "r\\", api.TEXT_COLUMNS, 40, api.LIKE_COLUMNS, repo="src3").select("id", "is_pinned")
+
+
 @query
 def recent_ids(spark, d):
     return search.recent(_mem(spark, d), 200, days=30, as_of=_as_of(spark, d)).select("id")
@@ -324,10 +425,26 @@ def trace_sources(spark, d):
     return trace.sources(links, t).select("memory_id", "turn_id", F.col("ordinal").cast("long").alias("ordinal"), "started_at")
 
 
+def _numbered_turns(spark, d) -> DataFrame:
+    """Turns with whole-number ids, a prompt of over 200 characters, and links of memories to turns of the session of their number."""
+    t = ingest.turns(_turned(spark, d))
+    return t.select((F.col("session_id").cast("long") * 100000 + F.col("turn_no")).alias("turn_id"), F.col("session_id").cast("long").alias("memory_id"), "started_at", F.repeat(F.concat("session_id", F.lit("#"), F.col("turn_no").cast("string"), F.lit(" ")), 60).alias("prompt_text"))
+
+
 @query
 def trace_one(spark, d):
-    one, _, near = trace.trace(_mem(spark, d).drop("summary"), spark.createDataFrame([], "memory_id bigint, turn_id bigint"), spark.createDataFrame([], "turn_id bigint, started_at timestamp_ntz"), 100)
-    return one.select("id", F.lit("memory").alias("part")).unionByName(near.select("id", F.lit("neighbour").alias("part")))
+    t = _numbered_turns(spark, d)
+    one, sources, near = trace.trace(_mem(spark, d).drop("summary"), t.select("memory_id", "turn_id"), t.drop("memory_id"), 100)
+    none = F.lit(None).cast("string")
+    parts = [one.select("id", F.lit("memory").alias("part"), none.alias("detail")), near.select("id", F.lit("neighbour").alias("part"), none.alias("detail"))]
+    return parts[0].unionByName(parts[1]).unionByName(sources.select(F.col("turn_id").alias("id"), F.lit("turn").alias("part"), F.col("prompt_text").alias("detail")))
+
+
+@query
+def memory_links(spark, d):
+    t = _numbered_turns(spark, d)
+    links = trace.sources(t.select("memory_id", "turn_id"), t.drop("memory_id"))
+    return lookup.links_of_memory(links, 7).select("memory_id", "turn_id", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query
@@ -352,8 +469,8 @@ def context_topic_lines(spark, d):
 def context_text(spark, d):
     mem = _mem(spark, d).withColumn("next_steps", F.lit(None).cast("string"))
     shown = topics.active(_topics(spark, d), limit=8).withColumn("unresolved_summary", F.lit(""))
-    text = context.render(search.pinned(mem, 10), shown, search.like(search.filtered(mem), "", [], 20), context.ContextOptions(include_summary=True, max_output_bytes=4000))
-    return spark.range(1).select(F.lit(text).alias("context"), F.octet_length(F.lit(text)).cast("long").alias("n_bytes"))
+    text = context.rendered(search.pinned(mem, 10), shown, search.like(search.filtered(mem), "", [], 20), context.ContextOptions(include_summary=True, max_output_bytes=4000), "en")
+    return text.select("context", F.octet_length("context").cast("long").alias("n_bytes"))
 
 
 @query

@@ -156,17 +156,18 @@ def test_hybrid(spark, mem):
 def test_context_budget(spark, mem):
     o = context.ContextOptions(max_output_bytes=300, include_summary=True)
     long = mem.withColumn("title", F.repeat(F.lit("链"), 60)).withColumn("next_steps", F.lit("n"))
-    t = spark.createDataFrame([("链" * 30, 3, "left")], "canonical_label string, memory_count bigint, unresolved_summary string")
+    t = spark.createDataFrame([("s", "链" * 30, 3, "left", at(1))], "scope_key string, canonical_label string, memory_count bigint, unresolved_summary string, last_active_at timestamp_ntz")
     text = context.render(search.pinned(long), t, search.recent(long, 10), o)
     assert len(text.encode()) <= 300 and text.startswith("<memory-context>") and text.endswith("</memory-context>")
     empty = context.render(long.limit(0), t.limit(0), long.limit(0))
     assert len(empty) < 200
 
 
-def test_admission_breaks_on_titles_and_skips_second_lines():
+def test_admission_breaks_on_titles_and_skips_second_lines(spark):
     header = len(context.RECENT_HEADER) + 2
-    lines = [("a" * 10, "b" * 50), ("c" * 10, "d"), ("e" * 100, None), ("f", None)]
-    assert context.admitted(lines, header + 40) == ["a" * 10, "c" * 10, "d"]
+    lines = [(1, "a" * 10, "b" * 50), (2, "c" * 10, "d"), (3, "e" * 100, None), (4, "f", None)]
+    items = spark.createDataFrame([(lines,)], "items array<struct<at:int,line:string,extra:string>>")
+    assert items.select(context._folded(F.col("items"), F.lit(header + 40)).alias("t")).first().t == "\n".join(["", "a" * 10, "c" * 10, "d"])
 
 
 JOB = "id bigint, job_type string, dedupe_key string, priority int, state string, attempts int, max_attempts int, available_at timestamp_ntz"
@@ -217,6 +218,22 @@ def test_store(spark, tmp_path, mem):
     one, source, near = api.trace_memory(s, 1)
     assert one.count() == 1 and len(source.first().prompt_text) == 200 and ids(near) == [2]
     assert {r.id for r in api.search_memories(s, "auth", at(9)).collect()} == {1, 2, 4}
+    assert api._index(s) is None
+    api.refresh_index(s)
+    assert s.read("memory_lengths").count() == 6 and {r.id for r in api.search_memories(s, "auth", at(9), by_meaning=False).collect()} == {1, 2, 4}
+    s.append("memories", mem.where("id = 1").withColumn("id", F.lit(7).cast("bigint")))
+    assert api._index(s) is None  # behind the memories
+    api.refresh_index(s)
+    assert len(s.parts("memory_trigrams")) == 2 and {r.id for r in api.search_memories(s, "auth", at(9)).collect()} == {1, 2, 4, 7}
+    s.write("memories", s.read("memories").where("id <> 7"))
+    api.refresh_index(s, spark.createDataFrame([(7,)], "id bigint"))
+    assert api._index(s).lengths.count() == 6
+    reply = api.call(s, "search", {"query": "auth"}, at(9))
+    assert reply["total"] == 3 and reply["hint"] and {"id", "title", "match_source"} <= set(reply["results"][0])
+    assert "unknown tool" in api.call(s, "nothing", {}, at(9))["error"] and api.call(s, "search", {}, at(9))["error"] and api.call(s, "get_memories", {"ids": [1, 99]}, at(9))["total"] == 1
+    assert api.call(s, "trace_memory", {"memory_id": 1}, at(9))["neighbors"][0]["id"] == 2 and api.call(s, "trace_memory", {"memory_id": 99}, at(9))["error"]
+    assert api.call(s, "topics", {}, at(9))["total"] == 0 and api.call(s, "pin_memory", {"memory_id": 99}, at(9))["error"]
+    assert search.like(mem.withColumn("title", F.lit("a\\b")), "\\", ["title"]).count() > 0
     assert "#M6" in api.build_context(s, "__global__", at(9), cwd="/w") and api.health(s).count() == 0
     assert {r.metric: r.n for r in s.diagnose().collect()} == {"turns": 1, "memories": 6, "pinned": 2, "pending_jobs": 0, "topics": 0}
     s.views()
