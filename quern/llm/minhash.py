@@ -153,26 +153,23 @@ def _dealt(rows: DataFrame, key: str, pairs: bool) -> DataFrame:
 
 def _united(rows: DataFrame, key: str, large: bool, meet) -> DataFrame:
     """Stars (u, v) of the members (node, key, _n, ...) that ``meet`` links in their groups; ``large``: some group has more than ``MEET``."""
-    links = "u binary, v binary"
+    kind = rows.schema[key].dataType.simpleString()
     alone = rows.withColumn("union", F.col("node"))
+    met = lambda some, pairs: _dealt(some, key, pairs).mapInArrow(meet, f"{key} {kind}, u binary, v binary")
     if not large:
-        return _dealt(alone, key, False).mapInArrow(meet, links).distinct()
+        return met(alone, False).select("u", "v").distinct()
     alone = stored(alone, "members")
-    stars = stored(_dealt(alone, key, False).mapInArrow(meet, links).distinct(), "stars")
-    for last in (False, True):
-        known = components(stars).select("node", F.col("root").alias("_root"))
-        some = alone.where(F.col("_n") > MEET).join(known, "node", "left").withColumn("union", F.coalesce("_root", "union")).drop("_root")
-        if last:  # groups that are still more than one union
-            apart = some.groupBy(key).agg(F.min("union").alias("_u"), F.max("union").alias("_v")).where("_u <> _v").select(key)
-            rest = some.join(apart, key, "left_semi")
-        else:  # the smallest of each union in each group
-            least = some.groupBy(key, "union").agg(F.min("node").alias("node"))
-            rest = some.join(least, [key, "union", "node"], "left_semi")
-            sizes = least.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-            rest = rest.drop("_n").join(sizes, key)
-        more = _dealt(rest.select(*alone.columns), key, last or False).mapInArrow(meet, links)
-        stars = stored(stars.unionByName(more).distinct(), "stars")
-    return stars
+    first = stored(met(alone, False), "stars")
+    # of a member's block: the smallest of its union
+    known = alone.where(F.col("_n") > MEET).join(first.select(key, F.col("u").alias("node"), F.col("v").alias("_v")), [key, "node"], "left").withColumn("union", F.coalesce("_v", "node")).drop("_v")
+    known = stored(known, "united")
+    least = known.where("node = union").drop("_n")
+    sizes = least.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    second = stored(met(least.join(sizes, key).select(*alone.columns), False), "stars")
+    again = known.join(second.select(key, F.col("u").alias("union"), F.col("v").alias("_v")), [key, "union"], "left").withColumn("union", F.coalesce("_v", "union")).drop("_v")
+    apart = again.groupBy(key).agg(F.min("union").alias("_u"), F.max("union").alias("_w")).where("_u <> _w").select(key)
+    third = met(again.join(apart, key, "left_semi").select(*alone.columns), True)
+    return first.unionByName(second).unionByName(third).select("u", "v").distinct()
 
 
 def _runs(batches, *keys: str):
@@ -233,10 +230,12 @@ def _unite(label: np.ndarray, union: list[bytes], sig: np.ndarray, least: int, c
     return sets
 
 
-def _stars(t: pa.Table, sets: UnionFind) -> pa.RecordBatch:
-    node = t.column("node").to_pylist()
-    pairs = {(node[x], node[r]) for x in range(len(node)) if (r := sets.find(x)) != x and node[x] != node[r]}
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["u", "v"])
+def _stars(t: pa.Table, key: str, sets: UnionFind) -> pa.RecordBatch:
+    """Each member that is not the first of its union, with that."""
+    pairs = [(x, r) for x in range(t.num_rows) if (r := sets.find(x)) != x]
+    some, first = (t.take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1))
+    columns = [some.column(key), some.column("node"), first.column("node")]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in columns], names=[key, "u", "v"])
 
 
 def _signatures(t: pa.Table) -> np.ndarray:
@@ -257,7 +256,7 @@ def neighbours(classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     def meet(batches):
         for t, label in _runs(batches, "band"):
-            yield _stars(t, _unite(label, t.column("union").to_pylist(), _signatures(t), least))
+            yield _stars(t, "band", _unite(label, t.column("union").to_pylist(), _signatures(t), least))
 
     banded = classes.select("node", "bands").mapInArrow(explode, "band bigint, node binary")
     shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
@@ -304,7 +303,7 @@ def verified(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, s
                 return 100 * both >= similarity * (len(a) + len(b) - both)
 
             t = t.take(pa.array(where))
-            yield _stars(t, _unite(label[where], t.column("union").to_pylist(), _signatures(t), least, linked))
+            yield _stars(t, "root", _unite(label[where], t.column("union").to_pylist(), _signatures(t), least, linked))
 
     return _united(rows.mapInArrow(once, schema), "root", bool(counts.where(F.col("_n") > MEET).take(1)), meet)
 
