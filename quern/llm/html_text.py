@@ -4,9 +4,15 @@ Each page is parsed into blocks of text with their root-to-leaf tag path. Per
 path the text length outside links and the punctuation are aggregated and divided
 by the path's number of blocks; the two ratios are smoothed along the page with a
 Gaussian kernel, fused by their geometric mean, and paths above a share of the
-standard deviation are content paths. The subtree that holds the content paths is
-the article; everything in it is kept except page furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles).
+standard deviation are content paths. Selected are the blocks of all content paths (of
+those inside the article or main element, where one holds content), and the blocks
+between them: those of weaker paths, such as headings and short items, in the subtree
+that holds the content paths. Page furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts, styles) takes no part in any of it.
+
+Furniture is known by element, role, ``hidden``, or a class or id that is a furniture
+word, alone or with one qualifier (``site-footer``) that does not name content
+(``article-header``) or say that it lies elsewhere (``with-sidebar``).
 
 Null html is an empty page; a page without text gives an empty text. Unclosed
 and misnested tags are closed as browsers do for paragraphs, list items, table
@@ -47,8 +53,10 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = frozenset("ul ol dl table select html body td th".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TOKENS = re.compile(r"[a-z0-9]+")
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_PARTS = re.compile(r"[-_]+")
+#: Qualifiers of a furniture word that name content, or say that furniture lies elsewhere.
+CONTENT = frozenset("article post entry content main story text body with has no without is not".split())
 _PUNCT = re.compile(r"[,.;:!?…、。，！？¿¡\"'()—–]")
 _GAP = re.compile(r"\s+")
 
@@ -65,22 +73,24 @@ class Block:
         self.path, self.bad, self.text, self.linked = path, bad, text, linked
 
 
+def _marked(name: str) -> bool:
+    """Whether a class or id names furniture."""
+    if name in MARKS:
+        return True
+    parts = [x for x in _PARTS.split(name) if x]
+    return len(parts) == 2 and not MARKS.isdisjoint(parts) and CONTENT.isdisjoint(parts)
+
+
 def _furniture(tag: str, attributes: str) -> int:
-    """2: furniture by element or role; 1: by a word of its class or id; 0: none."""
+    """2: furniture by element, role or ``hidden``; 1: by a class or id; 0: none."""
     if tag in FURNITURE:
         return 2
-    if "=" not in attributes:
-        return 0
     marked = 0
-    for m in _ATTR.finditer(attributes):
+    for m in _ATTR.finditer(attributes) if attributes.strip() else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role":
-            if value.strip() in ROLES:
-                return 2
-        elif name == "aria-hidden":
-            if value == "true":
-                return 2
-        elif tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_TOKENS.findall(value)):
+        if name == "hidden" or (name == "role" and value.strip() in ROLES) or (name == "aria-hidden" and value == "true"):
+            return 2
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_marked, value.split())):
             marked = 1
     return marked
 
@@ -235,7 +245,7 @@ def main_text(page: str | None) -> str:
                 root = root[:k]
     while root and root[-1] in LEAF:
         root = root[:-1]
-    return "\n".join(b.text for b in found if b.path[: len(root)] == root)
+    return "\n".join(b.text for b in found if b.path in chosen or b.path[: len(root)] == root)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
