@@ -5,7 +5,8 @@ full piece is a sequence. The others are placed by the sum-of-squares rule: a
 piece goes to the open bin for which the sum over residual gaps of the squared
 number of open bins with that gap becomes smallest; a new bin is opened only where
 none has room, which gives fewer sequences than letting the sum open bins. Pieces are dealt
-by a hash to rooms of at most about ``ROOM`` pieces, each packed on its own,
+by a hash of their place in the table to rooms of about ``ROOM`` pieces, whatever
+rows repeat, each packed on its own,
 so the rule runs over bounded groups at any scale; inside a room pieces are
 placed longest first, which leaves the short ones to close gaps.
 
@@ -27,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,14 +152,16 @@ def pack(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndar
 
 
 def cut(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """The stored pieces of each document: place, length and checksum of their token ids, and the ids if asked for."""
+    """The stored pieces of each document: place, length and checksum of their token ids, and the ids if asked for; ``_row`` numbers the pieces."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind)] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in _PIECES] + [T.StructField("ids", T.BinaryType())] * with_ids)
+    schema = T.StructType([T.StructField("doc_id", kind)] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in _PIECES] + [T.StructField("_row", T.LongType())] + [T.StructField("ids", T.BinaryType())] * with_ids)
     end = np.array([end_id], "<u4").tobytes()
+    shipped = _shipped(docs.sparkSession, tokenizer)
 
     def run(batches):
         if tokenizer not in _tokens:
-            _tokens[tokenizer] = Tokens(tokenizer)
+            _tokens[tokenizer] = Tokens(SparkFiles.get(shipped) if shipped else tokenizer)
+        n = TaskContext.get().partitionId() << 40
         for batch, texts in pieces(batches, "text"):
             rows, columns = [], [[] for _ in range(5)]
             for i, text in enumerate(texts):
@@ -167,19 +171,28 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = 1,
                     rows.append(i)
                     for c, v in zip(columns, (k, start // 4, len(part) // 4, zlib.crc32(part), part)):
                         c.append(v)
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            arrays = [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))]
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            arrays = [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types)), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(columns[4], pa.binary())]
+            n += len(rows)
             yield pa.RecordBatch.from_arrays(arrays[: len(schema)], names=schema.names)
 
     arrow_batches(docs.sparkSession)
     return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "pieces")
 
 
+def _shipped(spark: SparkSession, path: str) -> str | None:
+    """The name under which executors find the vocabulary file: workers on other machines get it from the driver. None where all run in one process."""
+    if spark.sparkContext.master.startswith("local["):
+        return None
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def place(cut_pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """Pieces with the sequence and the place there that the rule gives them."""
     rooms = max(1, -(-cut_pieces.count() // ROOM))
-    dealt = cut_pieces.withColumn("_room", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(rooms)))
-    schema = T.StructType([*cut_pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    dealt = cut_pieces.withColumn("_room", F.pmod(F.xxhash64("_row"), F.lit(rooms))).drop("_row")
+    schema = T.StructType([*[f for f in cut_pieces.schema.fields if f.name != "_row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.compute.sort_indices(table, [("ids_crc32", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]))
