@@ -10,8 +10,10 @@ intersected with the lists of the other terms, rarest first. Exact phrases need
 every term at its offset; proximity matches need them in order within ``slop``
 extra words.
 
-The phrases are broadcast in blocks of at most ``ITEM_BYTES`` of item text; more
-item text means more blocks, whose matches are joined per document.
+The items become a stored table of distinct phrases, with the items that have each,
+made on the executors. The phrases are dealt to blocks of about ``PHRASE_BYTES``. One
+block at a time is broadcast, so the driver never holds more than that; the matches of
+several blocks are stored block by block and joined per document.
 
 Words are runs of bytes other than ASCII non-alphanumerics, A-Z lower-cased. An
 item of fewer than ``size`` words, but not none, is one phrase. Null text has no
@@ -33,8 +35,8 @@ from pyspark.sql import types as T
 
 from quern.llm.common import NON_ALNUM, arrow_batches, pieces, stored, words
 
-#: Bytes of item text in one broadcast block.
-ITEM_BYTES = 1 << 20
+#: Bytes of phrases and names in one broadcast block, about.
+PHRASE_BYTES = 4 << 20
 #: Bytes of document text in one index shard (a longer document is a shard of its own).
 SHARD_BYTES = 1 << 19
 
@@ -54,9 +56,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             w = words(texts, NON_ALNUM, fold=True)
             lengths = np.diff(w.first)
             place = np.arange(len(w.hash)) + np.repeat(np.arange(len(texts)), lengths)
-            order = np.argsort(w.hash, kind="stable")
-            terms, counts = np.unique(w.hash[order], return_counts=True)
-            gaps = np.diff(place[order], prepend=0).astype("<i4")
+            by_term = np.argsort(w.hash)
+            ordered = w.hash[by_term]
+            new = np.ones(len(ordered), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            terms, counts = ordered[new], np.diff(np.flatnonzero(new), append=len(ordered))
+            keys = np.sort((np.cumsum(new) - 1 << 32) | place[by_term])  # by term, then place
+            gaps = np.diff(keys & 0xFFFFFFFF, prepend=0).astype("<i4")
             shard = (TaskContext.get().partitionId() << 32) + n
             n += 1
             ids = batch.column("id")
@@ -141,16 +147,25 @@ class Postings:
         return alive[which[ok]], first[ok], last[ok]
 
 
-def phrases_of(items: list[tuple[str, bytes | None]], size: int) -> dict[int, tuple[np.ndarray, list[list[str]]]]:
-    """By phrase length: the distinct phrases' terms, and the items that have each."""
-    w = words([t for _, t in items], NON_ALNUM, fold=True)
-    found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for k, (name, _) in enumerate(items):
-        h = w.hash[w.first[k] : w.first[k + 1]]
-        n = min(size, len(h))
-        for i in range(len(h) - n + 1 if n else 0):
-            found[n][h[i : i + n].tobytes()].add(name)
-    return {n: (np.frombuffer(b"".join(x), np.uint64).reshape(-1, n), [sorted(v) for v in x.values()]) for n, x in found.items()}
+def phrases_of(items: DataFrame, size: int, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The stored distinct phrases of all items: number of terms, their hashes, and the sorted names of the items that have each."""
+    arrow_batches(items.sparkSession)
+    named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), F.col(item_text).alias("text")).where("text is not null").distinct()
+
+    def split(batches):
+        for batch, texts in pieces(batches, "text", SHARD_BYTES):
+            w = words(texts, NON_ALNUM, fold=True)
+            rows, phrases = [], []
+            for k in range(len(texts)):
+                h = w.hash[w.first[k] : w.first[k + 1]]
+                n = min(size, len(h))
+                mine = {h[i : i + n].tobytes() for i in range(len(h) - n + 1 if n else 0)}
+                rows += [k] * len(mine)
+                phrases += mine
+            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.binary()), batch.column("name").take(pa.array(rows, pa.int64()))], names=["terms", "name"])
+
+    found = named.mapInArrow(split, "terms binary, name string").groupBy("terms").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return stored(found.select((F.octet_length("terms") / 8).cast("int").alias("n"), "terms", "names"), "phrases")
 
 
 def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -158,16 +173,28 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, it
     spark = index.sparkSession
     kind = index.schema["ids"].dataType.elementType.simpleString()
     schema = _FOUND.format(id=kind)
-    named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), F.col(item_text).alias("text"))
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // ITEM_BYTES))
+    phrases = phrases_of(items, size, item_id, item_text)
+    names = F.aggregate("names", F.lit(0), lambda a, x: a + F.octet_length(x))
+    total = phrases.agg(F.sum(F.octet_length("terms") + names)).first()[0] or 0
+    blocks = max(1, -(-total // PHRASE_BYTES))
     found = None
     for block in range(blocks):
-        rows = named.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block).collect()
-        part = index.mapInArrow(_searcher(spark.sparkContext.broadcast(phrases_of([(r[0], r[1].encode() if r[1] is not None else None) for r in rows], size)), slop), schema)
+        rows = phrases.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == block).collect()  # about PHRASE_BYTES
+        by_size: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        for r in rows:
+            by_size[r["n"]][0].append(bytes(r["terms"]))
+            by_size[r["n"]][1].append(r["names"])
+        shared = spark.sparkContext.broadcast({n: (np.frombuffer(b"".join(t), np.uint64).reshape(-1, n), names_) for n, (t, names_) in by_size.items()})
+        part = index.mapInArrow(_searcher(shared, slop), schema)
+        if blocks > 1:
+            part = stored(part.where(F.size("hits") > 0), "matches")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("shard", "at", "id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        every = index.select("shard", F.posexplode(F.arrays_zip("ids", "lengths")).alias("at", "d")).select("shard", "at", F.col("d.ids").alias("id"), F.col("d.lengths").alias("n_words"))
+        matched = found.groupBy("shard", "at").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        none = [F.coalesce("hits", F.array().cast(T._parse_datatype_string(schema)["hits"].dataType)).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items")]
+        found = every.join(matched, ["shard", "at"], "left").select("id", "n_words", *none)
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(F.sort_array("hits"), start, lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["end"], x["s"]))).alias("n")))["n"]
     return found.select("id", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "hits")
