@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import chat, decontam, html_text, langid, lm, minhash, oracle, packing, quality, sharding, substring
+from quern.llm.common import work_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +64,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = sharding.assign(table(spark, sf_dir, "documents"), 8)
+    # one map for each folder of tables, which later runs over it load and go on editing
+    path = f"{work_folder(spark).rstrip('/')}/quern-slots-{zlib.crc32(sf_dir.encode()):08x}"
+    out, _ = sharding.assign(table(spark, sf_dir, "documents"), 8, map_path=path)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

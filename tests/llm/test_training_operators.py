@@ -403,25 +403,80 @@ def test_sharding_balances_and_grows(spark):
     assert new.where("shard <> old and shard <> 8").count() == 0 and abs(new.where("shard = 8").count() - sharding.SLOTS / 9) < 9
 
 
+def test_sharding_goes_on_with_the_stored_map(spark, tmp_path):
+    path = f"{tmp_path}/map"
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    first, now = sharding.assign(docs, 8, map_path=path)
+    assert {r.version for r in now.select("version").distinct().collect()} == {1} and sharding.SlotMap(spark, path).versions() == [0, 1]
+    _, same = sharding.assign(docs, 8, map_path=path)
+    assert sharding.SlotMap(spark, path).versions() == [0, 1] and same.exceptAll(now).count() == 0
+    more = docs.unionByName(spark.range(20000, 30000).select("id", F.repeat(F.lit("y"), F.when(F.col("id") % 4096 < 40, 9000).otherwise(9)).alias("text")).withColumnRenamed("id", "doc_id"))
+    out, next_ = sharding.assign(more, 8, map_path=path)
+    assert sharding.SlotMap(spark, path).versions() == [0, 1, 2]
+    moved = next_.alias("a").join(now.alias("b"), "slot").where("a.shard <> b.shard").count()
+    load = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert 0 < moved < sharding.SLOTS / 2 and max(load) - min(load) < 0.05 * sum(load)
+    with pytest.raises(ValueError):
+        sharding.assign(docs, 4, map_path=path)
+
+
+def test_sharding_repeated_null_and_clashing_rows(spark):
+    docs = spark.createDataFrame([(1, "a", 5), (1, "a", 6), (None, "a", 7), (None, None, 8), (2, "", 9)], "doc_id bigint, text string, size int")
+    out, _ = sharding.assign(docs, 2, keep=["size", "doc_id"])
+    assert sorted(out.columns) == ["doc_id", "place", "shard", "size", "text_crc32", "virtual_slot"]
+    rows = out.collect()
+    assert sorted((str(r.doc_id), r.size) for r in rows) == [("1", 2), ("1", 2), ("2", 1), ("None", 1), ("None", 2)]
+    for k in {r.shard for r in rows}:
+        assert sorted(r.place for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+
+
+def test_sharding_equals_plain_counts(spark, docs, rows):
+    """Slots, sizes, checksums and a balance that greedy placement in plain Python reaches as well."""
+    out, now = sharding.assign(docs, 3)
+    shard = {r.slot: r.shard for r in now.collect()}
+    got = out.collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len((t or "").encode()) + 1, brute.crc(t)) for i, t, *_ in rows)
+    assert all(r.shard == shard[r.virtual_slot] for r in got)
+    slots = Counter()
+    for r in got:
+        slots[r.virtual_slot] += r.size
+    loads = [0] * 3
+    for b in sorted(slots.values(), reverse=True):
+        loads[loads.index(min(loads))] += b
+    mine = Counter()
+    for r in got:
+        mine[r.shard] += r.size
+    assert max(mine.values()) <= max(loads) * 1.01
+
+
 def test_decontamination(spark, docs, rows, none):
     t24, t5 = rows[24][1], rows[5][1]
     items = [(1, " ".join(t24.upper().split()[5:30])), (2, prose(40, 999)), (3, "one, two; three"), (4, None), (5, " .. "), (10, " ".join(t5.split()[295:315])), (10, "ha ha"), (None, " ".join(t24.split()[28:40]))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     named = [("null" if k is None else k, t) for k, t in items]
     want = brute.leaks([t for _, t, *_ in rows], named)
-    size, decontam.ITEM_BYTES = decontam.ITEM_BYTES, decontam.ITEM_BYTES
+    bench = bench.unionByName(bench.where("item_id = 1"))  # a repeated item is one
+    size, decontam.PHRASE_BYTES = decontam.PHRASE_BYTES, decontam.PHRASE_BYTES
     try:
-        for decontam.ITEM_BYTES in (size, 100):  # one block of items, and several
+        for decontam.PHRASE_BYTES in (size, 1000):  # one block of phrases, and several
             found = decontam.search(decontam.build_index(docs), bench)
             got = by_id(found.withColumn("sha", F.sha2(F.array_join("items", ",").cast("binary"), 256)), "id")
             for (i, *_), w in zip(rows, want):
                 assert (got[i].n_words, got[i].n_hit, len(got[i]["items"]), got[i].sha) == w
     finally:
-        decontam.ITEM_BYTES = size
+        decontam.PHRASE_BYTES = size
     assert decontam.search(decontam.build_index(none), bench).count() == 0
     assert decontam.search(decontam.build_index(docs), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_repeated_null_and_clashing_rows(spark):
+    t = prose(40, 60)
+    docs = spark.createDataFrame([(1, t, 0), (1, t, 0), (None, t, 0), (None, prose(30, 61), 0), (2, None, 0)], "doc_id bigint, text string, n_hit int")
+    bench = spark.createDataFrame([(5, " ".join(t.split()[3:20]), 1)], "item_id bigint, text string, id int")
+    got = sorted((str(r.id), r.n_words, r.n_hit, r["items"]) for r in decontam.search(decontam.build_index(docs), bench).collect())
+    assert got == [("1", 40, 17, ["5"]), ("1", 40, 17, ["5"]), ("2", 0, 0, []), ("None", 30, 0, []), ("None", 40, 17, ["5"])]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x alpha beta q gamma y"), (2, "alpha q q q beta gamma"), (3, "gamma beta alpha")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
@@ -444,6 +499,41 @@ def test_html():
     assert html_text.main_text("<p>" * 50_000 + "x, y." + "<" * 1000).startswith("x, y.")
 
 
+def test_html_attributes():
+    body = "One, two. " * 9
+    page = lambda x: f"<body><article><p>{body}</p>{x}<p>{body}</p></article></body>"
+    for kept in ("<div data-id='menu'><p>Kept, x.</p></div>", "<div class='article-comment-count'><p>Kept, x.</p></div>", "<div title='class=ad'><p>Kept, x.</p></div>", "<div class='article-header'><p>Kept, x.</p></div>", "<div class='not-hidden menus'><p>Kept, x.</p></div>"):
+        assert html_text.main_text(page(kept)).split("\n")[1] == "Kept, x."
+    for gone in ("<div hidden><p>Gone, x.</p></div>", "<div class='wide hidden-x' hidden=''><p>Gone, x.</p></div>", "<div class='site-footer big'><p>Gone, x.</p></div>", "<div id=comments><p>Gone, x.</p></div>", "<div aria-hidden=true><p>Gone, x.</p></div>", "<div role='navigation'><p>Gone, x.</p></div>"):
+        assert html_text.main_text(page(gone)) == "\n".join([body.strip()] * 2)
+
+
+def test_html_selects_by_path():
+    """A strong path outside the subtree of the others is kept, weak ones far from both are not."""
+    text = "Some text, with marks. " * 12
+    page = f"<body><div><div><section><p>{text}</p><p>{text}</p><h3>Weak</h3></section></div></div><table><tr><td><blockquote>{text}</blockquote></td></tr></table>" + "<dl><dt><a href=x>Far</a></dt></dl>" * 9 + "</body>"
+    assert html_text.main_text(page).split("\n") == [text.strip(), text.strip(), "Weak", text.strip()]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_html_round_trip(seed):
+    """Random articles in random pages, from blocks to html and back."""
+    r = random.Random(seed)
+    said = lambda n: " ".join(r.choice(["word,", "été", "a & b", "x < y", "end.", "naïve;"]) for _ in range(n))
+    escaped = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace("é", r.choice(["é", "&eacute;", "&#233;"]))
+    want, parts = [], []
+    for _ in range(r.randint(3, 12)):
+        t = said(r.randint(6, 60))
+        tag = r.choice(["p", "p", "p", "blockquote", "pre", "h2"])
+        want.append(t)
+        spaced = escaped(t).replace(" ", r.choice([" ", "\n  ", " \t"]))
+        parts.append(r.choice([f"<{tag}>{spaced}</{tag}>", f"<{tag}><em>{spaced}</em></{tag}>", f"<section><{tag} class='c{seed}'>{spaced}</{tag}></section>"]))
+        parts.append(r.choice(["", "", f"<aside><p>{said(30)}</p></aside>", f"<div class='ad'>{said(20)}</div>", "<script>if (a < b) x('</p>');</script>", f"<!-- {said(5)} -->", f"<form><label>{said(3)}</label><button>ok</button></form>", f"<ul class='share-buttons'><li>{said(2)}</li></ul>"]))
+    holder = r.choice(["article", "main", "article id=top"])
+    html = f"<html><head><title>t</title></head><body><header>{said(9)}</header><nav><ul><li><a href=x>{said(2)}</a></li></ul></nav><{holder}>{''.join(parts)}</{holder.split()[0]}><div class='comments-area'><p>{said(80)}</p></div><footer>{said(6)}</footer></body></html>"
+    assert html_text.main_text(html) == "\n".join(want)
+
+
 def test_html_pages_hold_a_document(spark, tiny):
     texts = {r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     pages = queries.op10_html_text(spark, tiny).collect()
