@@ -4,16 +4,18 @@
    hash is its anchor; equal windows have equal anchors at equal places, and runs
    of neighbouring windows share one (about 7 % of the words are anchors). Only
    anchors that occur twice can lie in a repeated window.
-2. Recurring anchors send the passage around them, as text, to the shard of the
-   anchor. There the windows that occur twice are confirmed, neighbouring ones are
-   joined to passages, the distinct passages are compiled into an Aho-Corasick
-   automaton over words, and all texts of the shard are streamed through it to
-   locate every occurrence. A shard step holds a few thousand passages at a time.
+2. Every document sends the passages around its recurring anchors, as text, to the
+   shards of the anchors. There equal passages become one with a count, the windows
+   that occur twice are confirmed, neighbouring ones are joined, the distinct results
+   are compiled into an Aho-Corasick automaton over words, and the passages are
+   streamed through it to locate every occurrence: spans come from the automaton
+   alone. A shard step holds a few thousand passages at a time.
 3. Located spans go back to their documents, whose words inside are removed.
 
-An anchor with more than ``HOT`` occurrences is not gathered: its windows are
-counted as 64-bit hashes by ordinary aggregation, and joined back. That path is
-exact too and needs no large group.
+Windows are the same if their anchors and their own 64-bit hashes are. An anchor with
+more than ``HOT`` occurrences is not gathered in one task: its windows, by the same two
+hashes, are counted by ordinary aggregation and joined back in ``SALTS`` parts, so
+neither a common anchor nor a common window makes a large group.
 
 Null text has no words. Repeated rows are occurrences of each other. A text
 shorter than the window loses nothing. Null ids are told apart by their texts.
@@ -34,6 +36,8 @@ from quern.llm.common import SPACE, Words, arrow_batches, discard, give_back, pi
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor that are gathered in one shard step, at most.
 HOT = 1 << 15
+#: Parts that the occurrences of one window of such anchors are joined in.
+SALTS = 16
 #: Bytes of passages that one automaton step holds, or one anchor's.
 STEP_BYTES = 2 << 20
 
@@ -125,19 +129,11 @@ def _hashes(batches, window: int, gram: int):
         start = np.repeat(r.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         text = np.repeat(r.text[k], n)
         rows = pa.array(text)
-        yield pa.RecordBatch.from_arrays([pa.array(whole[start].view(np.int64)), batch.column("k1").take(rows), batch.column("k2").take(rows), pa.array((start - r.words.first[text]).astype(np.int32))], names=["h", "k1", "k2", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r.key[k], n).view(np.int64)), pa.array(whole[start].view(np.int64)), batch.column("k1").take(rows), batch.column("k2").take(rows), pa.array((start - r.words.first[text]).astype(np.int32))], names=["a", "h", "k1", "k2", "start"])
 
 
-def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Joined word ranges of window starts, which are sorted."""
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    return [(int(p[0]), int(p[-1]) + window) for p in np.split(starts, cut) if len(p)]
-
-
-def locate(anchor: np.ndarray, passages: list[bytes], window: int) -> list[list[tuple[int, int]]]:
-    """Per passage the word ranges that an automaton of the confirmed passages finds in it."""
-    w = words(passages, SPACE)
-    sizes = np.diff(w.first)
+def confirmed(w: Words, anchor: np.ndarray, count: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """First and end word of each run of windows that occur twice, over distinct passages with anchors and numbers of copies."""
     whole = windows(w.hash, window)
     start = np.arange(len(whole))
     row = np.searchsorted(w.first, start, side="right") - 1
@@ -149,38 +145,36 @@ def locate(anchor: np.ndarray, passages: list[bytes], window: int) -> list[list[
     equal[1:-1] = (key[:, order[1:]] == key[:, order[:-1]]).all(axis=0)
     twice = np.zeros(len(order), bool)
     twice[order] = equal[1:] | equal[:-1]
-    numbers = np.unique(w.hash, return_inverse=True)[1] + 1  # letters of the automaton: words of this step
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    twice |= count[row] > 1
     begin, row = start[twice], row[twice]
-    edge = np.flatnonzero((np.diff(begin, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
-    seen = set()
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(begin)]):
-        passage = tuple(numbers[begin[a] : begin[b - 1] + window].tolist())
-        if passage not in seen:
-            seen.add(passage)
-            automaton.add_word(passage, len(passage))
-    out: list[list[tuple[int, int]]] = [[] for _ in passages]
-    if not seen:
-        return out
+    edge = np.flatnonzero((np.diff(begin, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0)).tolist()
+    return [(int(begin[x]), int(begin[y - 1]) + window) for x, y in zip(edge, [*edge[1:], len(begin)])]
+
+
+def locate(anchor: np.ndarray, passages: list[bytes], window: int) -> list[list[tuple[int, int]]]:
+    """Per passage the word ranges that an automaton of the confirmed passages finds in it."""
+    number: dict[tuple[int, bytes], int] = {}
+    which = [number.setdefault(k, len(number)) for k in zip(anchor.tolist(), passages)]
+    w = words([p for _, p in number], SPACE)
+    letters = np.unique(w.hash, return_inverse=True)[1].tolist()  # of the automaton: the words of this step
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    keys = np.array([a for a, _ in number], np.int64)
+    for a, b in confirmed(w, keys, np.bincount(which, minlength=len(number)), window):
+        automaton.add_word(tuple(letters[a:b]), b - a)
+    if not len(automaton):
+        return [[] for _ in passages]
     automaton.make_automaton()
-    found: dict[tuple, list] = {}
-    first = w.first.tolist()
-    letters = numbers.tolist()
-    for k in range(len(passages)):
-        text = tuple(letters[first[k] : first[k + 1]])
-        spans = found.get(text)
-        if spans is None:
-            spans = []
-            for end, n in automaton.iter(text):
-                a, b = end - n + 1, end + 1
-                while spans and a <= spans[-1][1]:
-                    a, b = min(a, spans[-1][0]), max(b, spans[-1][1])
-                    spans.pop()
-                spans.append((a, b))
-            found[text] = spans
-        out[k] = spans
-    del sizes
-    return out
+    first, found = w.first.tolist(), []
+    for k in range(len(number)):
+        spans: list[tuple[int, int]] = []
+        for end, n in automaton.iter(tuple(letters[first[k] : first[k + 1]])):
+            a, b = end - n + 1, end + 1
+            while spans and a <= spans[-1][1]:
+                a, b = min(a, spans[-1][0]), max(b, spans[-1][1])
+                spans.pop()
+            spans.append((a, b))
+        found.append(spans)
+    return [found[k] for k in which]
 
 
 def _located(batches, window: int):
@@ -230,9 +224,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     out = sent.repartition("a").sortWithinPartitions("a").mapInArrow(lambda b: _located(b, window), spans)
     if flags.where(F.size("warm") > 0).take(1):
         # read by the count and by the join: both take the texts from the exchange that the other steps use
-        each = flagged("warm").mapInArrow(lambda b: _hashes(b, window, gram), "h bigint, k1 bigint, k2 int, start int")
-        twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out = out.unionByName(each.join(twice, "h").select("k1", "k2", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
+        each = flagged("warm").mapInArrow(lambda b: _hashes(b, window, gram), "a bigint, h bigint, k1 bigint, k2 int, start int")
+        twice = each.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = each.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(SALTS)).cast("int"))
+        out = out.unionByName(salted.join(twice, ["a", "h", "salt"]).select("k1", "k2", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
     return out
 
 

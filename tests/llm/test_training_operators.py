@@ -313,6 +313,33 @@ def test_substring(docs, rows, hot, none):
     assert substring.deduplicated(none).count() == 0
 
 
+def test_substring_spans_come_from_the_automaton(monkeypatch):
+    a, b = prose(40, 1), prose(50, 2)
+    passages = [p.encode() for p in (a, a, "x " + a, b, b + " y", prose(45, 3))]
+    anchors = np.array([1, 1, 1, 2, 2, 3])
+    assert substring.locate(anchors, passages, 35) == [[(0, 40)], [(0, 40)], [(1, 41)], [(0, 50)], [(0, 50)], []]
+    assert substring.locate(np.arange(6), passages, 35) == [[]] * 6
+
+    class Blind:
+        def __init__(self, *args):
+            self.n = 0
+
+        def add_word(self, *args):
+            self.n += 1
+
+        def make_automaton(self):
+            pass
+
+        def __len__(self):
+            return self.n
+
+        def iter(self, text):
+            return iter(())
+
+    monkeypatch.setattr(substring.ahocorasick, "Automaton", Blind)
+    assert substring.locate(anchors, passages, 35) == [[]] * 6
+
+
 def test_substring_random_texts(spark):
     """Few different words: many chance repeats and repeats inside one text."""
     r = random.Random(5)
