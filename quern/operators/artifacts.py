@@ -6,13 +6,14 @@ variants: only strings count as paths, commands or messages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.ingest import TOOL
 
-#: Most entries of each list; tools have no limit.
-LIMITS = {"files_touched": 50, "commands": 20, "error_signals": 10}
+#: Most entries of each list; tools have no limit, but each counts once, as files do.
+LIMITS = {"tool_names": None, "files_touched": 50, "commands": 20, "error_signals": 10}
+ONCE = ["tool_names", "files_touched"]
 SHELLS = ["shell", "bash"]
 
 
@@ -53,21 +54,32 @@ def extracted(events: DataFrame) -> DataFrame:
     )
 
 
-def in_order(c: Column) -> Column:
-    """Values of an aggregate in event order; nulls are left out."""
-    return F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("ts", "event_id", c.alias("v"))))), lambda x: x["v"])
+def _entries(found: DataFrame) -> DataFrame:
+    """Every entry of every list: turn, list, value, and its place."""
+    one = lambda kind, c: F.when(c.isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), c.alias("value"), F.lit(0).alias("pos"))))
+    files = F.transform("files", lambda f, i: F.struct(F.lit("files_touched").alias("kind"), f.alias("value"), i.alias("pos")))
+    none = F.array().cast("array<struct<kind:string,value:string,pos:int>>")
+    every = F.concat(*[F.coalesce(c, none) for c in (one("tool_names", F.col("tool_name")), files, one("commands", F.col("command")), one("error_signals", F.col("error")))])
+    rows = found.select("session_id", "turn_no", "ts", "event_id", F.explode(every).alias("e"))
+    return rows.select("session_id", "turn_no", "e.kind", "e.value", F.struct("ts", "event_id", "e.pos").alias("place"))
 
 
 def artifacts(events: DataFrame) -> DataFrame:
-    """One digest for each turn."""
-    found = extracted(events).groupBy("session_id", "turn_no").agg(
-        F.array_distinct(in_order(F.col("tool_name"))).alias("tool_names"),
-        F.slice(F.array_distinct(F.flatten(in_order(F.col("files")))), 1, LIMITS["files_touched"]).alias("files_touched"),
-        F.slice(in_order(F.col("command")), 1, LIMITS["commands"]).alias("commands"),
-        F.slice(in_order(F.col("error")), 1, LIMITS["error_signals"]).alias("error_signals"),
-    )
+    """One digest for each turn.
+
+    Entries are made distinct and cut to the limits of their list before a turn's are
+    collected, so a very long turn is spread over tasks.
+    """
+    found = _entries(extracted(events))
+    again = F.when(~F.col("kind").isin(*ONCE), F.col("place"))
+    first = found.groupBy("session_id", "turn_no", "kind", "value", again.alias("_again")).agg(F.min("place").alias("place"))
+    nth = F.row_number().over(Window.partitionBy("session_id", "turn_no", "kind").orderBy("place"))
+    bounded = [k for k, n in LIMITS.items() if n]
+    most = F.coalesce(*[F.when(F.col("kind") == k, F.lit(LIMITS[k])) for k in bounded])
+    kept = first.where(F.col("kind").isin(*bounded)).withColumn("_n", nth).where((F.col("_n") <= max(LIMITS[k] for k in bounded)) & (F.col("_n") <= most)).drop("_n").unionByName(first.where(~F.col("kind").isin(*bounded)))
+    listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "value")))), lambda x: x["value"]).alias(k)
+    lists = kept.groupBy("session_id", "turn_no").agg(*[listed(k) for k in LIMITS])
     size = F.coalesce(F.octet_length("payload_json"), F.lit(0)).cast("long")
     stats = events.where("turn_no is not null").groupBy("session_id", "turn_no").agg(F.count(F.lit(1)).alias("event_count"), F.sum(size).alias("total_payload_bytes"))
     none = F.array().cast("array<string>")
-    lists = [F.coalesce(c, none).alias(c) for c in ("tool_names", "files_touched", "commands", "error_signals")]
-    return stats.join(found, ["session_id", "turn_no"], "left").select("session_id", "turn_no", *lists, none.alias("decision_signals"), none.alias("facts"), F.struct("event_count", "total_payload_bytes").alias("stats"))
+    return stats.join(lists, ["session_id", "turn_no"], "left").select("session_id", "turn_no", *[F.coalesce(c, none).alias(c) for c in LIMITS], none.alias("decision_signals"), none.alias("facts"), F.struct("event_count", "total_payload_bytes").alias("stats"))

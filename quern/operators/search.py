@@ -18,6 +18,8 @@ from quern.functions.text import ascii_lower, cosine, reciprocal_rank
 K1, B = 1.2, 0.75
 RRF_K, LEAST_COSINE = 60, 0.2
 CANDIDATES, RECENT = 50, 200
+#: Ids that a filter lists, at most.
+LISTED = 200
 #: Ranges that a ranking of a whole table is cut into, at most, and the rows from which another range is worth it.
 RANGES, RANGE = 64, 1024
 
@@ -245,8 +247,13 @@ def pinned(memories: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def by_ids(memories: DataFrame, ids: list[int]) -> DataFrame:
-    """Memories of any state, the most recent first."""
-    return memories.where(F.col("id").isin(*ids)).orderBy(F.col("last_turn_at").desc(), "id")
+    """Memories of any state, the most recent first. A short list goes into the scan, a long one is joined."""
+    if len(ids) <= LISTED:
+        found = memories.where(F.col("id").isin(*ids))
+    else:
+        wanted = memories.sparkSession.createDataFrame([(int(i),) for i in ids], "id bigint")
+        found = memories.join(wanted.distinct(), "id", "left_semi")
+    return found.orderBy(F.col("last_turn_at").desc(), "id")
 
 
 def semantic(vectors: DataFrame, query: list[float], candidates: DataFrame | None = None) -> DataFrame:

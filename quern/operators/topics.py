@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from quern.functions.text import match_form
 
 THRESHOLDS = [3, 5, 10, 20]
+#: Most recent topics of a scope that a candidate is compared with.
+COMPARED = 50
 #: Oldest turn memories that one merge takes, and the least number that starts one.
 MERGE_MOST, MERGE_LEAST = 6, 3
 
 
-def matched(candidates: DataFrame, topics: DataFrame) -> DataFrame:
+def matched(candidates: DataFrame, topics: DataFrame, compared: int = COMPARED) -> DataFrame:
     """Each candidate (memory_id, scope_key, candidate) with the topic that it names, by form; null columns if none.
 
-    The most recent topic of the scope wins; within a topic the label counts before
+    Candidates are compared with the most recent topics of their scope, of which the
+    most recent that matches wins; within a topic the label counts before
     the aliases. Only an alias match adds the candidate to the aliases. Topics:
     topic_id, scope_key, canonical_label, aliases, last_active_at.
     """
-    names = topics.select("topic_id", "scope_key", "canonical_label", "last_active_at", F.posexplode(F.concat(F.array("canonical_label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_at", "_name"))
+    latest = Window.partitionBy("scope_key").orderBy(F.col("last_active_at").desc(), "topic_id")
+    near = topics.withColumn("_place", F.row_number().over(latest)).where(F.col("_place") <= compared)
+    names = near.select("topic_id", "scope_key", "canonical_label", "last_active_at", F.posexplode(F.concat(F.array("canonical_label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_at", "_name"))
     recent = Window.partitionBy("scope_key", "_form").orderBy(F.col("last_active_at").desc(), "topic_id", "_at")
     best = names.select("*", match_form(F.col("_name")).alias("_form")).where("_form <> ''").withColumn("_r", F.row_number().over(recent)).where("_r = 1")
     asked = candidates.withColumn("_form", match_form(F.col("candidate")))
@@ -35,8 +40,11 @@ def folded(links: DataFrame) -> DataFrame:
     union of the non-empty ones.
     """
     first = links.groupBy("memory_id").agg(F.min_by(F.struct("scope_key", "canonical_label", "aliases", "linked_at"), F.struct("linked_at", "scope_key", "canonical_label")).alias("l")).select("memory_id", "l.*")
-    alias = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a != "")
-    return first.groupBy("scope_key", "canonical_label").agg(F.count(F.lit(1)).alias("memory_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(alias)))).alias("aliases"), F.max("linked_at").alias("last_active_at"))
+    totals = first.groupBy("scope_key", "canonical_label").agg(F.count(F.lit(1)).alias("memory_count"), F.max("linked_at").alias("last_active_at"))
+    # aliases are made distinct one by one, before a topic's are collected
+    alias = first.select("scope_key", "canonical_label", F.explode("aliases").alias("alias")).where("alias <> ''").distinct()
+    united = alias.groupBy("scope_key", "canonical_label").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return totals.join(united, ["scope_key", "canonical_label"], "left").select("scope_key", "canonical_label", "memory_count", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "last_active_at")
 
 
 def upserted(topics: DataFrame, links: DataFrame, linked: DataFrame | None = None) -> DataFrame:

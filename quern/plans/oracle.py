@@ -142,7 +142,7 @@ SQL = {
       SELECT coalesce(o.scope_key, w.scope_key) AS scope_key, coalesce(o.canonical_label, w.canonical_label) AS canonical_label, coalesce(o.n, 0) + coalesce(w.n, 0) AS memory_count,
         array_to_string(list_sort(list_distinct(list_concat(coalesce(o.al, []), coalesce(w.al, [])))), '|') AS aliases, CASE WHEN o.n = 1 AND w.n IS NULL THEN 'archived' ELSE 'active' END AS status, coalesce(w.la, o.la) AS last_active_at
       FROM o FULL JOIN w ON o.scope_key = w.scope_key AND o.canonical_label = w.canonical_label""",
-    "topic_match": f"""WITH {LINKS}, k AS (SELECT scope_key, canonical_label FROM v_links WHERE memory_id % 4 = 0 GROUP BY 1, 2),
+    "topic_match": f"""WITH {LINKS}, k AS (SELECT scope_key, canonical_label FROM (SELECT scope_key, canonical_label, row_number() OVER (PARTITION BY scope_key ORDER BY max(linked_at) DESC, scope_key || '/' || canonical_label) AS r FROM v_links WHERE memory_id % 4 = 0 GROUP BY 1, 2) WHERE r <= 50),
       a AS (SELECT memory_id, scope_key, canonical_label, CASE WHEN memory_id % 3 = 0 THEN candidate || '  TOOL.' ELSE candidate END AS candidate, memory_id % 3 = 0 AS by_alias, memory_id % 4 = 3 AND memory_id % 3 = 0 AS odd FROM v_links WHERE memory_id % 4 <> 0)
       SELECT memory_id, CASE WHEN k.scope_key IS NOT NULL THEN a.scope_key || '/' || a.canonical_label END AS topic_id, CASE WHEN k.scope_key IS NOT NULL THEN CASE WHEN by_alias THEN candidate ELSE '' END END AS new_aliases
       FROM a LEFT JOIN k ON a.scope_key = k.scope_key AND a.canonical_label = k.canonical_label AND NOT odd""",

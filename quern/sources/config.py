@@ -14,6 +14,11 @@ from quern.operators.context import ContextOptions
 SKIP = ["introspect", "todo_list"]
 
 
+#: Kinds of providers, and the bounds of the job runner's concurrency.
+PROVIDERS = ["anthropic", "openai", "ollama", "custom", "offline"]
+CONCURRENCY = (5, 10)
+
+
 @dataclass
 class Jobs:
     concurrency: int = 6
@@ -21,6 +26,7 @@ class Jobs:
 
 @dataclass
 class Provider:
+    kind: str = "offline"
     model: str = "offline"
     api_key: str = ""
     max_tokens: int = 800
@@ -60,3 +66,15 @@ def load(path: str | None = None) -> Settings:
     out.skip_tools = given.get("skip_tools", out.skip_tools)
     out.language = "en" if given.get("language") == "en" else "zh"
     return out
+
+
+def problems(settings: Settings) -> list[str]:
+    """What is wrong with settings, in words; empty if nothing is."""
+    out = []
+    if settings.provider.kind not in PROVIDERS:
+        out.append(f"unknown provider: {settings.provider.kind}")
+    if not CONCURRENCY[0] <= settings.jobs.concurrency <= CONCURRENCY[1]:
+        out.append(f"concurrency {settings.jobs.concurrency} is outside {CONCURRENCY[0]} to {CONCURRENCY[1]}")
+    if settings.provider.max_tokens < 1:
+        out.append("max_tokens has to be positive")
+    return out

@@ -204,6 +204,7 @@ def test_settings(tmp_path, monkeypatch):
     c = config.load(str(f))
     assert (c.language, c.provider.api_key, c.context.max_memories, c.jobs.concurrency) == ("zh", "s3", 7, 6)
     assert config.load(None).context.max_memories == 50
+    assert config.problems(c) == [] and len(config.problems(config.Settings(provider=config.Provider(kind="x", max_tokens=0), jobs=config.Jobs(99)))) == 3
 
 
 def test_store(spark, tmp_path, mem):
@@ -272,3 +273,37 @@ def test_neighbours_over_chunks(spark, chunk):
         same = [k for k, x in rows if x == repo]
         at = same.index(i)
         assert got[i] == (same[max(0, at - 3) : at], same[at + 1 : at + 4])
+
+
+def test_long_id_lists_are_joined(spark, mem):
+    assert [r.id for r in search.by_ids(mem, list(range(3, 400))).collect()] == [r.id for r in mem.where("id >= 3").orderBy(F.col("last_turn_at").desc(), "id").collect()]
+
+
+def test_candidates_meet_recent_topics_only(spark):
+    from quern.operators import topics
+
+    known = spark.createDataFrame([(k, "s", f"label {k}", [], at(k)) for k in range(60)], "topic_id bigint, scope_key string, canonical_label string, aliases array<string>, last_active_at timestamp_ntz")
+    asked = spark.createDataFrame([(1, "s", "LABEL 9"), (2, "s", "label  10."), (3, "t", "label 50")], "memory_id bigint, scope_key string, candidate string")
+    assert {r.memory_id: r.topic_id for r in topics.matched(asked, known).collect()} == {1: None, 2: 10, 3: None}
+
+
+def test_sessions_over_many_hours(spark):
+    """Chunks of time carry the state: one session of 30 hours and events without a session."""
+    import random
+
+    r = random.Random(3)
+    rows, open_, turn, want, seq = [], False, 0, [], 0
+    for k in range(600):
+        hook = r.choice(["userPromptSubmit", "postToolUse", "postToolUse", "stop"])
+        rows.append((k, T0 + dt.timedelta(minutes=3 * k), "s", hook, "t", "{}"))
+        if hook == "userPromptSubmit":
+            open_, turn, seq = True, turn + 1, 0
+        seq += 1
+        want.append((k, turn, seq) if open_ else (k, None, None))
+        open_ = open_ and hook != "stop"
+    rows.append((999, T0, None, "stop", None, "{}"))
+    turned = ingest.attributed(spark.createDataFrame(rows, EVENTS))
+    numbers = {e.event_id: e.event_seq for e in ingest.event_sequence(turned).collect()}
+    got = {e.event_id: (e.turn_no, e.disposition) for e in turned.collect()}
+    assert got.pop(999) == (None, "no_session")
+    assert [(k, got[k][0], numbers.get(k)) for k in range(600)] == want
