@@ -23,6 +23,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 NON_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Bytes of text that one numpy block holds.
 BLOCK = 1 << 20
+#: Bytes of a row group of a stored table: writers and readers hold one at a time.
+ROW_GROUP = 16 << 20
 
 _U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240117))
@@ -175,9 +177,11 @@ def pieces(batches, column: str, most: int = 4 * BLOCK):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one, if all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -193,7 +197,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -211,8 +215,9 @@ def discard(df: DataFrame) -> None:
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """Columns k1, k2, never null, that tell rows apart by id and text, null ids by 96 bits of their texts; rows equal in both are one row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    k1 = F.col(id_col).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(id_col)
-    return [F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(k1).alias("k1"), F.hash(F.lit(7), F.col(text_col), F.col(id_col)).alias("k2")]
+    k1 = F.col(id_col).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    # not nullable, so that no join adds a filter of its own and one exchange of the rows serves all
+    return [F.coalesce(k1, F.xxhash64(text_col)).alias("k1"), F.hash(F.lit(7), F.col(text_col), F.col(id_col)).alias("k2")]
 
 
 def arrow_batches(spark: SparkSession) -> None:

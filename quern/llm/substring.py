@@ -14,8 +14,9 @@
 
 Windows are the same if their anchors and their own 64-bit hashes are. An anchor with
 more than ``HOT`` occurrences is not gathered in one task: its windows, by the same two
-hashes, are counted by ordinary aggregation and joined back in ``SALTS`` parts, so
-neither a common anchor nor a common window makes a large group.
+hashes, are counted by ordinary aggregation, which adds up before it shuffles, and the
+few that occur twice are joined back, by broadcast or as a join that can be split where
+one window is common. So a common anchor makes no large group.
 
 Null text has no words. Repeated rows are occurrences of each other. A text
 shorter than the window loses nothing. Null ids are told apart by their texts.
@@ -36,8 +37,6 @@ from quern.llm.common import SPACE, Words, arrow_batches, discard, give_back, pi
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor that are gathered in one shard step, at most.
 HOT = 1 << 15
-#: Parts that the occurrences of one window of such anchors are joined in.
-SALTS = 16
 #: Bytes of passages that one automaton step holds, or one anchor's.
 STEP_BYTES = 2 << 20
 
@@ -225,9 +224,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     if flags.where(F.size("warm") > 0).take(1):
         # read by the count and by the join: both take the texts from the exchange that the other steps use
         each = flagged("warm").mapInArrow(lambda b: _hashes(b, window, gram), "a bigint, h bigint, k1 bigint, k2 int, start int")
-        twice = each.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = each.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(SALTS)).cast("int"))
-        out = out.unionByName(salted.join(twice, ["a", "h", "salt"]).select("k1", "k2", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
+        twice = each.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "h")
+        out = out.unionByName(each.join(twice, ["a", "h"]).select("k1", "k2", F.col("start").alias("s"), (F.col("start") + window).alias("e")))
     return out
 
 
