@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import discard, stored
 
 
 class UnionFind:
@@ -47,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every node links its smaller neighbours and itself to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(seen) == mark:
             break

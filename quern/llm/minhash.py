@@ -133,13 +133,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                     pa.array([b.tobytes() if f else None for b, f in zip(short, full)], pa.binary()),
                     batch.column("text_key"),
                 ],
-                names=["id", "n_shingles", "node", "bands", "sig", "text_key"],
+                names=["id", "n_shingles", "key", "bands", "sig", "text_key"],
             )
 
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return stored(picked.mapInArrow(run, f"id {kind}, n_shingles bigint, node binary, bands binary, sig binary, text_key bigint"), "sketches")
+    return stored(picked.mapInArrow(run, f"id {kind}, n_shingles bigint, key binary, bands binary, sig binary, text_key bigint"), "sketches")
 
 
 def _dealt(rows: DataFrame, key: str, pairs: bool) -> DataFrame:
@@ -155,7 +155,7 @@ def _united(rows: DataFrame, key: str, large: bool, meet) -> DataFrame:
     """Stars (u, v) of the members (node, key, _n, ...) that ``meet`` links in their groups; ``large``: some group has more than ``MEET``."""
     kind = rows.schema[key].dataType.simpleString()
     alone = rows.withColumn("union", F.col("node"))
-    met = lambda some, pairs: _dealt(some, key, pairs).mapInArrow(meet, f"{key} {kind}, u binary, v binary")
+    met = lambda some, pairs: _dealt(some, key, pairs).mapInArrow(meet, f"{key} {kind}, u bigint, v bigint")
     if not large:
         return met(alone, False).select("u", "v").distinct()
     alone = stored(alone, "members")
@@ -193,20 +193,17 @@ def _labels(t: pa.Table, keys) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     for k in (*keys, "_lo", "_hi"):
         c = t.column(k).combine_chunks()
-        if pa.types.is_binary(c.type):
-            v = np.array(c.to_pylist(), dtype=object)
-        else:
-            v = c.to_numpy(zero_copy_only=False)
+        v = c.to_numpy(zero_copy_only=False)
         new[1:] |= v[1:] != v[:-1]
     return np.cumsum(new)
 
 
-def _unite(label: np.ndarray, union: list[bytes], sig: np.ndarray, least: int, confirm=None) -> UnionFind:
+def _unite(label: np.ndarray, union: np.ndarray, sig: np.ndarray, least: int, confirm=None) -> UnionFind:
     """Unites rows of one label whose signatures agree in ``least`` places (and that ``confirm``), pair by pair, skipping united pairs."""
     n = len(label)
     sets = UnionFind(n)
     first: dict[tuple, int] = {}
-    for x, at in enumerate(zip(label.tolist(), union)):
+    for x, at in enumerate(zip(label.tolist(), union.tolist())):
         sets.union(first.setdefault(at, x), x)
     root = np.array([sets.find(x) for x in range(n)])
     lag = 1
@@ -249,29 +246,27 @@ def neighbours(classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     def explode(batches):
         for batch in batches:
-            node = batch.column("node").to_pylist()
-            bands = batch.column("bands").to_pylist()
-            size = VALUES // ROWS
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bands), np.int64)), pa.array([x for x in node for _ in range(size)], pa.binary())], names=["band", "node"])
+            bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(batch.column("node").to_numpy(), VALUES // ROWS))], names=["band", "node"])
 
     def meet(batches):
         for t, label in _runs(batches, "band"):
-            yield _stars(t, "band", _unite(label, t.column("union").to_pylist(), _signatures(t), least))
+            yield _stars(t, "band", _unite(label, t.column("union").to_numpy(), _signatures(t), least))
 
-    banded = classes.select("node", "bands").mapInArrow(explode, "band bigint, node binary")
+    banded = classes.select("node", "bands").mapInArrow(explode, "band bigint, node bigint")
     shared = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
     members = banded.join(shared, "band").join(classes.select("node", "sig"), "node")
     return _united(members, "band", bool(shared.where(F.col("_n") > MEET).take(1)), meet)
 
 
 def verified(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """Stars (u, v) of confirmed links. families: node, root, rep and text_key (id and hash of a text of the class), sig."""
+    """Stars (u, v) of confirmed links. families: node, root, key, rep and text_key (id and hash of a text of the class), sig."""
     p = similarity / 100
     least = int(VALUES * p - 6 * (VALUES * p * (1 - p)) ** 0.5)
     counts = families.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     member = families.join(counts, "root").withColumnRenamed("text_key", "_key")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).where("text is not null")
-    rows = texts.join(member, (F.col("text_key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("rep"))).select("root", "node", "sig", "text", "_n")
+    rows = texts.join(member, (F.col("text_key") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("rep"))).select("root", "node", "key", "sig", "text", "_n")
     schema = rows.schema
 
     def once(batches):
@@ -286,13 +281,12 @@ def verified(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, s
     def meet(batches):
         for t, label in _runs(batches, "root"):
             # of copies in several tasks one counts, and of equal hashes the text of the class
-            node = t.column("node").to_pylist()
-            new = np.array([a != b for a, b in zip(node, [None, *node])]) | (np.diff(label, prepend=-1) != 0)
+            new = (np.diff(t.column("node").to_numpy(), prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0)
             t, label = t.filter(pa.array(new)), label[new]
             sets = []
             for a in range(0, t.num_rows, 256):
                 sets += shingle_sets([x.encode() for x in t.column("text").slice(a, 256).to_pylist()], size)
-            where = np.flatnonzero([len(s) > 0 and _class_key(s) == x for s, x in zip(sets, t.column("node").to_pylist())])
+            where = np.flatnonzero([len(s) > 0 and _class_key(s) == x for s, x in zip(sets, t.column("key").to_pylist())])
             sets = [sets[i] for i in where]
 
             def linked(x: int, y: int) -> bool:
@@ -303,7 +297,7 @@ def verified(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, s
                 return 100 * both >= similarity * (len(a) + len(b) - both)
 
             t = t.take(pa.array(where))
-            yield _stars(t, "root", _unite(label[where], t.column("union").to_pylist(), _signatures(t), least, linked))
+            yield _stars(t, "root", _unite(label[where], t.column("union").to_numpy(), _signatures(t), least, linked))
 
     return _united(rows.mapInArrow(once, schema), "root", bool(counts.where(F.col("_n") > MEET).take(1)), meet)
 
@@ -312,15 +306,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """Per row: id, n_shingles, class key, component_id (smallest id reachable) and kept; root, the component's own key, and a hash of the text."""
     rows = sketches(docs, id_col, text_col, size)
     least_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("_least")
-    named = rows.where("node is not null").groupBy("node").agg(least_row, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = stored(named.select("node", F.col("_least.id").alias("rep"), "_least.text_key", "bands", "sig"), "classes")
+    named = rows.where("key is not null").groupBy("key").agg(least_row, F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # the number of a class is fixed when the table is stored
+    classes = stored(named.select(F.monotonically_increasing_id().alias("node"), "key", F.col("_least.id").alias("rep"), "_least.text_key", "bands", "sig"), "classes")
     near = stored(neighbours(classes, similarity), "near")
-    families = components(near).join(classes.select("node", "rep", "text_key", "sig"), "node")
+    families = components(near).join(classes.select("node", "key", "rep", "text_key", "sig"), "node")
     links = stored(verified(docs, families, id_col, text_col, size, similarity), "links")
     joined = components(links).join(classes.select("node", "rep"), "node")
     least = joined.groupBy("root").agg(F.min("rep").alias("_least"))
-    named = classes.select("node", "rep").join(joined.select("node", "root"), "node", "left").join(least, "root", "left").select("node", F.coalesce("_least", "rep").alias("_component"), F.coalesce("root", "node").alias("root"))
-    out = rows.drop("bands", "sig").join(named, "node", "left")
+    named = classes.select("node", "key", "rep").join(joined.select("node", "root"), "node", "left").join(least, "root", "left").select("node", "key", F.coalesce("_least", "rep").alias("_component"), F.coalesce("root", "node").alias("root"))
+    out = rows.drop("bands", "sig").join(named, "key", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("_component"))
     return out.select("id", "n_shingles", "node", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "root", "text_key")
 
