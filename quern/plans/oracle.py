@@ -96,8 +96,10 @@ s AS (SELECT *, CASE WHEN blank THEN 'ignored_empty' WHEN tool_name = 'click' TH
 SELECT event_id, session_id, hook, CASE WHEN disposition = 'accepted' THEN CAST(tn AS BIGINT) END AS turn_no, CASE WHEN disposition = 'accepted' THEN row_number() OVER (PARTITION BY session_id, tn, disposition ORDER BY ts, event_id) END AS event_seq, disposition FROM s
 UNION ALL SELECT event_id, NULL, hook, NULL, NULL, CASE WHEN blank THEN 'ignored_empty' WHEN tool_name = 'click' THEN 'skipped' ELSE 'no_session' END FROM raw WHERE session_id IS NULL"""
 
-_BYTES = 4000
-_CONTEXT = f"""WITH RECURSIVE {MEM}, {TOPICS},
+
+
+def _context(_BYTES: int) -> str:
+    return f"""WITH RECURSIVE {MEM}, {TOPICS},
 pins AS (SELECT id, '- **#M' || id || '** ' || title AS line, row_number() OVER (ORDER BY last_turn_at DESC, id) AS n FROM v_mem WHERE state = 'active' AND is_pinned ORDER BY n LIMIT 10),
 labels AS (SELECT '- **' || canonical_label || '** (' || memory_count || ' memories)' AS line, row_number() OVER (ORDER BY last_active_at DESC, scope_key, canonical_label) AS n FROM v_topics ORDER BY n LIMIT 8),
 head AS (SELECT (SELECT chr(10) || '## 📌 Pinned Memories' || chr(10) || string_agg(line, chr(10) ORDER BY n) FROM pins) AS p, (SELECT chr(10) || '## Active Topics' || chr(10) || string_agg(line, chr(10) ORDER BY n) FROM labels) AS t),
@@ -114,6 +116,7 @@ k AS (SELECT p, t, r, CASE WHEN u + coalesce(strlen(r) + 1, 0) + strlen(hint) +
 c AS (SELECT unnest([concat_ws(chr(10), '<memory-context>', p, t, r, h, '</memory-context>'), concat_ws(chr(10), '<memory-context>', p, t, r, '</memory-context>'), concat_ws(chr(10), '<memory-context>', p, t, '</memory-context>')]) AS context, unnest([1, 2, 3]) AS n FROM k)
 SELECT context, strlen(context) AS n_bytes FROM c WHERE strlen(context) <= {_BYTES} ORDER BY n LIMIT 1"""
 
+
 SQL = {
     "turn_attribution": f"{ATTR} SELECT event_id, session_id, hook, turn_no, disposition FROM t",
     "turn_rollup": f"{TURNS} SELECT session_id, turn_no, started_at, last_event_at, n_events, tool_event_count, payload_bytes, ended FROM turns",
@@ -195,7 +198,22 @@ SQL = {
       UNION ALL SELECT 'summarize_topic', 'summary:topic:' || topic || ':count:' || rn, topic, '{{"topic_id":"' || topic || '"}}' FROM v_cl WHERE rn IN (3, 5, 10, 20)
       UNION ALL SELECT 'merge_cluster_to_memory', k, topic, '{{"topic_id":"' || topic || '"}}' FROM m UNION ALL SELECT 'summarize_topic', 'summary:topic:' || topic || ':merge:' || n, topic, '{{"topic_id":"' || topic || '"}}' FROM m""",
     "memory_ids": f"{TURNS} SELECT session_id, turn_no, started_at, 1000 + row_number() OVER (ORDER BY started_at, session_id, turn_no) AS id FROM turns",
-    "context_text": _CONTEXT,
+    "context_text": _context(4000),
+    "context_small": _context(1400),
+    "write_path": f"""{_STREAM.split("SELECT event_id, session_id, hook, CASE WHEN disposition")[0].rstrip()},
+      a AS (SELECT session_id, tn AS seq, min(CASE WHEN p THEN event_id END) AS pid, min(ts) AS started_at, max(CASE WHEN hook = 'stop' THEN ts END) AS stopped_at, max(ts) AS last_event_at,
+        CAST(sum(CASE WHEN hook = 'postToolUse' THEN 1 ELSE 0 END) AS BIGINT) AS tool_event_count, count(*) AS n_events FROM s WHERE disposition = 'accepted' GROUP BY 1, 2),
+      b AS (SELECT *, row_number() OVER (ORDER BY started_at >= TIMESTAMP '2024-01-15', started_at, session_id, seq) AS turn_id, stopped_at IS NOT NULL OR seq < max(seq) OVER (PARTITION BY session_id) AS done FROM a)
+      SELECT turn_id, session_id, CAST(seq AS BIGINT) AS seq, CASE WHEN done THEN 'closed' ELSE 'open' END AS state, 'ask [REDACTED] ' || pid AS prompt_text, started_at, stopped_at, last_event_at, tool_event_count, n_events, CASE WHEN done THEN 'turn:' || turn_id END AS job FROM b""",
+    "store_append": f"WITH {MEM}, w AS (SELECT id, title, is_pinned OR id = 4 AS is_pinned FROM v_mem WHERE id % 3 < 2) SELECT * FROM w UNION ALL SELECT id, 'found', is_pinned FROM w WHERE id = 7",
+    "runner_step": f"""WITH {JOBS}, j AS (SELECT *, 'old' AS last_error FROM v_jobs WHERE state <> 'leased'), l AS (SELECT id FROM j WHERE state = 'pending' ORDER BY priority, available_at, id LIMIT 40)
+      SELECT id, CASE WHEN id NOT IN (SELECT id FROM l) THEN state WHEN job_type = 'type_0' THEN 'succeeded' WHEN job_type = 'type_1' AND attempts + 1 < 5 THEN 'pending' ELSE 'dead' END AS state,
+        attempts + CASE WHEN id IN (SELECT id FROM l) THEN 1 ELSE 0 END AS attempts, CASE WHEN id NOT IN (SELECT id FROM l) OR job_type = 'type_0' THEN 'old' WHEN job_type = 'type_1' THEN 'boom' ELSE 'no handler registered' END AS last_error FROM j""",
+    "prompt_items": f"""WITH {MEM}, n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY last_turn_at DESC, id) AS n_ FROM v_mem WHERE state = 'active')
+      SELECT topic, string_agg(n_ || '. ' || title || ': ' || substr(repeat(memory_type, 40), 1, 160) || ' | Learned: ' || memory_type || CASE WHEN id % 2 = 0 AND repo IS NOT NULL THEN ' | Next: ' || repo ELSE '' END, chr(10) ORDER BY n_) AS prompt FROM n WHERE n_ <= 20 GROUP BY topic""",
+    "prompt_topics": f"""WITH {LINKS}, u AS (SELECT scope_key, canonical_label, list_sort(list_distinct(list(alias))) AS al, max(linked_at) AS la FROM v_links GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY la DESC, canonical_label) AS n_, list_filter(al, lambda x: x <> '' AND x <> canonical_label)[1:8] AS other FROM u)
+      SELECT scope_key, string_agg('- ' || canonical_label || CASE WHEN len(other) > 0 THEN ' (aliases: ' || array_to_string(other, ', ') || ')' ELSE '' END, chr(10) ORDER BY n_) AS choices FROM r WHERE n_ <= 30 GROUP BY scope_key""",
     "context_recent_budget": f"""WITH {MEM}, l AS (SELECT id, last_turn_at, '- #M' || id || ' [' || memory_type || '] ' || title || ' (' || strftime(last_turn_at, '%Y-%m-%d') || ')' AS line FROM v_mem WHERE state = 'active' ORDER BY last_turn_at DESC, id LIMIT 50)
       SELECT id, line, total_bytes FROM (SELECT id, line, CAST(20 + sum(strlen(line) + 1) OVER (ORDER BY last_turn_at DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes FROM l) WHERE total_bytes <= 2000""",
     "context_pinned_lines": f"WITH {MEM} SELECT id, '- **#M' || id || '** ' || title || CASE WHEN id % 20 = 0 AND title <> '' THEN ' → _' || title || '_' ELSE '' END AS line FROM v_mem WHERE state = 'active' AND is_pinned ORDER BY last_turn_at DESC, id LIMIT 10",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import api
@@ -10,6 +10,7 @@ from quern.functions import text as X
 from quern.operators import artifacts, context, ingest, jobs, lookup, memory, numbering, search, topics, trace
 from quern.plans import writepath
 from quern.sources import fixtures, provider
+from quern.sources.store import Store, scratch
 from quern.streaming import attribution
 
 COLUMNS = ["title", "summary"]
@@ -173,6 +174,56 @@ def memory_ids(spark, d):
     return numbering.numbered(t, "id", ["started_at", "session_id", "turn_no"], 1000)
 
 
+@query
+def write_path(spark, d):
+    """Raw records taken into a store in two batches: its turns, and the jobs of those that closed."""
+    s = Store(spark, scratch(spark, "write-path"))
+    raw = _raw(spark, d)
+    early = F.get_json_object("value", "$.ts") < "2024-01-15"
+    for part in (raw.where(early), raw.where(~early)):
+        writepath.take_in(s, part, NOW, ["click"])
+    queued = s.read("jobs").select(F.col("entity_id").cast("bigint").alias("turn_id"), F.col("dedupe_key").alias("job"))
+    t = s.read("turns").join(queued, "turn_id", "left").join(s.read("turn_events").groupBy("turn_id").agg(F.max("event_seq").alias("n_events")), "turn_id")
+    return t.select("turn_id", "session_id", "seq", "state", "prompt_text", "started_at", "stopped_at", "last_event_at", "tool_event_count", "n_events", "job")
+
+
+@query
+def store_append(spark, d):
+    """Rows written, appended, replaced by key and looked up in a store."""
+    s = Store(spark, scratch(spark, "store"))
+    m = _mem(spark, d).drop("topic")
+    s.write("memories", m.where("id % 3 = 0"))
+    s.append("memories", m.where("id % 3 = 1"))
+    s.write("memories", memory.pinned(s.read("memories"), 4, True))
+    return s.read("memories").select("id", "title", "is_pinned").unionByName(s.get("memories", 7).select("id", F.lit("found").alias("title"), "is_pinned"))
+
+
+@query
+def runner_step(spark, d):
+    """One step of the job runner: one type succeeds, one fails, the others have no handler."""
+    r = jobs.Runner(40)
+    r.register("type_0", lambda mine: mine.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")))
+    r.register("type_1", lambda mine: mine.select("id", F.lit(False).alias("ok"), F.lit("boom").alias("error")))
+    now = F.expr("TIMESTAMP_NTZ'2030-01-01 00:00:00'")
+    out = r.step(fixtures.jobs(spark, d).where("state <> 'leased'").withColumn("last_error", F.lit("old")), now)
+    return out.select("id", "state", F.col("attempts").cast("long").alias("attempts"), "last_error")
+
+
+@query
+def prompt_items(spark, d):
+    """The numbered items that a topic summary reads, and the topics that a new candidate is compared with."""
+    items = topics.newest(_mem(spark, d)).withColumns({"learned": F.col("memory_type"), "next_steps": F.when(F.col("id") % 2 == 0, F.col("repo")), "summary": F.repeat("memory_type", 40)})
+    rows = items.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("place", "title", "summary", "learned", "next_steps"))).alias("items"))
+    return rows.select("topic", provider.numbered(F.col("items")).alias("prompt"))
+
+
+@query
+def prompt_topics(spark, d):
+    t = _topics(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("scope_key").orderBy(F.col("last_active_at").desc(), "canonical_label"))).where("at <= 30")
+    known = t.groupBy("scope_key").agg(F.array_sort(F.collect_list(F.struct("at", "canonical_label", "aliases"))).alias("known"))
+    return known.select("scope_key", provider.topic_choices(F.col("known")).alias("choices"))
+
+
 @query
 def redact_text(spark, d):
     tagged = F.concat(F.lit("a <private>"), F.col("text"), F.lit("</PRIVATE> b <Private>x\ny</private> <private>open "), F.col("lang"))
@@ -473,6 +524,15 @@ def context_text(spark, d):
     return text.select("context", F.octet_length("context").cast("long").alias("n_bytes"))
 
 
+@query
+def context_small(spark, d):
+    """A budget that leaves room for some of the titles only."""
+    mem = _mem(spark, d).withColumn("next_steps", F.lit(None).cast("string"))
+    shown = topics.active(_topics(spark, d), limit=8).withColumn("unresolved_summary", F.lit(""))
+    text = context.rendered(search.pinned(mem, 10), shown, search.like(search.filtered(mem), "", [], 20), context.ContextOptions(include_summary=True, max_output_bytes=1400), "en")
+    return text.select("context", F.octet_length("context").cast("long").alias("n_bytes"))
+
+
 @query
 def jobs_lease(spark, d):
     return jobs.due(fixtures.jobs(spark, d), _now(), 6).select("id", "job_type", "priority", "available_at")

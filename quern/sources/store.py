@@ -8,6 +8,7 @@ An append writes its own rows only. There is one writer at a time.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,16 @@ SCHEMAS = {
 KEYS = {"session_refs": "session_id", "turns": "turn_id", "turn_events": "event_id", "turn_artifacts": "turn_id", "topics": "topic_id", "memories": "id", "memory_embeddings": "id", "jobs": "id"}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where all run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quern-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
