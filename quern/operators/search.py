@@ -210,24 +210,47 @@ def bm25(memories: DataFrame, query: str, columns: list[str], index: TextIndex |
     frequencies come from one aggregate over all rows, which yields a single row; with
     an index only the rows that have a term's trigrams are read.
     """
+    counted, lengths, n = _counted(memories, query, columns, index)
+    return _scored(counted, lengths, n).select(*memories.columns, "bm25")
+
+
+def _counted(memories: DataFrame, query: str, columns: list[str], index: TextIndex | None) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows with their length, occurrences of each term and whether they match, the lengths of all rows if an index has them, number of terms)."""
     tree = parse(query)
     terms = _terms(tree)
-    total = [F.count(F.lit(1)).alias("_N"), F.avg("_dl").alias("_avg")]
-    seen = [F.sum((F.col(f"_f{k}") > 0).cast("long")).alias(f"_n{k}") for k in range(len(terms))]
+    rows, lengths = memories, None
     if index is not None and terms:
         rows = memories.join(index.candidates(terms), "id", "left_semi")
         lengths = index.lengths.select(F.col("dl").cast("double").alias("_dl"))
-    else:
-        rows, lengths = memories, None
     counted = rows.withColumn("_dl", _length(columns).cast("double")).withColumns({f"_f{k}": _count(t, columns) for k, t in enumerate(terms)})
+    return counted.withColumn("_match", predicate(tree, columns)), lengths, len(terms)
+
+
+def _scored(counted: DataFrame, lengths: DataFrame | None, n: int) -> DataFrame:
+    """The rows that match, with their rank."""
+    total = [F.count(F.lit(1)).alias("_N"), F.avg("_dl").alias("_avg")]
+    seen = [F.sum((F.col(f"_f{k}") > 0).cast("long")).alias(f"_n{k}") for k in range(n)]
     stats = counted.agg(*total, *seen) if lengths is None else lengths.agg(*total).crossJoin(counted.agg(*seen))  # one row each
     score = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(n):
         idf = F.greatest(F.log((F.col("_N") - F.col(f"_n{k}") + 0.5) / (F.col(f"_n{k}") + 0.5)), F.lit(1e-6))
         f = F.col(f"_f{k}")
         score = score - idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    hits = counted.where(predicate(tree, columns)).crossJoin(F.broadcast(stats))  # stats is one row
-    return hits.select(*memories.columns, score.alias("bm25"))
+    return counted.where("_match").crossJoin(F.broadcast(stats)).withColumn("bm25", score)  # stats is one row
+
+
+def _best(memories: DataFrame, query: str, columns: list[str], like_columns: list[str] | None, index: TextIndex | None, **filters) -> list[tuple]:
+    """(id, place) of the text candidates, ``CANDIDATES`` at most. The texts are read once: numbers and filter columns are kept for the statistics and the ranks."""
+    if len(query) < 3:
+        found = like(filtered(memories, **filters), query, like_columns or columns, CANDIDATES).select("id")
+        return [(r["id"], k) for k, r in enumerate(found.collect(), 1)]
+    counted, lengths, n = _counted(memories, query, columns, index)
+    slim = counted.select("id", "is_pinned", "state", "memory_type", "repo", "cwd_scope", "last_turn_at", *[c for c in counted.columns if c in ("_dl", "_match") or c.startswith("_f")]).persist()
+    try:
+        found = filtered(_scored(slim, lengths, n), **filters).orderBy(F.col("is_pinned").desc(), "bm25", "id").limit(CANDIDATES)
+        return [(r["id"], k) for k, r in enumerate(found.select("id").collect(), 1)]
+    finally:
+        slim.unpersist()
 
 
 def full_text(memories: DataFrame, query: str, columns: list[str], limit: int = 20, like_columns: list[str] | None = None, index: TextIndex | None = None, **filters) -> DataFrame:
@@ -311,10 +334,8 @@ def hybrid(
     The type restricts the full-text side only, unless ``strict_type``. The text
     candidates, 50 ids at most, are found once.
     """
-    found = full_text(memories, query, columns, CANDIDATES, like_columns, index, kind=kind, repo=repo, days=days, as_of=as_of)
-    order = [F.col("is_pinned").desc(), F.col("bm25") if "bm25" in found.columns else F.col("last_turn_at").desc(), F.col("id")]
-    listed = ranked(found, order).select("id", F.col("fts_rank").cast("int").alias("fts_rank"))
-    text = memories.sparkSession.createDataFrame(listed.collect(), listed.schema)  # CANDIDATES rows at most
+    best = _best(memories, query, columns, like_columns, index, kind=kind, repo=repo, days=days, as_of=as_of)
+    text = memories.sparkSession.createDataFrame(best, f"id {memories.schema['id'].dataType.simpleString()}, fts_rank int")
     near = recent(memories, RECENT, repo=repo, days=days, as_of=as_of).select("id")
     meaning = semantic(vectors, query_vector, text.select("id").unionByName(near)) if query_vector is not None else text.where("false").select("id", F.col("fts_rank").alias("sem_rank"))
     top = fused(text, meaning, limit)
