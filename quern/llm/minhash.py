@@ -14,9 +14,9 @@
 4. Components of the confirmed links, over the whole table; smallest id is kept.
 
 A bucket or family of more than ``MEET`` members is cut into blocks. Members meet in
-their block, and then the smallest of each union of each block meet. Only groups that
-are not one union by then send their members to every pair of blocks, where those of
-one union are not compared, so every pair is compared or united and tasks stay bounded.
+their block, and then the smallest of each union of each block meet. Only in groups that
+are not one union by then do the members outside the largest union meet all others, in
+pairs of blocks. So every pair is compared or united, and tasks stay bounded.
 
 32 bands of 4 values find a pair of similarity 0.8 with probability 1 - 5e-8.
 
@@ -142,34 +142,56 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return stored(picked.mapInArrow(run, f"id {kind}, n_shingles bigint, key binary, bands binary, sig binary, text_key bigint"), "sketches")
 
 
-def _dealt(rows: DataFrame, key: str, pairs: bool) -> DataFrame:
-    """Rows (key, node, union, _n members in the group, ...) dealt to blocks of their group, or to all pairs of blocks that they are in."""
-    blocks = F.when(F.col("_n") > MEET, F.ceil(F.col("_n") / (MEET // 2 if pairs else MEET))).otherwise(1).cast("int")
-    dealt = rows.withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
-    other = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)) if pairs else F.col("_b"))
-    met = other.withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j")).drop("_j", "_nb", "_b", "_n")
-    return met.repartition(key, "_lo", "_hi").sortWithinPartitions(key, "_lo", "_hi", "node")
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, node, union, _n members in the group, ...) dealt to blocks of their group, which meet each on its own."""
+    blocks = F.when(F.col("_n") > MEET, F.ceil(F.col("_n") / MEET)).otherwise(1).cast("int")
+    dealt = rows.withColumn("_lo", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_hi", F.col("_lo"))
+    return _sorted(dealt.drop("_n"), key)
+
+
+def _paired(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to pairs of blocks of their group, one of which holds members outside the group's largest union.
+
+    The members of the largest union need not meet each other; the others, which are
+    blocks 0 to k - 1, meet all.
+    """
+    sizes = rows.groupBy(key, "union").agg(F.count(F.lit(1)).alias("_m"))
+    main = sizes.groupBy(key).agg(F.max(F.struct("_m", "union")).alias("_main"), F.sum("_m").alias("_all")).select(key, F.col("_main.union").alias("_main"), F.col("_main._m").alias("_most"), "_all")
+    blocks = lambda n: F.ceil(n / (MEET // 2)).cast("int")
+    joined = rows.drop("_n").join(main, key)
+    few, most = blocks(F.col("_all") - F.col("_most")), blocks(F.col("_most"))
+    other = F.col("union") != F.col("_main")
+    h = F.xxhash64("node")
+    at = joined.withColumn("_b", F.when(other, F.pmod(h, few)).otherwise(few + F.pmod(h, most)).cast("int"))
+    met = at.withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(other, few + most).otherwise(few) - 1)))
+    return _sorted(met.withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j")).drop("_b", "_j", "_main", "_most", "_all"), key)
+
+
+def _sorted(dealt: DataFrame, key: str) -> DataFrame:
+    return dealt.repartition(key, "_lo", "_hi").sortWithinPartitions(key, "_lo", "_hi", "node")
 
 
 def _united(rows: DataFrame, key: str, large: bool, meet) -> DataFrame:
     """Stars (u, v) of the members (node, key, _n, ...) that ``meet`` links in their groups; ``large``: some group has more than ``MEET``."""
     kind = rows.schema[key].dataType.simpleString()
     alone = rows.withColumn("union", F.col("node"))
-    met = lambda some, pairs: _dealt(some, key, pairs).mapInArrow(meet, f"{key} {kind}, u bigint, v bigint")
+    met = lambda dealt: dealt.mapInArrow(meet, f"{key} {kind}, u bigint, v bigint")
     if not large:
-        return met(alone, False).select("u", "v").distinct()
+        return met(_dealt(alone, key)).select("u", "v").distinct()
     alone = stored(alone, "members")
-    first = stored(met(alone, False), "stars")
+    first = stored(met(_dealt(alone, key)), "stars")
     # of a member's block: the smallest of its union
     known = alone.where(F.col("_n") > MEET).join(first.select(key, F.col("u").alias("node"), F.col("v").alias("_v")), [key, "node"], "left").withColumn("union", F.coalesce("_v", "node")).drop("_v")
     known = stored(known, "united")
     least = known.where("node = union").drop("_n")
     sizes = least.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    second = stored(met(least.join(sizes, key).select(*alone.columns), False), "stars")
+    second = stored(met(_dealt(least.join(sizes, key).select(*alone.columns), key)), "stars")
     again = known.join(second.select(key, F.col("u").alias("union"), F.col("v").alias("_v")), [key, "union"], "left").withColumn("union", F.coalesce("_v", "union")).drop("_v")
-    apart = again.groupBy(key).agg(F.min("union").alias("_u"), F.max("union").alias("_w")).where("_u <> _w").select(key)
-    third = met(again.join(apart, key, "left_semi").select(*alone.columns), True)
-    return first.unionByName(second).unionByName(third).select("u", "v").distinct()
+    apart = stored(again.groupBy(key).agg(F.min("union").alias("_u"), F.max("union").alias("_w")).where("_u <> _w").select(key), "apart")
+    stars = first.unionByName(second)
+    if apart.take(1):
+        stars = stars.unionByName(met(_paired(again.join(apart, key, "left_semi").select(*alone.columns), key)))
+    return stars.select("u", "v").distinct()
 
 
 def _runs(batches, *keys: str):

@@ -278,6 +278,22 @@ def test_near_duplicates_large_family(spark, meet):
         assert got[i].component_id == component
 
 
+def test_near_duplicates_around_the_threshold(spark, monkeypatch):
+    """Two bases with copies of many degrees: unions, stragglers and links between blocks, against all pairs."""
+    monkeypatch.setattr(minhash, "MEET", 6)
+    r = random.Random(8)
+    texts = []
+    for base in (prose(120, 301), prose(140, 302)):
+        for k in range(35):
+            w = base.split()
+            for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+                w[r.randrange(len(w))] = f"z{r.randrange(4)}"
+            texts.append(" ".join(w))
+    got = {x.id: (x.n_shingles, x.component_id) for x in minhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    want = brute.near(list(enumerate(texts)))
+    assert got == want and 3 < len({c for _, c in want.values()}) < 60
+
+
 def test_superminhash_estimates():
     r = np.random.default_rng(3)
     errors = []
