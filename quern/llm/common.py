@@ -22,7 +22,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Everything below U+0080 that is neither a digit nor a letter.
 NON_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Bytes of text that one numpy block holds.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes of a row group of a stored table: writers and readers hold one at a time.
 ROW_GROUP = 16 << 20
 
@@ -42,17 +42,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_cache: dict[tuple[int, int], np.ndarray] = {}
+_cache: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers of ``base`` modulo 2**64."""
-    size = 1 << max(10, (n - 1).bit_length())
-    if size > BLOCK * 2:
+    if n > BLOCK * 2:
         return _powers(base, n)
-    if (base, size) not in _cache:
-        _cache[base, size] = _powers(base, size)
-    return _cache[base, size][:n]
+    known = _cache.get(base)
+    if known is None or len(known) < n:
+        known = _cache[base] = _powers(base, 1 << max(10, (n - 1).bit_length()))
+    return known[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -174,6 +174,7 @@ def pieces(batches, column: str, most: int = 4 * BLOCK):
                 begin, total = i, 0
             total += size
         yield batch.slice(begin, n - begin), texts[begin:n]
+    give_back()
 
 
 def work_folder(spark: SparkSession) -> str:

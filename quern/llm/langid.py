@@ -155,5 +155,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 give_back()
             langs, scores = m.predict(batch.column("__langid_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__langid_text")).mapInArrow(run, schema)

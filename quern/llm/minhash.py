@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import arrow_batches, distinct, mix, pieces, stored, windows, words
+from quern.llm.common import arrow_batches, distinct, give_back, mix, pieces, stored, windows, words
 from quern.llm.components import UnionFind, components
 
 VALUES, ROWS = 128, 4
@@ -209,6 +209,7 @@ def _runs(batches, *keys: str):
             held = held.slice(cut)
     if held is not None and held.num_rows:
         yield held, _labels(held, keys)
+    give_back()
 
 
 def _labels(t: pa.Table, keys) -> np.ndarray:

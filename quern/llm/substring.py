@@ -192,6 +192,7 @@ def _located(batches, window: int):
             give_back()
     if held is not None and held.num_rows:
         yield _step(held, window)
+    give_back()
 
 
 def _step(t: pa.Table, window: int) -> pa.RecordBatch:
