@@ -39,7 +39,7 @@ SEQUENCE = 4096
 #: Pieces that one room holds on average, at most.
 ROOM = 1 << 16
 #: Distinct words whose token ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 _PIECES = [("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint")]
 
