@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one range on average, ranges at most, and values looked at for one bound.
-RANGE, RANGES, LOOKS = 1 << 16, 256, 32
+from quern.sources.store import scratch
+
+#: Rows of one range on average, and ranges at most.
+RANGE, RANGES = 1 << 16, 4096
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], start: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str | Column], start: int = 0) -> DataFrame:
     """Rows with ``key``: their place in the order, from ``start`` + 1.
 
-    The order is cut into ranges by values of its first column, found in a sample by
-    hash; each range is numbered on its own from the number of rows before it. Numbers
-    don't depend on the ranges. Rows are read more than once, so they have to be fixed.
+    The whole order cuts the rows into ranges (Spark's range exchange), so a first
+    column with one value for all rows does no harm. Each range is sorted and written
+    with its rows' places; the number of rows in the ranges before it is added. Numbers
+    don't depend on the ranges. Rows are read twice, so they have to be fixed.
     """
-    ends = _ends(rows, order[0])
-    first = F.col(order[0])
-    passed: Column = reduce(Column.__add__, [F.coalesce(F.lit(e) < first, F.lit(False)).cast("int") for e in ends], F.lit(0))
-    dealt = rows.withColumn("_range", passed)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    spark = rows.sparkSession
+    parts = max(1, min(RANGES, -(-rows.count() // RANGE)))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    placed = dealt.withColumns({"_range": F.spark_partition_id(), "_place": place})
+    path = scratch(spark, "numbered")
+    placed.write.parquet(path)
+    fixed = spark.read.schema(placed.schema).parquet(path)
+    sizes = fixed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    out = dealt.withColumn("_r", place).join(F.broadcast(before), "_range")
-    return out.withColumn(key, (F.col("_r") + F.col("_before") + start).cast("long")).drop("_range", "_r", "_before")
-
-
-def _ends(rows: DataFrame, column: str) -> list:
-    """Ends of ranges, by rising values: a bounded number, whatever the table."""
-    n = rows.count()
-    ranges = min(RANGES, -(-n // RANGE))
-    if ranges < 2:
-        return []
-    some = rows.where(F.col(column).isNotNull()).where(F.pmod(F.xxhash64(column), F.lit(max(1, n // (RANGES * LOOKS)))) == 0).select(column).distinct().limit(4 * RANGES * LOOKS)
-    seen = sorted(r[0] for r in some.collect())
-    return sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
+    out = fixed.join(F.broadcast(before), "_range")
+    return out.withColumn(key, (F.col("_place") + F.col("_before") + start + 1).cast("long")).drop("_range", "_place", "_before")
