@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontam, html_text, langid, lm, minhash, oracle, packing, quality, sharding, substring
+from quern.llm import chat, decontam, html_text, importance, langid, lm, minhash, mixing, oracle, packing, quality, sharding, snapshot_diff, substring
 from quern.llm.common import work_folder
 
 
@@ -82,8 +82,34 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """The documents as the next snapshot has them: rows dropped, changed, moved to another key and copied, by the id's crc32 modulo 16."""
+    r = F.coalesce(_fold(16), F.lit(-1))
+    moved = -1 - F.col("doc_id")
+    keys = F.when(r.isin(3, 4), F.array(moved)).when(r == 5, F.array(F.col("doc_id"), moved)).otherwise(F.array("doc_id"))
+    text = F.when(r == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text"))
+    lang = F.when(r == 2, F.col("source")).otherwise(F.col("lang"))
+    source = F.when(r == 2, F.col("lang")).when(r != 4, F.col("source"))
+    return docs.where(r != 0).select(F.explode(keys).alias("doc_id"), text.alias("text"), lang.alias("lang"), source.alias("source"))
+
+
+def op11_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return snapshot_diff.compare(docs, later_snapshot(docs), "doc_id", ["text", "lang", "source"], "text")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_quality_rules, op4_backoff_lm, op5_minhash, op6_substring_dedup, op7_packing, op8_virtual_slots, op9_decontaminate, op10_html_text)}
+    numbered = (op1_chat_format, op2_language_id, op3_quality_rules, op4_backoff_lm, op5_minhash, op6_substring_dedup, op7_packing, op8_virtual_slots, op9_decontaminate, op10_html_text)
+    return {f.__name__: f for f in (*numbered, op11_snapshot_diff, op12_importance, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
