@@ -40,11 +40,12 @@ def words(text: Column) -> Column:
 
 def runs(found: Column, size: int) -> Column:
     """All runs of 1 to ``size`` consecutive words, joined by one space."""
-    out = [found]
-    for k in range(2, size + 1):
+
+    def of(k: int) -> Column:
         starts = F.when(F.size(found) >= k, F.sequence(F.lit(1), F.size(found) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(found, i, k), " ")))
-    return F.concat(*out) if len(out) > 1 else found
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, k), " "))
+
+    return F.concat(found, *map(of, range(2, size + 1))) if size > 1 else found
 
 
 def bucket(run: Column) -> Column:
