@@ -71,7 +71,7 @@ def list_topics(store: Store, scope: str | None = None, limit: int = 20) -> Data
 def pin_memory(store: Store, memory_id: int, pin: bool = True) -> None:
     from quern.operators.memory import pinned
 
-    store.write("memories", pinned(store.read("memories"), memory_id, pin))
+    store.change("memories", pinned(store.get("memories", memory_id), memory_id, pin))
 
 
 def build_context(store: Store, scope: str, as_of, repo: str | None = None, cwd: str | None = None, options: context.ContextOptions | None = None, language: str = "en") -> str:

@@ -33,9 +33,8 @@ def _truthy(v: Column) -> Column:
     return F.coalesce(~empty, F.lit(False))
 
 
-def extracted(events: DataFrame) -> DataFrame:
-    """Tool events with the files, command and error that their payload shows."""
-    tools = events.where((F.col("hook") == TOOL) & F.col("turn_no").isNotNull()).withColumn("_v", F.try_parse_json("payload_json"))
+def payload_facts() -> dict[str, Column]:
+    """The files, command and error that a tool event's payload (payload_json, and _v, its variant) shows."""
     names = ["$.tool_input.path", "$.tool_input.file_path", "$.tool_input.filePath"]
     first = F.coalesce(*[F.when(_truthy(_variant(n)), _variant(n)) for n in names])
     path = F.when(_is(first, "STRING"), first.cast("string"))
@@ -48,10 +47,14 @@ def extracted(events: DataFrame) -> DataFrame:
     error = F.when(
         _is(reply, "STRING"), F.when(said.contains("Error") | said.contains("error") | said.contains("FAIL"), F.substring(said, 1, 200))
     ).when(F.schema_of_variant(reply).startswith("OBJECT") | F.schema_of_variant(reply).startswith("ARRAY"), F.when(raw.contains("error") | raw.contains("Error"), F.substring(raw, 1, 200)))
-    return tools.select(
-        "session_id", "turn_no", "ts", "event_id", "tool_name", F.array_compact(F.concat(F.array(path), paths)).alias("files"),
-        F.when(_is(command, "STRING") & F.col("tool_name").isin(*SHELLS) & (command.cast("string") != ""), F.substring(command.cast("string"), 1, 200)).alias("command"), error.alias("error"),
-    )
+    shell = F.when(_is(command, "STRING") & F.col("tool_name").isin(*SHELLS) & (command.cast("string") != ""), F.substring(command.cast("string"), 1, 200))
+    return {"files": F.array_compact(F.concat(F.array(path), paths)), "command": shell, "error": error}
+
+
+def extracted(events: DataFrame) -> DataFrame:
+    """Tool events with the facts of their payloads."""
+    tools = events.where((F.col("hook") == TOOL) & F.col("turn_no").isNotNull()).withColumn("_v", F.try_parse_json("payload_json"))
+    return tools.select("session_id", "turn_no", "ts", "event_id", "tool_name", *[c.alias(k) for k, c in payload_facts().items()])
 
 
 def _entries(found: DataFrame) -> DataFrame:

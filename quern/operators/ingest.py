@@ -93,3 +93,10 @@ def sessions(events: DataFrame, facts: list[str] | None = None) -> DataFrame:
     """One row for each session: first and last seen, last turn; each fact keeps its last non-null value."""
     kept = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(c) for c in facts or []]
     return events.where("session_id is not null").groupBy("session_id").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"), F.sum((F.col("hook") == PROMPT).cast("long")).alias("last_turn_seq"), *kept)
+
+
+def sessions_folded(rows: DataFrame) -> DataFrame:
+    """Session rows of several batches as one for each session: bounds, last turn, and each fact's last non-null value."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_seen_at"))).alias(c)
+    facts = [c for c in ("cwd", "repo", "branch", "agent_name", "state") if c in rows.columns]
+    return rows.groupBy("session_id").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("last_turn_seq").alias("last_turn_seq"), *map(last, facts))

@@ -122,14 +122,18 @@ class Runner:
     def register(self, job_type: str, handler: Callable[[DataFrame], DataFrame]) -> None:
         self.handlers[job_type] = handler
 
-    def step(self, jobs: DataFrame, as_of) -> DataFrame:
-        busy = jobs.where("state = 'leased'").count()
-        now = leased(jobs, as_of, max(0, self.concurrency - busy), self.owner)
-        mine = now.where((F.col("state") == "leased") & (F.col("lease_owner") == self.owner))
+    def handled(self, mine: DataFrame) -> DataFrame:
+        """The outcomes (id, ok, error) of leased jobs, from the handlers of their types; a type without one has no ``ok``."""
         done = None
         for kind, handler in self.handlers.items():
             part = handler(mine.where(F.col("job_type") == kind)).select("id", "ok", "error")
             done = part if done is None else done.unionByName(part)
         other = mine.where(~F.col("job_type").isin(*self.handlers)) if self.handlers else mine
         unknown = other.select("id", F.lit(None).cast("boolean").alias("ok"), F.lit("no handler registered").alias("error"))
-        return finished(now, unknown if done is None else done.unionByName(unknown), as_of)
+        return unknown if done is None else done.unionByName(unknown)
+
+    def step(self, jobs: DataFrame, as_of) -> DataFrame:
+        busy = jobs.where("state = 'leased'").count()
+        now = leased(jobs, as_of, max(0, self.concurrency - busy), self.owner)
+        mine = now.where((F.col("state") == "leased") & (F.col("lease_owner") == self.owner))
+        return finished(now, self.handled(mine), as_of)

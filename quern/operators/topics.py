@@ -69,7 +69,8 @@ def upserted(topics: DataFrame, links: DataFrame, linked: DataFrame | None = Non
 def crossings(links: DataFrame) -> DataFrame:
     """Links (topic, memory_id, linked_at) that bring their topic to a summary threshold."""
     order = Window.partitionBy("topic").orderBy("linked_at", "memory_id")
-    return links.withColumn("memory_count", F.row_number().over(order)).where(F.col("memory_count").isin(*THRESHOLDS))
+    first = links.withColumn("memory_count", F.row_number().over(order)).where(F.col("memory_count") <= max(THRESHOLDS))  # a limit that Spark applies before the exchange
+    return first.where(F.col("memory_count").isin(*THRESHOLDS))
 
 
 def merge_candidates(memories: DataFrame) -> DataFrame:

@@ -98,6 +98,16 @@ UNION ALL SELECT event_id, NULL, hook, NULL, NULL, CASE WHEN blank THEN 'ignored
 
 
 
+_WRITTEN = f"""{_STREAM.split("SELECT event_id, session_id, hook, CASE WHEN disposition")[0].rstrip()},
+      a AS (SELECT session_id, tn AS seq, min(CASE WHEN p THEN event_id END) AS pid, min(ts) AS started_at, max(CASE WHEN hook = 'stop' THEN ts END) AS stopped_at, max(ts) AS last_event_at,
+        CAST(sum(CASE WHEN hook = 'postToolUse' THEN 1 ELSE 0 END) AS BIGINT) AS tool_event_count, count(*) AS n_events FROM s WHERE disposition = 'accepted' GROUP BY 1, 2),
+      b AS (SELECT *, row_number() OVER (ORDER BY started_at >= TIMESTAMP '2024-01-15', started_at, session_id, seq) AS turn_id, stopped_at IS NOT NULL OR seq < max(seq) OVER (PARTITION BY session_id) AS done FROM a)
+      SELECT turn_id, session_id, CAST(seq AS BIGINT) AS seq, CASE WHEN done THEN 'closed' ELSE 'open' END AS state, 'ask [REDACTED] ' || pid AS prompt_text, started_at, stopped_at, last_event_at, tool_event_count, n_events, CASE WHEN done THEN 'turn:' || turn_id END AS job FROM b"""
+_CLOSED = f"""{ATTR}, r AS (SELECT session_id, turn_no, min(event_id) FILTER (hook = 'userPromptSubmit') AS pid, min(ts) AS started_at, max(ts) AS ended_at, bool_or(hook = 'stop') AS stopped FROM t WHERE turn_no IS NOT NULL GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (ORDER BY started_at, session_id, turn_no) AS turn_id, stopped OR turn_no < max(turn_no) OVER (PARTITION BY session_id) AS done FROM r),
+  m AS (SELECT turn_id, row_number() OVER (ORDER BY started_at, turn_id) AS id, started_at, ended_at, 'mend part ' || pid % 7 || ' now [REDACTED]' AS prompt, 'mend part ' || pid % 7 || ' now' AS candidate, '/w/' || CAST(session_id AS INT) % 10 AS cwd FROM n WHERE done)"""
+
+
 def _context(_BYTES: int) -> str:
     return f"""WITH RECURSIVE {MEM}, {TOPICS},
 pins AS (SELECT id, '- **#M' || id || '** ' || title AS line, row_number() OVER (ORDER BY last_turn_at DESC, id) AS n FROM v_mem WHERE state = 'active' AND is_pinned ORDER BY n LIMIT 10),
@@ -133,6 +143,7 @@ SQL = {
     "redact_text": "SELECT doc_id, 'a [REDACTED] b [REDACTED] <private>open ' || lang AS redacted FROM documents",
     "redact_json": """SELECT event_id, '{"<private>k</private>":"a[REDACTED]b","n":[' || event_id || ',"[REDACTED]"],"p":' || replace(props, ': ', ':') || '}' AS redacted FROM events""",
     "payload_bytes": "SELECT doc_id, strlen(text) AS n_bytes FROM documents",
+    "stream_artifacts": f"{_TOOLS}, cl AS (SELECT session_id, turn_no FROM (SELECT session_id, turn_no, bool_or(hook = 'stop') AS ended FROM t WHERE turn_no IS NOT NULL GROUP BY 1, 2) QUALIFY ended OR turn_no < max(turn_no) OVER (PARTITION BY session_id)) SELECT session_id, turn_no, coalesce(a1.v, '') AS tool_names, coalesce(a2.v, '') AS files_touched, coalesce(a3.v, '') AS commands, coalesce(a4.v, '') AS error_signals, event_count, total_payload_bytes {_ARTS} JOIN cl USING (session_id, turn_no)",
     "turn_artifacts": f"{_TOOLS} SELECT session_id, turn_no, coalesce(a1.v, '') AS tool_names, coalesce(a2.v, '') AS files_touched, coalesce(a3.v, '') AS commands, coalesce(a4.v, '') AS error_signals, CAST(0 AS BIGINT) AS n_facts, event_count, total_payload_bytes {_ARTS}",
     "turn_prompts": f"""{_TOOLS} SELECT session_id, turn_no, 'Prompt: ' || session_id || chr(10) || 'Tools: ' || coalesce(a1.p, 'none') || chr(10) || 'Files: ' || coalesce(a2.p, 'none') || chr(10)
       || 'Commands: ' || coalesce(a3.p, 'none') || chr(10) || 'Errors: ' || coalesce(a4.p, 'none') AS prompt {_ARTS}""",
@@ -200,11 +211,17 @@ SQL = {
     "memory_ids": f"{TURNS} SELECT session_id, turn_no, started_at, 1000 + row_number() OVER (ORDER BY started_at, session_id, turn_no) AS id FROM turns",
     "context_text": _context(4000),
     "context_small": _context(1400),
-    "write_path": f"""{_STREAM.split("SELECT event_id, session_id, hook, CASE WHEN disposition")[0].rstrip()},
-      a AS (SELECT session_id, tn AS seq, min(CASE WHEN p THEN event_id END) AS pid, min(ts) AS started_at, max(CASE WHEN hook = 'stop' THEN ts END) AS stopped_at, max(ts) AS last_event_at,
-        CAST(sum(CASE WHEN hook = 'postToolUse' THEN 1 ELSE 0 END) AS BIGINT) AS tool_event_count, count(*) AS n_events FROM s WHERE disposition = 'accepted' GROUP BY 1, 2),
-      b AS (SELECT *, row_number() OVER (ORDER BY started_at >= TIMESTAMP '2024-01-15', started_at, session_id, seq) AS turn_id, stopped_at IS NOT NULL OR seq < max(seq) OVER (PARTITION BY session_id) AS done FROM a)
-      SELECT turn_id, session_id, CAST(seq AS BIGINT) AS seq, CASE WHEN done THEN 'closed' ELSE 'open' END AS state, 'ask [REDACTED] ' || pid AS prompt_text, started_at, stopped_at, last_event_at, tool_event_count, n_events, CASE WHEN done THEN 'turn:' || turn_id END AS job FROM b""",
+    "write_path": _WRITTEN,
+    "write_path_replayed": _WRITTEN,
+    "intake_stream": _WRITTEN,
+    "memories_resumed": f"{_CLOSED} SELECT id, turn_id, 1 AS ordinal, prompt AS title, candidate AS topic_candidate, cwd AS cwd_scope, started_at AS first_turn_at, ended_at AS last_turn_at, 384 AS dimensions, 'topic:mem:' || id AS job FROM m",
+    "stages_run": f"""{_CLOSED}, g AS (SELECT *, 'cwd:' || cwd AS scope_key, row_number() OVER (PARTITION BY cwd, candidate ORDER BY started_at, id) AS k, row_number() OVER (PARTITION BY cwd, candidate ORDER BY ended_at DESC, id) AS latest, count(*) OVER (PARTITION BY cwd, candidate) AS n FROM m),
+      tp AS (SELECT scope_key, candidate, cwd, n, row_number() OVER (ORDER BY scope_key, candidate) AS topic_id FROM (SELECT DISTINCT scope_key, candidate, cwd, n FROM g)),
+      c AS (SELECT cwd, candidate, count(*) AS n_links, min(started_at) AS first_turn_at, max(ended_at) AS last_turn_at, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS ids FROM g WHERE n >= 3 AND k <= 6 GROUP BY 1, 2),
+      w AS (SELECT topic_id, (SELECT count(*) FROM m) + row_number() OVER (ORDER BY topic_id) AS merged_id, c.* FROM c JOIN tp USING (cwd, candidate))
+      SELECT topic_id, scope_key, tp.candidate AS canonical_label, tp.n AS memory_count, 'so far' AS summary, 'left' AS unresolved_summary, 'active' AS status, merged_id, n_links, n_links AS source_turn_count, first_turn_at, last_turn_at, w.cwd AS cwd_scope,
+        tp.n - coalesce(n_links, 0) + CASE WHEN n_links IS NULL THEN 0 ELSE 1 END AS n_active, CASE WHEN tp.n >= 3 THEN CAST(tp.n >= 3 AS INT) + CAST(tp.n >= 5 AS INT) + CAST(tp.n >= 10 AS INT) + CAST(tp.n >= 20 AS INT) END AS n_crossed, 'merge:topic:' || topic_id || ':' || ids AS merge_job
+      FROM tp LEFT JOIN w USING (topic_id)""",
     "store_append": f"WITH {MEM}, w AS (SELECT id, title, is_pinned OR id = 4 AS is_pinned FROM v_mem WHERE id % 3 < 2) SELECT * FROM w UNION ALL SELECT id, 'found', is_pinned FROM w WHERE id = 7",
     "runner_step": f"""WITH {JOBS}, j AS (SELECT *, 'old' AS last_error FROM v_jobs WHERE state <> 'leased'), l AS (SELECT id FROM j WHERE state = 'pending' ORDER BY priority, available_at, id LIMIT 40)
       SELECT id, CASE WHEN id NOT IN (SELECT id FROM l) THEN state WHEN job_type = 'type_0' THEN 'succeeded' WHEN job_type = 'type_1' AND attempts + 1 < 5 THEN 'pending' ELSE 'dead' END AS state,

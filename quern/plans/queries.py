@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import api
 from quern.functions import text as X
 from quern.operators import artifacts, context, ingest, jobs, lookup, memory, numbering, search, topics, trace
-from quern.plans import writepath
+from quern.plans import synthesis, writepath
 from quern.sources import fixtures, provider
 from quern.sources.store import Store, scratch
-from quern.streaming import attribution
+from quern.streaming import attribution, digests, intake
 
 COLUMNS = ["title", "summary"]
 #: The moment that queue queries take as now.
@@ -174,17 +174,124 @@ def memory_ids(spark, d):
     return numbering.numbered(t, "id", ["started_at", "session_id", "turn_no"], 1000)
 
 
+@query
+def stream_artifacts(spark, d):
+    """The digests that the state machine sends on as turns close, over the table as one batch."""
+    t = digests.digest_stream(_tool_events(spark, d))
+    return t.select("session_id", F.col("turn_no").cast("long").alias("turn_no"), *[F.array_join(c, "|").alias(c) for c in artifacts.LIMITS], "event_count", "total_payload_bytes")
+
+
+def _early() -> Column:
+    return F.get_json_object("value", "$.ts") < "2024-01-15"
+
+
+def _taken(s: Store) -> DataFrame:
+    """The turns of a store, with their events counted and their jobs."""
+    queued = s.read("jobs").select(F.col("entity_id").cast("bigint").alias("turn_id"), F.col("dedupe_key").alias("job"))
+    t = s.read("turns").drop("n_events").join(queued, "turn_id", "left").join(s.read("turn_events").groupBy("turn_id").agg(F.max("event_seq").alias("n_events")), "turn_id")
+    return t.select("turn_id", "session_id", "seq", "state", "prompt_text", "started_at", "stopped_at", "last_event_at", "tool_event_count", "n_events", "job")
+
+
 @query
 def write_path(spark, d):
     """Raw records taken into a store in two batches: its turns, and the jobs of those that closed."""
     s = Store(spark, scratch(spark, "write-path"))
     raw = _raw(spark, d)
-    early = F.get_json_object("value", "$.ts") < "2024-01-15"
-    for part in (raw.where(early), raw.where(~early)):
+    for part in (raw.where(_early()), raw.where(~_early())):
         writepath.take_in(s, part, NOW, ["click"])
-    queued = s.read("jobs").select(F.col("entity_id").cast("bigint").alias("turn_id"), F.col("dedupe_key").alias("job"))
-    t = s.read("turns").join(queued, "turn_id", "left").join(s.read("turn_events").groupBy("turn_id").agg(F.max("event_seq").alias("n_events")), "turn_id")
-    return t.select("turn_id", "session_id", "seq", "state", "prompt_text", "started_at", "stopped_at", "last_event_at", "tool_event_count", "n_events", "job")
+    return _taken(s)
+
+
+class _Interrupted(Store):
+    """A store whose next commit fails after its rows are written."""
+
+    fails = True
+
+    def _claim(self, number, content):
+        if self.fails:
+            self.fails = False
+            raise OSError("interrupted")
+        return super()._claim(number, content)
+
+
+@query
+def write_path_replayed(spark, d):
+    """The same where each batch fails once, is run again, is run once more under its number, and then comes again in another batch."""
+    s = _Interrupted(spark, scratch(spark, "write-path"))
+    raw = _raw(spark, d)
+    for k, part in enumerate((raw.where(_early()), raw.where(~_early()))):
+        s.fails = True
+        try:
+            writepath.take_in(s, part, NOW, ["click"], ("records", k))
+        except OSError:
+            writepath.take_in(s, part, NOW, ["click"], ("records", k))
+        writepath.take_in(s, part, NOW, ["click"], ("records", k))
+    writepath.take_in(s, raw.where(_early()), NOW, ["click"])
+    return _taken(s)
+
+
+@query
+def intake_stream(spark, d):
+    """Records dropped as JSON files and taken by a streaming query that is stopped and started again on its checkpoint."""
+    base = scratch(spark, "intake")
+    s = Store(spark, f"{base}/store")
+    raw = _raw(spark, d)
+    for part in (raw.where(_early()), raw.where(~_early())):
+        part.write.mode("append").text(f"{base}/in")
+        intake.start(s, intake.records(spark, f"{base}/in"), f"{base}/check", lambda: NOW, skip=["click"]).awaitTermination()
+    return _taken(s)
+
+
+def _worked(spark, d) -> DataFrame:
+    """Raw records of sessions that work on few subjects in few folders."""
+    e = fixtures.events(spark, d)
+    fields = F.struct(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "session_id", F.col("hook").alias("hook_event_name"), "tool_name",
+        F.when(F.col("hook") == "userPromptSubmit", F.concat(F.lit("mend part "), (F.col("event_id") % 7).cast("string"), F.lit(" now <private>k</private>"))).alias("prompt"), F.concat(F.lit("/w/"), (F.col("session_id").cast("int") % 10).cast("string")).alias("cwd"),
+    )
+    return e.select(F.to_json(fields).alias("value"))
+
+
+def _memories(spark, d) -> Store:
+    s = _Interrupted(spark, scratch(spark, "memories"))
+    s.fails = False
+    writepath.take_in(s, _worked(spark, d), NOW)
+    return s
+
+
+@query
+def memories_resumed(spark, d):
+    """Memories of all closed turns, where the stage fails before its last step and is run again, twice."""
+    s = _memories(spark, d)
+    for fails in (True, False, False):
+        s.fails = fails
+        try:
+            synthesis.summarise_turns(s, provider.Extractive(), as_of=NOW)
+        except OSError:
+            pass
+    m = s.read("memories").join(s.read("memory_turn_links"), F.col("id") == F.col("memory_id")).join(s.read("memory_embeddings").select("id", "dimensions"), "id")
+    job = s.read("jobs").where("job_type = 'normalize_topic'").select(F.col("entity_id").cast("bigint").alias("id"), F.col("dedupe_key").alias("job"))
+    return m.join(job, "id").select("id", "turn_id", "ordinal", "title", "topic_candidate", "cwd_scope", "first_turn_at", "last_turn_at", F.col("dimensions").cast("long").alias("dimensions"), "job")
+
+
+@query
+def stages_run(spark, d):
+    """Each stage after the other over all memories: topics, their merged memories and summaries."""
+    s = _memories(spark, d)
+    synthesis.summarise_turns(s, provider.Extractive(), embed=False)
+    crossed = synthesis.normalise_topics(s, provider.Extractive(), F.expr(f"TIMESTAMP_NTZ'{NOW}'"), follow=True)
+    synthesis.merge_clusters(s, provider.Scripted([], '{"title":"All","summary":"whole"}'))
+    synthesis.summarise_topics(s, provider.Scripted([], '{"summary":"so far","unresolved_summary":"left"}'))
+    m = s.read("memories")
+    links = s.read("memory_turn_links").groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_links"))
+    whole = m.where("memory_kind = 'merged'").join(links, F.col("id") == F.col("memory_id")).select("topic_id", F.col("id").alias("merged_id"), "n_links", "source_turn_count", "first_turn_at", "last_turn_at", "cwd_scope")
+    live = m.where("state = 'active'").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_active"))
+    past = crossed.groupBy(F.col("topic").alias("topic_id")).agg(F.count(F.lit(1)).alias("n_crossed"))
+    queued = s.read("jobs").where("job_type = 'merge_cluster_to_memory'").select(F.col("entity_id").cast("bigint").alias("topic_id"), F.col("dedupe_key").alias("merge_job"))
+    t = s.read("topics").select("topic_id", "scope_key", "canonical_label", "memory_count", "summary", "unresolved_summary", "status")
+    for x in (whole, live, past, queued):
+        t = t.join(x, "topic_id", "left")
+    return t
 
 
 @query

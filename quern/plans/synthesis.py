@@ -1,70 +1,111 @@
 """From closed turns to memories, topics and merges, as batch stages over the store.
 
-Each stage reads tables, computes with DataFrames, and writes new snapshots; the
-provider is asked over Arrow batches, and for topics only where no known label or
-alias matches. A stage that runs twice changes nothing the second time: turns that
-have a memory, memories that have a topic, and merged clusters are left out.
-New ids follow the largest old one, in a fixed order.
+Each stage reads tables, computes with DataFrames, and changes all its tables, the jobs
+that follow included, in one commit: a failure anywhere leaves the store as it was, and
+a stage that runs twice changes nothing the second time (turns that have a memory,
+memories that have a topic, and merged clusters are left out). Only parts that hold
+changed rows are written again. The provider is asked over Arrow batches, for topics
+only where no known label or alias matches; its replies are kept by the prompt's hash,
+so that what was answered isn't asked again after a failure. New ids follow the
+largest old one, in a fixed order.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import embedding_text, match_form, scope_key
+from quern.functions.text import embedding_text, match_form, parsed_reply, scope_key
 from quern.operators import jobs, memory, topics
 from quern.operators.numbering import numbered as in_order
 from quern.sources import provider as P
-from quern.sources.store import Store
+from quern.sources.store import OPEN, Store
 
 TOPIC_REPLY = "action string, canonical_label string, aliases array<string>"
 SUMMARY_REPLY = "summary string, unresolved_summary string"
 
 
-def numbered(rows: DataFrame, table: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Fixed rows with new ids after those of a table, in the order given."""
-    return in_order(rows, key, order, table.agg(F.max(key)).first()[0] or 0)
+def new_jobs(store: Store, rows: DataFrame) -> tuple[DataFrame, int]:
+    """The jobs whose key is new, fixed, with ids in order of their keys after those of the queue; and the last id."""
+    known = store.read("jobs")
+    new = _kept(store, "new-jobs", jobs.enqueued(known, rows.withColumn("id", F.lit(0).cast("long"))).drop("id"))
+    last = store.last("jobs")
+    return in_order(new, "id", ["job_type", "dedupe_key", "entity_id"], last), last + new.count()
 
 
 def enqueue(store: Store, rows: DataFrame) -> None:
-    """Appends the jobs whose key is new, with ids in order of their keys."""
-    known = store.read("jobs")
-    new = _kept(store, "new-jobs", jobs.enqueued(known, rows.withColumn("id", F.lit(0).cast("long"))).drop("id"))
-    store.append("jobs", numbered(new, known, "id", ["job_type", "dedupe_key", "entity_id"]))
+    """Adds the jobs whose key is new."""
+    queue, last = new_jobs(store, rows)
+    store.commit(opened={"jobs": queue}, last={"jobs": last})
+
+
+def _kept(store: Store, name: str, rows: DataFrame) -> DataFrame:
+    """Rows written beside the tables, so that they stay the same wherever they are read."""
+    path = f"{store.base}/_{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return store.spark.read.schema(rows.schema).parquet(path)
+
 
+def asked(store: Store, rows: DataFrame, provider: P.Provider, system: str, schema: str = P.REPLY) -> DataFrame:
+    """Fixed rows with ``reply`` in place of ``_prompt``: prompts whose answer the store has aren't asked again; equal ones are asked once.
 
-def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only: DataFrame | None = None, language: str = "en") -> DataFrame:
-    """A memory, a link and a vector for every closed turn (of some turn_ids) without a memory; returns the new memories' ids."""
-    turns, links, memories = store.read("turns"), store.read("memory_turn_links"), store.read("memories")
+    New answers are committed before anything else happens with them. A call that fails
+    has a null reply now and is asked again next time.
+    """
+    keyed = rows.withColumn("_key", F.sha2(F.concat(F.lit(system), F.lit("\n"), F.coalesce("_prompt", F.lit(""))).cast("binary"), 256))
+    keyed = _kept(store, "prompts", keyed)
+    mine = keyed.groupBy("_key").agg(F.min("_prompt").alias("_prompt"))
+    known = store.read("replies").join(mine.select(F.col("_key").alias("key")), "key", "left_semi")
+    said = P.said(mine.join(known.select(F.col("key").alias("_key")), "_key", "left_anti"), F.col("_prompt"), provider, system)
+    new = _kept(store, "replies-new", said.select(F.col("_key").alias("key"), "said"))
+    answered = new.where("said is not null")
+    if answered.take(1):
+        store.commit(add={"replies": answered})
+    every = known.select("key", "said").unionByName(new).select(F.col("key").alias("_key"), "said")
+    return keyed.join(every, "_key", "left").withColumn("reply", parsed_reply(F.col("said"), schema)).drop("_key", "_prompt", "said")
+
+
+def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only: DataFrame | None = None, language: str = "en", as_of=None) -> DataFrame:
+    """A memory, a link and a vector for every closed turn (of some turn_ids) without a memory; returns the new memories' ids.
+
+    With ``as_of``, a job to find each memory's topic is part of the commit.
+    """
+    turns, links = store.read("turns"), store.read("memory_turn_links")
     todo = memory.claimable(turns if only is None else turns.join(only.select("turn_id").distinct(), "turn_id", "left_semi"), links).join(store.read("turn_artifacts"), "turn_id", "left")
     none = F.array().cast("array<string>")
     prompt = P.turn_prompt(F.col("prompt_text"), *[F.coalesce(c, none) for c in ("tool_names", "files_touched", "commands", "error_signals")])
-    asked = P.replies(todo.select("turn_id", "repo", "cwd", "started_at", F.coalesce("stopped_at", "last_event_at").alias("ended_at"), prompt.alias("_prompt")), F.col("_prompt"), provider, P.SYSTEM[language]).drop("_prompt")
-    asked = _kept(store, "summaries-of-turns", asked)  # provider replies are fixed once
-    made = memory.from_replies(asked).withColumn("memory_kind", F.lit("turn")).withColumn("state", F.lit("active")).withColumn("is_pinned", F.lit(False)).withColumn("source_turn_count", F.lit(1).cast("long"))
-    made = numbered(made.withColumnsRenamed({"cwd": "cwd_scope", "started_at": "first_turn_at", "ended_at": "last_turn_at"}), memories, "id", ["first_turn_at", "turn_id"])
-    new = _kept(store, "new-memories", made)
-    store.append("memories", new.drop("turn_id"))
-    store.append("memory_turn_links", new.select(F.col("id").alias("memory_id"), "turn_id", F.lit(1).cast("long").alias("ordinal"), F.lit("source").alias("role")))
+    replied = asked(store, todo.select("turn_id", "repo", "cwd", "started_at", F.coalesce("stopped_at", "last_event_at").alias("ended_at"), prompt.alias("_prompt")), provider, P.SYSTEM[language])
+    made = memory.from_replies(replied).withColumn("memory_kind", F.lit("turn")).withColumn("state", F.lit("active")).withColumn("is_pinned", F.lit(False)).withColumn("source_turn_count", F.lit(1).cast("long"))
+    made = _kept(store, "made", made.withColumnsRenamed({"cwd": "cwd_scope", "started_at": "first_turn_at", "ended_at": "last_turn_at"}))
+    top = store.last("memories")
+    new = in_order(made, "id", ["first_turn_at", "turn_id"], top)
+    add = {"memories": new.drop("turn_id"), "memory_turn_links": new.select(F.col("id").alias("memory_id"), "turn_id", F.lit(1).cast("long").alias("ordinal"), F.lit("source").alias("role"))}
     if embed:
         text = embedding_text(F.col("title"), F.col("summary"), F.col("learned"), F.col("concepts"))
         vectors = P.embedded(new.select("id", text.alias("_text")).where("trim(_text) <> ''"), F.col("_text"))
-        store.append("memory_embeddings", vectors.select("id", F.lit("hashed-trigrams").alias("model"), F.lit(384).alias("dimensions"), "embedding"))
+        add["memory_embeddings"] = vectors.select("id", F.lit("hashed-trigrams").alias("model"), F.lit(384).alias("dimensions"), "embedding")
+    _commit(store, add, {"memories": top + made.count()}, jobs.memory_jobs(new.select("id"), as_of) if as_of is not None else None)
     return new.select("id")
 
 
-def _kept(store: Store, name: str, rows: DataFrame) -> DataFrame:
-    """Rows written beside the tables, so that a provider is asked once."""
-    import uuid
+def _commit(store: Store, add: dict[str, DataFrame], last: dict[str, int], then: DataFrame | None, drop: dict[str, list[str]] | None = None) -> None:
+    """One commit of a stage's rows and the jobs that follow."""
+    opened = {}
+    if then is not None:
+        queue, last_job = new_jobs(store, then)
+        opened, last = {"jobs": queue}, last | {"jobs": last_job}
+    store.commit(add=add, opened=opened, drop=drop, last=last)
 
-    path = f"{store.base}/_{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return store.spark.read.schema(rows.schema).parquet(path)
 
+def normalise_topics(store: Store, provider: P.Provider, as_of, only: DataFrame | None = None, language: str = "en", follow: bool = False) -> DataFrame:
+    """A topic for every active memory (of some ids) without one; returns the links that reach a summary threshold.
 
-def normalise_topics(store: Store, provider: P.Provider, as_of, only: DataFrame | None = None, language: str = "en") -> DataFrame:
-    """A topic for every active memory (of some ids) without one; returns the links that reach a summary threshold."""
+    With ``follow``, the jobs of these thresholds and of clusters to merge are part of the commit.
+    """
     memories, known = store.read("memories"), store.read("topics")
     todo = memories.where("state = 'active' and topic_id is null and memory_kind = 'turn'").select(
         F.col("id").alias("memory_id"), scope_key(F.col("repo"), F.col("cwd_scope")).alias("scope_key"), "repo", "title", F.col("topic_candidate").alias("candidate")
@@ -78,28 +119,39 @@ def normalise_topics(store: Store, provider: P.Provider, as_of, only: DataFrame
     ask = misses.join(listed, "scope_key", "left")
     say = P.PROMPTS[language]
     prompt = F.concat(F.lit(say["candidate"]), "candidate", F.lit(say["topics"]), F.coalesce(P.topic_choices(F.col("_known")), F.lit("(none)")))
-    replies = P.replies(ask.select("memory_id", "scope_key", "candidate", prompt.alias("_prompt")), F.col("_prompt"), provider, say["normalise"], TOPIC_REPLY)
-    replies = _kept(store, "replies", replies.drop("_prompt"))
+    replies = asked(store, ask.select("memory_id", "scope_key", "candidate", prompt.alias("_prompt")), provider, say["normalise"], TOPIC_REPLY)
     # a candidate spelt in several ways within one batch is one new topic
     first = Window.partitionBy("scope_key", match_form(F.col("candidate"))).orderBy("memory_id")
     fresh = replies.withColumn("_first", F.first("candidate").over(first))
     none = F.array().cast("array<string>")
     named = fresh.select("memory_id", "scope_key", F.coalesce("reply.canonical_label", "_first").alias("canonical_label"), F.coalesce("reply.aliases", F.when(F.col("candidate") != F.col("_first"), F.array("candidate")), none).alias("aliases"))
-    links = hits.where("topic_id is not null").select("memory_id", "scope_key", "canonical_label", F.col("new_aliases").alias("aliases")).unionByName(named).withColumn("linked_at", F.lit(as_of))
+    links = hits.where("topic_id is not null").select("memory_id", "scope_key", "canonical_label", F.col("new_aliases").alias("aliases")).unionByName(named).withColumn("linked_at", F.lit(as_of).cast("timestamp_ntz"))
     links = _kept(store, "topic-links", links)
-    merged = topics.upserted(known.select("scope_key", "canonical_label", "memory_count", "aliases", "status", "last_active_at"), links)
-    keep = known.select("scope_key", "canonical_label", "topic_id", "repo", "summary", "unresolved_summary")
+    place = ["scope_key", "canonical_label"]
+    met = known.join(links.select(*place).distinct(), place, "left_semi")
+    merged = topics.upserted(met.select(*place, "memory_count", "aliases", "status", "last_active_at"), links)
+    keep = met.select(*place, "topic_id", "repo", "summary", "unresolved_summary")
     # a new topic lies in the repository of the first memory that names it
-    place = links.join(todo.select("memory_id", F.col("repo").alias("_repo")), "memory_id").groupBy("scope_key", "canonical_label").agg(F.min_by("_repo", "memory_id").alias("_repo"))
-    joined = merged.join(keep, ["scope_key", "canonical_label"], "left").join(place, ["scope_key", "canonical_label"], "left").withColumn("repo", F.when(F.col("topic_id").isNull(), F.col("_repo")).otherwise(F.col("repo"))).drop("_repo")
+    where = links.join(todo.select("memory_id", F.col("repo").alias("_repo")), "memory_id").groupBy(*place).agg(F.min_by("_repo", "memory_id").alias("_repo"))
+    joined = merged.join(keep, place, "left").join(where, place, "left").withColumn("repo", F.when(F.col("topic_id").isNull(), F.col("_repo")).otherwise(F.col("repo"))).drop("_repo")
     joined = _kept(store, "topics-linked", joined)
-    new = numbered(joined.where("topic_id is null").drop("topic_id"), known, "topic_id", ["scope_key", "canonical_label"])
-    store.write("topics", joined.where("topic_id is not null").unionByName(new))
-    ids = store.read("topics").select("scope_key", "canonical_label", F.col("topic_id").alias("_topic"))
-    linked = links.join(ids, ["scope_key", "canonical_label"]).select(F.col("memory_id").alias("id"), "_topic")
-    store.write("memories", memories.join(linked, "id", "left").withColumn("topic_id", F.coalesce("topic_id", "_topic")).drop("_topic"))
-    now = store.read("memories").where("topic_id is not null and memory_kind = 'turn'").select(F.col("topic_id").alias("topic"), F.col("id").alias("memory_id"), F.col("first_turn_at").alias("linked_at"))
-    return topics.crossings(now).join(linked.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    top, nameless = store.last("topics"), joined.where("topic_id is null").drop("topic_id")
+    changed = _kept(store, "topics-after", joined.where("topic_id is not null").unionByName(in_order(nameless, "topic_id", place, top)))
+    linked = links.join(changed.select(*place, F.col("topic_id").alias("_topic")), place).select(F.col("memory_id").alias("id"), "_topic")
+    settled = _kept(store, "memories-after", memories.join(linked, "id").withColumn("topic_id", F.coalesce("topic_id", "_topic")).drop("_topic"))
+    # the memories of the topics that changed, as they will be
+    others = memories.where("memory_kind = 'turn' and topic_id is not null").join(changed.select("topic_id"), "topic_id", "left_semi").join(settled.select("id"), "id", "left_anti")
+    rows = others.unionByName(settled, allowMissingColumns=True).where("memory_kind = 'turn'").withColumn("topic", F.col("topic_id"))
+    crossed = topics.crossings(rows.select("topic", F.col("id").alias("memory_id"), F.col("first_turn_at").alias("linked_at"))).join(settled.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    crossed = _kept(store, "crossed", crossed)
+    then = None
+    if follow:
+        clusters = topics.merged(topics.merge_candidates(rows))
+        then = jobs.threshold_jobs(crossed, as_of).unionByName(jobs.cluster_jobs(clusters, as_of))
+    old_topics, topics_after = store.patched("topics", changed)
+    old_memories, memories_after = store.patched("memories", settled)
+    _commit(store, {"topics": topics_after, "memories": memories_after}, {"topics": top + nameless.count(), "memories": store.last("memories")}, then, {"topics": old_topics, "memories": old_memories})
+    return crossed
 
 
 def summarise_topics(store: Store, provider: P.Provider, only: DataFrame | None = None, language: str = "en") -> None:
@@ -112,39 +164,44 @@ def summarise_topics(store: Store, provider: P.Provider, only: DataFrame | None
         ask = ask.join(only.select("topic_id").distinct(), "topic_id", "left_semi")
     say = P.PROMPTS[language]
     prompt = F.concat(F.lit(say["topic"]), "canonical_label", F.lit("\n"), P.numbered(F.col("_items"), say))
-    said = P.replies(ask.select("topic_id", prompt.alias("_prompt")), F.col("_prompt"), provider, say["summarise"], SUMMARY_REPLY)
-    store.write("topics", topics.summary_patch(known, _kept(store, "summaries", said.select("topic_id", "reply.summary", "reply.unresolved_summary"))))
+    said = asked(store, ask.select("topic_id", prompt.alias("_prompt")), provider, say["summarise"], SUMMARY_REPLY)
+    said = said.select("topic_id", "reply.summary", "reply.unresolved_summary")
+    store.change("topics", _kept(store, "summaries", topics.summary_patch(known.join(said.select("topic_id"), "topic_id", "left_semi"), said)))
+
 
+def merge_clusters(store: Store, provider: P.Provider, only: DataFrame | None = None, language: str = "en", as_of=None) -> DataFrame:
+    """One merged memory for the oldest turn memories of each topic (of some topic_ids) that has three; returns (topic_id, merged_id) of those to summarise.
 
-def merge_clusters(store: Store, provider: P.Provider, only: DataFrame | None = None, language: str = "en") -> DataFrame:
-    """One merged memory for the oldest turn memories of each topic (of some topic_ids) that has three; returns (topic_id, merged_id) of those to summarise."""
+    With ``as_of``, the jobs of these summaries are part of the commit.
+    """
     memories, links, turns = store.read("memories"), store.read("memory_turn_links"), store.read("turns")
     labels = store.read("topics").select(F.col("topic_id").alias("topic"), "canonical_label")
     turn_memories = memories.where("memory_kind = 'turn' and topic_id is not null").withColumn("topic", F.col("topic_id"))
     if only is not None:
         turn_memories = turn_memories.join(only.select("topic_id").distinct(), "topic_id", "left_semi")
-    chosen = topics.merge_candidates(turn_memories)
+    chosen = _kept(store, "chosen", topics.merge_candidates(turn_memories))
     items = chosen.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct(F.col("last_turn_at"), "id", "title", "summary", "learned", "next_steps"))).alias("_items"))
     ask = topics.merged(chosen).join(items, "topic").join(labels, "topic")
     say = P.PROMPTS[language]
     prompt = F.concat(F.lit(say["topic"]), "canonical_label", F.lit("\n"), P.numbered(F.reverse("_items"), say))
-    asked = P.replies(ask.select("topic", "canonical_label", "repo", "cwd_scope", "first_turn_at", "last_turn_at", "source_turn_count", prompt.alias("_prompt")), F.col("_prompt"), provider, say["merge"]).drop("_prompt")
-    asked = _kept(store, "merge-replies", asked)
-    made = memory.from_replies(asked, title="Merged memory", scores=(0.7, 0.8, 0.0)).withColumn("topic_candidate", F.col("canonical_label"))
-    made = numbered(made.withColumnRenamed("topic", "topic_id"), memories, "id", ["topic_id"]).withColumns({"memory_kind": F.lit("merged"), "state": F.lit("active"), "is_pinned": F.lit(False)})
-    new = _kept(store, "merged", made.drop("canonical_label"))
+    replied = asked(store, ask.select("topic", "canonical_label", "repo", "cwd_scope", "first_turn_at", "last_turn_at", "source_turn_count", prompt.alias("_prompt")), provider, say["merge"])
+    made = memory.from_replies(replied, title="Merged memory", scores=(0.7, 0.8, 0.0)).withColumn("topic_candidate", F.col("canonical_label"))
+    made = _kept(store, "merge-made", made.withColumnRenamed("topic", "topic_id").drop("canonical_label"))
+    top = store.last("memories")
+    new = in_order(made, "id", ["topic_id"], top).withColumns({"memory_kind": F.lit("merged"), "state": F.lit("active"), "is_pinned": F.lit(False)})
     sources = chosen.select("topic", F.col("id").alias("memory_id")).join(new.select(F.col("topic_id").alias("topic"), F.col("id").alias("merged_id")), "topic")
     taken = sources.join(links.select("memory_id", "turn_id"), "memory_id").select("merged_id", "turn_id").distinct().join(turns.select("turn_id", "started_at"), "turn_id")
     ordered = topics.merge_ordinals(taken.withColumnRenamed("turn_id", "id"), "merged_id")
-    fresh_links = _kept(store, "merged-links", ordered.select(F.col("merged_id").alias("memory_id"), F.col("id").alias("turn_id"), F.col("ordinal").cast("long").alias("ordinal"), F.lit("source").alias("role")))
-    gone = _kept(store, "superseded", sources.select(F.col("memory_id").alias("id")))
-    store.write("memories", memory.superseded(memories, gone).unionByName(new, allowMissingColumns=True))
-    store.append("memory_turn_links", fresh_links)
-    return new.select("topic_id", F.col("id").alias("merged_id"))
+    fresh_links = ordered.select(F.col("merged_id").alias("memory_id"), F.col("id").alias("turn_id"), F.col("ordinal").cast("long").alias("ordinal"), F.lit("source").alias("role"))
+    gone = _kept(store, "superseded", memories.join(sources.select(F.col("memory_id").alias("id")).distinct(), "id", "left_semi").withColumn("state", F.lit("superseded")))
+    names, whole = store.patched("memories", gone)
+    out = new.select("topic_id", F.col("id").alias("merged_id"))
+    _commit(store, {"memories": whole.unionByName(new, allowMissingColumns=True), "memory_turn_links": fresh_links}, {"memories": top + made.count()}, jobs.merged_jobs(out, as_of) if as_of is not None else None, {"memories": names})
+    return out
 
 
 def register(runner: jobs.Runner, store: Store, provider: P.Provider, as_of, language: str = "en") -> None:
-    """The four handlers: each runs its stage for the entities of the leased jobs and enqueues what follows."""
+    """The four handlers: each runs its stage for the entities of the leased jobs; what follows is enqueued in the stage's commit."""
 
     def handled(stage):
         def handler(mine: DataFrame) -> DataFrame:
@@ -159,30 +216,54 @@ def register(runner: jobs.Runner, store: Store, provider: P.Provider, as_of, lan
 
         return handler
 
-    def turn(ids: DataFrame) -> None:
-        enqueue(store, jobs.memory_jobs(summarise_turns(store, provider, only=ids.select(F.col("entity").alias("turn_id")), language=language), as_of))
+    now = as_of if callable(as_of) else lambda: as_of
+    of = lambda ids, name: ids.select(F.col("entity").alias(name))
+    stages = {
+        "summarize_turn": lambda ids: summarise_turns(store, provider, only=of(ids, "turn_id"), language=language, as_of=now()),
+        "normalize_topic": lambda ids: normalise_topics(store, provider, now(), of(ids, "id"), language, follow=True),
+        "summarize_topic": lambda ids: summarise_topics(store, provider, of(ids, "topic_id"), language),
+        "merge_cluster_to_memory": lambda ids: merge_clusters(store, provider, of(ids, "topic_id"), language, now()),
+    }
+    for kind, stage in stages.items():
+        runner.register(kind, handled(stage))
 
-    def topic(ids: DataFrame) -> None:
-        crossed = normalise_topics(store, provider, as_of, ids.select(F.col("entity").alias("id")), language)
-        enqueue(store, jobs.threshold_jobs(crossed, as_of))
-        rows = store.read("memories").where("memory_kind = 'turn' and topic_id is not null").withColumn("topic", F.col("topic_id"))
-        touched = rows.join(ids.select(F.col("entity").alias("id")), "id", "left_semi").select("topic").distinct()
-        enqueue(store, jobs.cluster_jobs(topics.merged(topics.merge_candidates(rows.join(touched, "topic", "left_semi"))), as_of))
 
-    def summary(ids: DataFrame) -> None:
-        summarise_topics(store, provider, ids.select(F.col("entity").alias("topic_id")), language)
+def _moved(store: Store, rows: DataFrame) -> None:
+    """Jobs (fixed) in their new states; those that are settled leave the open parts."""
+    names, whole = store.patched("jobs", rows, OPEN)
+    settled = F.col("state").isin("succeeded", "dead")
+    store.commit(add={"jobs": whole.where(settled)}, opened={"jobs": whole.where(~settled)}, drop={"jobs": names}, last={"jobs": store.last("jobs")})
 
-    def merge(ids: DataFrame) -> None:
-        enqueue(store, jobs.merged_jobs(merge_clusters(store, provider, ids.select(F.col("entity").alias("topic_id")), language), as_of))
 
-    for kind, stage in (("summarize_turn", turn), ("normalize_topic", topic), ("summarize_topic", summary), ("merge_cluster_to_memory", merge)):
-        runner.register(kind, handled(stage))
+def reclaim(store: Store) -> int:
+    """What a runner does first: leases that another one left are pending again; returns their number."""
+    left = _kept(store, "left", store.read("jobs", "open").where("state = 'leased'"))
+    if n := left.count():
+        _moved(store, _kept(store, "reclaimed", jobs.reclaimed(left)))
+    return n
 
 
 def run_jobs(store: Store, runner: jobs.Runner, as_of) -> int:
-    """One step of the runner over the stored queue; returns the number of jobs that were leased."""
-    before = store.read("jobs")
-    after = _kept(store, "jobs-after", runner.step(before, as_of))
-    added = store.read("jobs").join(before.select("id"), "id", "left_anti")  # by the handlers
-    store.write("jobs", after.unionByName(added))
-    return after.alias("a").join(before.alias("b"), "id").where("a.state <> b.state").count()
+    """One step of the runner over the stored queue: due jobs are leased in one commit, handled, and settled in another; returns their number."""
+    queue = store.read("jobs", "open")
+    busy = queue.where("state = 'leased'").count()
+    due = jobs.due(queue, as_of, max(0, runner.concurrency - busy))
+    mine = _kept(store, "leased", due.withColumns({"state": F.lit("leased"), "leased_at": F.lit(as_of).cast("timestamp_ntz"), "lease_owner": F.lit(runner.owner)}))
+    if not (n := mine.count()):
+        return 0
+    _moved(store, mine)
+    outcomes = _kept(store, "outcomes", runner.handled(mine))
+    _moved(store, _kept(store, "settled", jobs.finished(mine, outcomes, as_of)))
+    return n
+
+
+def serve(store: Store, runner: jobs.Runner, clock: Callable[[], object], stopped: Callable[[], bool], poll: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """The runner's loop: reclaims, then takes steps until ``stopped`` says so, and waits ``poll`` seconds where nothing is due; returns the number of jobs handled."""
+    reclaim(store)
+    total = 0
+    while not stopped():
+        n = run_jobs(store, runner, clock())
+        total += n
+        if not n:
+            sleep(poll)
+    return total

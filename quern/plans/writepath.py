@@ -2,7 +2,7 @@
 
 One call takes one batch of records, a micro-batch of a stream or a folder of files.
 Turns that the store has open go on: each is put before the batch as a prompt of its
-session, so the running aggregates see it. Every table is written once a batch.
+session, so the running aggregates see it. A batch is one commit over all tables.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import artifacts, ingest, jobs
-from quern.plans.synthesis import _kept, enqueue, numbered
-from quern.sources.store import Store
+from quern.operators.numbering import numbered as in_order
+from quern.plans.synthesis import _kept, new_jobs
+from quern.sources.store import OPEN, Store
 from quern.streaming.attribution import accept
 
 _BEFORE = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
@@ -45,42 +46,71 @@ def rolled(turned: DataFrame) -> DataFrame:
     return out.join(latest, "session_id").withColumn("state", F.when(F.col("stopped_at").isNotNull() | (F.col("seq") < F.col("_latest")), "closed").otherwise("open"))
 
 
-def take_in(store: Store, raw: DataFrame, as_of, skip: list[str] | None = None) -> DataFrame:
-    """Takes raw hook records (JSON text in ``value``) into the store; returns every event's disposition."""
-    turns = store.read("turns")
-    turned = _kept(store, "events", continued(accept(raw), turns, skip))
+def _fresh(store: Store, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events whose id the store doesn't have, each id once, and the ids that it has. A null id is never known."""
+    ends = events.agg(F.min("event_id"), F.max("event_id")).first()
+    here = F.col("event_id").between(F.lit(ends[0]), F.lit(ends[1]))  # ids rise with time: older files are passed over by their statistics
+    taken = [store.read(t).where(here).select("event_id") for t in ("turn_events", "quarantine")]
+    known = taken[0].unionByName(taken[1]).distinct()
+    every = F.struct(*events.columns)
+    once = events.where("event_id is not null").groupBy("event_id").agg(F.min_by(every, F.struct("ts", "payload_json")).alias("_e")).select("_e.*")
+    new = once.join(known, "event_id", "left_anti").select(*events.columns).unionByName(events.where("event_id is null"))
+    return new, once.select("event_id", "session_id", "hook").join(known, "event_id", "left_semi")
+
+
+def take_in(store: Store, raw: DataFrame, as_of, skip: list[str] | None = None, step: tuple[str, int] | None = None) -> DataFrame:
+    """Takes raw hook records (JSON text in ``value``) into the store; returns every event's disposition.
+
+    All tables change in one commit, so a batch is taken whole or not at all. A batch that
+    is taken again (``step``: stream and number), or records that come again in another
+    one, change nothing: the latter are ``duplicate``. The work follows the batch, the
+    turns that are open and the sessions that it names; closed turns aren't read or written.
+    """
+    if step and store.done(step[0]) >= step[1]:
+        none = store.rows_of("turn_events", [])
+        return none.select("event_id", F.lit("").alias("session_id"), "hook", F.lit(0).cast("long").alias("seq"), F.lit("").alias("disposition"))
+    events, again = _fresh(store, _kept(store, "records", accept(raw)))
+    events = _kept(store, "fresh", events)
+    mine = events.where("session_id is not null").select("session_id").distinct()
+    before = _kept(store, "open-before", store.read("turns", "open").join(mine, "session_id", "left_semi"))
+    reached = store.read("session_refs").join(mine, "session_id", "left_semi").where("last_turn_seq is not null")
+    so_far = before.select("session_id", "seq", "state").unionByName(reached.select("session_id", F.col("last_turn_seq").alias("seq"), F.lit("closed").alias("state")))
+    turned = _kept(store, "events", continued(events, so_far, skip))
     touched = _kept(store, "touched", rolled(turned))
     # turns of before that the batch goes on with or a new prompt closes
     newest = touched.groupBy("session_id").agg(F.max("seq").alias("_latest"))
-    more = touched.select("session_id", "seq", *[F.col(c).alias(f"_{c}") for c in ("last_event_at", "stopped_at", "tool_event_count")])
+    more = touched.select("session_id", "seq", *[F.col(c).alias(f"_{c}") for c in ("last_event_at", "stopped_at", "tool_event_count", "n_events")])
     ends = F.col("_stopped_at").isNotNull() | (F.col("seq") < F.col("_latest"))
-    old = turns.join(more, ["session_id", "seq"], "left").join(newest, "session_id", "left")
-    closing = (F.col("state") == "open") & F.coalesce(ends, F.lit(False))
+    old = before.join(more, ["session_id", "seq"], "left").join(newest, "session_id", "left")
     was = old.withColumns({
-        "state": F.when(closing, "closed").otherwise(F.col("state")), "stopped_at": F.coalesce("_stopped_at", "stopped_at"), "last_event_at": F.coalesce("_last_event_at", "last_event_at"),
-        "tool_event_count": F.coalesce("tool_event_count", F.lit(0)) + F.coalesce("_tool_event_count", F.lit(0)), "_closed": closing,
+        "state": F.when(F.coalesce(ends, F.lit(False)), "closed").otherwise(F.col("state")), "stopped_at": F.coalesce("_stopped_at", "stopped_at"), "last_event_at": F.coalesce("_last_event_at", "last_event_at"),
+        "tool_event_count": F.coalesce("tool_event_count", F.lit(0)) + F.coalesce("_tool_event_count", F.lit(0)), "_had": F.coalesce("n_events", F.lit(0)), "n_events": F.coalesce("n_events", F.lit(0)) + F.coalesce("_n_events", F.lit(0)),
     })
-    fresh = touched.join(turns.select("session_id", "seq"), ["session_id", "seq"], "left_anti").withColumn("summarization_state", F.lit("pending"))
-    new = numbered(fresh, turns, "turn_id", ["started_at", "session_id", "seq"])
-    whole = _kept(store, "turns-after", was.unionByName(new.withColumn("_closed", F.col("state") == "closed"), allowMissingColumns=True))
-    closed = whole.where("_closed").select("turn_id")
-    names = whole.select("session_id", "seq", "turn_id")
-    mine = turned.where("seq is not null").join(names, ["session_id", "seq"])
-    counted = store.read("turn_events").groupBy("turn_id").agg(F.max("event_seq").alias("_had"))
-    in_turn = ingest.event_sequence(mine.withColumn("turn_no", F.col("turn_id"))).join(counted, "turn_id", "left")
+    fresh = _kept(store, "new-turns", touched.join(before.select("session_id", "seq"), ["session_id", "seq"], "left_anti").withColumn("summarization_state", F.lit("pending")))
+    top = store.last("turns")
+    new = in_order(fresh, "turn_id", ["started_at", "session_id", "seq"], top)
+    whole = _kept(store, "turns-after", was.unionByName(new.withColumn("_had", F.lit(0).cast("long")), allowMissingColumns=True))
+    closed = whole.where("state = 'closed'").select("turn_id")
+    names = whole.select("session_id", "seq", "turn_id", "_had")
+    attached = turned.where("seq is not null").join(names, ["session_id", "seq"])
+    in_turn = ingest.event_sequence(attached.withColumn("turn_no", F.col("turn_id")))
     size = F.octet_length("payload_json").cast("long")
-    rows = in_turn.select("event_id", "turn_id", (F.col("event_seq") + F.coalesce("_had", F.lit(0))).alias("event_seq"), "hook", "tool_name", "payload_json", size.alias("payload_size"), F.lit("redacted").alias("redaction_state"), "ts")
-    store.append("turn_events", rows)
-    digests = artifacts.artifacts(store.read("turn_events").join(closed, "turn_id", "left_semi").select(F.col("turn_id").cast("string").alias("session_id"), F.col("turn_id").alias("turn_no"), "ts", "event_id", "hook", "tool_name", "payload_json"))
-    store.append("turn_artifacts", digests.withColumnRenamed("turn_no", "turn_id"))
+    rows = in_turn.select("event_id", "turn_id", (F.col("event_seq") + F.col("_had")).alias("event_seq"), "hook", "tool_name", "payload_json", size.alias("payload_size"), F.lit("redacted").alias("redaction_state"), "ts")
+    rows = _kept(store, "rows", rows)
+    first = before.agg(F.min("turn_id")).first()[0]  # no event of an open turn lies in files whose turns are all older
+    earlier = store.read("turn_events").where(F.col("turn_id") >= F.lit(first)) if first is not None else store.rows_of("turn_events", [])
+    ended = earlier.unionByName(rows, allowMissingColumns=True).join(closed, "turn_id", "left_semi")
+    digests = artifacts.artifacts(ended.select(F.col("turn_id").cast("string").alias("session_id"), F.col("turn_id").alias("turn_no"), "ts", "event_id", "hook", "tool_name", "payload_json"))
     seen = turned.where("session_id is not null and disposition <> 'ignored_empty'")
     met = seen.groupBy("session_id").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"), F.max("seq").alias("last_turn_seq"), F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.struct("ts", "event_id"))).alias("cwd"))
-    both = store.read("session_refs").unionByName(met, allowMissingColumns=True)
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_seen_at"))).alias(c)
-    store.write("session_refs", both.groupBy("session_id").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("last_turn_seq").alias("last_turn_seq"), *[last(c) for c in ("cwd", "repo", "branch", "agent_name", "state")]))
     aside = turned.where(F.col("disposition").isin(*ASIDE))
-    store.append("quarantine", aside)
-    store.append("error_log", aside.select(F.col("ts").alias("at"), F.concat(F.lit("ingest/"), "hook").alias("context"), F.concat_ws(" ", "disposition", F.concat(F.lit("tool="), "tool_name"), F.lit("- event set aside")).alias("message")))
-    store.write("turns", whole)
-    enqueue(store, jobs.turn_jobs(closed, as_of))
-    return turned.select("event_id", "session_id", "hook", "seq", "disposition")
+    errors = aside.select(F.col("ts").alias("at"), F.concat(F.lit("ingest/"), "hook").alias("context"), F.concat_ws(" ", "disposition", F.concat(F.lit("tool="), "tool_name"), F.lit("- event set aside")).alias("message"))
+    names_open, stay = store.patched("turns", whole.select("turn_id", *[c for c in before.columns if c != "turn_id"]), OPEN)
+    queue, last_job = new_jobs(store, jobs.turn_jobs(closed, as_of))
+    done = store.commit(
+        add={"turn_events": rows, "turns": stay.where("state = 'closed'"), "turn_artifacts": digests.withColumnRenamed("turn_no", "turn_id"), "session_refs": met, "quarantine": aside, "error_log": errors},
+        opened={"turns": stay.where("state <> 'closed'"), "jobs": queue}, drop={"turns": names_open}, last={"turns": top + fresh.count(), "jobs": last_job}, step=step,
+    )
+    if not done:  # another run of the same step was first
+        return turned.limit(0).select("event_id", "session_id", "hook", "seq", "disposition")
+    return turned.select("event_id", "session_id", "hook", "seq", "disposition").unionByName(again.select("event_id", "session_id", "hook", F.lit(None).cast("long").alias("seq"), F.lit("duplicate").alias("disposition")))

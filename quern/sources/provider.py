@@ -9,17 +9,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import re
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quern.functions.text import parsed_reply
 from quern.operators.memory import REPLY
 
+#: Calls under way at once in a task, and how long one may take.
+IN_FLIGHT, SECONDS = 6, 60.0
+
 SYSTEM = {"en": "Summarise one turn of a coding session as a JSON object.", "zh": "将一轮编码会话总结为 JSON 对象。"}
 
 #: What the other calls say, by language.
@@ -87,39 +93,96 @@ def topic_choices(topics: Column) -> Column:
     return F.when(text != "", text).otherwise("(none)")
 
 
-def replies(rows: DataFrame, prompt: Column, provider: Provider, system: str = SYSTEM["en"], schema: str = REPLY) -> DataFrame:
-    """Rows with ``reply``, the provider's parsed answer; a reply that is no JSON, or a failing call, gives null fields."""
+def said(rows: DataFrame, prompt: Column, provider: Provider, system: str = SYSTEM["en"], in_flight: int = IN_FLIGHT, seconds: float = SECONDS) -> DataFrame:
+    """Rows with ``said``, the provider's answer; null where the call failed, or had none ``seconds`` after its turn came.
+
+    A task has ``in_flight`` calls under way at once over the rows of a batch, and answers keep the order of the rows.
+    """
 
-    @F.arrow_udf("string")
-    def ask(prompts: pa.Array) -> pa.Array:
-        def one(p):
-            try:
-                return provider.compress(system, p)
-            except Exception:  # a provider may fail in any way; the row then has no reply
-                return ""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = ThreadPoolExecutor(in_flight)
+        try:
+            for batch in batches:
+                calls = [pool.submit(provider.compress, system, p) for p in batch.column("_asked").to_pylist()]
+                out = []
+                for call in calls:
+                    try:
+                        out.append(call.result(seconds))
+                    except Exception:  # a provider may fail in any way; the row then has no answer
+                        call.cancel()
+                        out.append(None)
+                columns = {n: batch.column(n) for n in batch.schema.names if n != "_asked"}
+                yield pa.RecordBatch.from_pydict(columns | {"said": pa.array(out, pa.string())})
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
-        return pa.array([one(p) for p in prompts.to_pylist()], pa.string())
+    return rows.withColumn("_asked", prompt).mapInArrow(ask, StructType([*rows.schema.fields, StructField("said", StringType())]))
 
-    # the condition always holds; it keeps the prompt, which may hold lambdas, out of the call's own projection
-    asked = rows.withColumn("_asked", F.when(F.monotonically_increasing_id() >= 0, prompt))
-    said = asked.withColumn("_said", ask.asNondeterministic()(F.col("_asked")))  # asked once, wherever the reply is read
-    return said.withColumn("reply", parsed_reply(F.col("_said"), schema)).drop("_asked", "_said")
+
+def replies(rows: DataFrame, prompt: Column, provider: Provider, system: str = SYSTEM["en"], schema: str = REPLY) -> DataFrame:
+    """Rows with ``reply``, the provider's parsed answer; a reply that is no JSON, or a failing call, gives null fields."""
+    return said(rows, prompt, provider, system).withColumn("reply", parsed_reply(F.col("said"), schema)).drop("said")
+
+
+class _Trigrams:
+    """Slot and sign of each trigram, hashed once in a worker's life; a trigram is three code points in one number."""
+
+    MOST = 1 << 20
+
+    def __init__(self, dimensions: int):
+        self.dimensions, self.known = dimensions, {}
+
+    def hashed(self, keys: np.ndarray) -> np.ndarray:
+        """The hashes of distinct trigrams."""
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        out = np.empty(len(keys), np.int64)
+        for i, key in enumerate(keys.tolist()):
+            h = self.known.get(key)
+            if h is None:
+                chars = "".join(map(chr, (key & 0x1FFFFF, key >> 21 & 0x1FFFFF, key >> 42)))
+                h = self.known[key] = int.from_bytes(hashlib.blake2b(chars.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
+            out[i] = h
+        return out
+
+    def vectors(self, texts: list[str | None]) -> np.ndarray:
+        """One unit vector for each text; a text without a trigram has zeros."""
+        low = [SPACES.sub(" ", (t or "").lower()) for t in texts]
+        sizes = np.array([len(t) for t in low])
+        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(low)), sizes)
+        sums = np.zeros(len(low) * self.dimensions)
+        if len(points) > 2:
+            inside = row[:-2] == row[2:]
+            key, at = np.unique((points[:-2] | points[1:-1] << 21 | points[2:] << 42)[inside], return_inverse=True)
+            h = self.hashed(key)
+            sums = np.bincount(row[:-2][inside] * self.dimensions + (h % self.dimensions)[at], np.where(h >> 31, 1.0, -1.0)[at], len(sums))
+        out = sums.reshape(len(low), self.dimensions)
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
+        return out / np.where(norm == 0, 1.0, norm)
+
+
+SPACES = re.compile(r"\s+")
+#: Rows and characters of text that are made vectors at once.
+ROWS, CHARACTERS = 512, 1 << 20
 
 
 def embedded(rows: DataFrame, text: Column, dimensions: int = 384) -> DataFrame:
     """Rows with ``embedding``: an offline stand-in that hashes character trigrams to a unit vector."""
 
     @F.arrow_udf("array<float>")
-    def embed(texts: pa.Array) -> pa.Array:
-        def one(t):
-            v = [0.0] * dimensions
-            low = re.sub(r"\s+", " ", (t or "").lower())
-            for i in range(len(low) - 2):
-                h = int.from_bytes(hashlib.blake2b(low[i : i + 3].encode(), digest_size=4).digest(), "little")
-                v[h % dimensions] += 1.0 if h >> 31 else -1.0
-            n = math.sqrt(sum(x * x for x in v)) or 1.0
-            return [x / n for x in v]
-
-        return pa.array([one(t) for t in texts.to_pylist()], pa.list_(pa.float32()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _Trigrams(dimensions)  # once for a task
+        for batch in batches:
+            texts, out, begin = batch.to_pylist(), [], 0
+            while begin < len(texts):
+                end, size = begin, 0
+                while end < len(texts) and end - begin < ROWS and (end == begin or size + len(texts[end] or "") <= CHARACTERS):
+                    size += len(texts[end] or "")
+                    end += 1
+                out.append(model.vectors(texts[begin:end]).astype(np.float32).ravel())
+                begin = end
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.float32))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dimensions), flat)
 
     return rows.withColumn("embedding", embed(text))

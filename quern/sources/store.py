@@ -1,22 +1,33 @@
 """A store of tables: immutable Parquet folders, and numbered manifests that name those of a version.
 
-A write or append puts its rows into a new folder and then a new manifest beside the
-older ones by a rename; the manifest with the largest number counts. Readers see the
-old rows or the new ones, never a mixture or nothing, also after a crash in between.
-An append writes its own rows only. There is one writer at a time.
+One manifest names the folders (parts) of all tables, so a commit that changes several
+tables is one new file, put beside the older ones by a rename that never overwrites:
+readers see everything of a commit or nothing, also after a crash in between. The
+manifest with the largest number counts. It also holds the last step of each stream of
+work, so a step that is taken again changes nothing, and the last id of a table.
+
+An append writes its own rows. A change rewrites the parts that hold the changed keys
+(``patched``), not the table. Parts whose name begins with ``open-`` hold rows that are
+expected to change; readers that only want those read no others.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quern.operators.ingest import sessions_folded
 
 SCHEMAS = {
     "session_refs": "session_id string, cwd string, repo string, branch string, agent_name string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, last_turn_seq bigint, state string",
-    "turns": "turn_id bigint, session_id string, seq bigint, state string, summarization_state string, memory_id bigint, cwd string, repo string, prompt_text string, started_at timestamp_ntz, stopped_at timestamp_ntz, last_event_at timestamp_ntz, tool_event_count bigint",
+    "turns": "turn_id bigint, session_id string, seq bigint, state string, summarization_state string, memory_id bigint, cwd string, repo string, prompt_text string, started_at timestamp_ntz, stopped_at timestamp_ntz, last_event_at timestamp_ntz, tool_event_count bigint, n_events bigint",
     "turn_events": "event_id bigint, turn_id bigint, event_seq bigint, hook string, tool_name string, payload_json string, payload_size bigint, redaction_state string, ts timestamp_ntz",
     "turn_artifacts": "turn_id bigint, tool_names array<string>, files_touched array<string>, commands array<string>, error_signals array<string>, decision_signals array<string>, facts array<string>, stats struct<event_count:bigint,total_payload_bytes:bigint>",
     "topics": "topic_id bigint, scope_key string, repo string, canonical_label string, aliases array<string>, summary string, unresolved_summary string, status string, last_active_at timestamp_ntz, memory_count bigint",
@@ -25,10 +36,16 @@ SCHEMAS = {
     "memory_embeddings": "id bigint, model string, dimensions int, embedding array<float>",
     "memory_lengths": "id bigint, dl bigint",
     "memory_trigrams": "tri string, id bigint",
+    "replies": "key string, said string",
     "quarantine": "event_id bigint, session_id string, hook string, tool_name string, disposition string, ts timestamp_ntz",
     "error_log": "at timestamp_ntz, context string, message string",
     "jobs": "id bigint, job_type string, dedupe_key string, entity_type string, entity_id string, payload_json string, state string, priority int, attempts int, max_attempts int, available_at timestamp_ntz, leased_at timestamp_ntz, lease_owner string, last_error string",
 }
+#: Tables that get rows of changes, and how these become one row for each key.
+FOLDED = {"session_refs": sessions_folded}
+#: Folders of changes, or of open rows, at which they are written as one; manifests that stay; folders written at once.
+PARTS, MANIFESTS, WRITERS = 64, 32, 4
+OPEN = "open-"
 KEYS = {"session_refs": "session_id", "turns": "turn_id", "turn_events": "event_id", "turn_artifacts": "turn_id", "topics": "topic_id", "memories": "id", "memory_embeddings": "id", "jobs": "id"}
 
 
@@ -47,44 +64,80 @@ class Store:
         self.spark, self.base = spark, base.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.base).getFileSystem(self._conf)
         self._fs.mkdirs(self._path(self.base))
 
-    def _manifests(self, table: str) -> list[str]:
-        """The manifests of a table, the current one last."""
-        found = self._fs.globStatus(self._path(f"{self.base}/{table}.v*"))
-        return sorted(f.getPath().getName() for f in found or [])
+    def manifest(self) -> tuple[int, dict]:
+        """Number and content of the current version."""
+        found = self._fs.globStatus(self._path(f"{self.base}/v*"))
+        if not found:
+            return 0, {"tables": {}, "done": {}, "last": {}}
+        path = max((f.getPath() for f in found), key=lambda p: p.getName())
+        stream = self._fs.open(path)
+        try:
+            return int(path.getName()[1:]), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def parts(self, table: str) -> list[str]:
         """The folders of the current version, in order of writing."""
-        found = self._manifests(table)
-        return [r[0] for r in self.spark.read.text(f"{self.base}/{found[-1]}", wholetext=False).collect()] if found else []
+        return self.manifest()[1]["tables"].get(table, [])
+
+    def done(self, stream: str) -> int:
+        """The last step of a stream of work that was committed; -1 before the first."""
+        return self.manifest()[1]["done"].get(stream, -1)
+
+    def last(self, table: str) -> int:
+        """The largest id of a table, 0 if it is empty."""
+        known = self.manifest()[1]["last"].get(table)
+        return known if known is not None else self.read(table).agg(F.max(KEYS[table])).first()[0] or 0
 
-    def read(self, table: str) -> DataFrame:
-        """The current rows; an empty table before the first write."""
-        parts = self.parts(table)
+    def read(self, table: str, which: str = "all") -> DataFrame:
+        """The current rows, or those of the ``open`` parts; an empty table before the first write."""
+        rows = self.rows_of(table, [p for p in self.parts(table) if which == "all" or p.startswith(OPEN)])
+        return FOLDED[table](rows) if table in FOLDED else rows
+
+    def rows_of(self, table: str, parts: list[str]) -> DataFrame:
+        """The rows of some parts as they were written."""
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.base}/{table}/{p}" for p in parts])
 
-    def _put(self, table: str, rows: DataFrame) -> str:
+    def _put(self, table: str, rows: DataFrame, prefix: str = "") -> str:
         """Writes rows into a new folder, which nothing names yet."""
-        part = uuid.uuid4().hex
-        columns = self.spark.createDataFrame([], SCHEMAS[table])
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns.schema])
+        part = prefix + uuid.uuid4().hex
+        columns = StructType.fromDDL(SCHEMAS[table])
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns])
         shaped.write.parquet(f"{self.base}/{table}/{part}")
         return part
 
-    def _name(self, table: str, parts: list[str]) -> None:
-        """Makes folders the table by a new manifest."""
-        found = self._manifests(table)
-        number = int(found[-1].rsplit(".v", 1)[1]) + 1 if found else 0
-        temporary = self._path(f"{self.base}/_{table}.{uuid.uuid4().hex}")
+    def _claim(self, number: int, content: dict) -> bool:
+        """Makes a manifest the version of that number; False if another writer has it."""
+        temporary = self._path(f"{self.base}/_v.{uuid.uuid4().hex}")
         out = self._fs.create(temporary, False)
-        out.write("\n".join(parts).encode())
+        out.write(json.dumps(content).encode())
         out.close()
-        if not self._fs.rename(temporary, self._path(f"{self.base}/{table}.v{number:012d}")):
-            raise OSError(f"another writer moved {table} to version {number}")
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        files = fs.FileContext.getFileContext(temporary.toUri(), self._conf)
+        try:
+            files.rename(temporary, self._path(f"{self.base}/v{number:012d}"), self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                raise
+            self._fs.delete(temporary, False)
+            return False
+        self._fs.delete(self._path(f"{self.base}/v{number - MANIFESTS:012d}"), False)
+        return True
+
+    def _name(self, table: str, parts: list[str]) -> None:
+        """Makes folders the table by a new manifest."""
+        number, now = self.manifest()
+        while not self._claim(number + 1, now | {"tables": now["tables"] | {table: parts}, "last": {t: n for t, n in now["last"].items() if t != table}}):
+            number, newer = self.manifest()
+            if newer["tables"].get(table) != now["tables"].get(table):
+                raise OSError(f"another writer moved {table} to version {number}")
+            now = newer
 
     def write(self, table: str, rows: DataFrame) -> None:
         """Makes ``rows``, which may derive from the current ones, the table."""
@@ -95,6 +148,55 @@ class Store:
         part = self._put(table, rows)
         self._name(table, [*self.parts(table), part])
 
+    def commit(self, add: dict[str, DataFrame] | None = None, opened: dict[str, DataFrame] | None = None, drop: dict[str, list[str]] | None = None, last: dict[str, int] | None = None, step: tuple[str, int] | None = None) -> bool:
+        """All changes of a stage as one version: rows to add, rows to add to the open ones, parts to drop, last ids.
+
+        ``step`` (stream, number) is recorded with them; if it was before, nothing
+        changes and the answer is False. Another writer's rows stay; parts that it
+        replaced in the meantime raise an error, and the stage has to be run again.
+        """
+        if step and self.done(step[0]) >= step[1]:
+            return False
+        drop = {t: list(names) for t, names in (drop or {}).items()}
+        todo = [(t, rows, "") for t, rows in (add or {}).items()] + [(t, rows, OPEN) for t, rows in (opened or {}).items()]
+        for k, (table, rows, prefix) in enumerate(todo):
+            if table in FOLDED and table not in drop and len(self.parts(table)) >= PARTS:  # many folders of changes become one
+                drop[table] = self.parts(table)
+                todo[k] = table, FOLDED[table](self.rows_of(table, drop[table]).unionByName(rows, allowMissingColumns=True)), prefix
+        with ThreadPoolExecutor(WRITERS) as pool:
+            put = [*pool.map(lambda x: (x[0], self._put(*x)), todo)]
+        while True:
+            number, now = self.manifest()
+            if step and now["done"].get(step[0], -1) >= step[1]:
+                return False
+            tables = dict(now["tables"])
+            for table, names in drop.items():
+                if not set(names) <= set(tables.get(table, [])):
+                    raise OSError(f"another writer moved {table} to version {number}")
+                tables[table] = [p for p in tables.get(table, []) if p not in set(names)]
+            for table, part in put:
+                tables[table] = [*tables.get(table, []), part]
+            ids = {t: n for t, n in now["last"].items() if t not in {x[0] for x in todo}} | (last or {})
+            if self._claim(number + 1, {"tables": tables, "done": now["done"] | ({step[0]: step[1]} if step else {}), "last": ids}):
+                return True
+
+    def patched(self, table: str, rows: DataFrame, which: str = "all") -> tuple[list[str], DataFrame]:
+        """The parts that hold any key of ``rows`` (fixed), and all their rows with ``rows`` in place of the old ones."""
+        key = KEYS[table]
+        names = [p for p in self.parts(table) if which == "all" or p.startswith(OPEN)]
+        ids = rows.select(F.col(key).alias("_key"))
+        if names and not (which == OPEN and len(names) >= PARTS):
+            part = F.regexp_extract(F.input_file_name(), f"/{table}/([^/]+)/[^/]*$", 1)
+            held = self.rows_of(table, names).select(F.col(key).alias("_key"), part.alias("_part")).join(ids, "_key", "left_semi")
+            names = [r["_part"] for r in held.select("_part").distinct().collect()]  # names of folders
+        rest = self.rows_of(table, names).join(ids, F.col(key) == F.col("_key"), "left_anti")
+        return names, rest.unionByName(rows, allowMissingColumns=True)
+
+    def change(self, table: str, rows: DataFrame) -> None:
+        """Puts fixed rows in place of those with the same keys."""
+        names, whole = self.patched(table, rows)
+        self.commit(add={table: whole}, drop={table: names})
+
     def get(self, table: str, key) -> DataFrame:
         """The row of a primary key."""
         return self.read(table).where(F.col(KEYS[table]) == F.lit(key))

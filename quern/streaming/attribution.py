@@ -53,14 +53,18 @@ class TurnMachine(StatefulProcessor):
         pass
 
 
+def rocksdb(spark: SparkSession) -> None:
+    """Sets the state store that state machines need, and starts its coordinator, which a batch needs too."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.streams.active  # noqa: B018
+
+
 def attribute_stream(events: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """A stream (or batch) of events with turn numbers and dispositions; sets the RocksDB state store.
 
     A ``prompt`` column, where there is one, tells blank prompts.
     """
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.streams.active  # noqa: B018  starts the coordinator of the state stores, which a batch needs too
+    rocksdb(events.sparkSession)
     blank = trim(F.coalesce("prompt", F.lit(""))) == "" if "prompt" in events.columns else F.lit(False)
     said = events.select("event_id", "ts", "session_id", "hook", disposed(blank, F.lit(True), list(skip)).alias("said"))
     none = said.where("session_id is null").select("session_id", "event_id", "hook", F.lit(None).cast("int").alias("turn_no"), F.lit(None).cast("int").alias("event_seq"), F.col("said").alias("disposition"))
