@@ -7,39 +7,22 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import scope_key
 from quern.operators import context, search, topics, trace
+from quern.plans import indexing
+from quern.plans.indexing import TEXT_COLUMNS, searchable
 from quern.sources.provider import embedded
 from quern.sources.store import Store
 
-TEXT_COLUMNS = ["title", "summary", "request", "investigated", "learned", "completed", "next_steps", "concepts_text", "files_text"]
 LIKE_COLUMNS = ["title", "summary", "learned", "concepts_text"]
 
 
-def searchable(memories: DataFrame) -> DataFrame:
-    """Memories with their lists as text, as the index sees them."""
-    return memories.withColumn("concepts_text", F.to_json(F.coalesce("concepts", F.array().cast("array<string>")))).withColumn("files_text", F.to_json(F.coalesce("files_touched", F.array().cast("array<string>"))))
+def refresh_index(store: Store, changed: DataFrame | None = None) -> None:
+    """Brings the text index up to date. What changed is told by the folders, so naming ids (``changed``) isn't needed."""
+    indexing.refresh(store)
 
 
-def refresh_index(store: Store, changed: DataFrame | None = None) -> None:
-    """Brings the text index up to date: for new memories by an append, for changed ids (id) by replacing their rows."""
-    known = store.read("memory_lengths").select("id")
-    memories = searchable(store.read("memories"))
-    todo = memories.join(known if changed is None else known.join(changed.select("id"), "id", "left_anti"), "id", "left_anti")
-    index = search.text_index(todo, TEXT_COLUMNS)
-    for table, rows, key in (("memory_trigrams", index.postings.repartitionByRange("tri").sortWithinPartitions("tri"), "tri"), ("memory_lengths", index.lengths, "id")):
-        if changed is None:
-            store.append(table, rows)
-        else:
-            old = store.read(table).join(changed.select("id").distinct(), "id", "left_anti")
-            store.write(table, old.unionByName(rows).repartitionByRange(key).sortWithinPartitions(key))
-
-
-def _index(store: Store) -> search.TextIndex | None:
-    """The index, if it covers every memory."""
-    if not store.parts("memory_lengths"):
-        return None
-    lengths = store.read("memory_lengths")
-    stale = store.read("memories").select("id").join(lengths.select("id"), "id", "left_anti").take(1)
-    return None if stale else search.TextIndex(lengths, store.read("memory_trigrams"))
+def _index(store: Store):
+    """The stored index, if it covers every memory."""
+    return indexing.stored_index(store)
 
 
 def query_embedding(store: Store, query: str) -> list[float]:
@@ -51,7 +34,7 @@ def search_memories(store: Store, query: str, as_of, kind: str | None = None, re
     """Full text and meaning, fused; the query is embedded here unless its vector is given."""
     if query_vector is None and by_meaning:
         query_vector = query_embedding(store, query)
-    hits = search.hybrid(searchable(store.read("memories")), store.read("memory_embeddings"), query, query_vector, TEXT_COLUMNS, kind, repo, days, limit, as_of, like_columns=LIKE_COLUMNS, index=_index(store))
+    hits = search.hybrid(searchable(store.read("memories")), store.read("memory_embeddings"), query, query_vector, TEXT_COLUMNS, kind, repo, days, limit, as_of, like_columns=LIKE_COLUMNS, index=indexing.whole_index(store))
     return hits.select("id", "title", "memory_type", "topic_id", F.date_format("last_turn_at", "yyyy-MM-dd").alias("date"), "is_pinned", "match_source", "source_turn_count")
 
 

@@ -244,6 +244,8 @@ def _best(memories: DataFrame, query: str, columns: list[str], like_columns: lis
     if len(query) < 3:
         found = like(filtered(memories, **filters), query, like_columns or columns, CANDIDATES).select("id")
         return [(r["id"], k) for k, r in enumerate(found.collect(), 1)]
+    if hasattr(index, "best"):  # a positional index, which needs no text
+        return [(r["id"], k) for k, r in enumerate(index.best(memories, query, columns, CANDIDATES, **filters).collect(), 1)]
     counted, lengths, n = _counted(memories, query, columns, index)
     slim = counted.select("id", "is_pinned", "state", "memory_type", "repo", "cwd_scope", "last_turn_at", *[c for c in counted.columns if c in ("_dl", "_match") or c.startswith("_f")]).persist()
     try:

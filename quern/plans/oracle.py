@@ -127,6 +127,17 @@ c AS (SELECT unnest([concat_ws(chr(10), '<memory-context>', p, t, r, h, '</memor
 SELECT context, strlen(context) AS n_bytes FROM c WHERE strlen(context) <= {_BYTES} ORDER BY n LIMIT 1"""
 
 
+def _apart(term: str, column: str) -> str:
+    """Occurrences of a term that cannot overlap itself."""
+    return f"(length(coalesce({column}, '')) - length(replace(lower(coalesce({column}, '')), '{term}', ''))) // {len(term)}"
+
+
+_PLACES = f"""WITH {MEM}, {_FULL}, x AS (SELECT id, state, is_pinned, last_turn_at, {" + ".join(f"greatest(length(coalesce({c}, '')) - 2, 0)" for c in _NINE)} AS dl, {" + ".join(_apart("ther", c) for c in _NINE)} AS f0, {_apart("bugfix", "learned")} AS f1, {_apart("rc3.p", "files_text")} AS f2 FROM v_full),
+  n AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1, count(*) FILTER (f2 > 0) AS n2 FROM x),
+  h AS (SELECT x.*, -({" + ".join(f"greatest(ln((n - n{k} + 0.5::DOUBLE) / (n{k} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{k} * 2.2::DOUBLE / (f{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))" for k in range(3))}) AS bm25 FROM x, n WHERE f0 + f1 + f2 > 0)
+  SELECT id, round(bm25, 6) AS bm25 FROM h WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 40 DAY ORDER BY is_pinned DESC, h.bm25, id LIMIT 40"""
+
+
 SQL = {
     "turn_attribution": f"{ATTR} SELECT event_id, session_id, hook, turn_no, disposition FROM t",
     "turn_rollup": f"{TURNS} SELECT session_id, turn_no, started_at, last_event_at, n_events, tool_event_count, payload_bytes, ended FROM turns",
@@ -195,6 +206,8 @@ SQL = {
     "memory_links": f"{TURNS} SELECT CAST(session_id AS BIGINT) AS memory_id, CAST(session_id AS BIGINT) * 100000 + turn_no AS turn_id, row_number() OVER (ORDER BY started_at) AS ordinal FROM turns WHERE session_id = '7'",
     "search_columns": f"""WITH {MEM}, {_FULL}, {_bm25(['ther', ('learned', 'bugfix'), ('files_text', 'rc3.p')], 'v_full', _NINE, 'OR')} SELECT id, round(bm25, 6) AS bm25 FROM hits
       WHERE state = 'active' AND last_turn_at > {_LATEST} - INTERVAL 40 DAY ORDER BY is_pinned DESC, hits.bm25, id LIMIT 40""",
+    "search_positional": _PLACES,
+    "search_maintained": _PLACES,
     "search_indexed": f"WITH {MEM}, {_FULL}, {_bm25(['inther', 'onth'], 'v_full', _NINE)} SELECT id, round(bm25, 6) AS bm25 FROM hits",
     "search_short": f"WITH {MEM}, {_FULL} SELECT id, last_turn_at FROM v_full WHERE state = 'active' AND memory_type = 'feature' AND ({_like('%x_%')}) ORDER BY is_pinned DESC, last_turn_at DESC, id LIMIT 40",
     "search_backslash": f"WITH {MEM}, {_FULL} SELECT id, is_pinned FROM v_full WHERE state = 'active' AND repo = 'src3' AND ({' OR '.join(f'contains(lower({c}), {chr(39)}r{chr(92)}{chr(39)})' for c in _FOUR)}) ORDER BY is_pinned DESC, last_turn_at DESC, id LIMIT 40",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quern import api
 from quern.functions import text as X
-from quern.operators import artifacts, context, ingest, jobs, lookup, memory, numbering, search, topics, trace
-from quern.plans import synthesis, writepath
+from quern.operators import artifacts, context, ingest, jobs, lookup, memory, numbering, positional, search, topics, trace
+from quern.plans import indexing, synthesis, writepath
 from quern.sources import fixtures, provider
 from quern.sources.store import Store, scratch
 from quern.streaming import attribution, digests, intake
@@ -517,6 +517,30 @@ def search_indexed(spark, d):
     return found.select("id", F.round("bm25", 6).alias("bm25"))
 
 
+@query
+def search_positional(spark, d):
+    """Full text and its rank over all nine columns from the places of trigrams; texts are read of the top rows only."""
+    m = _searchable(spark, d)
+    found = positional.full_text(m, positional.build(m, api.TEXT_COLUMNS), 'ther OR learned:bugfix OR files_text:"rc3.p"', api.TEXT_COLUMNS, 40, as_of=_as_of(spark, d), days=40)
+    return found.select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query
+def search_maintained(spark, d):
+    """The same from the index of a store, brought up to date after memories are added and changed, with some folders not taken in yet."""
+    s = Store(spark, scratch(spark, "maintained"))
+    m = _mem(spark, d).withColumns({"request": F.col("topic"), "investigated": F.col("cwd_scope"), "learned": F.concat(F.lit("Other\\"), "memory_type"), "completed": F.col("repo"), "next_steps": F.concat(F.lit("then THE "), "topic")})
+    m = m.withColumns({"concepts": F.array("memory_type"), "files_touched": F.array(F.concat(F.lit("/"), "topic", F.lit(".py")))})
+    s.append("memories", m.where("id % 3 = 0").withColumn("title", F.lit("ther ther before")))
+    indexing.refresh(s)
+    s.append("memories", m.where("id % 3 = 1"))
+    indexing.refresh(s)
+    s.change("memories", m.where("id % 3 = 0"))
+    s.append("memories", m.where("id % 3 = 2"))
+    found = positional.full_text(indexing.searchable(s.read("memories")), indexing.whole_index(s), 'ther OR learned:bugfix OR files_text:"rc3.p"', api.TEXT_COLUMNS, 40, as_of=_as_of(spark, d), days=40)
+    return found.select("id", F.round("bm25", 6).alias("bm25"))
+
+
 @query
 def search_short(spark, d):
     """Under three characters: LIKE over four of the columns."""

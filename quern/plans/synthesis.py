@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import embedding_text, match_form, parsed_reply, scope_key
 from quern.operators import jobs, memory, topics
 from quern.operators.numbering import numbered as in_order
+from quern.plans import indexing
 from quern.sources import provider as P
 from quern.sources.store import OPEN, Store
 
@@ -93,12 +94,14 @@ def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only
 
 
 def _commit(store: Store, add: dict[str, DataFrame], last: dict[str, int], then: DataFrame | None, drop: dict[str, list[str]] | None = None) -> None:
-    """One commit of a stage's rows and the jobs that follow."""
+    """One commit of a stage's rows and the jobs that follow; then the text index takes in what changed."""
     opened = {}
     if then is not None:
         queue, last_job = new_jobs(store, then)
         opened, last = {"jobs": queue}, last | {"jobs": last_job}
     store.commit(add=add, opened=opened, drop=drop, last=last)
+    if "memories" in add:
+        indexing.refresh(store)
 
 
 def normalise_topics(store: Store, provider: P.Provider, as_of, only: DataFrame | None = None, language: str = "en", follow: bool = False) -> DataFrame:

@@ -35,7 +35,7 @@ SCHEMAS = {
     "memory_turn_links": "memory_id bigint, turn_id bigint, ordinal bigint, role string",
     "memory_embeddings": "id bigint, model string, dimensions int, embedding array<float>",
     "memory_lengths": "id bigint, dl bigint",
-    "memory_trigrams": "tri string, id bigint",
+    "memory_trigrams": "tri string, id bigint, col string, at array<int>",
     "replies": "key string, said string",
     "quarantine": "event_id bigint, session_id string, hook string, tool_name string, disposition string, ts timestamp_ntz",
     "error_log": "at timestamp_ntz, context string, message string",
@@ -104,9 +104,9 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.base}/{table}/{p}" for p in parts])
 
-    def _put(self, table: str, rows: DataFrame, prefix: str = "") -> str:
+    def _put(self, table: str, rows: DataFrame, prefix: str = "", name: str | None = None) -> str:
         """Writes rows into a new folder, which nothing names yet."""
-        part = prefix + uuid.uuid4().hex
+        part = prefix + (name or uuid.uuid4().hex)
         columns = StructType.fromDDL(SCHEMAS[table])
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns])
         shaped.write.parquet(f"{self.base}/{table}/{part}")
@@ -148,9 +148,10 @@ class Store:
         part = self._put(table, rows)
         self._name(table, [*self.parts(table), part])
 
-    def commit(self, add: dict[str, DataFrame] | None = None, opened: dict[str, DataFrame] | None = None, drop: dict[str, list[str]] | None = None, last: dict[str, int] | None = None, step: tuple[str, int] | None = None) -> bool:
+    def commit(self, add: dict[str, DataFrame] | None = None, opened: dict[str, DataFrame] | None = None, drop: dict[str, list[str]] | None = None, last: dict[str, int] | None = None, step: tuple[str, int] | None = None, note: dict | None = None, name: str | None = None) -> bool:
         """All changes of a stage as one version: rows to add, rows to add to the open ones, parts to drop, last ids.
 
+        ``note`` adds entries to the manifest, ``name`` names the new folders.
         ``step`` (stream, number) is recorded with them; if it was before, nothing
         changes and the answer is False. Another writer's rows stay; parts that it
         replaced in the meantime raise an error, and the stage has to be run again.
@@ -164,7 +165,7 @@ class Store:
                 drop[table] = self.parts(table)
                 todo[k] = table, FOLDED[table](self.rows_of(table, drop[table]).unionByName(rows, allowMissingColumns=True)), prefix
         with ThreadPoolExecutor(WRITERS) as pool:
-            put = [*pool.map(lambda x: (x[0], self._put(*x)), todo)]
+            put = [*pool.map(lambda x: (x[0], self._put(*x, name)), todo)]
         while True:
             number, now = self.manifest()
             if step and now["done"].get(step[0], -1) >= step[1]:
@@ -177,7 +178,7 @@ class Store:
             for table, part in put:
                 tables[table] = [*tables.get(table, []), part]
             ids = {t: n for t, n in now["last"].items() if t not in {x[0] for x in todo}} | (last or {})
-            if self._claim(number + 1, {"tables": tables, "done": now["done"] | ({step[0]: step[1]} if step else {}), "last": ids}):
+            if self._claim(number + 1, now | {"tables": tables, "done": now["done"] | ({step[0]: step[1]} if step else {}), "last": ids} | (note or {})):
                 return True
 
     def patched(self, table: str, rows: DataFrame, which: str = "all") -> tuple[list[str], DataFrame]:

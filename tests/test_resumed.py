@@ -40,10 +40,10 @@ class Failing(Store):
 
     at = None
 
-    def _put(self, table, rows, prefix=""):
+    def _put(self, table, rows, prefix="", name=None):
         if self.at == table:
             raise OSError(table)
-        return super()._put(table, rows, prefix)
+        return super()._put(table, rows, prefix, name)
 
     def _claim(self, number, content):
         if self.at == "manifest":
