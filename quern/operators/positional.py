@@ -9,15 +9,20 @@ Only the postings of the query's trigrams are read, and texts only of the rows a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import search
 from quern.operators.search import Node, Term
 
+#: Characters of text that are indexed at once.
+PIECE = 1 << 19
 #: The columns of memories that filters and order need.
 NARROW = ["id", "is_pinned", "state", "memory_type", "repo", "cwd_scope", "last_turn_at"]
 
@@ -46,14 +51,14 @@ class PositionalIndex:
         """(id, _f0, _f1, ...): occurrences of each term in the rows that have any of its trigrams."""
         covers = [cover(t.text.lower()) for t in terms]
         wanted = sorted({g for c in covers for _, g in c})
-        # at most one array for each of the query's trigrams
-        places = self.postings.where(F.col("tri").isin(*wanted)).groupBy("id", "col").agg(F.map_from_entries(F.collect_list(F.struct("tri", "at"))).alias("m"))
+        # one array for each of the query's trigrams; a very long text has its places in several
+        arrays = [F.flatten(F.collect_list(F.when(F.col("tri") == g, F.col("at")))).alias(f"g{j}") for j, g in enumerate(wanted)]
+        places = self.postings.where(F.col("tri").isin(*wanted)).groupBy("id", "col").agg(*arrays)
+        name = {g: f"g{j}" for j, g in enumerate(wanted)}
 
         def times(term: Term, grams: list[tuple[int, str]]) -> Column:
-            starts = [_moved(F.col("m")[g], offset) for offset, g in grams]
-            found = F.size(reduce(F.array_intersect, starts))
-            here = F.col("col") == term.column if term.column else F.lit(True)
-            return F.when(here & reduce(Column.__and__, [F.col("m")[g].isNotNull() for _, g in grams]), found).otherwise(0)
+            found = F.size(reduce(F.array_intersect, [_moved(F.col(name[g]), offset) for offset, g in grams]))
+            return F.when(F.col("col") == term.column, found).otherwise(0) if term.column else found
 
         each = places.select("id", *[times(t, c).cast("long").alias(f"_f{k}") for k, (t, c) in enumerate(zip(terms, covers))])
         return each.groupBy("id").agg(*[F.sum(f"_f{k}").alias(f"_f{k}") for k in range(len(terms))])
@@ -89,20 +94,55 @@ def _moved(places: Column, offset: int) -> Column:
     return F.transform(places, lambda p: p - offset) if offset else places
 
 
-def build(memories: DataFrame, columns: list[str]) -> PositionalIndex:
-    """The index of memories; trigrams lie inside one column, in lower case. Work follows the length of the texts."""
-
-    def grams(c: str) -> Column:
-        def of(chars: Column) -> Column:
-            starts = F.when(F.size(chars) >= 3, F.sequence(F.lit(0), F.size(chars) - 3)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(F.lit(c).alias("col"), F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)).alias("tri"), i.alias("at")))
+def _grams(points: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple:
+    """The trigrams of some code points, given each one's row and place: (key, row, offsets of the groups, places), grouped by row and trigram."""
+    inside = row[:-2] == row[2:]
+    key = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside]
+    row, at = row[:-2][inside], at[:-2][inside]
+    order = np.lexsort((key, row))  # stable: places stay in order
+    key, row, at = key[order], row[order], at[order]
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))) if len(key) else np.zeros(0, np.int64)
+    return key[new], row[new], np.append(new, len(key)), at
+
+
+def _postings(columns: list[str]):
+    """Rows (id, columns in lower case) to postings; texts are taken in pieces of at most ``PIECE`` characters, which overlap by two."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            for c in columns:
+                texts = batch.column(c).to_pylist()
+                begin = 0
+                while begin < len(texts):
+                    end, size = begin, 0
+                    while end < len(texts) and (end == begin or size + len(texts[end] or "") <= PIECE):
+                        size += len(texts[end] or "")
+                        end += 1
+                    for start in range(0, max(size, 1), PIECE) if end - begin == 1 else (0,):
+                        some = [(t or "")[start : start + PIECE + 2] if end - begin == 1 else t or "" for t in texts[begin:end]]
+                        sizes = np.array([len(t) for t in some])
+                        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                        first = np.cumsum(sizes) - sizes
+                        row = np.repeat(np.arange(begin, end), sizes)
+                        if len(points) < 3:
+                            continue
+                        key, rows, offsets, at = _grams(points, row, np.arange(len(points)) - np.repeat(first, sizes) + start)
+                        distinct, which = np.unique(key, return_inverse=True)
+                        names = pa.array(["".join(map(chr, (k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF))) for k in distinct.tolist()], pa.string())
+                        places = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at.astype(np.int32)))
+                        yield pa.RecordBatch.from_pydict({"tri": names.take(pa.array(which)), "id": ids.take(pa.array(rows)), "col": pa.array([c]).take(pa.array(np.zeros(len(key), np.int64))), "at": places})
+                    begin = end
+
+    return made
 
-        # as an argument of the lambda the characters are made once, not for each place
-        return F.flatten(F.transform(F.array(F.split(F.lower(F.coalesce(c, F.lit(""))), "")), of))
 
-    rows = memories.select("id", F.explode(F.concat(*map(grams, columns))).alias("g")).select("id", "g.*")
-    postings = rows.groupBy("tri", "id", "col").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    return PositionalIndex(memories.select("id", search._length(columns).cast("long").alias("dl")), postings.select("tri", "id", "col", "at"))
+def build(memories: DataFrame, columns: list[str]) -> PositionalIndex:
+    """The index of memories; trigrams lie inside one column, in lower case. A row makes its own postings, so nothing is exchanged."""
+    low = memories.select("id", *[F.lower(c).alias(c) for c in columns])
+    kind = memories.schema["id"].dataType.simpleString()
+    postings = low.mapInArrow(_postings(columns), f"tri string, id {kind}, col string, at array<int>")
+    return PositionalIndex(memories.select("id", search._length(columns).cast("long").alias("dl")), postings)
 
 
 def full_text(memories: DataFrame, index: PositionalIndex, query: str, columns: list[str], limit: int = 20, like_columns: list[str] | None = None, **filters) -> DataFrame:

@@ -60,9 +60,9 @@ def stored_index(store: Store) -> positional.PositionalIndex | None:
 
 def whole_index(store: Store) -> positional.PositionalIndex | None:
     """The stored index and, for folders that it doesn't cover yet, one made on the spot; None if nothing was ever indexed."""
-    good, todo = _covered(store)
-    if not good:
+    if "indexed" not in store.manifest()[1]:
         return None
+    good, todo = _covered(store)
     parts = sorted(set(good.values()))
     out = positional.PositionalIndex(store.rows_of("memory_lengths", parts), store.rows_of("memory_trigrams", parts))
     if todo:

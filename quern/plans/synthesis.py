@@ -55,7 +55,7 @@ def asked(store: Store, rows: DataFrame, provider: P.Provider, system: str, sche
     """Fixed rows with ``reply`` in place of ``_prompt``: prompts whose answer the store has aren't asked again; equal ones are asked once.
 
     New answers are committed before anything else happens with them. A call that fails
-    has a null reply now and is asked again next time.
+    is not ``answered``: its row has a null reply now, and is asked again next time.
     """
     keyed = rows.withColumn("_key", F.sha2(F.concat(F.lit(system), F.lit("\n"), F.coalesce("_prompt", F.lit(""))).cast("binary"), 256))
     keyed = _kept(store, "prompts", keyed)
@@ -67,7 +67,7 @@ def asked(store: Store, rows: DataFrame, provider: P.Provider, system: str, sche
     if answered.take(1):
         store.commit(add={"replies": answered})
     every = known.select("key", "said").unionByName(new).select(F.col("key").alias("_key"), "said")
-    return keyed.join(every, "_key", "left").withColumn("reply", parsed_reply(F.col("said"), schema)).drop("_key", "_prompt", "said")
+    return keyed.join(every, "_key", "left").withColumns({"reply": parsed_reply(F.col("said"), schema), "answered": F.col("said").isNotNull()}).drop("_key", "_prompt", "said")
 
 
 def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only: DataFrame | None = None, language: str = "en", as_of=None) -> DataFrame:
@@ -80,7 +80,7 @@ def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only
     none = F.array().cast("array<string>")
     prompt = P.turn_prompt(F.col("prompt_text"), *[F.coalesce(c, none) for c in ("tool_names", "files_touched", "commands", "error_signals")])
     replied = asked(store, todo.select("turn_id", "repo", "cwd", "started_at", F.coalesce("stopped_at", "last_event_at").alias("ended_at"), prompt.alias("_prompt")), provider, P.SYSTEM[language])
-    made = memory.from_replies(replied).withColumn("memory_kind", F.lit("turn")).withColumn("state", F.lit("active")).withColumn("is_pinned", F.lit(False)).withColumn("source_turn_count", F.lit(1).cast("long"))
+    made = memory.from_replies(replied.where("answered").drop("answered")).withColumn("memory_kind", F.lit("turn")).withColumn("state", F.lit("active")).withColumn("is_pinned", F.lit(False)).withColumn("source_turn_count", F.lit(1).cast("long"))
     made = _kept(store, "made", made.withColumnsRenamed({"cwd": "cwd_scope", "started_at": "first_turn_at", "ended_at": "last_turn_at"}))
     top = store.last("memories")
     new = in_order(made, "id", ["first_turn_at", "turn_id"], top)
@@ -125,7 +125,7 @@ def normalise_topics(store: Store, provider: P.Provider, as_of, only: DataFrame
     replies = asked(store, ask.select("memory_id", "scope_key", "candidate", prompt.alias("_prompt")), provider, say["normalise"], TOPIC_REPLY)
     # a candidate spelt in several ways within one batch is one new topic
     first = Window.partitionBy("scope_key", match_form(F.col("candidate"))).orderBy("memory_id")
-    fresh = replies.withColumn("_first", F.first("candidate").over(first))
+    fresh = replies.where("answered").withColumn("_first", F.first("candidate").over(first))
     none = F.array().cast("array<string>")
     named = fresh.select("memory_id", "scope_key", F.coalesce("reply.canonical_label", "_first").alias("canonical_label"), F.coalesce("reply.aliases", F.when(F.col("candidate") != F.col("_first"), F.array("candidate")), none).alias("aliases"))
     links = hits.where("topic_id is not null").select("memory_id", "scope_key", "canonical_label", F.col("new_aliases").alias("aliases")).unionByName(named).withColumn("linked_at", F.lit(as_of).cast("timestamp_ntz"))
@@ -188,7 +188,7 @@ def merge_clusters(store: Store, provider: P.Provider, only: DataFrame | None =
     say = P.PROMPTS[language]
     prompt = F.concat(F.lit(say["topic"]), "canonical_label", F.lit("\n"), P.numbered(F.reverse("_items"), say))
     replied = asked(store, ask.select("topic", "canonical_label", "repo", "cwd_scope", "first_turn_at", "last_turn_at", "source_turn_count", prompt.alias("_prompt")), provider, say["merge"])
-    made = memory.from_replies(replied, title="Merged memory", scores=(0.7, 0.8, 0.0)).withColumn("topic_candidate", F.col("canonical_label"))
+    made = memory.from_replies(replied.where("answered").drop("answered"), title="Merged memory", scores=(0.7, 0.8, 0.0)).withColumn("topic_candidate", F.col("canonical_label"))
     made = _kept(store, "merge-made", made.withColumnRenamed("topic", "topic_id").drop("canonical_label"))
     top = store.last("memories")
     new = in_order(made, "id", ["topic_id"], top).withColumns({"memory_kind": F.lit("merged"), "state": F.lit("active"), "is_pinned": F.lit(False)})
@@ -206,19 +206,31 @@ def merge_clusters(store: Store, provider: P.Provider, only: DataFrame | None =
 def register(runner: jobs.Runner, store: Store, provider: P.Provider, as_of, language: str = "en") -> None:
     """The four handlers: each runs its stage for the entities of the leased jobs; what follows is enqueued in the stage's commit."""
 
-    def handled(stage):
+    def handled(name, stage, left):
         def handler(mine: DataFrame) -> DataFrame:
             ids = mine.select("id", F.col("entity_id").cast("long").alias("entity"))
+            none = F.lit(None).cast("string")
             if not ids.take(1):
-                return ids.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+                return ids.select("id", F.lit(True).alias("ok"), none.alias("error"))
             try:
                 stage(ids)
+                undone = left(ids).select("entity").distinct() if left else ids.select("entity").limit(0)
+                out = ids.join(undone.withColumn("_undone", F.lit(True)), "entity", "left").select("id", F.col("_undone").isNull().alias("ok"), F.when(F.col("_undone"), "no answer").alias("error"))
+                out = _kept(store, "handled", out)
             except Exception as e:  # whatever fails, the jobs are tried again later
-                return ids.select("id", F.lit(False).alias("ok"), F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"))
-            return ids.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+                out = ids.select("id", F.lit(False).alias("ok"), F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"))
+            log_errors(store, out.where(~F.col("ok")).select(F.concat(F.lit(f"job/{name}/"), F.col("id").cast("string")).alias("context"), F.col("error").alias("message")), now())
+            return out
 
         return handler
 
+    def without_memory(ids: DataFrame) -> DataFrame:
+        return memory.claimable(store.read("turns").join(ids, F.col("turn_id") == F.col("entity"), "left_semi"), store.read("memory_turn_links")).select(F.col("turn_id").alias("entity"))
+
+    def without_topic(ids: DataFrame) -> DataFrame:
+        m = store.read("memories").where("state = 'active' and topic_id is null and topic_candidate is not null and memory_kind = 'turn'")
+        return m.select(F.col("id").alias("entity")).join(ids.select("entity"), "entity", "left_semi")
+
     now = as_of if callable(as_of) else lambda: as_of
     of = lambda ids, name: ids.select(F.col("entity").alias(name))
     stages = {
@@ -227,8 +239,16 @@ def register(runner: jobs.Runner, store: Store, provider: P.Provider, as_of, lan
         "summarize_topic": lambda ids: summarise_topics(store, provider, of(ids, "topic_id"), language),
         "merge_cluster_to_memory": lambda ids: merge_clusters(store, provider, of(ids, "topic_id"), language, now()),
     }
+    undone = {"summarize_turn": without_memory, "normalize_topic": without_topic}
     for kind, stage in stages.items():
-        runner.register(kind, handled(stage))
+        runner.register(kind, handled(kind, stage, undone.get(kind)))
+
+
+def log_errors(store: Store, errors: DataFrame, at) -> None:
+    """Adds (context, message) rows to the error log."""
+    rows = _kept(store, "errors", errors.withColumn("at", F.lit(at).cast("timestamp_ntz")))
+    if rows.take(1):
+        store.commit(add={"error_log": rows})
 
 
 def _moved(store: Store, rows: DataFrame) -> None:

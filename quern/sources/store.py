@@ -214,4 +214,9 @@ class Store:
         out = count(self.read("turns"), "turns")
         for df, name in ((m, "memories"), (m.where("is_pinned"), "pinned"), (j.where("state = 'pending'"), "pending_jobs"), (self.read("topics"), "topics")):
             out = out.unionByName(count(df, name))
-        return out
+        return out.unionByName(self.spark.createDataFrame([("bytes", self.bytes())], "metric string, n bigint"))
+
+    def bytes(self) -> int:
+        """Size of the current version's files."""
+        tables = self.manifest()[1]["tables"]
+        return sum(self._fs.getContentSummary(self._path(f"{self.base}/{t}/{p}")).getLength() for t, parts in tables.items() for p in parts)

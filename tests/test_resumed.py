@@ -217,14 +217,36 @@ def test_a_call_that_fails_is_asked_again(spark, tmp_path):
     (tmp_path / "down").touch()
     rows = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one"), (4, None)], "id int, _prompt string")
     provider = counting(str(asked), '{"title":"T"}')
-    got = {r.id: r.reply.title for r in synthesis.asked(s, rows, provider, "say").collect()}
-    assert got[1] == got[3] == "T" and got[2] is None and sorted(f.read_text() for f in asked.iterdir())[-2:] == ["one", "two"]
+    got = {r.id: r.answered and r.reply.title for r in synthesis.asked(s, rows, provider, "say").collect()}
+    assert got[1] == got[3] == "T" and got[2] is False and sorted(f.read_text() for f in asked.iterdir())[-2:] == ["one", "two"]
     n = len(list(asked.iterdir()))
     (tmp_path / "down").unlink()
     got = {r.id: r.reply.title for r in synthesis.asked(s, rows, provider, "say").collect()}
     assert got[2] == "T" and [f.read_text() for f in asked.iterdir()].count("one") == 1 and len(list(asked.iterdir())) <= n + 2
 
 
+def test_a_job_without_an_answer_waits(spark, tmp_path):
+    """The turn that got no answer has no memory yet, its job is due later, and the log says so; then it succeeds."""
+    s = Store(spark, str(tmp_path / "store"))
+    writepath.take_in(s, batch(spark, *FIRST, *SECOND), T0)
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    (tmp_path / "down").touch()
+    runner, now = Runner(), [T0]
+    synthesis.register(runner, s, counting(str(asked), '{"title":"T"}'), lambda: now[0])
+    assert synthesis.run_jobs(s, runner, now[0]) == 3
+    rows = s.read("jobs").where("job_type = 'summarize_turn'").collect()
+    waits = [r for r in rows if r.state == "pending"]
+    assert len(waits) == 1 and (waits[0].attempts, waits[0].last_error, waits[0].available_at) == (1, "no answer", T0 + dt.timedelta(seconds=5))
+    assert s.read("memories").count() == 2 and [r.message for r in s.read("error_log").where("context like 'job/%'").collect()] == ["no answer"]
+    (tmp_path / "down").unlink()
+    now[0] += dt.timedelta(seconds=5)
+    synthesis.run_jobs(s, runner, now[0])
+    assert s.read("memories").count() == 3 and {r.state for r in s.read("jobs").where("job_type = 'summarize_turn'").collect()} == {"succeeded"}
+    sizes = {r.metric: r.n for r in s.diagnose().collect()}
+    assert sizes["memories"] == 3 and sizes["bytes"] == s.bytes() > 1000
+
+
 def test_the_loop(spark, tmp_path):
     """A runner that died holds leases; the next one takes them over, and works until nothing is due."""
     s = Store(spark, str(tmp_path / "store"))
@@ -251,6 +273,25 @@ def test_the_loop(spark, tmp_path):
     assert s.read("topics").first().summary == "sum"
 
 
+def test_service(spark, tmp_path):
+    """Records put while it runs become memories; a second start takes up what the first left."""
+    import time
+
+    from quern.service import Service
+
+    provider = Scripted([], '{"title":"T"}')
+    for k, rows in enumerate((FIRST, SECOND)):
+        one = Service(spark, str(tmp_path / "base"), provider, lambda: T0 + dt.timedelta(days=1))
+        one.start(every="1 second", poll=0.2)
+        one.start()  # runs already
+        one.put(rows)
+        end = time.monotonic() + 120
+        while time.monotonic() < end and one.store.done("intake") < k or k and one.store.read("memories").where("memory_kind = 'turn'").count() < 3:
+            time.sleep(1)
+        one.stop()
+    assert one.store.read("memories").where("memory_kind = 'turn'").count() == 3 and one.store.read("turns").count() == 3
+
+
 def test_digests_as_a_stream(spark, tiny, tmp_path):
     """Four files in time order with a restart after two: the digests of closed turns equal those of the batch, whatever lies in which file."""
     events = _tool_events(spark, tiny)
