@@ -138,7 +138,11 @@ def reciprocal_rank(*ranks: Column, k: int = 60) -> Column:
     return total
 
 
-def backoff(at: Column, attempts: Column, base_ms: int = 5000) -> Column:
+#: Fixed value: the first wait after a failure.
+BACKOFF_MS = 5000
+
+
+def backoff(at: Column, attempts: Column, base_ms: int = BACKOFF_MS) -> Column:
     """``at`` plus the base delay doubled with every attempt after the first."""
     return F.timestamp_add("MILLISECOND", (base_ms * F.pow(F.lit(2.0), attempts - 1)).cast("int"), at)
 

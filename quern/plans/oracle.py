@@ -239,6 +239,8 @@ SQL = {
     "runner_step": f"""WITH {JOBS}, j AS (SELECT *, 'old' AS last_error FROM v_jobs WHERE state <> 'leased'), l AS (SELECT id FROM j WHERE state = 'pending' ORDER BY priority, available_at, id LIMIT 40)
       SELECT id, CASE WHEN id NOT IN (SELECT id FROM l) THEN state WHEN job_type = 'type_0' THEN 'succeeded' WHEN job_type = 'type_1' AND attempts + 1 < 5 THEN 'pending' ELSE 'dead' END AS state,
         attempts + CASE WHEN id IN (SELECT id FROM l) THEN 1 ELSE 0 END AS attempts, CASE WHEN id NOT IN (SELECT id FROM l) OR job_type = 'type_0' THEN 'old' WHEN job_type = 'type_1' THEN 'boom' ELSE 'no handler registered' END AS last_error FROM j""",
+    "queue_timers": f"""WITH {JOBS}, k AS (SELECT DISTINCT coalesce('key:' || job_type || ':' || dedupe_key, 'id:' || id) AS key FROM v_jobs), n AS (SELECT key, length(key) % 3 AS n FROM k)
+      SELECT key, 'leased' AS event, 0 AS attempts, 0 AS second, NULL AS error FROM n UNION ALL SELECT key, CASE n WHEN 0 THEN 'succeeded' ELSE 'retry' END, 1, 10, CASE n WHEN 1 THEN 'boom' END FROM n WHERE n < 2 UNION ALL SELECT key, 'leased', 1, 15, NULL FROM n WHERE n = 1""",
     "prompt_items": f"""WITH {MEM}, n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY last_turn_at DESC, id) AS n_ FROM v_mem WHERE state = 'active')
       SELECT topic, string_agg(n_ || '. ' || title || ': ' || substr(repeat(memory_type, 40), 1, 160) || ' | Learned: ' || memory_type || CASE WHEN id % 2 = 0 AND repo IS NOT NULL THEN ' | Next: ' || repo ELSE '' END, chr(10) ORDER BY n_) AS prompt FROM n WHERE n_ <= 20 GROUP BY topic""",
     "prompt_topics": f"""WITH {LINKS}, u AS (SELECT scope_key, canonical_label, list_sort(list_distinct(list(alias))) AS al, max(linked_at) AS la FROM v_links GROUP BY 1, 2),

@@ -11,7 +11,7 @@ from quern.operators import artifacts, context, ingest, jobs, lookup, memory, nu
 from quern.plans import indexing, synthesis, writepath
 from quern.sources import fixtures, provider
 from quern.sources.store import Store, scratch
-from quern.streaming import attribution, digests, intake
+from quern.streaming import attribution, digests, intake, queue
 
 COLUMNS = ["title", "summary"]
 #: The moment that queue queries take as now.
@@ -316,6 +316,26 @@ def runner_step(spark, d):
     return out.select("id", "state", F.col("attempts").cast("long").alias("attempts"), "last_error")
 
 
+@query
+def queue_timers(spark, d):
+    """The queue as a stream over all jobs: leased when due, settled by outcomes, failures leased again after their wait; started four times on one checkpoint."""
+    base = scratch(spark, "queue")
+    j = fixtures.jobs(spark, d).select(queue.job_key(F.col("job_type"), F.col("dedupe_key"), F.col("id")).alias("key"), "id")
+    keys = j.groupBy("key").agg(F.min("id").alias("id")).withColumn("n", F.length("key") % 3)
+    at = lambda s: F.timestamp_seconds(F.lit(1_704_067_200 + s))
+    empty = {"max_attempts": F.lit(5), "ok": F.lit(None).cast("boolean"), "error": F.lit(None).cast("string")}
+    made = lambda rows, kind, s: rows.withColumns({"kind": F.lit(kind), "at": at(s)} | {k: v for k, v in empty.items() if k not in rows.columns})
+    tick = lambda s: made(spark.range(1).select(F.lit(f"tick{s}").alias("key"), "id"), "job", s)
+    said = keys.where("n < 2").withColumns({"ok": F.col("n") == 0, "error": F.when(F.col("n") == 1, "boom")})
+    names = [f.split()[0] for f in queue.IN.split(", ")]
+    for k, rows in enumerate((made(j, "job", 0), tick(2), made(said, "outcome", 10), tick(30))):
+        rows.select(*names).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(queue.IN).parquet(f"{base}/in").withWatermark("at", "0 seconds")
+        queue.queue_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(queue.OUT).parquet(f"{base}/out").where("key not like 'tick%'")
+    return out.select("key", "event", F.col("attempts").cast("long").alias("attempts"), (F.unix_seconds("at") - 1_704_067_200).alias("second"), "error")
+
+
 @query
 def prompt_items(spark, d):
     """The numbered items that a topic summary reads, and the topics that a new candidate is compared with."""
