@@ -207,14 +207,14 @@ class Store:
         for name in SCHEMAS:
             self.read(name).createOrReplaceTempView(name)
 
-    def diagnose(self) -> DataFrame:
-        """(metric, n) counts over the store."""
+    def diagnose(self, files: bool = False) -> DataFrame:
+        """(metric, n) counts over the store, and the size of its files where asked for."""
         count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
         m, j = self.read("memories"), self.read("jobs")
         out = count(self.read("turns"), "turns")
         for df, name in ((m, "memories"), (m.where("is_pinned"), "pinned"), (j.where("state = 'pending'"), "pending_jobs"), (self.read("topics"), "topics")):
             out = out.unionByName(count(df, name))
-        return out.unionByName(self.spark.createDataFrame([("bytes", self.bytes())], "metric string, n bigint"))
+        return out.unionByName(self.spark.createDataFrame([("bytes", self.bytes())], "metric string, n bigint")) if files else out
 
     def bytes(self) -> int:
         """Size of the current version's files."""

@@ -243,7 +243,7 @@ def test_a_job_without_an_answer_waits(spark, tmp_path):
     now[0] += dt.timedelta(seconds=5)
     synthesis.run_jobs(s, runner, now[0])
     assert s.read("memories").count() == 3 and {r.state for r in s.read("jobs").where("job_type = 'summarize_turn'").collect()} == {"succeeded"}
-    sizes = {r.metric: r.n for r in s.diagnose().collect()}
+    sizes = {r.metric: r.n for r in s.diagnose(files=True).collect()}
     assert sizes["memories"] == 3 and sizes["bytes"] == s.bytes() > 1000
 
 
