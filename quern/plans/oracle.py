@@ -227,6 +227,7 @@ SQL = {
     "write_path": _WRITTEN,
     "write_path_replayed": _WRITTEN,
     "intake_stream": _WRITTEN,
+    "intake_source": _WRITTEN,
     "memories_resumed": f"{_CLOSED} SELECT id, turn_id, 1 AS ordinal, prompt AS title, candidate AS topic_candidate, cwd AS cwd_scope, started_at AS first_turn_at, ended_at AS last_turn_at, 384 AS dimensions, 'topic:mem:' || id AS job FROM m",
     "stages_run": f"""{_CLOSED}, g AS (SELECT *, 'cwd:' || cwd AS scope_key, row_number() OVER (PARTITION BY cwd, candidate ORDER BY started_at, id) AS k, row_number() OVER (PARTITION BY cwd, candidate ORDER BY ended_at DESC, id) AS latest, count(*) OVER (PARTITION BY cwd, candidate) AS n FROM m),
       tp AS (SELECT scope_key, candidate, cwd, n, row_number() OVER (ORDER BY scope_key, candidate) AS topic_id FROM (SELECT DISTINCT scope_key, candidate, cwd, n FROM g)),

@@ -9,7 +9,7 @@ from quern import api
 from quern.functions import text as X
 from quern.operators import artifacts, context, ingest, jobs, lookup, memory, numbering, positional, search, topics, trace
 from quern.plans import indexing, synthesis, writepath
-from quern.sources import fixtures, provider
+from quern.sources import fixtures, hooks, provider
 from quern.sources.store import Store, scratch
 from quern.streaming import attribution, digests, intake, queue
 
@@ -242,6 +242,19 @@ def intake_stream(spark, d):
     return _taken(s)
 
 
+@query
+def intake_source(spark, d):
+    """The same through the data source of hook records, dropped in three lanes."""
+    base = scratch(spark, "intake")
+    s = Store(spark, f"{base}/store")
+    raw = _raw(spark, d)
+    for part in (raw.where(_early()), raw.where(~_early())):
+        for lane in ("a", "b", "c"):  # a session's records come by one lane; all of a part are one batch
+            hooks.publish(part.where(F.pmod(F.hash(F.get_json_object("value", "$.session_id")), F.lit(3)) == "abc".index(lane)), f"{base}/in", lane)
+        intake.start(s, hooks.stream(spark, f"{base}/in"), f"{base}/check", lambda: NOW, skip=["click"]).awaitTermination()
+    return _taken(s)
+
+
 def _worked(spark, d) -> DataFrame:
     """Raw records of sessions that work on few subjects in few folders."""
     e = fixtures.events(spark, d)

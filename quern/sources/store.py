@@ -59,6 +59,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file; False, and nothing happens, if the new name is taken."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.FileContext.getFileContext(jvm.Path(source).toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(jvm.Path(source), jvm.Path(target), spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+            raise
+        return False
+    return True
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -114,18 +127,12 @@ class Store:
 
     def _claim(self, number: int, content: dict) -> bool:
         """Makes a manifest the version of that number; False if another writer has it."""
-        temporary = self._path(f"{self.base}/_v.{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, False)
+        temporary = f"{self.base}/_v.{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(temporary), False)
         out.write(json.dumps(content).encode())
         out.close()
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        files = fs.FileContext.getFileContext(temporary.toUri(), self._conf)
-        try:
-            files.rename(temporary, self._path(f"{self.base}/v{number:012d}"), self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0))
-        except Py4JJavaError as e:
-            if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
-                raise
-            self._fs.delete(temporary, False)
+        if not renamed(self.spark, temporary, f"{self.base}/v{number:012d}"):
+            self._fs.delete(self._path(temporary), False)
             return False
         self._fs.delete(self._path(f"{self.base}/v{number - MANIFESTS:012d}"), False)
         return True
