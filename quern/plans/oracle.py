@@ -273,6 +273,8 @@ SQL = {
     "turns_by_ids": f"{TURNS} SELECT session_id || '#' || turn_no AS turn_id, started_at FROM turns WHERE turn_no % 4 = 1",
     "session_turns": f"{TURNS} SELECT session_id || '#' || turn_no AS turn_id, turn_no AS seq, ended FROM turns WHERE session_id = '7' ORDER BY turn_no DESC LIMIT 5",
     "turn_events": f"{ATTR} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS event_seq, hook FROM t WHERE session_id = '7' AND turn_no = 2",
+    "turns_bucketed": f"""{TURNS}, g AS (SELECT session_id, turn_no, max(event_id) AS last_event FROM t WHERE turn_no IS NOT NULL GROUP BY session_id, turn_no)
+      SELECT session_id, turn_no, started_at, ended, n_events, last_event, tool_event_count AS n_tools FROM turns JOIN g USING (session_id, turn_no)""",
     "turn_event_counts": f"{TURNS} SELECT session_id, turn_no, n_events AS n FROM turns",
     "topic_lookup": f"WITH {TOPICS} SELECT scope_key, canonical_label, memory_count FROM v_topics WHERE scope_key = 'Brand#2' AND canonical_label = 'small ring'",
     "turns_with_memory": f"{TURNS} SELECT CASE WHEN ended = 'stopped' AND turn_no % 2 = 0 THEN 'archived' ELSE ended END AS ended, ended = 'stopped' AS has_memory, count(*) AS n FROM turns GROUP BY 1, 2",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from quern import api
 from quern.functions import text as X
 from quern.operators import artifacts, context, ingest, jobs, lookup, memory, numbering, positional, search, topics, trace
 from quern.plans import indexing, synthesis, writepath
-from quern.sources import fixtures, hooks, provider
+from quern.sources import fixtures, hooks, layout, provider
 from quern.sources.store import Store, scratch
 from quern.streaming import attribution, digests, intake, queue
 
@@ -817,6 +819,17 @@ def turn_events(spark, d):
     return lookup.events_of_turn(ingest.event_sequence(_turned(spark, d)), "7", 2).select("event_id", F.col("event_seq").cast("long").alias("event_seq"), "hook")
 
 
+@query
+def turns_bucketed(spark, d):
+    """Turns with figures of their events, both laid out by turn: joined and grouped without an exchange."""
+    turned = _turned(spark, d).where("turn_no is not null")
+    key = ["session_id", "turn_no"]
+    run = uuid.uuid4().hex
+    laid = [layout.bucketed(x, f"quern_{n}_{run}", key, 16) for n, x in (("events", turned.select(*key, "event_id", "hook")), ("turns", ingest.turns(_turned(spark, d)).select(*key, "started_at", "ended")))]
+    figures = laid[0].groupBy(*key).agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_event"), F.count(F.when(F.col("hook") == ingest.TOOL, 1)).alias("n_tools"))
+    return laid[1].join(figures, key, "left").select("session_id", F.col("turn_no").cast("long").alias("turn_no"), "started_at", "ended", "n_events", "last_event", "n_tools")
+
+
 @query
 def turn_event_counts(spark, d):
     return lookup.event_counts(_turned(spark, d)).select("session_id", F.col("turn_no").cast("long").alias("turn_no"), "n")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.operators.ingest import sessions_folded
+from quern.sources.layout import bloom
 
 SCHEMAS = {
     "session_refs": "session_id string, cwd string, repo string, branch string, agent_name string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, last_turn_seq bigint, state string",
@@ -48,6 +49,9 @@ PARTS, MANIFESTS, WRITERS = 64, 32, 4
 OPEN = "open-"
 KEYS = {"session_refs": "session_id", "turns": "turn_id", "turn_events": "event_id", "turn_artifacts": "turn_id", "topics": "topic_id", "memories": "id", "memory_embeddings": "id", "jobs": "id"}
 
+#: Columns by which single rows are looked up while the table lies in another order.
+LOOKUPS = {"turns": ["turn_id", "session_id"], "turn_events": ["event_id", "turn_id"], "memories": ["id"], "memory_turn_links": ["memory_id", "turn_id"], "replies": ["key"]}
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where all run on this machine."""
@@ -122,7 +126,7 @@ class Store:
         part = prefix + (name or uuid.uuid4().hex)
         columns = StructType.fromDDL(SCHEMAS[table])
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns])
-        shaped.write.parquet(f"{self.base}/{table}/{part}")
+        shaped.write.options(**bloom(*LOOKUPS.get(table, []))).parquet(f"{self.base}/{table}/{part}")
         return part
 
     def _claim(self, number: int, content: dict) -> bool:
