@@ -251,6 +251,18 @@ def test_lm_blocks_agree(spark, docs, none):
     assert untrained.n_known == 0 and untrained.train_tokens == 0
 
 
+def test_lm_texts_unlike_many_copies(spark, tmp_path):
+    """A text of the same words in another order isn't scored below what its words give, however many copies were trained on; a copy keeps its score."""
+    said = [f"w{k}" for k in range(60)]
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 == 2]
+    text = F.when(F.col("doc_id") == held[0], " ".join(said[::-1])).when(F.col("doc_id") == held[1], "new words only").otherwise(" ".join(said))
+    spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text")).where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2) | F.col("doc_id").isin(*held[:3])).write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op4_backoff_lm(spark, str(tmp_path)), "doc_id")
+    assert len(got) == 400 - len(held) + 3 and all(math.isfinite(r.score) for r in got.values())
+    assert all(got[k].held_out and got[k].score > got[k].base_score - 0.31 for k in held[:3])
+    assert got[held[2]].score > got[held[2]].base_score + 90
+
+
 def test_byte_planes():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
     assert np.array_equal(lm.unpack_keys(lm.pack_keys(keys)), keys) and len(lm.unpack_keys(lm.pack_keys(keys[:0]))) == 0
