@@ -45,3 +45,25 @@ def test_leases_and_waits(spark, tmp_path):
     outcomes = spark.createDataFrame([(1, True, None), (2, False, "boom"), (4, False, "last"), (5, None, "no handler")], "id bigint, ok boolean, error string")
     batch = {r.id: (r.state, r.attempts, r.available_at) for r in jobs.finished(table, outcomes, F.lit(at(3)).cast("timestamp_ntz")).collect()}
     assert batch[1][:2] == ("succeeded", 1) and batch[2] == ("pending", 1, at(8)) and batch[3][0] == "leased" and batch[4][:2] == batch[5][:2] == ("dead", 1)
+
+
+def test_keys_share_calls(spark, tmp_path):
+    """Many jobs that are due at as many times, in no more calls than there are buckets: all are leased, those whose wait ends are leased again."""
+    n = 4 * queue.BUCKETS
+    name = F.concat(F.lit("k"), F.col("id").cast("string"))
+    message = lambda kind, s, ok: spark.range(n).select(name.alias("key"), F.lit(kind).alias("kind"), F.timestamp_seconds(1_704_067_200 + s).alias("at"), "id", F.lit(5).alias("max_attempts"), F.lit(ok).cast("boolean").alias("ok"), F.lit(None).cast("string").alias("error"))
+    tick = lambda s: message("job", F.lit(s), None).limit(1).withColumn("key", F.lit(f"tick{s}"))
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for rows in (message("job", F.col("id") % 7, None), tick(9), message("outcome", 10 + F.col("id") % 3, False), tick(30)):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(queue.IN).parquet(source).withWatermark("at", "0 seconds")
+        queue.queue_stream(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(queue.OUT).parquet(target).where("key not like 'tick%'").selectExpr("id", "event", "attempts", "unix_seconds(at) - 1704067200 as s")
+    want = spark.range(n).selectExpr("id", "explode(array(struct('leased', 0, id % 7), struct('retry', 1, 10 + id % 3), struct('leased', 1, 15 + id % 3))) as e").selectExpr("id", "e.col1 as event", "e.col2 as attempts", "e.col3 as s")
+    assert got.count() == 3 * n and got.exceptAll(want).count() == 0
+
+
+def test_a_bucket_holds_many_keys(spark):
+    messages = spark.createDataFrame([(f"k{k}", "job", T0, k, None, None, None) for k in range(5000)], queue.IN)
+    grouped = queue.queue_stream(messages)._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in grouped and messages.select(F.pmod(F.xxhash64("key"), F.lit(queue.BUCKETS))).distinct().count() <= queue.BUCKETS
