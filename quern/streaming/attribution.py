@@ -6,37 +6,42 @@ batches they count in order of arrival, so files have to arrive in time order fo
 results equal to those of the batch operator. There is no timeout: a late event is
 one without an open turn. Events without a session need no state and pass beside the
 machine; blank prompts and skipped tools change nothing, as in batch.
+
+A call of the machine costs milliseconds, so sessions share them by hash buckets.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
 
 from quern.functions.text import strip_private, strip_private_json, trim
 from quern.operators.ingest import PROMPT, STOP, disposed
 
 EVENTS = "event_id bigint, ts timestamp_ntz, session_id string, hook string, tool_name string, prompt string, payload_json string"
+#: Buckets of sessions; a checkpoint belongs to one number.
+BUCKETS = 1024
 OUT = "session_id string, event_id bigint, hook string, turn_no int, event_seq int, disposition string"
 
 
 class TurnMachine(StatefulProcessor):
-    """Takes events with ``said``: what becomes of them if a turn is open."""
+    """Takes events with ``said``, what becomes of them if a turn is open, of one bucket of sessions: a state of all its sessions, read and written once a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [StructField("open", BooleanType()), StructField("turn_no", IntegerType()), StructField("events", IntegerType())]
-        self.state = handle.getValueState("turn", StructType(fields))
+        self.state = handle.getValueState("turns", StructType().add("sessions", StringType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        is_open, turn, events = self.state.get() if self.state.exists() else (False, 0, 0)
+        sessions = json.loads(self.state.get()[0]) if self.state.exists() else {}  # session: [open, number of the turn, its events]
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for event_id, hook, what in zip(batch["event_id"], batch["hook"], batch["said"]):
+        numbers, places, outcomes = [], [], []
+        for session, hook, what in zip(batch["session_id"], batch["hook"], batch["said"]):
+            is_open, turn, events = sessions.get(session, (False, 0, 0))
             if what == "accepted" and hook == PROMPT:
                 is_open, turn, events = True, turn + 1, 1
             elif what == "accepted" and not is_open:
@@ -44,10 +49,12 @@ class TurnMachine(StatefulProcessor):
             elif what == "accepted":
                 events, is_open = events + 1, hook != STOP
             mine = what == "accepted"
-            out.append((key[0], event_id, hook, turn if mine else None, events if mine else None, what))
-        self.state.update((bool(is_open), int(turn), int(events)))
-        frame = pd.DataFrame(out, columns=["session_id", "event_id", "hook", "turn_no", "event_seq", "disposition"])
-        yield frame.astype({"turn_no": "Int32", "event_seq": "Int32"})
+            sessions[session] = (is_open, turn, events)
+            numbers.append(turn if mine else None)
+            places.append(events if mine else None)
+            outcomes.append(what)
+        self.state.update((json.dumps(sessions),))
+        yield batch[["session_id", "event_id", "hook"]].assign(turn_no=pd.array(numbers, "Int32"), event_seq=pd.array(places, "Int32"), disposition=outcomes)
 
     def close(self) -> None:
         pass
@@ -59,6 +66,11 @@ def rocksdb(spark: SparkSession) -> None:
     spark.streams.active  # noqa: B018
 
 
+def by_bucket(rows: DataFrame):
+    """Rows with a session, grouped by its bucket."""
+    return rows.where("session_id is not null").withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+
+
 def attribute_stream(events: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """A stream (or batch) of events with turn numbers and dispositions; sets the RocksDB state store.
 
@@ -68,7 +80,7 @@ def attribute_stream(events: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame
     blank = trim(F.coalesce("prompt", F.lit(""))) == "" if "prompt" in events.columns else F.lit(False)
     said = events.select("event_id", "ts", "session_id", "hook", disposed(blank, F.lit(True), list(skip)).alias("said"))
     none = said.where("session_id is null").select("session_id", "event_id", "hook", F.lit(None).cast("int").alias("turn_no"), F.lit(None).cast("int").alias("event_seq"), F.col("said").alias("disposition"))
-    machine = said.where("session_id is not null").groupBy("session_id").transformWithStateInPandas(TurnMachine(), OUT, "append", "none")
+    machine = by_bucket(said).transformWithStateInPandas(TurnMachine(), OUT, "append", "none")
     return machine.unionByName(none)
 
 
