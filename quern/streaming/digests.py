@@ -1,10 +1,10 @@
 """The digest of each turn as a stream: kept beside the turn's state, and sent on when the turn closes.
 
 The payloads are read once, by expressions, before the state machine sees a session's
-events. State of a session: the open turn (number, events, payload bytes), a map from
-each tool and each file to the place at which it came first, and the lists of commands
-and errors; lists and the files are bounded by their limits, tools count once each.
-Nothing is read again from the events that were stored.
+events. Sessions share calls and states by hash buckets. State of a session: the open
+turn (number, events, payload bytes), each tool and each file in order of coming first,
+and the lists of commands and errors; lists and the files are bounded by their limits,
+tools count once each. Nothing is read again from the events that were stored.
 
 Events of a micro-batch are ordered by (ts, event_id); batches count in order of arrival.
 A turn closes by a stop or by the next prompt of its session; an open one has no digest yet.
@@ -12,18 +12,19 @@ A turn closes by a stop or by the next prompt of its session; an open one has no
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import StringType, StructType
 
 from quern.functions.text import trim
 from quern.operators.artifacts import LIMITS, payload_facts
 from quern.operators.ingest import PROMPT, STOP, TOOL, disposed
-from quern.streaming.attribution import rocksdb
+from quern.streaming.attribution import by_bucket, rocksdb
 
 _LISTS = ", ".join(f"{k} array<string>" for k in LIMITS)
 OUT = f"session_id string, turn_no int, {_LISTS}, event_count bigint, total_payload_bytes bigint"
@@ -32,35 +33,32 @@ _EACH = ["commands", "error_signals"]
 
 
 class DigestMachine(StatefulProcessor):
-    """Takes events with ``said``, what becomes of them if a turn is open, and the facts of their payloads."""
+    """Takes events of one bucket of sessions with ``said``, what becomes of them if a turn is open, and the facts of their payloads."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turn = handle.getValueState("turn", StructType().add("open", BooleanType()).add("turn_no", IntegerType()).add("events", LongType()).add("bytes", LongType()))
-        value, place = StructType().add("value", StringType()), StructType().add("place", IntegerType())
-        # a tool or file, and the place at which it came first in its turn
-        self.once = {k: handle.getMapState(k, value, place) for k in ("tool_names", "files_touched")}
-        self.each = {k: handle.getListState(k, value) for k in _EACH}
+        self.state = handle.getValueState("turns", StructType().add("sessions", StringType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        is_open, turn, events, size = self.turn.get() if self.turn.exists() else (False, 0, 0, 0)
-        lists = self._load() if is_open else self._none()
+        # session: [open, number of the turn, its events, its bytes, its lists]; tools and files are keys in order of coming first
+        sessions = json.loads(self.state.get()[0]) if self.state.exists() else {}
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         out = []
         for e in batch.itertuples(index=False):
+            is_open, turn, events, size, lists = sessions.get(e.session_id) or (False, 0, 0, 0, None)
             if e.said != "accepted" or not (e.hook == PROMPT or is_open):
                 continue
             if e.hook == PROMPT:
                 if is_open:
-                    out.append((key[0], turn, *map(list, lists.values()), events, size))
+                    out.append((e.session_id, turn, *map(list, lists.values()), events, size))
                 is_open, turn, events, size, lists = True, turn + 1, 0, 0, self._none()
             events, size = events + 1, size + int(e.n_bytes)
             if e.hook == TOOL:
                 self._note(lists, e)
             if e.hook == STOP:
-                out.append((key[0], turn, *map(list, lists.values()), events, size))
-                is_open = False
-        self._save(lists if is_open else self._none())
-        self.turn.update((bool(is_open), int(turn), int(events), int(size)))
+                out.append((e.session_id, turn, *map(list, lists.values()), events, size))
+                is_open, lists = False, None
+            sessions[e.session_id] = (is_open, turn, events, size, lists)
+        self.state.update((json.dumps(sessions),))
         yield pd.DataFrame(out, columns=["session_id", "turn_no", *LIMITS, "event_count", "total_payload_bytes"])
 
     @staticmethod
@@ -79,26 +77,6 @@ class DigestMachine(StatefulProcessor):
                 else:
                     lists[k].setdefault(v, len(lists[k]))
 
-    def _load(self) -> dict[str, dict | list]:
-        """The open turn's lists from the state, in their order."""
-        out = self._none()
-        for k, state in self.once.items():
-            out[k] = dict(sorted(((v[0], place[0]) for v, place in state.iterator()), key=lambda x: x[1])) if state.exists() else {}
-        for k, state in self.each.items():
-            out[k] = [v[0] for v in state.get()] if state.exists() else []
-        return out
-
-    def _save(self, lists: dict) -> None:
-        for k, state in self.once.items():
-            state.clear()
-            for v, place in lists[k].items():
-                state.updateValue((v,), (place,))
-        for k, state in self.each.items():
-            if lists[k]:
-                state.put([(v,) for v in lists[k]])
-            else:
-                state.clear()
-
     def close(self) -> None:
         pass
 
@@ -112,4 +90,4 @@ def digest_stream(events: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
         "event_id", "ts", "session_id", "hook", "tool_name", disposed(blank, F.lit(True), list(skip)).alias("said"), F.coalesce(F.octet_length("payload_json"), F.lit(0)).cast("long").alias("n_bytes"),
         *[c.alias(k) for k, c in payload_facts().items()],
     )
-    return said.groupBy("session_id").transformWithStateInPandas(DigestMachine(), OUT, "append", "none")
+    return by_bucket(said).transformWithStateInPandas(DigestMachine(), OUT, "append", "none")

@@ -1,8 +1,9 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quern.operators import ingest
 from quern.sources import fixtures
-from quern.streaming import attribution
+from quern.streaming import attribution, digests
 
 
 def test_stream_equals_batch(spark, tiny, tmp_path):
@@ -25,3 +26,36 @@ def test_accept(spark):
     got = [(r.event_id, r.session_id, r.hook, r.prompt) for r in attribution.accept(raw).collect()]
     assert got == [(1, "s", "stop", None), (None, None, None, None), (2, None, None, "a [REDACTED]")]
     assert "<private>" not in str(attribution.accept(raw).select("payload_json").collect())
+
+
+class Held:
+    """A value state in memory."""
+
+    value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_sessions_share_a_call():
+    """One call takes the events of several sessions, goes on with each one's turn in the next batch, and keeps one state."""
+    facts = {"tool_name": "t", "n_bytes": 2, "files": None, "command": None, "error": None}
+    frame = lambda *rows: pd.DataFrame([dict(zip(("event_id", "ts", "session_id", "hook", "said"), (k, pd.Timestamp(k, unit="s"), s, h, "accepted"))) | facts for k, s, h in rows])
+    batches = [frame((2, "b", ingest.PROMPT), (1, "a", ingest.PROMPT), (3, "a", ingest.TOOL)), frame((4, "b", ingest.STOP), (5, "a", ingest.STOP), (6, "a", ingest.TOOL))]
+    turned, closed = [], []
+    for machine, out in ((attribution.TurnMachine(), turned), (digests.DigestMachine(), closed)):
+        machine.init(Held())
+        for b in batches:
+            for part in machine.handleInputRows((0,), iter([b]), None):
+                out += part.itertuples(index=False)
+    assert [(r.session_id, r.event_id, r.turn_no, r.event_seq) for r in turned[:5]] == [("a", 1, 1, 1), ("b", 2, 1, 1), ("a", 3, 1, 2), ("b", 4, 1, 2), ("a", 5, 1, 3)] and turned[5].disposition == "no_open_turn"
+    assert [(r.session_id, r.turn_no, r.tool_names, r.event_count, r.total_payload_bytes) for r in closed] == [("b", 1, [], 2, 4), ("a", 1, ["t"], 3, 6)]
