@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import ascii_lower, cosine, reciprocal_rank
+from quern.sources.store import scratch
 
 K1, B = 1.2, 0.75
 RRF_K, LEAST_COSINE = 60, 0.2
@@ -177,14 +178,16 @@ class TextIndex:
     postings: DataFrame
 
     def candidates(self, terms: list[Term]) -> DataFrame:
-        """Ids of the rows that have all trigrams of one of the terms: a superset of those with the term."""
-        found = None
-        for t in terms:
-            low = t.text.lower()
-            grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-            some = self.postings.where(F.col("tri").isin(*grams)).groupBy("id").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(grams)).select("id")
-            found = some if found is None else found.unionByName(some)
-        return found.distinct()
+        """Ids of the rows that have all trigrams of one of the terms: a superset of those with the term. The postings are read once, and the ids kept in a file."""
+        lows = [t.text.lower() for t in terms]
+        each = [sorted({low[i : i + 3] for i in range(len(low) - 2)}) for low in lows]
+        wanted = sorted({g for grams in each for g in grams})
+        rows = self.postings.where(F.col("tri").isin(*wanted)).groupBy("id").agg(F.collect_set("tri").alias("tris"))
+        has = [F.size(F.array_intersect("tris", F.array(*map(F.lit, grams)))) == len(grams) for grams in each]
+        found = rows.where(reduce(Column.__or__, has)).select("id")
+        path = scratch(found.sparkSession, "candidates")
+        found.write.parquet(path)
+        return found.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def _length(columns: list[str]) -> Column:
@@ -196,8 +199,11 @@ def text_index(memories: DataFrame, columns: list[str]) -> TextIndex:
     """The index of memories. Trigrams are taken inside one column, in lower case, each once for a row."""
 
     def grams(c: str) -> Column:
-        low = F.lower(F.coalesce(c, F.lit("")))
-        return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3))).otherwise(F.array().cast("array<string>"))
+        # three arrays of characters, moved: a lambda that names a whole text works it out anew for each trigram
+        characters = F.split(F.lower(F.coalesce(c, F.lit(""))), "")
+        first, second, third = (F.slice(characters, k, F.greatest(F.size(characters) - 2, F.lit(0))) for k in (1, 2, 3))
+        joined = lambda a, b: F.concat(a, b)
+        return F.zip_with(F.zip_with(first, second, joined), third, joined)
 
     postings = memories.select("id", F.explode(F.array_distinct(F.concat(*[grams(c) for c in columns]))).alias("tri"))
     return TextIndex(memories.select("id", _length(columns).cast("long").alias("dl")), postings.select("tri", "id"))

@@ -1,6 +1,7 @@
 """The positional index against plain counts and against the search that reads the texts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,14 @@ def test_kept_in_step(spark, rows, tmp_path):
     s.change("memories", s.read("memories").where("id in (3, 120)").withColumn("title", F.lit("zaaaz")))
     assert ids() == want() and {3, 120} <= ids()
     assert indexing.refresh(s) == 2 and indexing.stored_index(s) is not None and ids() == want() and s.read("memory_lengths").count() == 150
+
+
+def test_trigrams_of_long_texts(spark):
+    """Work follows the length of a text, and the trigrams are those of its characters."""
+    long = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(300_000))
+    texts = {1: long, 2: "aB\U0001f600cé", 3: "ab", 4: None, 5: ""}
+    rows = spark.createDataFrame(list(texts.items()), "id bigint, title string")
+    begin = time.monotonic()
+    got = {(r.tri, r.id) for r in search.text_index(rows, ["title"]).postings.collect()}
+    assert time.monotonic() - begin < 30
+    assert got == {(t.lower()[i : i + 3], k) for k, t in texts.items() if t for i in range(len(t) - 2)}
