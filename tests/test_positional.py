@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,16 @@ def test_trigrams_of_long_texts(spark):
     got = {(r.tri, r.id) for r in search.text_index(rows, ["title"]).postings.collect()}
     assert time.monotonic() - begin < 30
     assert got == {(t.lower()[i : i + 3], k) for k, t in texts.items() if t for i in range(len(t) - 2)}
+
+
+@pytest.mark.parametrize("letters", [5, 0x10FFFF])
+def test_grams_by_either_sort(letters):
+    """Few letters are packed into one number, many are not: the groups are those of a plain count."""
+    r = np.random.default_rng(3)
+    points, row, at = r.integers(0, letters, 90_000), np.arange(90_000) // 30, np.arange(90_000) % 30
+    key, rows, offsets, places = positional._grams(points, row, at)
+    want = {}
+    for k in range(len(points) - 2):
+        if row[k] == row[k + 2]:
+            want.setdefault((row[k], points[k] << 42 | points[k + 1] << 21 | points[k + 2]), []).append(at[k])
+    assert {(rows[k], key[k]): places[offsets[k] : offsets[k + 1]].tolist() for k in range(len(key))} == want and len(key) == len(want)
