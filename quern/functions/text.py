@@ -47,11 +47,12 @@ def strip_private_json(c: Column) -> Column:
     def clean(column: pa.Array) -> pa.Array:
         import re
 
-        span = re.compile("<private>.*?</private>", re.I | re.S)
+        span = re.compile("<private>.*?</private>", re.I | re.S).sub
+        written = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode  # made once: json.dumps makes one for each call
 
         def walk(x):
             if isinstance(x, str):
-                return span.sub(REDACTED, x)
+                return span(REDACTED, x) if "<" in x else x
             if isinstance(x, list):
                 return [walk(y) for y in x]
             return {k: walk(v) for k, v in x.items()} if isinstance(x, dict) else x
@@ -59,7 +60,7 @@ def strip_private_json(c: Column) -> Column:
         out = []
         for text in column.to_pylist():
             try:
-                out.append(text if text is None or "<" not in text else json.dumps(walk(json.loads(text)), ensure_ascii=False, separators=(",", ":")))
+                out.append(text if text is None or "<" not in text else written(walk(json.loads(text))))
             except ValueError:
                 out.append(text)
         return pa.array(out, pa.string())

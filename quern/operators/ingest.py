@@ -1,9 +1,10 @@
 """Turn attribution in batch: hook events become turns by running aggregates over each session.
 
 Columns: event_id, ts, session_id, hook, tool_name, payload_json. Events of a
-session are ordered by (ts, event_id). The running aggregates are taken in chunks of
-``CHUNK`` and carried over by one row for each chunk, so a session with a large share
-of all events is spread over tasks; events without a session take no part in them.
+session are ordered by (ts, event_id). In sessions of more than ``LARGE`` events the
+running aggregates are taken in chunks of ``CHUNK`` and carried over by one row for each
+chunk, so a session with a large share of all events is spread over tasks; smaller ones
+are one chunk each. Events without a session take no part in them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from quern.functions.text import skipped, trim
 PROMPT, TOOL, STOP = "userPromptSubmit", "postToolUse", "stop"
 #: Span of time in which events of a session are numbered together.
 CHUNK = "HOUR"
+#: Events of a session up to which it is one chunk.
+LARGE = 4096
+_FIRST = "TIMESTAMP_NTZ'-100000-01-01 00:00:00'"
 
 
 def disposed(empty: Column, is_open: Column, skip: list[str] | None = None) -> Column:
@@ -32,43 +36,59 @@ def disposed(empty: Column, is_open: Column, skip: list[str] | None = None) -> C
     )
 
 
-def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str | None = None) -> DataFrame:
+def _chunked(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_chunk``, and those of large sessions alone, with some columns."""
+    sizes = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("_size"))
+    large = F.broadcast(sizes.where(F.col("_size") > LARGE).select("session_id", F.lit(True).alias("_large")))  # one row for LARGE events at most
+    hour = F.coalesce(F.date_trunc(CHUNK, "ts").cast("timestamp_ntz"), F.expr(_FIRST))
+    chunks = rows.join(large, "session_id", "left").withColumn("_chunk", F.when(F.col("_large"), hour).otherwise(F.expr(_FIRST))).drop("_large")
+    return chunks, rows.select("session_id", "ts", *columns).join(large, "session_id").withColumn("_chunk", hour).drop("_large")
+
+
+def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str | None = None, placed: tuple[str, ...] | None = None) -> DataFrame:
     """Each event with its turn number and disposition.
 
     A prompt opens a turn, closing an open one; a tool call or stop belongs to the
     open turn, or to none: ``no_open_turn``. Missing sessions, skipped tools and
-    empty prompts (where ``prompt_col`` names the text) change nothing.
+    empty prompts (where ``prompt_col`` names the text) change nothing. With ``placed``
+    there are ``_chunk`` and ``_place``, an event's number among those of its chunk and
+    turn that have the same values in these columns.
     """
     hook = F.col("hook")
     empty = (trim(F.coalesce(F.col(prompt_col), F.lit(""))) == "") if prompt_col else F.lit(False)
     prompt = (hook == PROMPT) & ~empty
     marker = F.when(prompt, True).when(hook == STOP, False)
-    known = events.where("session_id is not null").withColumn("_chunk", F.date_trunc(CHUNK, "ts"))
+    known, large = _chunked(events.where("session_id is not null"), "event_id", "hook", *([prompt_col] if prompt_col else []))
     order = Window.partitionBy("session_id", "_chunk").orderBy("ts", "event_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     inside = known.withColumn("_open", F.last(marker, ignorenulls=True).over(before)).withColumn("_n", F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.struct("ts", "event_id")
-    totals = known.groupBy("session_id", "_chunk").agg(F.max_by(marker, F.when(marker.isNotNull(), place)).alias("_last"), F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).alias("_prompts"))
+    totals = large.groupBy("session_id", "_chunk").agg(F.max_by(marker, F.when(marker.isNotNull(), place)).alias("_last"), F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).alias("_prompts"))
     earlier = Window.partitionBy("session_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("session_id", "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_was"), F.coalesce(F.sum("_prompts").over(earlier), F.lit(0)).alias("_base"))
-    joined = inside.alias("i").join(carried.alias("c"), F.expr("i.session_id = c.session_id and i._chunk <=> c._chunk")).select("i.*", "c._was", "c._base")
-    seen = joined.select(*events.columns, F.coalesce("_open", "_was", F.lit(False)).alias("_open"), (F.col("_n") + F.col("_base")).cast("long").alias("turn_no"))
-    none = events.where("session_id is null").select(*events.columns, F.lit(False).alias("_open"), F.lit(None).cast("long").alias("turn_no"))
+    joined = inside.join(carried, ["session_id", "_chunk"], "left")
     disposition = disposed(empty, F.col("_open"), skip)
-    out = seen.unionByName(none).withColumn("disposition", disposition)
-    return out.withColumn("turn_no", F.when(F.col("disposition") == "accepted", F.col("turn_no"))).drop("_open")
+    accepted = F.when(F.col("disposition") == "accepted", (F.col("_n") + F.coalesce("_base", F.lit(0))).cast("long"))
+    seen = joined.withColumn("_open", F.coalesce("_open", "_was", F.lit(False))).withColumn("disposition", disposition).withColumn("turn_no", accepted)
+    none = events.where("session_id is null").withColumn("_open", F.lit(False)).withColumns({"disposition": disposition, "turn_no": F.lit(None).cast("long")})
+    more = []
+    if placed is not None:
+        more = ["_chunk", "_place"]
+        seen = seen.withColumn("_place", F.row_number().over(Window.partitionBy("session_id", "_chunk", "turn_no", *placed).orderBy("ts", "event_id")))
+        none = none.withColumns({"_chunk": F.lit(None).cast("timestamp_ntz"), "_place": F.lit(None).cast("int")})
+    columns = [*events.columns, *more, "turn_no", "disposition"]
+    return seen.select(*columns).unionByName(none.select(*columns))
 
 
 def event_sequence(turned: DataFrame) -> DataFrame:
-    """Gapless number, from 1, of each attached event in its turn: numbered by chunks of time, as one turn may be long."""
-    rows = turned.where("turn_no is not null").withColumn("_chunk", F.date_trunc(CHUNK, "ts"))
+    """Gapless number, from 1, of each attached event in its turn: numbered by chunks of time where a session is large, as one turn may be long."""
+    rows, large = _chunked(turned.where("turn_no is not null"), "turn_no")
     order = Window.partitionBy("session_id", "turn_no", "_chunk").orderBy("ts", "event_id")
-    sizes = rows.groupBy("session_id", "turn_no", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = large.groupBy("session_id", "turn_no", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy("session_id", "turn_no").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = sizes.select("session_id", "turn_no", "_chunk", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
-    same = F.expr("i.session_id = c.session_id and i.turn_no = c.turn_no and i._chunk <=> c._chunk")
-    numbered = rows.withColumn("_r", F.row_number().over(order)).alias("i").join(carried.alias("c"), same)
-    return numbered.select(*[F.col(f"i.{c}") for c in turned.columns], (F.col("i._r") + F.col("c._base")).cast("long").alias("event_seq"))
+    numbered = rows.withColumn("_r", F.row_number().over(order)).join(carried, ["session_id", "turn_no", "_chunk"], "left")
+    return numbered.select(*turned.columns, (F.col("_r") + F.coalesce("_base", F.lit(0))).cast("long").alias("event_seq"))
 
 
 def turns(turned: DataFrame) -> DataFrame:
