@@ -251,8 +251,8 @@ def intake_source(spark, d):
     s = Store(spark, f"{base}/store")
     raw = _raw(spark, d)
     for part in (raw.where(_early()), raw.where(~_early())):
-        for lane in ("a", "b", "c"):  # a session's records come by one lane; all of a part are one batch
-            hooks.publish(part.where(F.pmod(F.hash(F.get_json_object("value", "$.session_id")), F.lit(3)) == "abc".index(lane)), f"{base}/in", lane)
+        k = F.pmod(F.hash(F.get_json_object("value", "$.session_id")), F.lit(3))  # a session's records come by one lane; all of a part are one batch
+        hooks.publish_lanes(part.withColumn("lane", F.substring(F.lit("abc"), k + 1, F.lit(1))), f"{base}/in")
         intake.start(s, hooks.stream(spark, f"{base}/in"), f"{base}/check", lambda: NOW, skip=["click"]).awaitTermination()
     return _taken(s)
 

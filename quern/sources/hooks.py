@@ -26,17 +26,19 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quern.sources.store import renamed
 
 SCHEMA = "value string, lane string, number bigint"
-#: Files of a folder below a lane, files that one task reads, bytes read at once.
-FOLDER, FILES, BYTES = 1000, 16, 1 << 20
+#: Files of a folder below a lane, files that one task reads at most, tasks from which it reads several, bytes read at once.
+FOLDER, FILES, TASKS, BYTES = 1000, 16, 64, 1 << 20
 
 
 def _file(lane: str, number: int) -> str:
@@ -97,7 +99,9 @@ class _Folder:
 
 
 def _parts(start: dict, end: dict) -> list[Files]:
-    return [Files(lane, at, min(at + FILES, stop)) for lane, stop in sorted(end.items()) for at in range(start.get(lane, 0), stop, FILES)]
+    """Tasks: a file each where there are few, as a few may hold much."""
+    most = min(FILES, max(1, sum(stop - start.get(lane, 0) for lane, stop in end.items()) // TASKS))
+    return [Files(lane, at, min(at + most, stop)) for lane, stop in sorted(end.items()) for at in range(start.get(lane, 0), stop, most)]
 
 
 def dealt(waiting: dict[str, int], most: int) -> dict[str, int]:
@@ -213,23 +217,30 @@ def publish(rows: DataFrame, folder: str, lane: str = "main") -> int:
     The driver only renames files. If it stops in between, the files it got to are there,
     and publishing the rest again is the caller's: records that come twice are told by their ids.
     """
+    return publish_lanes(rows.select("value", F.lit(lane).alias("lane")), folder)
+
+
+def publish_lanes(rows: DataFrame, folder: str) -> int:
+    """The same for records of several lanes, named in ``lane``: their rows are computed and written once, not once for each lane."""
     spark = rows.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     hidden = f"{folder}/_new-{uuid.uuid4().hex}"
-    rows.select("value").write.text(hidden)
+    rows.select("value", "lane").write.partitionBy("lane").text(hidden)
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     names = lambda p: sorted(f.getPath().getName() for f in fs.globStatus(path(p)) or [])
-    number = 0
-    if thousands := names(f"{folder}/{lane}/*"):
-        files = names(f"{folder}/{lane}/{thousands[-1]}/*.json")
-        number = int(files[-1].split(".")[0]) + 1 if files else int(thousands[-1]) * FOLDER
-    found = names(f"{hidden}/part-*")
-    for file in found:
-        while True:
-            target = f"{folder}/{_file(lane, number)}"
-            fs.mkdirs(path(target).getParent())
-            number += 1
-            if renamed(spark, f"{hidden}/{file}", target):
-                break  # else another writer has the number
+    total = 0
+    for part in names(f"{hidden}/lane=*"):
+        lane, number = unquote(part.split("=", 1)[1]), 0
+        if thousands := names(f"{folder}/{lane}/*"):
+            files = names(f"{folder}/{lane}/{thousands[-1]}/*.json")
+            number = int(files[-1].split(".")[0]) + 1 if files else int(thousands[-1]) * FOLDER
+        for file in names(f"{hidden}/{part}/part-*"):
+            while True:
+                target = f"{folder}/{_file(lane, number)}"
+                fs.mkdirs(path(target).getParent())
+                number += 1
+                if renamed(spark, f"{hidden}/{part}/{file}", target):
+                    break  # else another writer has the number
+            total += 1
     fs.delete(path(hidden), True)
-    return len(found)
+    return total
