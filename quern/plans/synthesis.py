@@ -66,8 +66,9 @@ def asked(store: Store, rows: DataFrame, provider: P.Provider, system: str, sche
     answered = new.where("said is not null")
     if answered.take(1):
         store.commit(add={"replies": answered})
-    every = known.select("key", "said").unionByName(new).select(F.col("key").alias("_key"), "said")
-    return keyed.join(every, "_key", "left").withColumns({"reply": parsed_reply(F.col("said"), schema), "answered": F.col("said").isNotNull()}).drop("_key", "_prompt", "said")
+    every = known.select("key", "said").unionByName(new)
+    read = every.select(F.col("key").alias("_key"), parsed_reply(F.col("said"), schema).alias("reply"), F.col("said").isNotNull().alias("answered"))  # once, not for each row that asks the same
+    return keyed.join(read, "_key", "left").withColumn("answered", F.coalesce("answered", F.lit(False))).drop("_key", "_prompt")
 
 
 def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only: DataFrame | None = None, language: str = "en", as_of=None) -> DataFrame:
@@ -93,13 +94,18 @@ def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only
     return new.select("id")
 
 
-def _commit(store: Store, add: dict[str, DataFrame], last: dict[str, int], then: DataFrame | None, drop: dict[str, list[str]] | None = None) -> None:
-    """One commit of a stage's rows and the jobs that follow; then the text index takes in what changed."""
+def _commit(store: Store, add: dict[str, DataFrame], last: dict[str, int], then: DataFrame | None, drop: dict[str, list[str]] | None = None, placed: dict[str, str] | None = None) -> None:
+    """One commit of a stage's rows and the jobs that follow; then the text index takes in what is new.
+
+    Memories that are put in place of others have the same ids and texts; new ones are ``placed`` beside them.
+    """
+    name = uuid.uuid4().hex
+    note = indexing.carried(drop["memories"], name) if drop else None
     opened = {}
     if then is not None:
         queue, last_job = new_jobs(store, then)
         opened, last = {"jobs": queue}, last | {"jobs": last_job}
-    store.commit(add=add, opened=opened, drop=drop, last=last)
+    store.commit(add=add, opened=opened, drop=drop, last=last, note=note, name=name, placed=placed)
     if "memories" in add:
         indexing.refresh(store)
 
@@ -117,15 +123,15 @@ def normalise_topics(store: Store, provider: P.Provider, as_of, only: DataFrame
         todo = todo.join(only.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi")
     live = known.where("status = 'active'")
     hits = topics.matched(todo, live)
-    misses = hits.where("topic_id is null").select("memory_id", "scope_key", "candidate")
+    misses = hits.where("topic_id is null").select("memory_id", "scope_key", "candidate", match_form(F.col("candidate")).alias("_form"))
     listed = live.withColumn("_r", F.row_number().over(Window.partitionBy("scope_key").orderBy(F.col("last_active_at").desc(), "topic_id"))).where("_r <= 30").groupBy("scope_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "canonical_label", "aliases"))), lambda t: F.struct(t["canonical_label"].alias("canonical_label"), t["aliases"].alias("aliases"))).alias("_known"))
     ask = misses.join(listed, "scope_key", "left")
     say = P.PROMPTS[language]
     prompt = F.concat(F.lit(say["candidate"]), "candidate", F.lit(say["topics"]), F.coalesce(P.topic_choices(F.col("_known")), F.lit("(none)")))
-    replies = asked(store, ask.select("memory_id", "scope_key", "candidate", prompt.alias("_prompt")), provider, say["normalise"], TOPIC_REPLY)
+    replies = asked(store, ask.select("memory_id", "scope_key", "candidate", "_form", prompt.alias("_prompt")), provider, say["normalise"], TOPIC_REPLY).where("answered")
     # a candidate spelt in several ways within one batch is one new topic
-    first = Window.partitionBy("scope_key", match_form(F.col("candidate"))).orderBy("memory_id")
-    fresh = replies.where("answered").withColumn("_first", F.first("candidate").over(first))
+    first = replies.groupBy("scope_key", "_form").agg(F.min_by("candidate", "memory_id").alias("_first"))
+    fresh = replies.join(first, ["scope_key", "_form"])
     none = F.array().cast("array<string>")
     named = fresh.select("memory_id", "scope_key", F.coalesce("reply.canonical_label", "_first").alias("canonical_label"), F.coalesce("reply.aliases", F.when(F.col("candidate") != F.col("_first"), F.array("candidate")), none).alias("aliases"))
     links = hits.where("topic_id is not null").select("memory_id", "scope_key", "canonical_label", F.col("new_aliases").alias("aliases")).unionByName(named).withColumn("linked_at", F.lit(as_of).cast("timestamp_ntz"))
@@ -199,7 +205,8 @@ def merge_clusters(store: Store, provider: P.Provider, only: DataFrame | None =
     gone = _kept(store, "superseded", memories.join(sources.select(F.col("memory_id").alias("id")).distinct(), "id", "left_semi").withColumn("state", F.lit("superseded")))
     names, whole = store.patched("memories", gone)
     out = new.select("topic_id", F.col("id").alias("merged_id"))
-    _commit(store, {"memories": whole.unionByName(new, allowMissingColumns=True), "memory_turn_links": fresh_links}, {"memories": top + made.count()}, jobs.merged_jobs(out, as_of) if as_of is not None else None, {"memories": names})
+    part = store._put("memories", new)
+    _commit(store, {"memories": whole, "memory_turn_links": fresh_links}, {"memories": top + made.count()}, jobs.merged_jobs(out, as_of) if as_of is not None else None, {"memories": names}, {"memories": part})
     return out
 
 
