@@ -45,14 +45,14 @@ def _chunked(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return chunks, rows.select("session_id", "ts", *columns).join(large, "session_id").withColumn("_chunk", hour).drop("_large")
 
 
-def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str | None = None, placed: tuple[str, ...] | None = None) -> DataFrame:
+def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str | None = None, placed: Column | None = None) -> DataFrame:
     """Each event with its turn number and disposition.
 
     A prompt opens a turn, closing an open one; a tool call or stop belongs to the
     open turn, or to none: ``no_open_turn``. Missing sessions, skipped tools and
     empty prompts (where ``prompt_col`` names the text) change nothing. With ``placed``
     there are ``_chunk`` and ``_place``, an event's number among those of its chunk and
-    turn that have the same values in these columns.
+    turn for which it holds; all aggregates take the events in one order, so they are sorted once.
     """
     hook = F.col("hook")
     empty = (trim(F.coalesce(F.col(prompt_col), F.lit(""))) == "") if prompt_col else F.lit(False)
@@ -62,6 +62,12 @@ def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str
     order = Window.partitionBy("session_id", "_chunk").orderBy("ts", "event_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     inside = known.withColumn("_open", F.last(marker, ignorenulls=True).over(before)).withColumn("_n", F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if placed is not None:
+        # before a chunk's first prompt or stop its events all belong to the turn that goes on, or none does
+        counts = ((disposed(empty, F.coalesce("_open", F.lit(True)), skip) == "accepted") & placed).cast("int")
+        inside = inside.withColumn("_mine", counts).withColumn("_seen", F.sum("_mine").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        opened = F.last(F.when(prompt, F.col("_seen") - F.col("_mine")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        inside = inside.withColumn("_place", (F.col("_seen") - F.coalesce(opened, F.lit(0))).cast("int"))
     place = F.struct("ts", "event_id")
     totals = large.groupBy("session_id", "_chunk").agg(F.max_by(marker, F.when(marker.isNotNull(), place)).alias("_last"), F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).alias("_prompts"))
     earlier = Window.partitionBy("session_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +80,6 @@ def attributed(events: DataFrame, skip: list[str] | None = None, prompt_col: str
     more = []
     if placed is not None:
         more = ["_chunk", "_place"]
-        seen = seen.withColumn("_place", F.row_number().over(Window.partitionBy("session_id", "_chunk", "turn_no", *placed).orderBy("ts", "event_id")))
         none = none.withColumns({"_chunk": F.lit(None).cast("timestamp_ntz"), "_place": F.lit(None).cast("int")})
     columns = [*events.columns, *more, "turn_no", "disposition"]
     return seen.select(*columns).unionByName(none.select(*columns))

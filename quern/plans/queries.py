@@ -113,7 +113,10 @@ def stream_turns(spark, d):
 
 def _raw(spark, d) -> DataFrame:
     """Raw hook records as JSON text: some without a session, some blank prompts, private spans in all."""
-    e = fixtures.events(spark, d)
+    return _written(fixtures.events(spark, d))
+
+
+def _written(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     said = F.when(F.col("hook") == "userPromptSubmit", F.when(i % 13 == 0, "  ").otherwise(F.concat(F.lit("ask <private>k</private> "), i.cast("string"))))
     fields = F.struct(
@@ -183,8 +186,11 @@ def stream_artifacts(spark, d):
     return t.select("session_id", F.col("turn_no").cast("long").alias("turn_no"), *[F.array_join(c, "|").alias(c) for c in artifacts.LIMITS], "event_count", "total_payload_bytes")
 
 
-def _early() -> Column:
-    return F.get_json_object("value", "$.ts") < "2024-01-15"
+def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Raw records of before 15 January, and those since then."""
+    e = fixtures.events(spark, d)
+    early = F.col("ts") < F.lit("2024-01-15").cast(e.schema["ts"].dataType)  # told by the table, before any JSON is written
+    return _written(e.where(early)), _written(e.where(~early))
 
 
 def _taken(s: Store) -> DataFrame:
@@ -198,8 +204,7 @@ def _taken(s: Store) -> DataFrame:
 def write_path(spark, d):
     """Raw records taken into a store in two batches: its turns, and the jobs of those that closed."""
     s = Store(spark, scratch(spark, "write-path"))
-    raw = _raw(spark, d)
-    for part in (raw.where(_early()), raw.where(~_early())):
+    for part in _halves(spark, d):
         writepath.take_in(s, part, NOW, ["click"])
     return _taken(s)
 
@@ -220,15 +225,15 @@ class _Interrupted(Store):
 def write_path_replayed(spark, d):
     """The same where each batch fails once, is run again, is run once more under its number, and then comes again in another batch."""
     s = _Interrupted(spark, scratch(spark, "write-path"))
-    raw = _raw(spark, d)
-    for k, part in enumerate((raw.where(_early()), raw.where(~_early()))):
+    halves = _halves(spark, d)
+    for k, part in enumerate(halves):
         s.fails = True
         try:
             writepath.take_in(s, part, NOW, ["click"], ("records", k))
         except OSError:
             writepath.take_in(s, part, NOW, ["click"], ("records", k))
         writepath.take_in(s, part, NOW, ["click"], ("records", k))
-    writepath.take_in(s, raw.where(_early()), NOW, ["click"])
+    writepath.take_in(s, halves[0], NOW, ["click"])
     return _taken(s)
 
 
@@ -237,8 +242,7 @@ def intake_stream(spark, d):
     """Records dropped as JSON files and taken by a streaming query that is stopped and started again on its checkpoint."""
     base = scratch(spark, "intake")
     s = Store(spark, f"{base}/store")
-    raw = _raw(spark, d)
-    for part in (raw.where(_early()), raw.where(~_early())):
+    for part in _halves(spark, d):
         part.write.mode("append").text(f"{base}/in")
         intake.start(s, intake.records(spark, f"{base}/in"), f"{base}/check", lambda: NOW, skip=["click"]).awaitTermination()
     return _taken(s)
@@ -249,8 +253,7 @@ def intake_source(spark, d):
     """The same through the data source of hook records, dropped in three lanes."""
     base = scratch(spark, "intake")
     s = Store(spark, f"{base}/store")
-    raw = _raw(spark, d)
-    for part in (raw.where(_early()), raw.where(~_early())):
+    for part in _halves(spark, d):
         k = F.pmod(F.hash(F.get_json_object("value", "$.session_id")), F.lit(3))  # a session's records come by one lane; all of a part are one batch
         hooks.publish_lanes(part.withColumn("lane", F.substring(F.lit("abc"), k + 1, F.lit(1))), f"{base}/in")
         intake.start(s, hooks.stream(spark, f"{base}/in"), f"{base}/check", lambda: NOW, skip=["click"]).awaitTermination()

@@ -35,7 +35,7 @@ def _in_batch(events: DataFrame, turns: DataFrame, skip: list[str] | None = None
         F.lit(-1).cast("long").alias("event_id"), F.expr(_BEFORE).alias("ts"), "session_id", F.lit(ingest.PROMPT).alias("hook"), F.lit(None).cast("string").alias("tool_name"), F.lit("open").alias("prompt"), F.lit(True).alias("_mark"),
     )
     both = events.withColumn("_mark", F.lit(False)).unionByName(going, allowMissingColumns=True)
-    turned = ingest.attributed(both, skip, "prompt", ("_mark",)).where(~F.col("_mark")).drop("_mark")
+    turned = ingest.attributed(both, skip, "prompt", ~F.col("_mark")).where(~F.col("_mark")).drop("_mark")
     return turned, last.select("session_id", (F.col("_last") - F.coalesce("_goes_on", F.lit(0))).alias("_base"))
 
 
