@@ -51,11 +51,12 @@ def _kept(store: Store, name: str, rows: DataFrame) -> DataFrame:
     return store.spark.read.schema(rows.schema).parquet(path)
 
 
-def asked(store: Store, rows: DataFrame, provider: P.Provider, system: str, schema: str = P.REPLY) -> DataFrame:
+def asked(store: Store, rows: DataFrame, provider: P.Provider, system: str, schema: str = P.REPLY, shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Fixed rows with ``reply`` in place of ``_prompt``: prompts whose answer the store has aren't asked again; equal ones are asked once.
 
     New answers are committed before anything else happens with them. A call that fails
     is not ``answered``: its row has a null reply now, and is asked again next time.
+    ``shape`` makes columns of a reply, in place of it.
     """
     keyed = rows.withColumn("_key", F.sha2(F.concat(F.lit(system), F.lit("\n"), F.coalesce("_prompt", F.lit(""))).cast("binary"), 256))
     keyed = _kept(store, "prompts", keyed)
@@ -68,7 +69,7 @@ def asked(store: Store, rows: DataFrame, provider: P.Provider, system: str, sche
         store.commit(add={"replies": answered})
     every = known.select("key", "said").unionByName(new)
     read = every.select(F.col("key").alias("_key"), parsed_reply(F.col("said"), schema).alias("reply"), F.col("said").isNotNull().alias("answered"))  # once, not for each row that asks the same
-    return keyed.join(read, "_key", "left").withColumn("answered", F.coalesce("answered", F.lit(False))).drop("_key", "_prompt")
+    return keyed.join(shape(read) if shape else read, "_key", "left").withColumn("answered", F.coalesce("answered", F.lit(False))).drop("_key", "_prompt")
 
 
 def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only: DataFrame | None = None, language: str = "en", as_of=None) -> DataFrame:
@@ -80,8 +81,8 @@ def summarise_turns(store: Store, provider: P.Provider, embed: bool = True, only
     todo = memory.claimable(turns if only is None else turns.join(only.select("turn_id").distinct(), "turn_id", "left_semi"), links).join(store.read("turn_artifacts"), "turn_id", "left")
     none = F.array().cast("array<string>")
     prompt = P.turn_prompt(F.col("prompt_text"), *[F.coalesce(c, none) for c in ("tool_names", "files_touched", "commands", "error_signals")])
-    replied = asked(store, todo.select("turn_id", "repo", "cwd", "started_at", F.coalesce("stopped_at", "last_event_at").alias("ended_at"), prompt.alias("_prompt")), provider, P.SYSTEM[language])
-    made = memory.from_replies(replied.where("answered").drop("answered")).withColumn("memory_kind", F.lit("turn")).withColumn("state", F.lit("active")).withColumn("is_pinned", F.lit(False)).withColumn("source_turn_count", F.lit(1).cast("long"))
+    replied = asked(store, todo.select("turn_id", "repo", "cwd", "started_at", F.coalesce("stopped_at", "last_event_at").alias("ended_at"), prompt.alias("_prompt")), provider, P.SYSTEM[language], shape=memory.from_replies)
+    made = replied.where("answered").drop("answered").withColumn("memory_kind", F.lit("turn")).withColumn("state", F.lit("active")).withColumn("is_pinned", F.lit(False)).withColumn("source_turn_count", F.lit(1).cast("long"))
     made = _kept(store, "made", made.withColumnsRenamed({"cwd": "cwd_scope", "started_at": "first_turn_at", "ended_at": "last_turn_at"}))
     top = store.last("memories")
     new = in_order(made, "id", ["first_turn_at", "turn_id"], top)

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quern.operators import search
+from quern.operators import memory, search
 from quern.plans import indexing, synthesis
 from quern.sources.provider import Scripted
 from quern.sources.store import Store
@@ -45,3 +45,14 @@ def test_answers_are_parsed_before_they_are_dealt_out(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" in plan and plan.index("Join") < plan.index("from_json")
     assert {(r.turn_id, r.reply.title, r.answered) for r in out.collect()} == {(i, "T", True) for i in range(1, 9)}
+
+
+def test_columns_are_made_of_distinct_answers(spark, tmp_path):
+    s = _store(spark, tmp_path / "store")
+    rows = s.read("turns").select("turn_id", F.col("prompt_text").alias("_prompt"))
+    answer = Scripted([], '{"title":" T ","topic_candidate":" Auth ","memory_type":"odd"}')
+    want = memory.from_replies(synthesis.asked(s, rows, answer, "say"))
+    out = synthesis.asked(s, rows, answer, "say", shape=memory.from_replies)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_replace") and sorted(out.columns) == sorted(want.columns)
+    assert out.count() == 8 and out.select(*want.columns).exceptAll(want).count() == 0
