@@ -57,8 +57,8 @@ def enqueued(jobs: DataFrame, new: DataFrame) -> DataFrame:
     first = Window.partitionBy("job_type", "dedupe_key").orderBy("id")
     free, keyed = new.where("dedupe_key is null"), new.where("dedupe_key is not null")  # apart: null keys would be one large group
     once = keyed.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    seen = jobs.where("dedupe_key is not null").select("job_type", "dedupe_key").distinct()
-    return once.join(seen, ["job_type", "dedupe_key"], "left_anti").select(*new.columns).unionByName(free)
+    seen = jobs.where("dedupe_key is not null").select("job_type", "dedupe_key").distinct()  # all keys so far: never broadcast, however small their files
+    return once.join(seen.hint("merge"), ["job_type", "dedupe_key"], "left_anti").select(*new.columns).unionByName(free)
 
 
 def due(jobs: DataFrame, as_of, slots: int) -> DataFrame:

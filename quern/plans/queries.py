@@ -196,7 +196,8 @@ def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
 def _taken(s: Store) -> DataFrame:
     """The turns of a store, with their events counted and their jobs."""
     queued = s.read("jobs").select(F.col("entity_id").cast("bigint").alias("turn_id"), F.col("dedupe_key").alias("job"))
-    t = s.read("turns").drop("n_events").join(queued, "turn_id", "left").join(s.read("turn_events").groupBy("turn_id").agg(F.max("event_seq").alias("n_events")), "turn_id")
+    counted = s.read("turn_events").groupBy("turn_id").agg(F.max("event_seq").alias("n_events"))
+    t = s.read("turns").drop("n_events").join(queued.hint("merge"), "turn_id", "left").join(counted.hint("merge"), "turn_id")  # whole tables, never broadcast
     return t.select("turn_id", "session_id", "seq", "state", "prompt_text", "started_at", "stopped_at", "last_event_at", "tool_event_count", "n_events", "job")
 
 

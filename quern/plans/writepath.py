@@ -26,6 +26,8 @@ _BEFORE = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 LAYOUT = 1
 #: Dispositions that are reported.
 ASIDE = ["no_session", "no_open_turn"]
+#: Events of a batch up to which Spark may broadcast what follows from them.
+SMALL = 1 << 16
 
 
 def _in_batch(events: DataFrame, turns: DataFrame, skip: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +61,7 @@ def _pieces(turned: DataFrame) -> DataFrame:
     )
 
 
-def _rolled(pieces: DataFrame, base: DataFrame) -> DataFrame:
+def _rolled(pieces: DataFrame, base: DataFrame, merging: Callable) -> DataFrame:
     """One row for each turn that the batch touches: its pieces together, its number, and whether it ended."""
     out = pieces.groupBy("session_id", "turn_no").agg(
         F.min("started_at").alias("started_at"), F.max("last_event_at").alias("last_event_at"), F.max("stopped_at").alias("stopped_at"),
@@ -67,15 +69,23 @@ def _rolled(pieces: DataFrame, base: DataFrame) -> DataFrame:
     )
     latest = pieces.groupBy("session_id").agg(F.max("turn_no").alias("_latest"))
     ended = F.col("stopped_at").isNotNull() | (F.col("turn_no") < F.col("_latest"))
-    return _numbered(out.join(latest, "session_id").withColumn("state", F.when(ended, "closed").otherwise("open")).withColumn("_turn", F.col("turn_no")), base).drop("_latest")
+    return _numbered(out.join(merging(latest), "session_id").withColumn("state", F.when(ended, "closed").otherwise("open")).withColumn("_turn", F.col("turn_no")), base).drop("_latest")
 
 
-def _fresh(store: Store, events: DataFrame, kept: Callable) -> tuple[DataFrame, DataFrame | None]:
-    """Events whose id the store doesn't have, each id once, and those of ids that it has, or None. A null id is never known.
+def _merging(n: int) -> Callable[[DataFrame], DataFrame]:
+    """Marks the right side of a join in a batch of n events: in a large one both sides are sorted and merged.
+
+    Spark judges a side by the size of its files, and sends a small one through the driver to every executor;
+    but keys and numbers that Parquet stores in 10 MB may take hundreds there.
+    """
+    return (lambda rows: rows.hint("merge")) if n > SMALL else (lambda rows: rows)
+
+
+def _fresh(store: Store, events: DataFrame, ends: tuple, kept: Callable, merging: Callable) -> tuple[DataFrame, DataFrame | None]:
+    """Events whose id (from the first to the last of ``ends``) the store doesn't have, each id once, and those of ids that it has, or None. A null id is never known.
 
     Ids alone are compared; whole events are exchanged only where some come again.
     """
-    ends = events.agg(F.min("event_id"), F.max("event_id")).first()
     here = F.col("event_id").between(F.lit(ends[0]), F.lit(ends[1]))  # ids rise with time: older files are passed over by their statistics
     mine = events.where("event_id is not null").select("event_id", F.lit(1).alias("_mine"), F.lit(0).alias("_known"))
     taken = [store.read(t).where(here).select("event_id", F.lit(0).alias("_mine"), F.lit(1).alias("_known")) for t in ("turn_events", "quarantine") if store.parts(t)]
@@ -87,11 +97,11 @@ def _fresh(store: Store, events: DataFrame, kept: Callable) -> tuple[DataFrame,
     if not twice and not known:
         return events, None
     place = F.struct("ts", "payload_json")
-    new = events.join(met.select("event_id"), "event_id", "left_anti").select(*events.columns)
+    new = events.join(merging(met.select("event_id")), "event_id", "left_anti").select(*events.columns)
     if twice:
-        several = events.join(met.where("_known = 0").select("event_id"), "event_id", "left_semi").select(*events.columns)
+        several = events.join(merging(met.where("_known = 0").select("event_id")), "event_id", "left_semi").select(*events.columns)
         new = new.unionByName(several.groupBy("event_id").agg(F.min_by(F.struct(*events.columns), place).alias("_e")).select("_e.*"))
-    again = events.join(met.where("_known = 1").select("event_id"), "event_id", "left_semi").groupBy("event_id").agg(F.min_by(F.struct("session_id", "hook"), place).alias("_e"))
+    again = events.join(merging(met.where("_known = 1").select("event_id")), "event_id", "left_semi").groupBy("event_id").agg(F.min_by(F.struct("session_id", "hook"), place).alias("_e"))
     return kept("fresh", lambda: new), again.select("event_id", "_e.session_id", "_e.hook") if known else None
 
 
@@ -132,46 +142,48 @@ def take_in(store: Store, raw: DataFrame, as_of, skip: list[str] | None = None,
         return none.select("event_id", F.lit("").alias("session_id"), "hook", F.lit(0).cast("long").alias("seq"), F.lit("").alias("disposition"))
     kept, made = _steps(store, step, skip)
     records = kept("records", lambda: accept(raw))
-    events, again = _fresh(store, records, kept)
+    n, *ends = records.agg(F.count(F.lit(1)), F.min("event_id"), F.max("event_id")).first()
+    merging = _merging(n)
+    events, again = _fresh(store, records, ends, kept, merging)
     told = again.select("event_id", "session_id", "hook", F.lit(None).cast("long").alias("seq"), F.lit("duplicate").alias("disposition")) if again is not None else None
     if told is not None and not events.take(1):  # the store has them all
         if step:
             store.commit(step=step)
         return told
-    mine = events.where("session_id is not null").select("session_id").distinct()
+    mine = merging(events.where("session_id is not null").select("session_id").distinct())
     before = kept("open-before", lambda: store.read("turns", "open").join(mine, "session_id", "left_semi"))
     reached = store.read("session_refs").join(mine, "session_id", "left_semi").where("last_turn_seq is not null")
     so_far = before.select("session_id", "seq", "state").unionByName(reached.select("session_id", F.col("last_turn_seq").alias("seq"), F.lit("closed").alias("state")))
     turned, base = _in_batch(events, so_far, skip)
-    turned, base = kept("events", lambda: turned), kept("base", lambda: base)
+    turned, base = kept("events", lambda: turned), merging(kept("base", lambda: base))
     pieces = kept("pieces", lambda: _pieces(turned))
-    touched = kept("touched", lambda: _rolled(pieces, base))
+    touched = kept("touched", lambda: _rolled(pieces, base, merging))
     # turns of before that the batch goes on with or a new prompt closes
     newest = touched.groupBy("session_id").agg(F.max("seq").alias("_latest"))
     more = touched.select("session_id", "seq", *[F.col(c).alias(f"_{c}") for c in ("last_event_at", "stopped_at", "tool_event_count", "n_events")])
     ends = F.col("_stopped_at").isNotNull() | (F.col("seq") < F.col("_latest"))
-    old = before.join(more, ["session_id", "seq"], "left").join(newest, "session_id", "left")
+    old = before.join(merging(more), ["session_id", "seq"], "left").join(merging(newest), "session_id", "left")
     was = old.withColumns({
         "state": F.when(F.coalesce(ends, F.lit(False)), "closed").otherwise(F.col("state")), "stopped_at": F.coalesce("_stopped_at", "stopped_at"), "last_event_at": F.coalesce("_last_event_at", "last_event_at"),
         "tool_event_count": F.coalesce("tool_event_count", F.lit(0)) + F.coalesce("_tool_event_count", F.lit(0)), "_had": F.coalesce("n_events", F.lit(0)), "n_events": F.coalesce("n_events", F.lit(0)) + F.coalesce("_n_events", F.lit(0)),
     })
-    fresh = kept("new-turns", lambda: touched.join(before.select("session_id", "seq"), ["session_id", "seq"], "left_anti").withColumn("summarization_state", F.lit("pending")))
+    fresh = kept("new-turns", lambda: touched.join(merging(before.select("session_id", "seq")), ["session_id", "seq"], "left_anti").withColumn("summarization_state", F.lit("pending")))
     top = store.last("turns")
     # numbers are written where they are given: not again where this step did so before
     whole = kept("turns-after", lambda: was.unionByName(in_order(fresh, "turn_id", ["started_at", "session_id", "seq"], top).withColumn("_had", F.lit(0).cast("long")), allowMissingColumns=True))
     closed = whole.where("state = 'closed'").select("turn_id")
-    part = _rows_put(store, turned, pieces, touched.select("session_id", "seq", F.col("_turn").alias("turn_no")).join(whole.select("session_id", "seq", "turn_id", "_had"), ["session_id", "seq"]), made)
+    part = _rows_put(store, turned, pieces, touched.select("session_id", "seq", F.col("_turn").alias("turn_no")).join(merging(whole.select("session_id", "seq", "turn_id", "_had")), ["session_id", "seq"]), made)
     rows = store.rows_of("turn_events", [part])
     first = before.agg(F.min("turn_id")).first()[0]  # no event of an open turn lies in files whose turns are all older
     earlier = store.read("turn_events").where(F.col("turn_id") >= F.lit(first)) if first is not None else store.rows_of("turn_events", [])
-    ended = earlier.unionByName(rows).join(closed, "turn_id", "left_semi")
+    ended = earlier.unionByName(rows).join(merging(closed), "turn_id", "left_semi")
     digests = artifacts.artifacts(ended.select(F.col("turn_id").cast("string").alias("session_id"), F.col("turn_id").alias("turn_no"), "ts", "event_id", "hook", "tool_name", "payload_json"))
     seen = turned.where("session_id is not null and disposition <> 'ignored_empty'")
     met = seen.groupBy("session_id").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"), F.max("turn_no").alias("turn_no"), F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.struct("ts", "event_id"))).alias("cwd"))
     met = _numbered(met, base).withColumnRenamed("seq", "last_turn_seq")
     aside = turned.where(F.col("disposition").isin(*ASIDE))
     errors = aside.select(F.col("ts").alias("at"), F.concat(F.lit("ingest/"), "hook").alias("context"), F.concat_ws(" ", "disposition", F.concat(F.lit("tool="), "tool_name"), F.lit("- event set aside")).alias("message"))
-    names_open, stay = store.patched("turns", whole.select("turn_id", *[c for c in before.columns if c != "turn_id"]), OPEN)
+    names_open, stay = store.patched("turns", whole.select("turn_id", *[c for c in before.columns if c != "turn_id"]), OPEN, merging)
     queue, last_job = new_jobs(store, jobs.turn_jobs(closed, as_of))
     done = store.commit(
         add={"turns": stay.where("state = 'closed'"), "turn_artifacts": digests.withColumnRenamed("turn_no", "turn_id"), "session_refs": met, "quarantine": aside, "error_log": errors},
@@ -190,8 +202,8 @@ def _rows_put(store: Store, turned: DataFrame, pieces: DataFrame, names: DataFra
         return there["turn_events"]
     earlier = Window.partitionBy("session_id", "turn_no").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     piece = pieces.select("session_id", "turn_no", "_chunk", F.coalesce(F.sum("n_events").over(earlier), F.lit(0)).alias("_ahead"))
-    placed = piece.join(names, ["session_id", "turn_no"]).select("session_id", "turn_no", "_chunk", "turn_id", (F.col("_ahead") + F.col("_had")).alias("_ahead"))
-    attached = turned.where("turn_no is not null").join(placed, ["session_id", "turn_no", "_chunk"])
+    placed = piece.join(names.hint("merge"), ["session_id", "turn_no"]).select("session_id", "turn_no", "_chunk", "turn_id", (F.col("_ahead") + F.col("_had")).alias("_ahead"))
+    attached = turned.where("turn_no is not null").join(placed.hint("merge"), ["session_id", "turn_no", "_chunk"])  # Spark may broadcast payloads otherwise
     size = F.octet_length("payload_json").cast("long")
     rows = attached.select("event_id", "turn_id", (F.col("_place") + F.col("_ahead")).alias("event_seq"), "hook", "tool_name", "payload_json", size.alias("payload_size"), F.lit("redacted").alias("redaction_state"), "ts")
     part = store._put("turn_events", rows)
