@@ -177,7 +177,8 @@ def take_in(store: Store, raw: DataFrame, as_of, skip: list[str] | None = None,
     first = before.agg(F.min("turn_id")).first()[0]  # no event of an open turn lies in files whose turns are all older
     earlier = store.read("turn_events").where(F.col("turn_id") >= F.lit(first)) if first is not None else store.rows_of("turn_events", [])
     ended = earlier.unionByName(rows).join(merging(closed), "turn_id", "left_semi")
-    digests = artifacts.artifacts(ended.select(F.col("turn_id").cast("string").alias("session_id"), F.col("turn_id").alias("turn_no"), "ts", "event_id", "hook", "tool_name", "payload_json"))
+    longest = whole.agg(F.max("n_events")).first()[0] or 0
+    digests = artifacts.artifacts(ended.select(F.col("turn_id").cast("string").alias("session_id"), F.col("turn_id").alias("turn_no"), "ts", "event_id", "hook", "tool_name", "payload_json"), longest)
     seen = turned.where("session_id is not null and disposition <> 'ignored_empty'")
     met = seen.groupBy("session_id").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"), F.max("turn_no").alias("turn_no"), F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.struct("ts", "event_id"))).alias("cwd"))
     met = _numbered(met, base).withColumnRenamed("seq", "last_turn_seq")

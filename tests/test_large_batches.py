@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+from quern.operators import artifacts
 from quern.plans import queries, writepath
 from quern.sources.store import SCHEMAS, Store
 
@@ -48,3 +49,12 @@ def test_nothing_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(writepath, "SMALL", 10)
     merged, most = largest_broadcast(spark, lambda: taken(spark, tmp_path / "large"))
     assert most < 10 and merged == plain and len(plain["turns"]) > 500
+
+
+def test_short_turns_alone(spark):
+    """Where no turn is long, the digests are the same without the plan for long ones."""
+    e = spark.createDataFrame([(f"s{n % 5}", n // 10 % 2, T0 + dt.timedelta(minutes=n), n, "postToolUse" if n % 4 else "stop", f"t{n % 3}", json.dumps({"tool_input": {"path": f"/f{n % 6}"}})) for n in range(60)], "session_id string, turn_no bigint, ts timestamp_ntz, event_id bigint, hook string, tool_name string, payload_json string")
+    short, every = artifacts.artifacts(e, 12), artifacts.artifacts(e)
+    assert sorted(map(str, short.collect())) == sorted(map(str, every.collect())) and short.count() == 10
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(short) == 1 < joins(every)
